@@ -26,8 +26,9 @@ def _cnt(cond: Column) -> Column:
 
 
 def confusion_counts(df: DataFrame, g: Sequence[str], y="y", pred="pred") -> DataFrame:
-    """TP/FP/TN/FN with y and pred in {-1,+1} (anything > 0 is positive)."""
-    yp, pp = F.col(y) > 0, F.col(pred) > 0
+    """TP/FP/TN/FN; -1 is the negative class, anything else (+1, or a 0 tie
+    prediction) counts as positive, as in M2."""
+    yp, pp = F.col(y) != -1, F.col(pred) != -1
     return df.groupBy(*g).agg(
         _cnt(yp & pp).alias("tp"), _cnt(~yp & pp).alias("fp"),
         _cnt(~yp & ~pp).alias("tn"), _cnt(yp & ~pp).alias("fn"))

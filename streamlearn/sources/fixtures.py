@@ -31,8 +31,8 @@ def user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USER_SQL = """SELECT CAST(user_id AS VARCHAR) AS stream, ts, event_id AS id,
-  [floor(value)::DOUBLE / 64.0, hour(ts)::DOUBLE / 8.0, 1.0] AS x,
-  CASE WHEN event_type = 'purchase' THEN 1.0 ELSE -1.0 END AS y
+  [floor(value)::DOUBLE / 64.0, hour(ts)::DOUBLE / 8.0, 1.0::DOUBLE] AS x,
+  CASE WHEN event_type = 'purchase' THEN 1.0 ELSE -1.0 END::DOUBLE AS y
 FROM events"""
 
 
@@ -63,7 +63,7 @@ def line_sql(by_status: bool = True) -> str:
   CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id,
   [l_quantity / 64.0, l_linenumber::DOUBLE, round(l_discount * 100.0) / 64.0,
    round(l_tax * 100.0) / 64.0] AS x,
-  CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS y
+  CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END::DOUBLE AS y
 FROM lineitem"""
 
 
@@ -87,7 +87,7 @@ def emb_stream(spark: SparkSession, sf_dir: str, label_mode: str = "threshold")
 
 
 EMB_SQL = """SELECT 'all' AS stream, to_timestamp(vec_id)::TIMESTAMP AS ts, vec_id AS id,
-  CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label >= 5 THEN 1.0 ELSE -1.0 END AS y, label
+  CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label >= 5 THEN 1.0 ELSE -1.0 END::DOUBLE AS y, label
 FROM embeddings"""
 
 
@@ -103,7 +103,7 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_FEATURES_SQL = ("SELECT ts AS timestamp, user_id, "
-                      + ", ".join(f"CASE WHEN event_type = '{t}' THEN 1.0 ELSE 0.0 END AS n_{t}" for t in EVENT_TYPES)
+                      + ", ".join(f"CASE WHEN event_type = '{t}' THEN 1.0 ELSE 0.0 END::DOUBLE AS n_{t}" for t in EVENT_TYPES)
                       + ", floor(value)::DOUBLE AS value_floor, "
                         "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events")
 
@@ -122,8 +122,8 @@ def task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TASK_SQL = """SELECT event_type AS stream, ts, event_id AS id,
-  [floor(value)::DOUBLE / 64.0, CAST(json_extract(props, '$.k') AS DOUBLE) / 128.0, 1.0] AS x,
-  CASE WHEN value > 50 THEN 1.0 ELSE -1.0 END AS y
+  [floor(value)::DOUBLE / 64.0, CAST(json_extract(props, '$.k') AS DOUBLE) / 128.0, 1.0::DOUBLE] AS x,
+  CASE WHEN value > 50 THEN 1.0 ELSE -1.0 END::DOUBLE AS y
 FROM events"""
 
 
@@ -142,6 +142,6 @@ def rare_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RARE_SQL = """SELECT d.lang AS stream, to_timestamp(d.doc_id)::TIMESTAMP AS ts, d.doc_id AS id,
-  [d.n_chars::DOUBLE / 4096.0, 1.0] AS x,
-  CASE WHEN l.toxic = 1 THEN 1.0 ELSE -1.0 END AS y
+  [d.n_chars::DOUBLE / 4096.0, 1.0::DOUBLE] AS x,
+  CASE WHEN l.toxic = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS y
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
