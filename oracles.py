@@ -34,12 +34,12 @@ def _sgn(s: str, tie: str) -> str:
 
 def _acc(d, w, s="a.s", g="a.g", h="a.h", t="a.t", m="a.m", p=None):
     """New accumulator struct; p = the prediction expression for the counts."""
-    pos_y, pos_p = "(e.y <> -1.0)", f"({p} <> -1.0)"
+    pos_y, pos_p = "(e.y <> -1.0 AND e.c)", f"({p} <> -1.0)"
     cnt = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
     return (f"{{'w': {w}, 's': {s}, 'g': {g}, 'h': {h}, 't': {t}, 'm': {m}, "
             f"'tp': a.tp + {cnt(pos_y + ' AND ' + pos_p)}, 'fp': a.fp + {cnt('NOT ' + pos_y + ' AND ' + pos_p)}, "
-            f"'tn': a.tn + {cnt('NOT ' + pos_y + ' AND NOT ' + pos_p)}, 'fn': a.fn + {cnt(pos_y + ' AND NOT ' + pos_p)}, "
-            f"'x': e.x, 'y': e.y, 'q': e.q}}")
+            f"'tn': a.tn + {cnt('e.c AND NOT ' + pos_y + ' AND NOT ' + pos_p)}, 'fn': a.fn + {cnt(pos_y + ' AND NOT ' + pos_p)}, "
+            f"'x': e.x, 'y': e.y, 'q': e.q, 'c': e.c}}")
 
 
 def step_sql(name: str, d: int, params: dict) -> str:
@@ -112,24 +112,39 @@ def step_sql(name: str, d: int, params: dict) -> str:
 
 
 def fold_sql(src_sql: str, learners, d: int, keys=("stream",), order="ts, id, x, y",
-             out_w: bool = True) -> str:
-    """Final state per (keys, algo): n, mistakes, w1..wd, tp, fp, tn, fn."""
+             out_w: bool = True, count_expr: str = "true", init_sql: str | None = None) -> str:
+    """Final state per (keys, algo): n, mistakes, w0..w{d-1}, tp, fp, tn, fn.
+
+    ``count_expr`` (a boolean over the source row) selects the rows that enter
+    the confusion counts; ``init_sql`` returns (keys, algo, w) start weights
+    (other state starts fresh), as in a warm start.
+    """
     ks = ", ".join(keys)
     z = _lst(["0.0::DOUBLE"] * d)
     one = _lst(["1.0::DOUBLE"] * d)
     q = "(" + " + ".join(f"x[{j}] * x[{j}]" for j in range(1, d + 1)) + ")"
     elem = (f"{{'w': {z}, 's': {z}, 'g': {z}, 'h': {z}, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
-            f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': x, 'y': y, 'q': {q}}}")
-    init = (f"{{'w': {z}, 's': {one}, 'g': {z}, 'h': {z}, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
-            f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': {z}, 'y': 0.0::DOUBLE, 'q': 0.0::DOUBLE}}")
+            f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': x, 'y': y, 'q': {q}, 'c': ({count_expr})}}")
+
+    def init(w):
+        return (f"{{'w': {w}, 's': {one}, 'g': {z}, 'h': {z}, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
+                f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': {z}, 'y': 0.0::DOUBLE, 'q': 0.0::DOUBLE, "
+                f"'c': false}}")
     parts = []
     for label, name, params in learners:
         body = step_sql(name, d, dict(params))
         wcols = "".join(f", {rnd(f'r.w[{j}]')} AS w{j - 1}" for j in range(1, d + 1)) if out_w else ""
+        if init_sql:
+            src = (f"(SELECT _seq.*, _i.w AS _w0 FROM _seq JOIN (SELECT * FROM _init WHERE algo = '{label}') _i "
+                   f"USING ({ks}))")
+            ini = init("_w0")
+        else:
+            src, ini = "_seq", init(z)
         parts.append(f"""SELECT {ks}, '{label}' AS algo, n, r.m AS mistakes{wcols},
   r.tp AS tp, r.fp AS fp, r.tn AS tn, r.fn AS fn
-FROM (SELECT {ks}, n, list_reduce(seq, lambda a, e: {body}, {init}) AS r FROM _seq)""")
+FROM (SELECT {ks}, n, list_reduce(seq, lambda a, e: {body}, {ini}) AS r FROM {src})""")
     union = "\nUNION ALL\n".join(parts)
+    init_cte = f"_init AS ({init_sql}),\n" if init_sql else ""
     return f"""WITH _src AS ({src_sql}),
-_seq AS (SELECT {ks}, count(*) AS n, list({elem} ORDER BY {order}) AS seq FROM _src GROUP BY {ks})
+{init_cte}_seq AS (SELECT {ks}, count(*) AS n, list({elem} ORDER BY {order}) AS seq FROM _src GROUP BY {ks})
 {union}"""
