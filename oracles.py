@@ -37,7 +37,7 @@ def _acc(d, w, s="a.s", g="a.g", h="a.h", t="a.t", m="a.m", p=None):
     pos_y, pos_p = "(e.y <> -1.0 AND e.c)", f"({p} <> -1.0)"
     cnt = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
     return (f"{{'w': {w}, 's': {s}, 'g': {g}, 'h': {h}, 't': {t}, 'm': {m}, "
-            f"'tp': a.tp + {cnt(pos_y + ' AND ' + pos_p)}, 'fp': a.fp + {cnt('NOT ' + pos_y + ' AND ' + pos_p)}, "
+            f"'tp': a.tp + {cnt(pos_y + ' AND ' + pos_p)}, 'fp': a.fp + {cnt('e.c AND NOT ' + pos_y + ' AND ' + pos_p)}, "
             f"'tn': a.tn + {cnt('e.c AND NOT ' + pos_y + ' AND NOT ' + pos_p)}, 'fn': a.fn + {cnt(pos_y + ' AND NOT ' + pos_p)}, "
             f"'x': e.x, 'y': e.y, 'q': e.q, 'c': e.c}}")
 
@@ -133,7 +133,12 @@ def fold_sql(src_sql: str, learners, d: int, keys=("stream",), order="ts, id, x,
     parts = []
     for label, name, params in learners:
         body = step_sql(name, d, dict(params))
-        wcols = "".join(f", {rnd(f'r.w[{j}]')} AS w{j - 1}" for j in range(1, d + 1)) if out_w else ""
+        if out_w == "raw":
+            wcols = ", r.w AS w"
+        elif out_w:
+            wcols = "".join(f", {rnd(f'r.w[{j}]')} AS w{j - 1}" for j in range(1, d + 1))
+        else:
+            wcols = ""
         if init_sql:
             src = (f"(SELECT _seq.*, _i.w AS _w0 FROM _seq JOIN (SELECT * FROM _init WHERE algo = '{label}') _i "
                    f"USING ({ks}))")
