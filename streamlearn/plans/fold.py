@@ -53,7 +53,8 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 
 
 def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out_fields, has_init):
-    labels = [c.label for c in configs]
+    # in split mode the fold key ends with "algo", which is emitted once, as algo
+    out_keys = key_names[:-1] if split else key_names
     cfg_by_label = {c.label: c for c in configs}
     out_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out_fields])
     out_names = [f.name for f in out_fields]
@@ -68,7 +69,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
         def flush_models(key):
             for label, L in models:
                 st = L.state()
-                for i, k in enumerate(key_names):
+                for i, k in enumerate(out_keys):
                     out[k].append(key[i])
                 for n in pass_names:
                     out[n].append(None)
@@ -115,7 +116,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                 for label, L in models:
                     p, s = L.step(x, y)
                     if emit_preds:
-                        for j, k in enumerate(key_names):
+                        for j, k in enumerate(out_keys):
                             out[k].append(key[j])
                         for j, n in enumerate(pass_names):
                             out[n].append(passes[j][i])

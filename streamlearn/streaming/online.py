@@ -27,6 +27,8 @@ def stream_periods(sdf: DataFrame, features: Sequence[str], ts: str = "timestamp
                    width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Tumbling-window period aggregates (sum of features, +1 if any
     positive); rows later than the watermark are dropped."""
+    # event time must be TIMESTAMP (session time zone, UTC here) for the watermark
+    sdf = sdf.withColumn(ts, F.col(ts).cast("timestamp"))
     g = sdf.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"))
     aggs = [F.sum(F.col(c).cast("double")).alias(c) for c in features]
     aggs.append(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_lab"))
