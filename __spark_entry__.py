@@ -52,8 +52,8 @@ FLAG_CFG = [LearnerConfig.of("Perceptron", "perceptron")]
 def q_flagship(spark: SparkSession, sf: str) -> DataFrame:
     """events -> per-user stream -> perceptron fold per user -> M5 micro/macro."""
     s = FX.user_stream(spark, sf)
-    preds = fold_predictions(s, FLAG_CFG)
-    return _r(M.micro_macro(preds, ["algo"], "stream"))
+    models = fold_models(s, FLAG_CFG)          # carries the per-user prequential counts
+    return _r(M.micro_macro_from_counts(models, ["algo"], "stream"))
 
 
 def _m5_sql(counts_sql: str) -> str:
@@ -83,13 +83,12 @@ def sql_flagship() -> str:
 
 # ----------------------------------------------------- L1-L7 main learners
 def q_main7_user(spark, sf):
-    """T1 + C5: the seven main rules per user: final weights, mistakes, M2 counts."""
+    """T1 + C5: the seven main rules per user: final weights, mistakes and the
+    prequential M2 counts, all from one fold pass (one small row per key)."""
     s = FX.user_stream(spark, sf)
-    preds, models = fold_both(s, MAIN_SEVEN)
-    c = M.confusion_counts(preds.withColumn("pred", F.when(F.col("pred") == -1, -1.0).otherwise(1.0)),
-                           ["stream", "algo"])
-    m = models.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(3)])
-    return _r(m.join(c, ["stream", "algo"]))
+    m = fold_models(s, MAIN_SEVEN)
+    return _r(m.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(3)],
+                       "tp", "fp", "tn", "fn"))
 
 
 def sql_main7_user():
@@ -99,12 +98,11 @@ def sql_main7_user():
 def q_main7_line(spark, sf):
     """The seven main rules over lineitem, one stream per l_linestatus (~n/2 rows each)."""
     s = FX.line_stream(spark, sf, by_status=True)
-    # two long streams: cross with the 7 configs so each (stream, config) is its own task
-    preds, models = fold_both(s, MAIN_SEVEN, split_configs=True)
-    c = M.confusion_counts(preds.withColumn("pred", F.when(F.col("pred") == -1, -1.0).otherwise(1.0)),
-                           ["stream", "algo"])
-    m = models.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(4)])
-    return _r(m.join(c, ["stream", "algo"]))
+    # all 7 configs in one pass per stream: measured 17.6 s at sf0.1 versus 43 s
+    # with split_configs=True, whose 7x input copy costs more than it parallelises
+    m = fold_models(s, MAIN_SEVEN)
+    return _r(m.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(4)],
+                       "tp", "fp", "tn", "fn"))
 
 
 def sql_main7_line():

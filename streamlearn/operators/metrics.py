@@ -114,6 +114,25 @@ def micro_macro(df: DataFrame, g: Sequence[str], entity: str, y="y", pred="pred"
         "macro_precision", "macro_recall", "macro_f1", "macro_fpr", "macro_fnr")
 
 
+def micro_macro_from_counts(counts: DataFrame, g: Sequence[str], entity: str) -> DataFrame:
+    """M5 from per-entity tp/fp/tn/fn rows (e.g. the fold's model table)."""
+    per = rates(counts.select(*g, entity, "tp", "fp", "tn", "fn"))
+    return _micro_macro(per, g)
+
+
+def _micro_macro(per: DataFrame, g: Sequence[str]) -> DataFrame:
+    return per.groupBy(*g).agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("tn").alias("tn"), F.sum("fn").alias("fn"),
+        F.count(F.lit(1)).alias("n_entities"),
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
+        F.avg("f1").alias("macro_f1"), F.avg("fpr").alias("macro_fpr"), F.avg("fnr").alias("macro_fnr"),
+    ).transform(rates).select(
+        *g, "n_entities", "tp", "fp", "tn", "fn",
+        F.col("precision").alias("micro_precision"), F.col("recall").alias("micro_recall"),
+        F.col("f1").alias("micro_f1"), F.col("fpr").alias("micro_fpr"), F.col("fnr").alias("micro_fnr"),
+        "macro_precision", "macro_recall", "macro_f1", "macro_fpr", "macro_fnr")
+
+
 def per_entity_metrics(df: DataFrame, entity: str, algo: str = "algo", algos: Sequence[str] | None = None,
                        metrics: Sequence[str] = ("precision", "recall", "fnr", "fpr"),
                        y="y", pred="pred") -> DataFrame:

@@ -43,6 +43,10 @@ MODEL_FIELDS = [
     T.StructField("g1t", T.ArrayType(T.DoubleType())),
     T.StructField("b", T.DoubleType()),
     T.StructField("t", T.LongType()),
+    T.StructField("tp", T.LongType()),
+    T.StructField("fp", T.LongType()),
+    T.StructField("tn", T.LongType()),
+    T.StructField("fn", T.LongType()),
 ]
 STATE_COLS = ["w", "sigma", "g", "g1t", "b", "t"]
 
@@ -82,9 +86,15 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                 out["mistakes"].append(L.mistakes)
                 for n in STATE_COLS:
                     out[n].append(st[n])
+                cm = counts[label]
+                out["tp"].append(cm[0]); out["fp"].append(cm[1]); out["tn"].append(cm[2]); out["fn"].append(cm[3])
+
+        counts = {}
 
         def start(key, d):
             sel = [cfg_by_label[key[-1]]] if split else configs
+            for c in sel:
+                counts[c.label] = [0, 0, 0, 0]
             ms = []
             for c in sel:
                 L = c.make(d)
@@ -115,6 +125,8 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                     models = start(key, len(x))
                 for label, L in models:
                     p, s = L.step(x, y)
+                    # running M2 counts (-1 negative, anything else positive)
+                    counts[label][(0 if p != -1.0 else 3) if y != -1.0 else (1 if p != -1.0 else 2)] += 1
                     if emit_preds:
                         for j, k in enumerate(out_keys):
                             out[k].append(key[j])
@@ -129,7 +141,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                         out["pos"].append(pos)
                         out["_kind"].append(0)
                         if emit_models:
-                            for n in ("n", "mistakes", "w", "sigma", "g", "g1t", "b", "t"):
+                            for n in ("n", "mistakes", "w", "sigma", "g", "g1t", "b", "t", "tp", "fp", "tn", "fn"):
                                 out[n].append(None)
                 pos += 1
             if out["_kind"]:
@@ -167,6 +179,8 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
     else:
         sort_cols = fold_keys + order
     data = data.repartition(*fold_keys).sortWithinPartitions(*sort_cols)
+    ts_type = dict((f.name, f.dataType) for f in data.schema.fields)["ts"]
+    data = data.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
     sch = {f.name: f for f in data.schema.fields}
     out_fields = [T.StructField(k, sch[k].dataType) for k in keys]
@@ -181,7 +195,10 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
         out_fields += MODEL_FIELDS
     fn = _fold_fn(configs, fold_keys, passthrough, emit_preds, emit_models, split_configs,
                   out_fields, has_init)
-    return data.mapInArrow(fn, T.StructType(out_fields))
+    out = data.mapInArrow(fn, T.StructType(out_fields))
+    if emit_preds:
+        out = out.withColumn("ts", F.timestamp_micros("ts").cast(ts_type))
+    return out
 
 
 def fold_predictions(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
@@ -194,7 +211,8 @@ def fold_predictions(df: DataFrame, configs: Sequence[LearnerConfig], keys=("str
 
 def fold_models(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
                 order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False) -> DataFrame:
-    """The final model per (key, config): keys, algo, n, mistakes, w, sigma, g, g1t, b, t."""
+    """The final model per (key, config): keys, algo, n, mistakes, w, sigma, g, g1t, b, t,
+    plus the prequential M2 counts tp, fp, tn, fn of the pass."""
     out = _fold(df, configs, keys, order, init, False, True, split_configs)
     return out.drop("_kind")
 
