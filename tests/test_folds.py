@@ -75,3 +75,24 @@ def test_kernel_budget_respected(spark):
     s = FX.emb_stream(spark, SF_SMALL).drop("label")
     m = fold_models(s, [LearnerConfig.of("k", "kogc", gamma=0.01, max_sv=7)])
     assert all(len(r.w) <= 7 for r in m.collect())
+
+
+def test_sliding_window_matches_reference_loop(spark):
+    """F4 against a direct transcription of the protocol on plain lists."""
+    from streamlearn.plans.learners import LEARNERS
+    W = 30
+    cfg = [LearnerConfig.of("PA", "sliding", inner="pa_study", W=W)]
+    s = FX.task_stream(spark, SF_SMALL)
+    got = fold_predictions(s, cfg).filter(~F.isnan("pred"))
+    got = {(r.stream, r.id): r.pred for r in got.collect()}
+    pdf = s.toPandas().sort_values(["stream", "ts", "id"], kind="mergesort")
+    want = {}
+    for k, g in pdf.groupby("stream"):
+        X, Y, ids = [list(v) for v in g.x], list(g.y), list(g.id)
+        m = LEARNERS["pa_study"](len(X[0]))
+        for j in range(W, len(X)):
+            for i in range(j - W, j):
+                m.step(X[i], Y[i])
+            sc = sum(a * b for a, b in zip(X[j], m.w))
+            want[(k, ids[j])] = 1.0 if sc >= 0 else -1.0
+    assert got == want
