@@ -7,6 +7,7 @@ slices of bounded bytes, so memory does not depend on the table or on a key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamlearn import checkpoint_dir
+
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4_000_000
 
@@ -124,3 +127,19 @@ def labelled_documents(docs: DataFrame, sample: list[tuple[int, int]]) -> DataFr
     spark = docs.sparkSession
     lab = spark.createDataFrame(sample, "doc_id long, y int")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab), "doc_id")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    This cuts the lineage: a lost executor costs a reread of files, and several
+    readers do not compute the rows again.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path inside the shared folder named by ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from streamlearn.llm import quality
+from streamlearn.llm import decontaminate, packing, pii, quality, simhash
 
-_MODULES = [quality]
+_MODULES = [simhash, pii, packing, decontaminate, quality]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
