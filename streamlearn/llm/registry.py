@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from streamlearn.llm import decontaminate, packing, pii, quality, simhash
+from streamlearn.llm import ann, chat, decontaminate, license_scan, ngram, packing, pii, quality, simhash, toxicity
 
-_MODULES = [simhash, pii, packing, decontaminate, quality]
+_MODULES = [chat, ann, simhash, toxicity, license_scan, pii, packing, decontaminate, ngram, quality]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
