@@ -885,60 +885,52 @@ def sql_c1_score_linear():
     return _rates_sql("stream", _m2_counts_sql("stream", src))
 
 
-def _svs(spark, sf, gammas=(0.01,)):
-    e = FX.emb_stream(spark, sf).drop("label")
-    from pyspark.sql import Window
-    w = Window.partitionBy("y").orderBy(hash32("id", 5), "id")
-    sv = e.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 32)
-    g = spark.createDataFrame([(i, float(v)) for i, v in enumerate(gammas)], "member int, gamma double")
-    return e, sv.select("x", F.col("y").alias("alpha"), F.col("id").alias("sv_id")).crossJoin(F.broadcast(g))
+def _kernel_members(gammas):
+    return [LearnerConfig.of(f"g{i}", "batch_kpa", gamma=g, C=1.0) for i, g in enumerate(gammas)]
 
 
-def _svs_sql(gammas):
-    vals = ", ".join(f"({i}, {float(v)!r})" for i, v in enumerate(gammas))
-    return f"""SELECT x AS sv_x, y AS alpha, member, gamma FROM (
-  SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql_hash32('id', 5)}, id) AS r FROM ({FX.EMB_SQL})) s,
-  (VALUES {vals}) g(member, gamma) WHERE r <= 32"""
+def _kernel_scores(spark, sf, gammas):
+    """Batch kernel PA-I models fitted on each user's first 80%, scored on all rows of the user."""
+    from streamlearn.operators.score import score_kernel_keyed
+    cfg = _kernel_members(gammas)
+    tr, _ = _user_split(spark, sf)
+    return score_kernel_keyed(FX.user_stream(spark, sf), fold_models(tr, cfg), cfg)
 
 
-def _rbf_sql(a, b, g):
-    d = 64
-    na = f"list_reduce(list_transform({a}, lambda v: v * v), lambda p, q: p + q)"
-    nb = f"list_reduce(list_transform({b}, lambda v: v * v), lambda p, q: p + q)"
-    dot = f"list_reduce(list_transform(range(1, {d + 1}), lambda j: {a}[j] * {b}[j]), lambda p, q: p + q)"
-    return f"exp(-({g}) * greatest({na} + {nb} - 2.0 * {dot}, 0.0))"
+def _kernel_scores_sql(gammas):
+    train = f"SELECT *, 1.0::DOUBLE AS wt FROM ({USER_SPLIT_SQL}) WHERE part = 'train'"
+    models = O.kernel_fold_sql(train, _cfgs(_kernel_members(gammas)), 3, raw=True)
+    parts = []
+    for i, g in enumerate(gammas):
+        k = " + ".join(f"(s.x[{j}] - u.x[{j}]) * (s.x[{j}] - u.x[{j}])" for j in (1, 2, 3))
+        parts.append(f"""SELECT u.stream, u.id, u.y, 'g{i}' AS algo,
+ coalesce(list_sum(list_transform(m.v, lambda s: s.a * exp({-g!r} * ({k})))), 0.0) AS score
+ FROM ({FX.USER_SQL}) u JOIN (SELECT * FROM ({models}) WHERE algo = 'g{i}') m USING (stream)""")
+    return " UNION ALL ".join(parts)
 
 
 def q_c3_kernel_score(spark, sf):
-    """RBF-kernel decision function against a bounded support-vector table
-    (32 vectors per class, alpha = y), gamma 0.01; label = score >= 0."""
-    from streamlearn.operators.score import score_kernel
-    e, sv = _svs(spark, sf)
-    out = score_kernel(e, sv.drop("member"), gamma="gamma")
-    return _r(out.select("id", "score", "pred"))
+    """RBF decision function of each user's fitted K9 model on the user's rows; label = score >= 0."""
+    return _r(_kernel_scores(spark, sf, (0.5,)).select("id", "score", "pred"))
 
 
 def sql_c3_kernel_score():
-    return f"""SELECT e.id, {O.rnd('sum(s.alpha * ' + _rbf_sql('e.x', 's.sv_x', 's.gamma') + ')')} AS score,
- CASE WHEN sum(s.alpha * {_rbf_sql('e.x', 's.sv_x', 's.gamma')}) >= 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS pred
- FROM ({FX.EMB_SQL}) e, ({_svs_sql((0.01,))}) s GROUP BY e.id"""
+    return f"""SELECT id, {O.rnd('score')} AS score, CASE WHEN score >= 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS pred
+ FROM ({_kernel_scores_sql((0.5,))})"""
 
 
-GAMMAS = (0.005, 0.01, 0.02)
+GAMMAS = (0.25, 0.5, 1.0)
 
 
 def q_c4_multi_kernel(spark, sf):
-    """C4: ensemble mean of three kernel members (gammas .005, .01, .02), threshold 0."""
-    from streamlearn.operators.score import score_multi_kernel
-    e, sv = _svs(spark, sf, GAMMAS)
-    out = score_multi_kernel(e, sv, row_cols=["id"])
-    return _r(out.select("id", "score", "pred"))
+    """C4: mean of three fitted kernel members (gammas .25, .5, 1), +1 at threshold 0 or above."""
+    from streamlearn.operators.score import ensemble_mean
+    return _r(ensemble_mean(_kernel_scores(spark, sf, GAMMAS)).select("id", "score", "pred"))
 
 
 def sql_c4_multi_kernel():
-    k = f"sum(s.alpha * {_rbf_sql('e.x', 's.sv_x', 's.gamma')})"
-    return f"""SELECT id, {O.rnd('sum(sc) / 3.0')} AS score, CASE WHEN sum(sc) / 3.0 > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS pred
- FROM (SELECT e.id, s.member, {k} AS sc FROM ({FX.EMB_SQL}) e, ({_svs_sql(GAMMAS)}) s GROUP BY e.id, s.member) GROUP BY id"""
+    return f"""SELECT id, {O.rnd('sum(score) / 3.0')} AS score, CASE WHEN sum(score) / 3.0 >= 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS pred
+ FROM ({_kernel_scores_sql(GAMMAS)}) GROUP BY id"""
 
 
 def q_c6_explain(spark, sf):
@@ -1091,9 +1083,9 @@ def sql_t13_tune_threshold():
     sc = f"SELECT u.y, (u.x[1] * m.w[1] + u.x[2] * m.w[2] + u.x[3] * m.w[3]) AS s FROM ({FX.USER_SQL}) u, ({m}) m"
     return f"""WITH sc AS ({sc}), q AS (SELECT quantile_cont(s, {pc}) AS thr FROM sc),
 c AS (SELECT unnest(range(1, 100)) AS k, unnest(thr) AS threshold FROM q),
-t AS (SELECT c.k, c.threshold, sum(CASE WHEN sc.y > 0 AND sc.s > c.threshold THEN 1 ELSE 0 END)::BIGINT AS tp,
-   sum(CASE WHEN sc.y <= 0 AND sc.s > c.threshold THEN 1 ELSE 0 END)::BIGINT AS fp,
-   sum(CASE WHEN sc.y > 0 AND sc.s <= c.threshold THEN 1 ELSE 0 END)::BIGINT AS fn FROM c, sc GROUP BY c.k, c.threshold),
+t AS (SELECT c.k, c.threshold, sum(CASE WHEN sc.y > 0 AND sc.s >= c.threshold THEN 1 ELSE 0 END)::BIGINT AS tp,
+   sum(CASE WHEN sc.y <= 0 AND sc.s >= c.threshold THEN 1 ELSE 0 END)::BIGINT AS fp,
+   sum(CASE WHEN sc.y > 0 AND sc.s < c.threshold THEN 1 ELSE 0 END)::BIGINT AS fn FROM c, sc GROUP BY c.k, c.threshold),
 f AS (SELECT *, tp / (tp + fp + 1e-9) AS p, tp / (tp + fn + 1e-9) AS r FROM t),
 g AS (SELECT *, (1 + 2.25) * p * r / (2.25 * p + r + 1e-9) AS fbeta FROM f)
 SELECT k, {O.rnd('threshold')} AS threshold, tp, fp, fn, {O.rnd('fbeta')} AS fbeta FROM g ORDER BY fbeta DESC, k LIMIT 1"""
@@ -1134,52 +1126,114 @@ def sql_t6_prequential():
 
 
 def q_t2_fit_epochs(spark, sf):
-    """Up to 5 shuffled epochs with patience 2, best validation F1 kept
+    """Up to 10 shuffled epochs with patience 3, best validation F1 kept
     (per-user temporal split: first 80% train, rest validation)."""
     from streamlearn.plans.protocols import fit_epochs
     tr, te = _user_split(spark, sf)
-    b = fit_epochs(tr, te, T_CFG, max_epochs=5, patience=2)
+    b = fit_epochs(tr, te, T_CFG, max_epochs=10, patience=3)
     return _r(b.select("stream", "algo", "epoch", "val_score", "misses"))
 
 
 def q_t8_best_of_shuffles(spark, sf):
-    """Best of 4 independent shuffles per user by validation F1."""
+    """Best of 10 independent shuffles per user by validation F1."""
     from streamlearn.plans.protocols import best_of_shuffles
     tr, te = _user_split(spark, sf)
-    b = best_of_shuffles(tr, te, T_CFG, k=4)
+    b = best_of_shuffles(tr, te, T_CFG, k=10)
     return _r(b.select("stream", "algo", "shuffle", "val_score"))
 
 
 def q_l8_logistic(spark, sf):
     """L2 logistic-regression baseline on the lineitem stream (pyspark.ml)."""
     from streamlearn.plans.protocols import logistic_baseline
-    m = logistic_baseline(FX.line_stream(spark, sf, False), l2=0.01, max_iter=100)
+    m = logistic_baseline(FX.line_stream(spark, sf, False), l2=0.01, max_iter=1000)
     rows = [(j, float(v)) for j, v in enumerate(m.coefficients.toArray())] + [(-1, float(m.intercept))]
     return _r(spark.createDataFrame(rows, "coef int, value double"))
 
 
+def sql_t8_best_of_shuffles():
+    """One fold per shuffle in the shuffle's hash order, scored on the user's last 20%, the first best kept."""
+    parts = []
+    for k in range(10):
+        key = sql_hash32(f"xor(id, {sql_hash32(str(k), 49)})", 42)
+        src = f"SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'train'"
+        parts.append(f"SELECT {k} AS shuffle, * FROM ({O.fold_sql(src, _cfgs(T_CFG), 3, order=f'{key}, id, x, y', out_w='raw')})")
+    m = " UNION ALL ".join(parts)
+    sc = f"""SELECT m.shuffle, m.stream, m.algo, v.y, CASE WHEN v.x[1] * m.w[1] + v.x[2] * m.w[2] + v.x[3] * m.w[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
+  FROM ({m}) m JOIN (SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'test') v USING (stream)"""
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    return f"""SELECT stream, algo, shuffle, {O.rnd('f1')} AS val_score FROM (
+ SELECT *, row_number() OVER (PARTITION BY stream, algo ORDER BY f1 DESC, shuffle) AS r FROM (
+  SELECT stream, algo, shuffle, {_f1s(p, r)} AS f1 FROM ({_m2_counts_sql('shuffle, stream, algo', sc)}))) WHERE r = 1"""
+
+
 # ----------------------------------------------------------------- kernels
-def _kernel_q(name, **params):
+KERNEL_GAMMA = 0.5
+KERNEL_SINGLE = {"k1_kpa": ("kpa", {}), "k2_kperceptron": ("kperceptron", {}), "k3_kogc": ("kogc", {}), "k4_karow": ("karow", {"r": 0.1}),
+                 "k5_krda": ("krda", {"lam": 0.01}), "k6_kscw": ("kscw", {"C": 1.0, "eta": 0.9}), "k7_kadarda": ("kadarda", {"lam": 0.01})}
+KERNEL_BATCH = {"k8_batch_kperceptron": ("batch_kperceptron", {}), "k9_batch_kpa": ("batch_kpa", {"C": 1.0}),
+                "k10_batch_karow": ("batch_karow", {"r": 1.0}), "k11_batch_kgradient": ("batch_kgradient", {}),
+                "k12_batch_kogc": ("batch_kogc", {}), "k13_batch_krda": ("batch_krda", {"lam": 0.01}),
+                "k14_batch_kscw": ("batch_kscw", {"C": 1.0, "phi": 0.5}), "k15_batch_kadarda": ("batch_kadarda", {"lam": 0.01})}
+KERNEL_EPOCHS = 3
+
+
+def _kernel_cfg(name, params):
+    return [LearnerConfig.of(name, name, gamma=KERNEL_GAMMA, **params)]
+
+
+def _kernel_table(m):
+    total = lambda f: F.aggregate("w", F.lit(0.0), lambda a, v: a + f(v))
+    return _r(m.select("stream", "algo", "n", "mistakes", F.size("w").cast("long").alias("n_sv"), total(lambda v: v).alias("sum_alpha"),
+                       total(F.abs).alias("abs_alpha"), "tp", "fp", "tn", "fn"))
+
+
+def _kernel_single(name, params):
     def q(spark, sf):
-        from streamlearn.plans import kernels  # noqa: F401  (registers kernel learners)
-        cfg = [LearnerConfig.of(name.upper(), name, gamma=0.01, max_sv=200, **params)]
-        s = FX.emb_stream(spark, sf).drop("label")
-        p = fold_predictions(s, cfg)
-        return _r(M.confusion(p, ["algo"]))
-    q.__doc__ = f"K: budgeted RBF {name} (gamma .01, 200 SVs) over the embeddings, M2 metrics."
-    return q
+        return _kernel_table(fold_models(FX.user_stream(spark, sf), _kernel_cfg(name, params)))
+
+    def sql():
+        return O.kernel_fold_sql(f"SELECT *, 1.0::DOUBLE AS wt FROM ({FX.USER_SQL})", _cfgs(_kernel_cfg(name, params)), 3)
+    q.__doc__ = f"K: one pass of {name} per user, no budget; support vectors and running counts."
+    return q, sql
+
+
+def _kernel_batch(name, params):
+    shuffle = name == "batch_kogc"
+
+    def q(spark, sf):
+        from streamlearn.plans.protocols import kernel_epochs, with_class_weights
+        s = with_class_weights(FX.user_stream(spark, sf))
+        return _kernel_table(kernel_epochs(s, _kernel_cfg(name, params), KERNEL_EPOCHS, shuffle=shuffle))
+
+    def sql():
+        key = "CASE epoch " + " ".join(f"WHEN {e} THEN {sql_hash32('id', 42 + e)}" for e in range(KERNEL_EPOCHS)) + " END"
+        src = f"""SELECT s.*, {key if shuffle else '0'} AS o, n / (2.0 * CASE WHEN y > 0 THEN p ELSE n - p END) AS wt FROM (
+  SELECT *, count(*) OVER (PARTITION BY stream) AS n, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream) AS p
+  FROM ({FX.USER_SQL})) s CROSS JOIN range({KERNEL_EPOCHS}) r(epoch)""".replace("SELECT s.*, ", "SELECT stream, ts, id, x, y, epoch, ")
+        return O.kernel_fold_sql(src, _cfgs(_kernel_cfg(name, params)), 3, order="epoch, o, id, x, y" if shuffle else "epoch, ts, id, x, y")
+    q.__doc__ = f"K: {KERNEL_EPOCHS} epochs of {name} per user (budget 1000)."
+    return q, sql
 
 
 def q_k_sv_table(spark, sf):
-    """K2 + C3: kernel-perceptron support-vector table, then the decision function on every row."""
-    from streamlearn.plans.kernels import support_vectors
-    from streamlearn.operators.score import score_kernel
-    cfg = [LearnerConfig.of("KPerceptron", "kperceptron", gamma=0.01, max_sv=200)]
-    s = FX.emb_stream(spark, sf).drop("label")
-    sv = support_vectors(fold_models(s, cfg), 64).drop("stream", "algo")
-    sc = score_kernel(s, sv, gamma=0.01)
-    return _r(M.confusion(sc.withColumn("k", F.lit("kperceptron")), ["k"]))
+    """K2 + C3: each user's kernel perceptron, then its decision function on all rows of the user; M2 per user."""
+    from streamlearn.operators.score import score_kernel_keyed
+    cfg = _kernel_cfg("kperceptron", {})
+    s = FX.user_stream(spark, sf)
+    return _r(M.confusion(score_kernel_keyed(s, fold_models(s, cfg), cfg), ["stream"]))
+
+
+def sql_k_sv_table():
+    cfg = _cfgs(_kernel_cfg("kperceptron", {}))
+    m = O.kernel_fold_sql(f"SELECT *, 1.0::DOUBLE AS wt FROM ({FX.USER_SQL})", cfg, 3, raw=True)
+    k = " + ".join(f"(s.x[{j}] - u.x[{j}]) * (s.x[{j}] - u.x[{j}])" for j in (1, 2, 3))
+    src = f"""SELECT u.stream, u.y, CASE WHEN len(m.v) = 0 OR list_sum(list_transform(m.v, lambda s: s.a * exp({-KERNEL_GAMMA!r} * ({k})))) >= 0
+   THEN 1.0 ELSE -1.0 END AS pred FROM ({FX.USER_SQL}) u JOIN ({m}) m USING (stream)"""
+    return _rates_sql("stream", _m2_counts_sql("stream", src))
+
 
+_Q.update({n: _kernel_single(*v) for n, v in KERNEL_SINGLE.items()})
+_Q.update({n: _kernel_batch(*v) for n, v in KERNEL_BATCH.items()})
 
 _Q.update({
     "t3_continue_online": (q_t3_continue_online, sql_t3_continue_online),
@@ -1192,17 +1246,9 @@ _Q.update({
     "t16_mixed_one_shard": (q_t16_mixed_one_shard, sql_t16_mixed_one_shard),
     "t16_mixed_four_shards": (q_t16_mixed_four_shards, None),
     "t2_fit_epochs": (q_t2_fit_epochs, None),
-    "t8_best_of_shuffles": (q_t8_best_of_shuffles, None),
+    "t8_best_of_shuffles": (q_t8_best_of_shuffles, sql_t8_best_of_shuffles),
     "l8_logistic_baseline": (q_l8_logistic, None),
-    "k1_kpa": (_kernel_q("kpa"), None),
-    "k2_kperceptron": (_kernel_q("kperceptron"), None),
-    "k3_kogc": (_kernel_q("kogc"), None),
-    "k4_karow": (_kernel_q("karow", r=0.1), None),
-    "k5_krda": (_kernel_q("krda", lam=0.01), None),
-    "k6_kscw": (_kernel_q("kscw", C=1.0, eta=0.9), None),
-    "k7_kadarda": (_kernel_q("kadarda", lam=0.01), None),
-    "k9_batch_kpa": (_kernel_q("batch_kpa", C=1.0), None),
-    "k_sv_table_score": (q_k_sv_table, None),
+    "k_sv_table_score": (q_k_sv_table, sql_k_sv_table),
 })
 
 
@@ -1573,23 +1619,11 @@ _Q.update({"f4_sliding_continual": (q_f4_sliding_continual, None)})
 
 # ------------------------------------------------- K16 multi-kernel ensemble
 def q_k16_multi_kernel_fit(spark, sf):
-    """Five KOGC members with gammas spread geometrically over [g/2, 2g]
-    (g = 0.01) run as parallel configs of one fold; their support-vector tables
-    score every row (C4 mean), T13 picks the F-beta threshold; M2 metrics.
-    One pass (the reference trains >= 30 shuffled epochs)."""
-    from streamlearn.operators.score import score_multi_kernel
-    from streamlearn.plans.kernels import support_vectors
-    from streamlearn.plans.protocols import tune_threshold
-    base = 0.01
-    gammas = [base * 2.0 ** (-1.0 + 0.5 * i) for i in range(5)]
-    cfgs = [LearnerConfig.of(f"m{i}", "kogc", gamma=g, max_sv=200) for i, g in enumerate(gammas)]
-    s = FX.emb_stream(spark, sf).drop("label")
-    sv = support_vectors(fold_models(s, cfgs), 64).drop("stream")
-    g = spark.createDataFrame([(f"m{i}", float(v)) for i, v in enumerate(gammas)], "algo string, gamma double")
-    sv = sv.join(F.broadcast(g), "algo").withColumnRenamed("algo", "member")
-    sc = score_multi_kernel(s, sv, row_cols=["id"]).drop("pred").join(s.select("id", "y"), "id")
-    thr = tune_threshold(sc, 1.5).select("threshold")
-    p = sc.crossJoin(F.broadcast(thr)).withColumn("pred", F.when(F.col("score") > F.col("threshold"), 1.0).otherwise(-1.0))
+    """K16 per user: five K12 members with gammas spread over [g/2, 2g] (g = .5), 30 shuffled epochs with class
+    weights, mean score, F-beta threshold per user (T13), then M2 counts over all users' training rows."""
+    from streamlearn.plans.protocols import multi_kernel
+    _, sc, thr = multi_kernel(FX.user_stream(spark, sf), gamma=KERNEL_GAMMA)
+    p = sc.join(thr.select("stream", "threshold"), "stream").withColumn("pred", F.when(F.col("score") >= F.col("threshold"), 1.0).otherwise(-1.0))
     return _r(M.confusion(p.withColumn("k", F.lit("multi_kernel")), ["k"]))
 
 

@@ -153,3 +153,134 @@ FROM (SELECT {ks}, n, list_reduce(seq, lambda a, e: {body}, {ini}) AS r FROM {sr
     return f"""WITH _src AS ({src_sql}),
 {init_cte}_seq AS (SELECT {ks}, count(*) AS n, list({elem} ORDER BY {order}) AS seq FROM _src GROUP BY {ks})
 {union}"""
+
+
+# ------------------------------------------------------------ kernel rules
+def _let(expr: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``expr`` (a one-element list stands in for LET)."""
+    return f"list_transform([{expr}], lambda {name}: {body})[1]"
+
+
+_EMPTY_ONE = ("kpa", "kperceptron")
+_SINGLE = ("kpa", "kperceptron", "kogc", "karow", "krda", "kscw", "kadarda")
+
+
+def _scw_sql(v: str, m: str, phi: float, C: float, eps: str) -> tuple[str, str]:
+    """alpha and beta of SCW-I, written out from the published closed form."""
+    z, h = 1.0 + phi * phi, 1.0 + phi * phi / 2.0
+    al = (f"least({C!r}::DOUBLE, greatest(0.0::DOUBLE, (-({m}) * {h!r} + sqrt(({m}) * ({m}) * {phi ** 4 / 4.0!r} + ({v}) * {phi * phi * z!r}))"
+          f" / (({v}) * {z!r} + {eps})))")
+    u = f"(-({al}) * ({v}) * {phi!r} + sqrt(({al}) * ({al}) * ({v}) * ({v}) * {phi * phi!r} + 4.0 * ({v}))) / 2.0"
+    return al, f"(({al}) * {phi!r} / (({u}) + ({v}) * ({al}) * {phi!r} + 1e-8))"
+
+
+def kernel_step_sql(name: str, d: int, params: dict) -> str:
+    """The fold body of one kernel rule.  ``a.v`` is the list of vectors {x, id, a, p, q}, bound below are
+    ``k`` (kernel values), ``f`` (score), ``t`` (row number), ``j`` (position of the row's own vector, 0 if none)."""
+    p = {k: v for k, v in params.items()}
+    gam = float(p.get("gamma", 1.0))
+    batch = name not in _SINGLE
+    dist = " + ".join(f"(s.x[{i}] - e.x[{i}]) * (s.x[{i}] - e.x[{i}])" for i in range(1, d + 1))
+    kern = f"list_transform(a.v, lambda s: exp({-gam!r} * ({dist})))"
+    idx = "range(1, len(a.v) + 1)"
+    empty = "1.0::DOUBLE" if name in _EMPTY_ONE else "0.0::DOUBLE"
+    score = f"(CASE WHEN len(a.v) = 0 THEN {empty} ELSE list_sum(list_transform({idx}, lambda i: k[i] * a.v[i].a)) END)"
+    var = f"(CASE WHEN len(a.v) = 0 THEN 1.0::DOUBLE ELSE list_sum(list_transform({idx}, lambda i: k[i] * k[i] * a.v[i].p)) + {'0.0' if batch else '1e-8'} END)"
+    own = "coalesce(list_position(list_transform(a.v, lambda s: s.id), e.id), 0)" if batch and name != "batch_kperceptron" else "0"
+    pred = "(CASE WHEN f > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)" if name == "batch_kogc" else "(CASE WHEN f >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
+    soft = lambda g, lam: f"(sign({g}) * greatest(abs({g}) - ({lam}), 0.0::DOUBLE))"
+    grad = "(CASE WHEN 1.0 - e.y * f > 0 THEN -e.y ELSE 0.0::DOUBLE END)"
+    mg, gg = "a.mg", "a.gg"
+    hit = touch = None                                  # a mistake is counted; an own vector changes
+    new, old = None, None                               # (alpha, p, q) of a new vector; of the own vector s
+    every = None                                        # p of all vectors s (with kernel k[i]) on a revisit
+    if name == "kpa":
+        hit, new = f"{pred} <> e.y", ("2.0 / (1.0 + 1e-8) * e.y", "1.0", "0.0")
+    elif name in ("kperceptron", "batch_kperceptron"):
+        hit, new = f"{pred} <> e.y", ("e.y", "1.0", "0.0")
+    elif name == "kogc":
+        hit, new = "e.y - sign(f) <> 0", ("(e.y - sign(f)) / (1.0 + 1e-8)", "1.0", "0.0")
+    elif name == "karow":
+        den = f"({var} + {float(p.get('r', 0.1))!r})"
+        hit, new = "1.0 - e.y * f > 0", (f"(1.0 - e.y * f) / {den} * e.y", f"1.0 / (1.0 + 1.0 / {den})", "0.0")
+    elif name in ("kscw", "batch_kscw"):
+        phi = NormalDist().inv_cdf(float(p.get("eta", 0.9))) if name == "kscw" else float(p.get("phi", 0.5))
+        al, be = _scw_sql("w", "e.y * f", phi, float(p.get("C", 1.0)), "1e-8")
+        hit = f"{phi!r} * sqrt({var}) - e.y * f > 0"
+        if name == "kscw":
+            new = (_let(var, "w", f"{al} * e.y"), _let(var, "w", f"1.0 / (1.0 + {be})"), "0.0")
+        else:
+            new, old = (_let(var, "w", f"{al} * e.y"), "1.0", "0.0"), (f"s.a + {_let(var, 'w', f'{al} * e.y')}", None, "s.q")
+            every = _let(var, "w", be)
+    elif name in ("krda", "kadarda"):
+        mg = f"(((t - 1)::DOUBLE / t) * a.mg + (1.0 / t) * {grad})"
+        gg = f"(a.gg + {grad} * {grad})"
+        lam = float(p.get("lam", 0.01))
+        if name == "krda":
+            c = f"(-(sqrt(t::DOUBLE) / {float(p.get('rda_gamma', 1.0))!r}) * {soft(mg, repr(lam))})"
+        else:
+            c = (f"(CASE WHEN abs({mg}) > {lam!r} THEN -sign({mg}) * {float(p.get('eta', 1.0))!r} * t / ({float(p.get('delta', 1.0))!r} + sqrt({gg}) + 1e-8) "
+                 "ELSE 0.0::DOUBLE END)")
+        hit, new = f"{c} <> 0", (f"{c} * e.y", "1.0", "0.0")
+    elif name == "batch_kpa":
+        tau = f"least({float(p.get('C', 1.0))!r}, (1.0 - e.y * f) / (1.0 + 1e-8)) * e.y"
+        hit, new, old = "1.0 - e.y * f > 0", (tau, "1.0", "0.0"), (f"s.a + {tau}", "s.p", "s.q")
+    elif name == "batch_karow":
+        beta = f"(1.0 / ({var} + {float(p.get('r', 1.0))!r}))"
+        al = f"(1.0 - e.y * f) * {beta} * e.y"
+        hit, new, old, every = "1.0 - e.y * f > 0", (al, "1.0", "0.0"), (f"s.a + {al}", None, "s.q"), beta
+    elif name == "batch_kogc":
+        st = "2.0 * e.wt * e.y"
+        hit, new, old = f"{pred} <> e.y", (st, "1.0", "0.0"), (f"s.a + {st}", "s.p", "s.q")
+    else:                                               # p: sum of gradients, q: visits or sum of squares
+        g = "(CASE WHEN e.y * f < 1.0 THEN -e.y * e.wt ELSE 0.0::DOUBLE END)" if name == "batch_kgradient" else grad
+        more = {"batch_kgradient": "1.0", "batch_krda": "0.0", "batch_kadarda": f"{g} * {g}"}[name]
+        lam = float(p.get("lam", 0.01))
+
+        def value(tot, ext):
+            if name == "batch_kgradient":
+                return f"(-sqrt({ext}) * (({tot}) / ({ext})))"
+            if name == "batch_krda":
+                return f"(-(sqrt(t::DOUBLE) / {float(p.get('rda_gamma', 1.0))!r}) * {soft(f'(({tot}) / t)', repr(lam))})"
+            h = f"({float(p.get('delta', 1.0))!r} + sqrt({ext}))"
+            return f"(-({soft(f'({tot})', f'{lam!r} * {h}')}) / {h})"
+        hit, touch = f"{g} <> 0", "true"
+        new, old = (value(g, more), g, more), (value(f"(s.p + {g})", f"(s.q + {more})"), f"(s.p + {g})", f"(s.q + {more})")
+    touch = touch or hit
+    st = lambda al, pp, qq: f"{{'x': s.x, 'id': s.id, 'a': ({al})::DOUBLE, 'p': ({pp})::DOUBLE, 'q': ({qq})::DOUBLE}}"
+    made = f"list_append(a.v, {{'x': e.x, 'id': e.id, 'a': ({new[0]})::DOUBLE, 'p': ({new[1]})::DOUBLE, 'q': ({new[2]})::DOUBLE}})"
+    if old:
+        pick = lambda body: f"list_transform({idx}, lambda i: list_transform([a.v[i]], lambda s: {body})[1])"
+        if every:
+            shrunk = f"greatest(s.p - z * (s.p * k[i]) * (s.p * k[i]), 1e-10)"
+            changed = _let(every, "z", pick(f"CASE WHEN i = j THEN {st(old[0], shrunk, old[2])} ELSE {st('s.a', shrunk, 's.q')} END"))
+        else:
+            changed = pick(f"CASE WHEN i = j THEN {st(*old)} ELSE s END")
+        vecs = f"CASE WHEN j > 0 AND ({touch}) THEN {changed} WHEN j = 0 AND ({hit}) THEN {made} ELSE a.v END"
+    else:
+        vecs = f"CASE WHEN {hit} THEN {made} ELSE a.v END"
+    one = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+    body = (f"{{'v': {vecs}, 'mg': ({mg})::DOUBLE, 'gg': ({gg})::DOUBLE, 't': t, 'm': a.m + {one(hit)}, "
+            f"'tp': a.tp + {one(f'e.y > 0 AND {pred} > 0')}, 'fp': a.fp + {one(f'e.y < 0 AND {pred} > 0')}, "
+            f"'tn': a.tn + {one(f'e.y < 0 AND {pred} < 0')}, 'fn': a.fn + {one(f'e.y > 0 AND {pred} < 0')}, "
+            "'x': e.x, 'y': e.y, 'id': e.id, 'wt': e.wt}")
+    return _let(kern, "k", _let(score, "f", _let("a.t + 1", "t", _let(own, "j", body))))
+
+
+def kernel_fold_sql(src_sql: str, learners, d: int, order: str = "ts, id, x, y", raw: bool = False) -> str:
+    """Final kernel model per (stream, algo): n, mistakes, n_sv, sum_alpha, abs_alpha and the running counts;
+    with ``raw`` the list of vectors ``v`` instead.  The source has stream, x, y, id and wt."""
+    none = "[]::STRUCT(x DOUBLE[], id BIGINT, a DOUBLE, p DOUBLE, q DOUBLE)[]"
+    cell = lambda x, y, i, w: (f"{{'v': {none}, 'mg': 0.0::DOUBLE, 'gg': 0.0::DOUBLE, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
+                               f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': {x}, 'y': {y}, 'id': {i}, 'wt': {w}}}")
+    zero = cell("[" + ", ".join(["0.0::DOUBLE"] * d) + "]", "0.0::DOUBLE", "0::BIGINT", "1.0::DOUBLE")
+    elem = cell("x", "y", "id", "wt")
+    total = lambda e: rnd(f"coalesce(list_sum(list_transform(r.v, lambda s: {e})), 0.0)")
+    cols = "r.v AS v" if raw else f"r.m AS mistakes, len(r.v)::BIGINT AS n_sv, {total('s.a')} AS sum_alpha, {total('abs(s.a)')} AS abs_alpha, r.tp AS tp, r.fp AS fp, r.tn AS tn, r.fn AS fn"
+    parts = [f"""SELECT stream, '{label}' AS algo, n, {cols}
+FROM (SELECT stream, n, list_reduce(seq, lambda a, e: {kernel_step_sql(name, d, dict(params))}, {zero}) AS r FROM _seq)"""
+             for label, name, params in learners]
+    union = "\nUNION ALL\n".join(parts)
+    return f"""WITH _src AS ({src_sql}),
+_seq AS (SELECT stream, count(*) AS n, list({elem} ORDER BY {order}) AS seq FROM _src GROUP BY stream)
+{union}"""

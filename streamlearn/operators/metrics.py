@@ -181,7 +181,7 @@ def selection_metric(name: str) -> Column:
         p, r = _div(tp, tp + fp), _div(tp, tp + fn)
         return _f1(p, r)
     if name == "fnr_min":
-        return -_div(fn, fn + tp)
+        return 1.0 - _div(fn, fn + tp)
     if name == "accuracy":
         return _div(tp + tn, tp + tn + fp + fn)
     raise ValueError(f"unknown selection metric {name!r}")

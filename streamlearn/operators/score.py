@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlearn.functions.labels import sign_pred
-from streamlearn.functions.vectors import dot, sq_norm
+from streamlearn.functions.vectors import dot
 
 
 def score_linear(df: DataFrame, models: DataFrame, on: Sequence[str] = (), tie: float = 1.0,
@@ -36,49 +38,66 @@ def score_linear(df: DataFrame, models: DataFrame, on: Sequence[str] = (), tie:
     return j.withColumn("pred", F.when(F.col("score") > threshold, 1.0).otherwise(-1.0))
 
 
-def rbf(a: str, b: str, gamma) -> "F.Column":
-    """exp(-gamma * max(0, ||a||^2 + ||b||^2 - 2 a.b))."""
-    g = F.lit(gamma) if not hasattr(gamma, "alias") else gamma
-    d2 = sq_norm(a) + sq_norm(b) - 2.0 * dot(a, b)
-    return F.exp(-g * F.greatest(d2, F.lit(0.0)))
+def score_kernel(df: DataFrame, svs: DataFrame, gamma: float | str = 1.0, block: int = 20_000) -> DataFrame:
+    """f(x) = sum_j alpha_j exp(-gamma ||x - sv_j||^2) on every row; pred = +1 if f >= 0 (no vector: 0).
 
+    ``svs`` has ``x`` and ``alpha``; ``gamma`` is a number or a column of ``svs``.  Rows keep their columns.
+    The vectors are taken in blocks of at most about ``block`` rows; a block is one pass over the rows, a
+    matrix product per Arrow batch that adds to the score.  No pair of row and vector becomes a row.
+    """
+    g = F.col(gamma) if isinstance(gamma, str) else F.lit(float(gamma))
+    sv = svs.select(F.col("x").alias("v"), F.col("alpha").cast("double").alias("a"), g.cast("double").alias("g"))
+    blocks = max(1, -(-sv.count() // block))
+    part = F.pmod(F.xxhash64("v"), F.lit(blocks))
+    out = df.withColumn("score", F.lit(0.0))
+    for b in range(blocks):
+        rows = sorted((list(r["v"]), r["a"], r["g"]) for r in sv.filter(part == b).collect())    # at most about `block` vectors
+        if rows:
+            out = _add_kernel_block(out, rows)
+    return out.withColumn("pred", F.when(F.col("score") >= 0, 1.0).otherwise(-1.0))
+
+
+def _add_kernel_block(df: DataFrame, rows) -> DataFrame:
+    v, a, g = (np.array(c, dtype=np.float64) for c in zip(*rows))
+    norms = (v * v).sum(1)
+
+    def run(batches):
+        for b in batches:
+            x, k = b.column(b.schema.get_field_index("x")), b.schema.get_field_index("score")
+            score = b.column(k).to_numpy(zero_copy_only=False).copy()
+            m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            for i in range(0, len(m), 1024):
+                p = m[i:i + 1024]
+                d = np.maximum((p * p).sum(1)[:, None] + norms - 2.0 * (p @ v.T), 0.0)
+                score[i:i + 1024] += np.exp(-g * d) @ a
+            yield b.set_column(k, "score", pa.array(score))
+    return df.mapInArrow(run, df.schema)
 
-def score_kernel(df: DataFrame, svs: DataFrame, gamma: float | str = 1.0, keys: Sequence[str] = (),
-                 row_id: str = "id", max_sv_rows: int | None = 100_000) -> DataFrame:
-    """f(x) = sum_j alpha_j k(x, sv_j); pred = +1 if f >= 0 (no SV -> 0).
 
-    The support-vector table is bounded by the learner's budget (max_sv per
-    key), so it is broadcast and each row meets at most max_sv vectors; with
-    ``keys`` it is joined on the key instead.  ``gamma`` may be a column name
-    of ``svs`` (per-config bandwidth).
+def score_kernel_keyed(df: DataFrame, models: DataFrame, configs, keys: Sequence[str] = ("stream",)) -> DataFrame:
+    """C3 with a model per key and configuration: rows meet the model of their key in a fold that does not learn.
+
+    The model rows travel in front of the key's rows, so memory is one key's models however many rows it has.
     """
-    sv = svs.select(*keys, *[c for c in svs.columns if c not in keys]).withColumnRenamed("x", "sv_x")
-    if max_sv_rows is not None and not keys:
-        n = sv.count()   # a scalar size check before broadcasting
-        if n > max_sv_rows:
-            raise ValueError(f"support-vector table has {n} rows > {max_sv_rows}; pass keys to join")
-    sv_cols = [c for c in sv.columns if c not in keys]
-    if keys:
-        j = df.join(sv, list(keys), "left")
-    else:
-        j = df.join(F.broadcast(sv), F.lit(True), "left")   # bounded SV side
-    gcol = F.col(gamma) if isinstance(gamma, str) else F.lit(float(gamma))
-    k = F.when(F.col("sv_x").isNull(), 0.0).otherwise(F.col("alpha") * rbf("x", "sv_x", gcol))
-    extra = [c for c in sv_cols if c not in ("sv_x", "alpha", "sv_id") and (not isinstance(gamma, str) or c != gamma)]
-    carry = [c for c in df.columns if c not in keys and c != row_id]
-    out = j.withColumn("_k", k).groupBy(*keys, *extra, row_id).agg(
-        F.sum("_k").alias("score"), *[F.first(c).alias(c) for c in carry])
-    return out.withColumn("pred", F.when(F.col("score") >= 0, 1.0).otherwise(-1.0))
+    from streamlearn.plans.fold import fold_predictions
+    from streamlearn.plans.learners import LearnerConfig
+    still = [LearnerConfig.of(c.label, c.name, **dict(c.params, frozen=True)) for c in configs]
+    return fold_predictions(df, still, list(keys), init=models, init_only=True)
+
+
+def ensemble_mean(scores: DataFrame, keys: Sequence[str] = ("stream",), threshold: float = 0.0,
+                  carry: Sequence[str] = ("y",)) -> DataFrame:
+    """C4: mean of the members' scores of each row, +1 at the threshold or above."""
+    m = scores.groupBy(*keys, "id").agg(F.avg("score").alias("score"), *[F.first(c).alias(c) for c in carry])
+    return m.withColumn("pred", F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0))
 
 
 def score_multi_kernel(df: DataFrame, svs: DataFrame, member: str = "member", gamma: str = "gamma",
-                       threshold: float = 0.0, row_cols: Sequence[str] | None = None) -> DataFrame:
-    """C4: ensemble mean of per-member kernel scores, then a threshold."""
-    per = score_kernel(df, svs, gamma=gamma, max_sv_rows=None)
-    cols = list(row_cols or ["id"])
-    n_members = svs.select(member).distinct().count()      # scalar
-    m = per.groupBy(*cols).agg((F.sum("score") / F.lit(float(n_members))).alias("score"))
-    return m.withColumn("pred", F.when(F.col("score") > threshold, 1.0).otherwise(-1.0))
+                       threshold: float = 0.0) -> DataFrame:
+    """C4 for members without keys: the mean of their scores is one sum with alphas divided by their number."""
+    n = svs.select(member).distinct().count()
+    out = score_kernel(df, svs.withColumn("alpha", F.col("alpha") / F.lit(float(max(n, 1)))), gamma=gamma)
+    return out.withColumn("pred", F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0))
 
 
 def explain(df: DataFrame, models: DataFrame, on: Sequence[str] = (), k: int = 3,

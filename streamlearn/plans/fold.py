@@ -18,7 +18,11 @@ configurations spread over tasks.  A single stream is sequential by
 definition; ``plans.protocols.fit_mixed`` is the parallel alternative.
 
 Warm starts: an ``init`` DataFrame (keys, algo, w, sigma, g, g1t, b, t) is
-unioned in as marker rows sorted before the key's data rows.
+unioned in as marker rows sorted before the key's data rows.  With
+``init_only`` a key runs just the configurations that have an init row.
+
+Kernel rules also get the row's id and, where the input has a column ``wt``,
+its weight.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
     return to_arrow_type(dt)
 
 
-def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out_fields, has_init):
+def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out_fields, has_init, init_only, has_weight):
     # in split mode the fold key ends with "algo", which is emitted once, as algo
     out_keys = key_names[:-1] if split else key_names
     cfg_by_label = {c.label: c for c in configs}
@@ -97,6 +101,8 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                 counts[c.label] = [0, 0, 0, 0]
             ms = []
             for c in sel:
+                if init_only and c.label not in inits:
+                    continue
                 L = c.make(d)
                 if c.label in inits:
                     L.load(inits[c.label])
@@ -108,6 +114,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
             keys = [cols[k] for k in key_names]
             xs, ys, ids, tss = cols["x"], cols["y"], cols["id"], cols["ts"]
             kinds = cols["_k"] if has_init else None
+            weights = cols["wt"] if has_weight else None
             passes = [cols[n] for n in pass_names]
             for i in range(rb.num_rows):
                 key = tuple(kc[i] for kc in keys)
@@ -124,7 +131,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                 if models is None:
                     models = start(key, len(x))
                 for label, L in models:
-                    p, s = L.step(x, y)
+                    p, s = L.step_row(x, y, ids[i], weights[i] if has_weight else 1.0) if L.rowwise else L.step(x, y)
                     # running M2 counts (-1 negative, anything else positive)
                     counts[label][(0 if p != -1.0 else 3) if y != -1.0 else (1 if p != -1.0 else 2)] += 1
                     if emit_preds:
@@ -157,11 +164,12 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
 
 def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), order=DEFAULT_ORDER,
           init: DataFrame | None = None, emit_preds=True, emit_models=False,
-          split_configs=False, passthrough: Sequence[str] = ()) -> DataFrame:
+          split_configs=False, passthrough: Sequence[str] = (), init_only=False) -> DataFrame:
     configs = list(configs)
     keys, order, passthrough = list(keys), list(order), list(passthrough)
     spark = df.sparkSession
-    base_cols = list(dict.fromkeys(keys + ["ts", "id", "x", "y"] + [c for c in order if c not in ("ts", "id", "x", "y")] + passthrough))
+    base_cols = list(dict.fromkeys(keys + ["ts", "id", "x", "y"] + [c for c in order if c not in ("ts", "id", "x", "y")] + passthrough
+                                  + (["wt"] if "wt" in df.columns else [])))
     data = df.select(*base_cols)
     fold_keys = keys
     if split_configs:
@@ -194,7 +202,7 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
     if emit_models:
         out_fields += MODEL_FIELDS
     fn = _fold_fn(configs, fold_keys, passthrough, emit_preds, emit_models, split_configs,
-                  out_fields, has_init)
+                  out_fields, has_init, init_only and has_init, "wt" in df.columns)
     out = data.mapInArrow(fn, T.StructType(out_fields))
     if emit_preds:
         out = out.withColumn("ts", F.timestamp_micros("ts").cast(ts_type))
@@ -203,17 +211,17 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
 
 def fold_predictions(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
                      order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False,
-                     passthrough: Sequence[str] = ()) -> DataFrame:
+                     passthrough: Sequence[str] = (), init_only=False) -> DataFrame:
     """One prequential prediction per (row, config): keys, algo, id, ts, y, pred, score, pos."""
-    out = _fold(df, configs, keys, order, init, True, False, split_configs, passthrough)
+    out = _fold(df, configs, keys, order, init, True, False, split_configs, passthrough, init_only)
     return out.drop("_kind")
 
 
 def fold_models(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
-                order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False) -> DataFrame:
+                order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False, init_only=False) -> DataFrame:
     """The final model per (key, config): keys, algo, n, mistakes, w, sigma, g, g1t, b, t,
     plus the prequential M2 counts tp, fp, tn, fn of the pass."""
-    out = _fold(df, configs, keys, order, init, False, True, split_configs)
+    out = _fold(df, configs, keys, order, init, False, True, split_configs, init_only=init_only)
     return out.drop("_kind")
 
 

@@ -42,44 +42,77 @@ def fit_epochs(train: DataFrame, val: DataFrame, configs: Sequence[LearnerConfig
     state (t keeps counting).  The validation score (``metric``: f1, recall,
     fnr_min, accuracy) of each epoch's model is compared with the best so far;
     a strict improvement keeps that model, otherwise a miss is counted, and a
-    key stops after ``patience`` misses.  With one epoch the rows are folded
-    in time order.  Returns the best model per (key, config) with ``epoch``.
+    (key, config) stops after ``patience`` misses: later epochs neither fold nor
+    compare it, so its result does not depend on other configurations.  With one
+    epoch the rows are folded in time order.  Returns the best model per (key,
+    config) with ``epoch``.  Each epoch folds once; its model table is written
+    to the checkpoint folder before it is scored.
     """
     keys = list(keys)
-    state = None
-    best = None
+    best = state = None
     for e in range(max_epochs):
         if max_epochs > 1:
-            d = train.withColumn("_o", hash32("id", seed + e))
-            o = ["_o", "id", "x", "y"]
+            d, o = train.withColumn("_o", hash32("id", seed + e)), ["_o", "id", "x", "y"]
         else:
             d, o = train, list(order)
-        if best is not None:   # only keys still running
+        if best is not None:
             live = best.filter(F.col("misses") < patience).select(*keys, "algo")
-            d = d.join(live.select(*keys).distinct(), keys, "left_semi")
             state = state.join(live, [*keys, "algo"], "left_semi")
-        m = fold_models(d, configs, keys, o, init=state)
-        sc = _val_scores(val, m, keys, metric)
-        cur = m.join(sc, [*keys, "algo"], "left").withColumn("val_score", F.coalesce("val_score", F.lit(0.0))) \
-               .withColumn("epoch", F.lit(e))
-        cur = reliable_checkpoint(cur)
-        state = cur.select(*keys, "algo", *STATE_COLS)
+            d = d.join(live.select(*keys).distinct(), keys, "left_semi")
+        m = reliable_checkpoint(fold_models(d, configs, keys, o, init=state, init_only=True))
+        cur = (m.join(_val_scores(val, m, keys, metric), [*keys, "algo"], "left")
+                .withColumn("val_score", F.coalesce("val_score", F.lit(0.0))).withColumn("epoch", F.lit(e)))
+        state = m.select(*keys, "algo", *STATE_COLS)
         if best is None:
-            best = cur.withColumn("misses", F.lit(0))
+            best = reliable_checkpoint(cur.withColumn("misses", F.lit(0)))
         else:
             b = best.alias("b").join(cur.alias("c"), [*keys, "algo"], "left")
-            better = F.col("c.val_score").isNotNull() & (F.col("c.val_score") > F.col("b.val_score"))
+            ran = F.col("c.epoch").isNotNull()
+            better = ran & (F.col("c.val_score") > F.col("b.val_score"))
             cols = [c for c in cur.columns if c not in keys and c != "algo"]
-            best = b.select(*keys, "algo",
-                            *[F.when(better, F.col(f"c.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cols],
-                            F.when(better, F.lit(0)).when(F.col("c.val_score").isNull(), F.col("b.misses"))
-                            .otherwise(F.col("b.misses") + 1).alias("misses"))
-            best = reliable_checkpoint(best)
-        if max_epochs == 1 or best.filter(F.col("misses") < patience).limit(1).count() == 0:
+            best = reliable_checkpoint(b.select(
+                *keys, "algo", *[F.when(better, F.col(f"c.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cols],
+                F.when(better, F.lit(0)).when(ran, F.col("b.misses") + 1).otherwise(F.col("b.misses")).alias("misses")))
+        if max_epochs == 1 or best.filter(F.col("misses") < patience).isEmpty():
             break
     return best
 
 
+def with_class_weights(df: DataFrame, keys=("stream",)) -> DataFrame:
+    """A6 on rows: ``wt`` = n / (2 n_class) within the key (1 where the other class is empty does not arise: the row's own class has a row)."""
+    c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("_p"))
+    w = F.col("_n") / (2.0 * F.when(F.col("y") > 0, F.col("_p")).otherwise(F.col("_n") - F.col("_p")))
+    return df.join(c, list(keys)).withColumn("wt", w).drop("_n", "_p")
+
+
+def kernel_epochs(df: DataFrame, configs: Sequence[LearnerConfig], epochs: int = 3, keys=("stream",),
+                  shuffle: bool = False, seed: int = 42, order=DEFAULT_ORDER) -> DataFrame:
+    """``epochs`` passes of a batch kernel rule in one fold; the epoch leads the order of the rows.
+
+    ``shuffle`` orders each epoch by hash(seed + epoch, id) (R9); otherwise every epoch is in time order.
+    """
+    d = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if shuffle:
+        # hash32 takes a fixed seed, so each epoch's key is its own expression
+        key = F.coalesce(*[F.when(F.col("epoch") == e, hash32("id", seed + e)) for e in range(epochs)])
+        d, order = d.withColumn("_o", key), ["_o", "id", "x", "y"]
+    return fold_models(d, configs, keys, ["epoch", *order])
+
+
+def multi_kernel(df: DataFrame, gamma: float = 0.1, members: int = 5, spread: float = 2.0, epochs: int = 30,
+                 beta: float = 1.5, max_sv: int = 1000, keys=("stream",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members are K12 rules with gammas spread geometrically over [gamma/spread, gamma*spread], trained for
+    ``epochs`` shuffled passes with class weights; scores are averaged (C4) and the F-beta threshold tuned per key (T13).
+
+    Returns (models, mean scores of the training rows, thresholds)."""
+    from streamlearn.operators.score import ensemble_mean, score_kernel_keyed
+    steps = [0.0] if members == 1 else [2.0 * i / (members - 1) - 1.0 for i in range(members)]
+    cfg = [LearnerConfig.of(f"member{i}", "batch_kogc", gamma=gamma * spread ** e, max_sv=max_sv) for i, e in enumerate(steps)]
+    models = reliable_checkpoint(kernel_epochs(with_class_weights(df, keys), cfg, epochs, keys, shuffle=True))
+    scores = reliable_checkpoint(ensemble_mean(score_kernel_keyed(df, models, cfg, keys), keys))
+    return models, scores, tune_threshold(scores, beta, list(keys))
+
+
 def continue_online(df: DataFrame, models: DataFrame, configs, keys=("stream",), order=DEFAULT_ORDER) -> DataFrame:
     """Warm-start pass over new rows: ``w`` (and bias) carried over, every
     other state part reset (confidence 1, gradients 0, t 0)."""
@@ -117,8 +150,9 @@ def best_of_shuffles(train: DataFrame, val: DataFrame, configs, k: int = 10, key
     shuffle on a tie)."""
     spark = train.sparkSession
     sh = spark.range(k).select(F.col("id").cast("int").alias("shuffle"))
-    d = train.crossJoin(F.broadcast(sh)).withColumn("_o", hash32("id", seed) .bitwiseXOR(hash32(F.col("shuffle"), seed + 7)))
-    m = fold_models(d, configs, [*keys, "shuffle"], ["_o", "id", "x", "y"])
+    # the shuffle's own mix enters before the rounds of the hash, so the orders are unrelated
+    d = train.crossJoin(F.broadcast(sh)).withColumn("_o", hash32(F.col("id").bitwiseXOR(hash32("shuffle", seed + 7)), seed))
+    m = reliable_checkpoint(fold_models(d, configs, [*keys, "shuffle"], ["_o", "id", "x", "y"]))
     sc = _val_scores(val.crossJoin(F.broadcast(sh)), m, [*keys, "shuffle"], metric)
     j = m.join(sc, [*keys, "shuffle", "algo"])
     w = Window.partitionBy(*keys, "algo").orderBy(F.desc("val_score"), F.col("shuffle"))
@@ -129,11 +163,12 @@ def average_models(models: DataFrame, by: Sequence[str] = ("algo",)) -> DataFram
     """Consensus model = coordinate-wise mean of weights (and bias) over
     keys.  Exploded coordinates are aggregated with partial aggregation; the
     result has one row per ``by`` group with a d-length array."""
-    e = models.select(*by, F.posexplode("w").alias("_p", "_w"))
-    a = e.groupBy(*by, "_p").agg(F.avg("_w").alias("_w"))
-    arr = a.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", "_w"))).alias("_a"))
-    b = models.groupBy(*by).agg(F.avg(F.coalesce("b", F.lit(0.0))).alias("b"), F.count(F.lit(1)).alias("n_models"))
-    return arr.join(b, list(by)).select(*by, F.transform("_a", lambda s: s["_w"]).alias("w"), "b", "n_models")
+    # the bias travels as a last coordinate, so the models are read once
+    e = models.select(*by, F.posexplode(F.concat("w", F.array(F.coalesce("b", F.lit(0.0))))).alias("_p", "_w"))
+    a = e.groupBy(*by, "_p").agg(F.avg("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    arr = a.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", "_w"))).alias("_a"), F.max("_n").alias("n_models"))
+    all_ = F.transform("_a", lambda s: s["_w"])
+    return arr.select(*by, F.slice(all_, F.lit(1), F.size("_a") - 1).alias("w"), F.element_at(all_, -1).alias("b"), "n_models")
 
 
 def adapt_per_entity(df: DataFrame, w0: DataFrame, configs, keys=("stream",), order=DEFAULT_ORDER) -> DataFrame:
@@ -147,21 +182,51 @@ def adapt_per_entity(df: DataFrame, w0: DataFrame, configs, keys=("stream",), or
     return fold_predictions(df, configs, keys, order, init=init)
 
 
+def exact_percentiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float]:
+    """Linearly interpolated percentiles of a whole column without gathering it: distinct values are counted,
+    range-sorted and numbered, and only the (at most two per share) values around each position are fetched."""
+    counts = reliable_checkpoint(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                                 .repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()))
+    sizes = sorted((r["p"], r["s"]) for r in counts.groupBy("p").agg(F.sum("n").alias("s")).collect())     # one number a partition
+    total = sum(n for _, n in sizes)
+    if not total:
+        return []
+    at = [q * (total - 1) for q in shares]
+    need = sorted({int(a) for a in at} | {min(int(a) + 1, total - 1) for a in at})
+    starts, done = [], 0
+    for p, n in sizes:
+        starts.append((p, done))
+        done += n
+    local = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = df.sparkSession.createDataFrame(starts, "p int, o long")
+    upto = (counts.join(F.broadcast(table), "p").withColumn("last", F.col("o") + F.sum("n").over(local) - 1)
+                  .withColumn("first", F.col("last") - F.col("n") + 1))
+    wanted = F.array(*[F.lit(i).cast("long") for i in need])
+    hits = upto.withColumn("i", F.explode(F.filter(wanted, lambda i: (i >= F.col("first")) & (i <= F.col("last")))))
+    value = {r["i"]: r["v"] for r in hits.select("i", "v").collect()}
+    return [value[int(a)] + (a - int(a)) * (value[min(int(a) + 1, total - 1)] - value[int(a)]) for a in at]
+
+
 def tune_threshold(train_scores: DataFrame, beta: float = 1.5, g: Sequence[str] = (), score: str = "score",
                    y: str = "y") -> DataFrame:
-    """candidates = exact percentiles 1..99 of the training scores; the one
-    maximising F-beta (1e-9 in denominators, strict >, so the first best wins).
+    """candidates = exact percentiles 1..99 of the training scores; rows at or above a candidate are
+    predicted +1; the one maximising F-beta wins (1e-9 in denominators, strict >, so the first best).
 
-    No cross join over rows: each row finds how many of the 99 sorted
-    candidates lie below its score (an array filter), rows are counted per
-    (group, bucket), and each of the <= 100 bucket rows adds its counts to the
-    candidates it exceeds (a bounded explode of aggregated rows).
+    Each row finds how many of the 99 sorted candidates it reaches (an array filter), rows are counted per
+    (group, bucket), and each of the <= 100 bucket rows adds its counts to the candidates it reaches.
+    Without groups the candidates come from ``exact_percentiles``; with groups from one aggregate per group,
+    joined on the group.
     """
     g = list(g)
     pcts = [i / 100.0 for i in range(1, 100)]
-    cand = train_scores.groupBy(*g).agg(F.percentile(score, pcts).alias("_thr"))
-    j = train_scores.join(F.broadcast(cand), g) if g else train_scores.crossJoin(F.broadcast(cand))
-    j = j.withColumn("_b", F.size(F.filter("_thr", lambda t: t < F.col(score))))
+    if g:
+        cand = train_scores.groupBy(*g).agg(F.percentile(score, pcts).alias("_thr"))
+        j = train_scores.join(cand, g)
+    else:
+        thr = exact_percentiles(train_scores, score, pcts)
+        cand = train_scores.sparkSession.createDataFrame([(thr,)] if thr else [], "_thr array<double>")
+        j = train_scores.withColumn("_thr", F.array(*[F.lit(t) for t in thr]).cast("array<double>"))
+    j = j.withColumn("_b", F.size(F.filter("_thr", lambda t: t <= F.col(score))))
     c = j.groupBy(*g, "_b").agg(F.sum(F.when(F.col(y) > 0, 1).otherwise(0)).alias("_pos"),
                                 F.sum(F.when(F.col(y) > 0, 0).otherwise(1)).alias("_neg"))
     tot = c.groupBy(*g).agg(F.sum("_pos").alias("_P"))
@@ -198,8 +263,7 @@ def fit_mixed(df: DataFrame, configs, shards: int = 4, epochs: int = 1, keys=("s
         if state is not None:
             sh = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
             init = state.crossJoin(F.broadcast(sh))
-        m = fold_models(d, configs, [*keys, "shard"], order, init=init)
-        avg = average_models(m, by=[*keys, "algo"])
+        avg = average_models(fold_models(d, configs, [*keys, "shard"], order, init=init), by=[*keys, "algo"])
         state = reliable_checkpoint(avg.select(*keys, "algo", "w", F.lit(None).cast("array<double>").alias("sigma"),
                                                F.lit(None).cast("array<double>").alias("g"),
                                                F.lit(None).cast("array<double>").alias("g1t"), "b",
