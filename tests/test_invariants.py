@@ -86,16 +86,58 @@ def test_vote_weights_sum_to_one(spark):
 def test_threshold_tuning_matches_bruteforce(spark):
     import numpy as np
     from streamlearn.plans.protocols import tune_threshold
-    s = FX.user_stream(spark, SF_SMALL).withColumn("score", F.col("x")[0] - F.col("x")[1])
+    s = FX.user_stream(spark, SF_SMALL).withColumn("score", F.floor(F.col("x")[0] * 4) - F.col("x")[1])   # many ties
     best = tune_threshold(s, 1.5).first()
     pdf = s.select("score", "y").toPandas()
     thr = np.percentile(pdf.score, range(1, 100))
     bestf, bestk = -1, None
     for k, t in enumerate(thr, 1):
-        pr = pdf.score > t
+        pr = pdf.score >= t
         tp = int((pr & (pdf.y > 0)).sum()); fp = int((pr & (pdf.y <= 0)).sum()); fn = int((~pr & (pdf.y > 0)).sum())
         p, r = tp / (tp + fp + 1e-9), tp / (tp + fn + 1e-9)
         f = (1 + 2.25) * p * r / (2.25 * p + r + 1e-9)
         if f > bestf:
             bestf, bestk = f, k
     assert best.k == bestk and best.fbeta == pytest.approx(bestf)
+
+
+def test_percentiles_of_a_column_with_ties(spark):
+    import numpy as np
+    from streamlearn.plans.protocols import exact_percentiles
+    v = [3.0] * 70 + [float(i % 7) for i in range(60)] + [None]
+    df = spark.createDataFrame([(x,) for x in v], "score double").repartition(3)
+    shares = [i / 100 for i in range(1, 100)]
+    assert exact_percentiles(df, "score", shares) == pytest.approx(np.percentile([x for x in v if x is not None], range(1, 100)).tolist())
+    assert exact_percentiles(df.limit(0), "score", shares) == []
+
+
+def test_epochs_of_a_configuration_do_not_depend_on_the_others(spark):
+    from streamlearn.plans.protocols import fit_epochs
+    s = FX.user_stream(spark, SF_SMALL)
+    t = R.temporal_split(s, 0.8, keys=["stream"]).drop("idx")
+    tr, te = t.filter("part='train'").drop("part"), t.filter("part='test'").drop("part")
+    alone = LearnerConfig.of("Perceptron", "perceptron")
+    others = [alone, LearnerConfig.of("OGC", "ogc"), LearnerConfig.of("AROW", "arow", r=0.1)]
+    pick = lambda df: {r.stream: (r.epoch, r.val_score, r.misses, list(r.w)) for r in df.filter("algo = 'Perceptron'").collect()}
+    assert pick(fit_epochs(tr, te, [alone], max_epochs=4, patience=1)) == pick(fit_epochs(tr, te, others, max_epochs=4, patience=1))
+
+
+def test_shuffles_are_unrelated(spark):
+    """Adjacent rows of one shuffle are rarely adjacent in the next."""
+    from streamlearn.functions.hashing import hash32
+    df = spark.range(2000)
+    order = lambda k: [r.id for r in df.orderBy(hash32(F.col("id").bitwiseXOR(hash32(F.lit(k), 49)), 42)).collect()]
+    a, b = order(0), order(1)
+    pairs = lambda o: {frozenset(p) for p in zip(o, o[1:])}
+    assert len(pairs(a) & pairs(b)) < 20
+
+
+def test_fold_runs_once_per_query(spark):
+    """The plan that scores or averages models holds one Arrow fold for each distinct fold."""
+    from streamlearn.plans import protocols as T
+    s = FX.user_stream(spark, SF_SMALL)
+    cfg = [LearnerConfig.of("P", "perceptron")]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert plan(T.average_models(fold_models(s, cfg))) == 1
+    assert plan(T.best_of_shuffles(s, s, cfg, k=2)) == 0          # the model table was written before it is scored
+    assert plan(T.fit_epochs(s, s, cfg, max_epochs=2, patience=1)) == 0
