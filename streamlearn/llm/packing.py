@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import bisect
 import dataclasses
+import functools
+import struct
 import zlib
 
 import numpy as np
@@ -43,34 +45,91 @@ END_ID = 0
 #: Pieces over this length are grouped and packed by configurations.
 SMALL = CAPACITY // 3
 GROUPS = 320
-#: Chunks whose ids a task remembers.
-CACHE = 300_000
+#: Chunks whose ids a worker remembers (about 200 bytes each); bytes of text it takes at once.
+CACHE, SLICE = 1_000_000, 1_000_000
+#: Signs of which a run is one pre-token (an apostrophe may begin one of another kind).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 # ------------------------------------------------------------------- tokens
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Chunks(dict):
+    """Ids (little-endian unsigned 32-bit) of lower-case Latin-1 chunks without blanks, learnt when first asked for.
+
+    A chunk of letters, of marks, or of letters and then marks is made of one or two
+    pre-tokens, which go to the vocabulary's model directly; others are encoded whole.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+
+    def _pre_token(self, word: str) -> bytes:
+        ids = self.get(word)
+        if ids is None:
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.model.tokenize(raw)]
+            ids = self[word] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha() or not word:
+            if len(word) in (0, len(chunk)):
+                return self._pre_token(chunk)
+            ids = self._pre_token(word) + self._pre_token(chunk[len(word):])
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class ChunkTokenizer:
     """Ids of whole texts, put together from the ids of their blank-separated chunks.
 
     The vocabulary's pattern never spans white space and its normaliser works on
     single characters and their combining marks, so a text's ids are those of its
-    chunks in a row.  Chunks repeat, so most cost a dictionary lookup.
+    chunks in a row.  Chunks repeat, so most cost a dictionary lookup.  That is done
+    for Latin-1 text, lower-cased as the normaliser would do; other text is encoded
+    by the library as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = _Chunks(self.tokenizer)
+
+    @staticmethod
+    @functools.lru_cache(maxsize=2)
+    def of_worker(path: str) -> ChunkTokenizer:
+        """One for each Python worker: what a task has learnt serves the next."""
+        return ChunkTokenizer(path)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE:
-            self.known = {}
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = [c for c in set().union(*chunks) if c not in known] if chunks else []
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in cs]) for cs in chunks]
+            self.known = _Chunks(self.tokenizer)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.lower().replace("\n", " ").split(" "))) if _latin1(t) and "<|" not in t else self._encode(t) for t in texts]
+
+
+def _latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -81,9 +140,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = ChunkTokenizer.of_worker(path)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for r, b in enumerate(tokenizer.ids([t.decode() for t in texts])):
                     b += end
@@ -313,7 +372,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, small: int | None =
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack; ``path`` is the tokenizer file (the public 49k word vocabulary by default)."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    return pack_pieces(token_pieces(docs, str(path), capacity, with_ids=with_ids), capacity)
+    return pack_pieces(stash(token_pieces(docs, str(path), capacity, with_ids=with_ids), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
