@@ -1630,6 +1630,29 @@ def q_k16_multi_kernel_fit(spark, sf):
 _Q.update({"k16_multi_kernel_fit": (q_k16_multi_kernel_fit, None)})
 
 
+# ------------------------------------------- study and bias learner forms
+STUDY_FORMS = {
+    "l1b_pa_study": ("pa_study", {}), "l3b_gradient_study": ("gradient", {}), "l3c_ogc_live": ("ogc_live", {"eta": 0.1}),
+    "l3d_ogl": ("ogl", {}), "l3d_ogl_partial": ("ogl", {"clip": False}), "l4b_arow_full": ("arow_full", {"r": 1.0}),
+    "l4c_arow_bias": ("arow_bias", {"r": 0.1}), "l5b_rda_bias": ("rda_bias", {}), "l6b_scw_full": ("scw_full", {"C": 0.1, "eta": 0.95}),
+    "l6c_scw_bias": ("scw_bias", {}), "l7b_adarda_bias": ("adarda_bias", {}),
+}
+
+
+def _study_form(name, params):
+    cfg = [LearnerConfig.of(name, name, **params)]
+
+    def q(spark, sf):
+        m = fold_models(FX.user_stream(spark, sf), cfg)
+        return _r(m.select("stream", "algo", "n", "mistakes", *[(F.col("w")[j] * 64.0).alias(f"w{j}_64") for j in range(3)],
+                           F.coalesce("b", F.lit(0.0)).alias("b"), "tp", "fp", "tn", "fn"))
+    q.__doc__ = f"L: {name} per user: final weights (in 64ths, the features' unit), bias and running counts."
+    return q, lambda: O.study_fold_sql(FX.USER_SQL, _cfgs(cfg), 3)
+
+
+_Q.update({n: _study_form(*v) for n, v in STUDY_FORMS.items()})
+
+
 # ------------------------------------------- training-data operators, if there
 def _add_llm() -> dict[str, str]:
     """Add the queries of the ``llm`` subpackage and the pipeline; without them, add nothing."""

@@ -284,3 +284,87 @@ FROM (SELECT stream, n, list_reduce(seq, lambda a, e: {kernel_step_sql(name, d,
     return f"""WITH _src AS ({src_sql}),
 _seq AS (SELECT stream, count(*) AS n, list({elem} ORDER BY {order}) AS seq FROM _src GROUP BY stream)
 {union}"""
+
+
+# ------------------------------------------------- study and bias forms
+def study_step_sql(name: str, d: int, p: dict) -> str:
+    """The fold body of a study or bias form, from its published rule.  Bound: ``f`` score, ``u`` = Sigma x
+    (Sigma row-major in ``a.s``), ``v`` = x.u; later bindings depend on the rule."""
+    J = range(1, d + 1)
+    dot = lambda a, b: "(" + " + ".join(f"{a}[{j}] * {b}[{j}]" for j in J) + ")"
+    vec = lambda f: _lst(f(j) for j in J)
+    m, pred = "(e.y * f)", "(CASE WHEN f >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
+    num = lambda k, default: repr(float(p.get(k, default)))
+
+    def acc(hit, w="a.w", s="a.s", g="a.g", h="a.h", b="a.b"):
+        one = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
+        pick = lambda new, old: f"(CASE WHEN {hit} THEN {new} ELSE {old} END)" if new != old else old
+        return (f"{{'w': {pick(w, 'a.w')}, 's': {pick(s, 'a.s')}, 'g': {pick(g, 'a.g')}, 'h': {pick(h, 'a.h')}, 'b': {pick(b, 'a.b')}, "
+                f"'t': a.t + 1, 'm': a.m + {one(hit)}, 'tp': a.tp + {one(f'e.y > 0 AND {pred} > 0')}, 'fp': a.fp + {one(f'e.y < 0 AND {pred} > 0')}, "
+                f"'tn': a.tn + {one(f'e.y < 0 AND {pred} < 0')}, 'fn': a.fn + {one(f'e.y > 0 AND {pred} < 0')}, 'x': e.x, 'y': e.y}}")
+
+    def rank1(c, when="true"):
+        return _lst(f"a.s[{(i - 1) * d + j}] - (CASE WHEN {when} THEN {c} ELSE 0.0 END) * u[{i}] * u[{j}]" for i in J for j in J)
+    wrong = f"{pred} <> e.y"
+    if name == "pa_study":
+        body = acc(f"{m} < 1", vec(lambda j: f"a.w[{j}] + (1.0 - {m}) / {dot('e.x', 'e.x')} * e.y * e.x[{j}]"))
+    elif name in ("gradient", "ogc_live"):
+        c = num("eta", 0.1) if name == "ogc_live" else "1.0"
+        body = acc(f"{m} < 1", vec(lambda j: f"a.w[{j}] + {c} * e.y * e.x[{j}]"))
+    elif name == "ogl":
+        lr, l2, clip = num("lr", 0.01), num("l2", 0.01), p.get("clip", True)
+        cut = lambda n, top: f"(CASE WHEN sqrt({dot(n, n)}) > {top} THEN {top} / sqrt({dot(n, n)}) ELSE 1.0 END)" if clip else "1.0"
+        body = _let(vec(lambda j: f"-e.y * e.x[{j}] + {l2} * a.w[{j}]"), "r",
+                    _let(vec(lambda j: f"a.w[{j}] - {lr} * (r[{j}] * {cut('r', '10.0')})"), "z",
+                         acc(wrong, vec(lambda j: f"z[{j}] * {cut('z', '50.0')}"), b=f"a.b + {lr} * e.y")))
+    elif name == "arow_full":
+        den = f"(v + {num('r', 0.1)})"
+        body = acc(f"1.0 - {m} > 0", vec(lambda j: f"a.w[{j}] + (1.0 - {m}) / {den} * e.y * u[{j}]"), rank1(f"(1.0 / {den})"))
+    elif name == "arow_bias":
+        bt = f"(1.0 / (greatest(v, 1e-10) + {num('r', 0.1)}))"
+        al = f"greatest(0.0::DOUBLE, least(10.0::DOUBLE, (1.0 - {m}) * {bt}))"
+        body = _let(al, "z", acc(f"{m} < 1", vec(lambda j: f"a.w[{j}] + (CASE WHEN z > 1e-10 THEN z ELSE 0.0 END) * e.y * u[{j}]"),
+                                 rank1(bt, "z > 1e-10"), b="a.b + (CASE WHEN z > 1e-10 THEN z * e.y ELSE 0.0 END)"))
+    elif name == "scw_full":
+        phi = NormalDist().inv_cdf(float(p.get("eta", 0.9)))
+        al, be = _scw_sql("v", m, phi, float(p.get("C", 1.0)), "0.0")
+        body = acc(f"{phi!r} * sqrt(greatest(v, 0.0)) - {m} > 0", vec(lambda j: f"a.w[{j}] + {al} * e.y * u[{j}]"), rank1(be))
+    elif name == "scw_bias":
+        phi, C = float(p.get("phi", 1.0)), float(p.get("C", 1.0))
+        conf = "least(100.0::DOUBLE, greatest(1e-10, v))"
+        al = f"least({C!r}, greatest(0.0::DOUBLE, ({phi!r} - {m}) / ({conf} + {1 / (2 * C)!r})))"
+        body = _let(al, "z", acc(f"{m} < {phi!r}", vec(lambda j: f"a.w[{j}] + (CASE WHEN z > 1e-10 THEN z ELSE 0.0 END) * e.y * u[{j}]"),
+                                 rank1(f"(z * {conf} / (1.0 + z * {conf}))", f"z > 1e-10 AND z * {conf} < 1.0"),
+                                 b="a.b + (CASE WHEN z > 1e-10 THEN z * e.y ELSE 0.0 END)"))
+    else:
+        lr, l1 = num("lr", 0.1 if name == "rda_bias" else 0.01), num("l1", 0.01 if name == "rda_bias" else 0.001)
+        g = vec(lambda j: f"(a.t * a.g[{j}] - e.y * e.x[{j}]) / (a.t + 1)")
+        if name == "rda_bias":
+            step = f"({lr} / sqrt(a.t + 1.0))"
+            w = vec(lambda j: f"(CASE WHEN abs(r[{j}]) > {l1} THEN -{step} * (r[{j}] - sign(r[{j}]) * {l1}) ELSE 0.0::DOUBLE END)")
+            body = _let(g, "r", acc(wrong, w, g="r", b=f"a.b + {step} * e.y"))
+        else:
+            h = vec(lambda j: f"a.h[{j}] + e.x[{j}] * e.x[{j}]")
+            rate = lambda j: f"({lr} / sqrt(z[{j}] + 1e-8))"
+            w = vec(lambda j: f"(CASE WHEN abs(r[{j}]) > {l1} * {rate(j)} THEN -{rate(j)} * (r[{j}] - sign(r[{j}]) * {l1}) ELSE 0.0::DOUBLE END)")
+            mean = "(" + " + ".join(rate(j) for j in J) + f") / {d}"
+            body = _let(g, "r", _let(h, "z", acc(wrong, w, g="r", h="z", b=f"a.b + {mean} * e.y")))
+    sx = vec(lambda i: "(" + " + ".join(f"a.s[{(i - 1) * d + k}] * e.x[{k}]" for k in J) + ")")
+    return _let(f"{dot('a.w', 'e.x')} + a.b", "f", _let(sx, "u", _let(dot("e.x", "u"), "v", body)))
+
+
+def study_fold_sql(src_sql: str, learners, d: int, order: str = "ts, id, x, y") -> str:
+    """Final state per (stream, algo): n, mistakes, w0.., b and the running counts."""
+    def cell(x, y, s0):
+        eye = _lst(f"{s0 if i == j else 0.0!r}::DOUBLE" for i in range(d) for j in range(d))
+        z = _lst(["0.0::DOUBLE"] * d)
+        return (f"{{'w': {z}, 's': {eye}, 'g': {z}, 'h': {z}, 'b': 0.0::DOUBLE, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, 'fp': 0::BIGINT, "
+                f"'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': {x}, 'y': {y}}}")
+    zero_x = _lst(["0.0::DOUBLE"] * d)
+    ws = ", ".join(f"{rnd(f'r.w[{j}] * 64.0')} AS w{j - 1}_64" for j in range(1, d + 1))
+    parts = [f"""SELECT stream, '{label}' AS algo, n, r.m AS mistakes, {ws}, {rnd('r.b')} AS b, r.tp AS tp, r.fp AS fp, r.tn AS tn, r.fn AS fn
+FROM (SELECT stream, n, list_reduce(seq, lambda a, e: {study_step_sql(name, d, dict(params))}, {cell(zero_x, '0.0::DOUBLE', 0.1 if name == 'scw_bias' else 1.0)}) AS r FROM _seq)"""
+             for label, name, params in learners]
+    union = "\nUNION ALL\n".join(parts)
+    return f"""WITH _seq AS (SELECT stream, count(*) AS n, list({cell('x', 'y', 1.0)} ORDER BY {order}) AS seq FROM ({src_sql}) GROUP BY stream)
+{union}"""
