@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles as O  # noqa: E402
@@ -96,31 +96,29 @@ def sql_main7_user():
 
 
 def q_main7_line(spark, sf):
-    """The seven main rules over lineitem, one stream per l_linestatus (~n/2 rows each)."""
-    s = FX.line_stream(spark, sf, by_status=True)
-    # all 7 configs in one pass per stream: measured 17.6 s at sf0.1 versus 43 s
-    # with split_configs=True, whose 7x input copy costs more than it parallelises
+    """The seven main rules over lineitem, one stream per part (about 30 rows each)."""
+    s = FX.line_stream(spark, sf, "l_partkey")
     m = fold_models(s, MAIN_SEVEN)
     return _r(m.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(4)],
                        "tp", "fp", "tn", "fn"))
 
 
 def sql_main7_line():
-    return O.fold_sql(FX.line_sql(True), _cfgs(MAIN_SEVEN), 4)
+    return O.fold_sql(FX.line_sql("l_partkey"), _cfgs(MAIN_SEVEN), 4)
 
 
 STUDY = [LearnerConfig.of("PerceptronTie1", "perceptron", tie=1.0)]
 
 
 def q_perceptron_tie1_task(spark, sf):
-    """L2 study form (tie predicts +1) on the task fixture (one stream per event type)."""
-    s = FX.task_stream(spark, sf)
+    """L2 study form (tie predicts +1) on the task fixture, one stream per event type and user."""
+    s = FX.user_task_stream(spark, sf)
     m = fold_models(s, STUDY)
     return _r(m.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
 
 
 def sql_perceptron_tie1_task():
-    f = O.fold_sql(FX.TASK_SQL, _cfgs(STUDY), 3)
+    f = O.fold_sql(FX.USER_TASK_SQL, _cfgs(STUDY), 3)
     return f"SELECT stream, algo, n, mistakes, w0, w1, w2 FROM ({f})"
 
 
@@ -178,7 +176,7 @@ SELECT dataset, found, n_missing, CASE WHEN n_missing = 0 THEN 'success' ELSE 'p
 
 def q_s8_union(spark, sf):
     """Union of the two l_linestatus parts with origin tag and position."""
-    li = FX.line_stream(spark, sf, True)
+    li = FX.line_stream(spark, sf, "l_linestatus")
     u = S.union_streams([li.filter("stream = 'F'"), li.filter("stream = 'O'")], ["train", "test"])
     return u.groupBy("part", "part_pos").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
 
@@ -255,7 +253,7 @@ _Q = {
     "l_main7_user": (q_main7_user, sql_main7_user),
     # 2 x 30k-row folds: the list_reduce oracle needs ~10 min in DuckDB, so this
     # one is checked against a brute-force loop in tests/test_folds.py instead
-    "l_main7_line": (q_main7_line, None),
+    "l_main7_line": (q_main7_line, sql_main7_line),
     "l2_perceptron_tie1_task": (q_perceptron_tie1_task, sql_perceptron_tie1_task),
     "s1_read_datasets": (q_s1_read_datasets, sql_s1_read_datasets),
     "s2_canonical_datasets": (q_s2_canonical, sql_s2_canonical),
@@ -270,13 +268,13 @@ _Q = {
 
 
 # ------------------------------------------------------- order and splits
-LINE_ALL = FX.line_sql(False)
+LINE_ALL = FX.line_sql()
 H42 = sql_hash32("id", 42)
 
 
 def q_r2_index(spark, sf):
     """R2: global 0-based position of every lineitem row in (ts, id, x, y) order."""
-    s = R.with_index(FX.line_stream(spark, sf, False))
+    s = R.with_index(FX.line_stream(spark, sf))
     return s.select("id", "ts", "idx")
 
 
@@ -286,7 +284,7 @@ def sql_r2_index():
 
 def q_r3_temporal(spark, sf):
     """Temporal 80/20 split of lineitem."""
-    s = R.temporal_split(FX.line_stream(spark, sf, False), 0.8)
+    s = R.temporal_split(FX.line_stream(spark, sf), 0.8)
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("min_idx"),
                                  F.max("idx").alias("max_idx"),
                                  F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).cast("long").alias("n_pos"))
@@ -300,7 +298,7 @@ SELECT CASE WHEN idx < floor(0.8 * n) THEN 'train' ELSE 'test' END AS part, coun
 
 def q_r4_hash_split(spark, sf):
     """Seeded shuffle split 80/20 (exact sizes)."""
-    s = R.hash_split(FX.line_stream(spark, sf, False), (0.8, 0.2), ("train", "test"), seed=42)
+    s = R.hash_split(FX.line_stream(spark, sf), (0.8, 0.2), ("train", "test"), seed=42)
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"),
                                  F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).cast("long").alias("n_pos"))
 
@@ -313,7 +311,7 @@ SELECT CASE WHEN idx < floor(0.8 * n) THEN 'train' ELSE 'test' END AS part, coun
 
 def q_r4_train_val_test(spark, sf):
     """R4 (64/16/20): temporal test tail, shuffled train/val head."""
-    s = R.train_val_test(FX.line_stream(spark, sf, False), seed=42)
+    s = R.train_val_test(FX.line_stream(spark, sf), seed=42)
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
 
 
@@ -327,7 +325,7 @@ SELECT part, count(*) AS n, sum(id)::BIGINT AS sum_id FROM (
 
 def q_r5_stratified(spark, sf):
     """Stratified 60/20/20 split by class."""
-    s = R.stratified_split(FX.line_stream(spark, sf, False), seed=42)
+    s = R.stratified_split(FX.line_stream(spark, sf), seed=42)
     return s.groupBy("y", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
 
 
@@ -356,7 +354,7 @@ SELECT part, count(DISTINCT e.user_id) AS n_users, count(*) AS n_rows FROM event
 
 def q_r7_sample(spark, sf):
     """Exactly 1000 rows without replacement."""
-    s = R.sample_n(FX.line_stream(spark, sf, False), 1000, seed=7)
+    s = R.sample_n(FX.line_stream(spark, sf), 1000, seed=7)
     return s.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"))
 
 
@@ -368,7 +366,7 @@ def sql_r7_sample():
 def q_r8_resample(spark, sf):
     """Class-ratio resampling to 50/50 at the original size (positives are
     drawn with replacement, negatives without)."""
-    s = R.resample_ratio(FX.line_stream(spark, sf, False), 0.5, seed=42)
+    s = R.resample_ratio(FX.line_stream(spark, sf), 0.5, seed=42)
     return s.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id"),
                               F.sum("idx").alias("sum_idx"))
 
@@ -466,7 +464,7 @@ def sql_a2_periods_majority():
 
 def q_a3_scaler(spark, sf):
     """A3: fit mean / population std on the temporal train part, apply to test."""
-    s = R.temporal_split(FX.line_stream(spark, sf, False), 0.8)
+    s = R.temporal_split(FX.line_stream(spark, sf), 0.8)
     sc = A.fit_scaler(s.filter("part = 'train'"))
     t = A.apply_scaler(s.filter("part = 'test'"), sc)
     stats = sc.select(F.posexplode(F.arrays_zip("mu", "sd")).alias("pos", "v")) \
@@ -535,7 +533,7 @@ DRIFT_MODES = ("square", "sincos", "exp", "radial")
 def q_d1_drift(spark, sf):
     """Each drift mode applied after the middle of the lineitem stream."""
     from streamlearn.operators.drift import drift_expr
-    d = R.with_index(FX.line_stream(spark, sf, False))
+    d = R.with_index(FX.line_stream(spark, sf))
     n = d.agg(F.count(F.lit(1)).alias("_n"))
     d = d.crossJoin(F.broadcast(n))
     outs = []
@@ -592,7 +590,7 @@ SELECT y, count(*) AS n, {O.rnd('sum(fac)')} AS sum_factor, {O.rnd(f'sum({sx} *
 
 def q_d2_d5_line(spark, sf):
     """D2-D5 on lineitem (positive ratio ~1/3: the moderate recipe)."""
-    return _perturb_q(FX.line_stream(spark, sf, False))
+    return _perturb_q(FX.line_stream(spark, sf))
 
 
 def sql_d2_d5_line():
@@ -1106,7 +1104,7 @@ def sql_t16_mixed_one_shard():
 def q_t16_mixed_four_shards(spark, sf):
     """Four shards, three mixing epochs over the single lineitem stream."""
     from streamlearn.plans.protocols import fit_mixed
-    m = fit_mixed(FX.line_stream(spark, sf, False), T_CFG, shards=4, epochs=3)
+    m = fit_mixed(FX.line_stream(spark, sf), T_CFG, shards=4, epochs=3)
     return _r(m.select("stream", "algo", *[F.col("w")[j].alias(f"w{j}") for j in range(4)]))
 
 
@@ -1145,27 +1143,31 @@ def q_t8_best_of_shuffles(spark, sf):
 def q_l8_logistic(spark, sf):
     """L2 logistic-regression baseline on the lineitem stream (pyspark.ml)."""
     from streamlearn.plans.protocols import logistic_baseline
-    m = logistic_baseline(FX.line_stream(spark, sf, False), l2=0.01, max_iter=1000)
+    m = logistic_baseline(FX.line_stream(spark, sf), l2=0.01, max_iter=1000)
     rows = [(j, float(v)) for j, v in enumerate(m.coefficients.toArray())] + [(-1, float(m.intercept))]
     return _r(spark.createDataFrame(rows, "coef int, value double"))
 
 
-def sql_t8_best_of_shuffles():
-    """One fold per shuffle in the shuffle's hash order, scored on the user's last 20%, the first best kept."""
+def _best_shuffle_sql(split, d, shuffles):
+    """One fold per shuffle in the shuffle's hash order over the rows of part train, scored on part test, the first best kept."""
     parts = []
-    for k in range(10):
+    for k in range(shuffles):
         key = sql_hash32(f"xor(id, {sql_hash32(str(k), 49)})", 42)
-        src = f"SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'train'"
-        parts.append(f"SELECT {k} AS shuffle, * FROM ({O.fold_sql(src, _cfgs(T_CFG), 3, order=f'{key}, id, x, y', out_w='raw')})")
-    m = " UNION ALL ".join(parts)
-    sc = f"""SELECT m.shuffle, m.stream, m.algo, v.y, CASE WHEN v.x[1] * m.w[1] + v.x[2] * m.w[2] + v.x[3] * m.w[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
-  FROM ({m}) m JOIN (SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'test') v USING (stream)"""
+        fold = O.fold_sql(f"SELECT * FROM ({split}) WHERE part = 'train'", _cfgs(T_CFG), d, order=f"{key}, id, x, y", out_w="raw")
+        parts.append(f"SELECT {k} AS shuffle, * FROM ({fold})")
+    dot = " + ".join(f"v.x[{j}] * m.w[{j}]" for j in range(1, d + 1))
+    sc = f"""SELECT m.shuffle, m.stream, m.algo, v.y, CASE WHEN {dot} >= 0 THEN 1.0 ELSE -1.0 END AS pred
+  FROM ({" UNION ALL ".join(parts)}) m JOIN (SELECT * FROM ({split}) WHERE part = 'test') v USING (stream)"""
     p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
     return f"""SELECT stream, algo, shuffle, {O.rnd('f1')} AS val_score FROM (
  SELECT *, row_number() OVER (PARTITION BY stream, algo ORDER BY f1 DESC, shuffle) AS r FROM (
   SELECT stream, algo, shuffle, {_f1s(p, r)} AS f1 FROM ({_m2_counts_sql('shuffle, stream, algo', sc)}))) WHERE r = 1"""
 
 
+def sql_t8_best_of_shuffles():
+    return _best_shuffle_sql(USER_SPLIT_SQL, 3, 10)
+
+
 # ----------------------------------------------------------------- kernels
 KERNEL_GAMMA = 0.5
 KERNEL_SINGLE = {"k1_kpa": ("kpa", {}), "k2_kperceptron": ("kperceptron", {}), "k3_kogc": ("kogc", {}), "k4_karow": ("karow", {"r": 0.1}),
@@ -1259,31 +1261,34 @@ REP_ALGOS = ["AROW", "OGC", "PA", "Perceptron"]
 
 
 def _results(spark, sf):
-    """Result rows (dataset = task, algo, method) from two protocols on the task
-    fixture: prequential single pass (T1) and train-80%-then-frozen (T5)."""
+    """Result rows (dataset = event type, algo, method) from two protocols: prequential single pass (T1) and
+    train-80%-then-frozen (T5), folded per (event type, user) and pooled over the users."""
     from streamlearn.plans.protocols import fit_freeze_score
-    s = FX.task_stream(spark, sf)
-    pre = fold_models(s, REP_CFG).select("stream", "algo", "tp", "fp", "tn", "fn").withColumn("method", F.lit("prequential"))
+    s = FX.user_task_stream(spark, sf)
+    task = F.split("stream", "/")[0].alias("dataset")
+    pool = lambda df: df.groupBy(task, "algo").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
+    pre = pool(fold_models(s, REP_CFG)).withColumn("method", F.lit("prequential"))
     t = R.temporal_split(s, 0.8, keys=["stream"]).drop("idx")
-    fr = M.confusion_counts(fit_freeze_score(t.filter("part='train'").drop("part"), t.filter("part='test'").drop("part"),
-                                             REP_CFG), ["stream", "algo"]).withColumn("method", F.lit("frozen"))
+    fr = pool(M.confusion_counts(fit_freeze_score(t.filter("part='train'").drop("part"), t.filter("part='test'").drop("part"),
+                                                  REP_CFG), ["stream", "algo"])).withColumn("method", F.lit("frozen"))
     r = M.rates(pre.unionByName(fr))
-    return r.select(F.col("stream").alias("dataset"), "algo", "method",
-                    F.when(F.col("stream").isin("click", "view"), "browse").otherwise("transact").alias("data_type"),
+    return r.select("dataset", "algo", "method",
+                    F.when(F.col("dataset").isin("click", "view"), "browse").otherwise("transact").alias("data_type"),
                     "precision", "recall", "f1",
                     ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).alias("accuracy"))
 
 
 def _results_sql():
     task_split = f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY stream ORDER BY ts, id, x, y) - 1
-  < floor(0.8 * count(*) OVER (PARTITION BY stream)) THEN 'train' ELSE 'test' END AS part FROM ({FX.TASK_SQL})"""
-    pre = O.fold_sql(FX.TASK_SQL, _cfgs(REP_CFG), 3, out_w=False)
+  < floor(0.8 * count(*) OVER (PARTITION BY stream)) THEN 'train' ELSE 'test' END AS part FROM ({FX.USER_TASK_SQL})"""
+    pre = O.fold_sql(FX.USER_TASK_SQL, _cfgs(REP_CFG), 3, out_w=False)
     m = O.fold_sql(f"SELECT * FROM ({task_split}) WHERE part = 'train'", _cfgs(REP_CFG), 3, out_w="raw")
     sc = f"""SELECT t.stream, m.algo, t.y, (t.x[1] * m.w[1] + t.x[2] * m.w[2] + t.x[3] * m.w[3]) AS s
   FROM (SELECT * FROM ({task_split}) WHERE part = 'test') t JOIN ({m}) m USING (stream)"""
     fr = _m2_counts_sql("stream, algo", f"SELECT stream, algo, y, CASE WHEN s > 0 THEN 1.0 WHEN s < 0 THEN -1.0 ELSE 1.0 END AS pred FROM ({sc})")
-    u = f"""SELECT stream, algo, 'prequential' AS method, tp, fp, tn, fn FROM ({pre})
-  UNION ALL SELECT stream, algo, 'frozen' AS method, tp, fp, tn, fn FROM ({fr})"""
+    u = f"""SELECT split_part(stream, '/', 1) AS stream, algo, method, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (
+  SELECT stream, algo, 'prequential' AS method, tp, fp, tn, fn FROM ({pre})
+  UNION ALL SELECT stream, algo, 'frozen' AS method, tp, fp, tn, fn FROM ({fr})) GROUP BY 1, 2, 3"""
     p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
     return f"""SELECT stream AS dataset, algo, method, CASE WHEN stream IN ('click', 'view') THEN 'browse' ELSE 'transact' END AS data_type,
   {p} AS precision, {r} AS recall, {_f1s(p, r)} AS f1, (tp + tn)::DOUBLE / (tp + fp + tn + fn) AS accuracy FROM ({u})"""
@@ -1512,17 +1517,16 @@ def sql_s4_write_results():
 
 
 # --------------------------------------------------------------- streaming
-def _stream_src(spark, sf, df, name):
+def _stream_src(spark, sf, df):
     from streamlearn.streaming.online import ordered_file_source
-    return ordered_file_source(df.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", name)[0].drop("day")
+    return ordered_file_source(df.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")[0].drop("day")
 
 
 def q_w2_stream_learn(spark, sf):
     """Structured Streaming predict-then-learn per user over day files in
     time order (maxFilesPerTrigger 1); final per-user state equals the batch fold."""
-    import uuid
     from streamlearn.streaming.online import run_to_completion, stream_learn
-    sdf = _stream_src(spark, sf, FX.user_stream(spark, sf), uuid.uuid4().hex)
+    sdf = _stream_src(spark, sf, FX.user_stream(spark, sf))
     out = run_to_completion(stream_learn(sdf, FLAG_CFG))
     return M.confusion_counts(out, ["stream", "algo"])
 
@@ -1533,28 +1537,23 @@ def sql_w2_stream_learn():
 
 
 def q_w1_stream_periods(spark, sf):
-    """Streaming 10-minute period aggregates with a watermark (complete mode)."""
-    import uuid
+    """Streaming 10-minute period aggregates, append mode with a watermark; a closing row two days after the
+    last event moves the watermark past every real period (its own period stays open)."""
     from streamlearn.streaming.online import run_to_completion, stream_periods
     ev = FX.event_features(spark, sf).withColumnRenamed("timestamp", "ts")
-    sdf = _stream_src(spark, sf, ev, uuid.uuid4().hex).withColumnRenamed("ts", "timestamp")
-    name = "w1_" + uuid.uuid4().hex[:8]
-    out = run_to_completion(stream_periods(sdf, FEATS, width="10 minutes", delay="1 day"), mode="complete",
-                            fmt="memory", name=name)
+    close = ev.agg(F.max("ts").alias("m")).select(*[(F.col("m") + F.expr("interval 2 days")).alias("ts") if c == "ts"
+                                                    else F.lit(None).cast(t).alias(c) for c, t in ev.dtypes])
+    sdf = _stream_src(spark, sf, ev.unionByName(close)).withColumnRenamed("ts", "timestamp")
+    out = run_to_completion(stream_periods(sdf, FEATS, width="10 minutes", delay="1 day"))
     return _r(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 def q_w3_w5_stream_score_rates(spark, sf):
-    """W3 + W5: frozen per-user models scored on a stream (stream-static join),
-    running counters per user (complete mode)."""
-    import uuid
-    from streamlearn.streaming.online import run_to_completion, stream_rates, stream_score
+    """W3 + W5: frozen per-user models scored on a stream (stream-static join), running counters per user
+    (update mode, every micro-batch's changes in files; the last of each user counts)."""
+    from streamlearn.streaming.online import run_updates, stream_rates, stream_score
     s = FX.user_stream(spark, sf)
-    models = _mean_models(s)
-    sdf = _stream_src(spark, sf, s, uuid.uuid4().hex)
-    sc = stream_score(sdf, models)
-    out = run_to_completion(stream_rates(sc, ["stream"]), mode="complete", fmt="memory",
-                            name="w5_" + uuid.uuid4().hex[:8])
+    out = run_updates(stream_rates(stream_score(_stream_src(spark, sf, s), _mean_models(s)), ["stream"]), ["stream"])
     return _r(out.select("stream", "tp", "fp", "tn", "fn", "threats", "seen"))
 
 
@@ -1566,17 +1565,64 @@ def sql_w3_w5_stream_score_rates():
  count(*) AS seen FROM ({sc}) GROUP BY stream"""
 
 
+LIVE_CFG = [LearnerConfig.of("OGC_live", "ogc_live", eta=0.1)]
+
+
 def q_w4_w6_stream_alerts(spark, sf):
-    """W4 + W6: alerts (pred +1) with top-3 attribution from pre-update weights;
-    rows with ``active = false`` (hour 3) are seen but neither predicted nor learned."""
-    import uuid
+    """W4 + W6: alerts (pred +1) with their top-3 attributions from the pre-update weights, one row each; rows
+    with ``active = false`` (hour 3) are seen but neither predicted nor learned."""
     from streamlearn.streaming.online import run_to_completion, stream_alerts, stream_learn
     s = FX.user_stream(spark, sf).withColumn("active", F.hour("ts") != 3)
-    sdf = _stream_src(spark, sf, s, uuid.uuid4().hex)
-    out = run_to_completion(stream_learn(sdf, [LearnerConfig.of("OGC_live", "ogc_live", eta=0.1)]))
-    xs = FX.user_stream(spark, sf).select("id", "x")
-    a = stream_alerts(out.join(xs, "id"), 3, ["value", "hour", "bias"])
-    return a.groupBy("algo", "true_class").agg(F.count(F.lit(1)).alias("n_alerts"))
+    a = stream_alerts(run_to_completion(stream_learn(_stream_src(spark, sf, s), LIVE_CFG)), 3, ["value", "hour", "bias"])
+    t = a.select("id", "true_class", F.posexplode("top").alias("rank", "t"))
+    return _r(t.select("id", "true_class", "rank", F.col("t.name").alias("name"), F.col("t.contribution").alias("contribution"),
+                       F.col("t.percent").alias("percent")))
+
+
+def _live_rows_sql(src, start=None):
+    """Every row of an OGC_live pass with the weights before it; ``start`` gives (stream, w)."""
+    f = "(a.w[1] * e.x[1] + a.w[2] * e.x[2] + a.w[3] * e.x[3])"
+    new = "[" + ", ".join(f"a.w[{j}] + 0.1 * e.y * e.x[{j}]" for j in (1, 2, 3)) + "]"
+    cell = lambda w, o, x, y, i: f"{{'w': {w}, 'o': {o}, 'x': {x}, 'y': {y}, 'id': {i}}}"
+    none, z = "[]::STRUCT(id BIGINT, y DOUBLE, x DOUBLE[], w DOUBLE[], f DOUBLE)[]", "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]"
+    step = cell(f"CASE WHEN e.y * {f} < 1 THEN {new} ELSE a.w END",
+                f"list_append(a.o, {{'id': e.id, 'y': e.y, 'x': e.x, 'w': a.w, 'f': {f}}})", "e.x", "e.y", "e.id")
+    seq = f"SELECT stream, list({cell(z, none, 'x', 'y', 'id')} ORDER BY ts, id) AS seq FROM ({src}) GROUP BY stream"
+    if start:
+        seq = f"SELECT q.stream, q.seq, coalesce(w.w, {z}) AS w0 FROM ({seq}) q LEFT JOIN ({start}) w USING (stream)"
+    first = cell("w0" if start else z, none, z, "0.0::DOUBLE", "0::BIGINT")
+    return f"""SELECT stream, u.id AS id, u.y AS y, u.x AS x, u.w AS w, u.f AS f FROM (
+ SELECT stream, unnest(list_reduce(seq, lambda a, e: {step}, {first}).o) AS u FROM ({seq}))"""
+
+
+def sql_w4_w6_stream_alerts():
+    rows = _live_rows_sql(f"SELECT * FROM ({FX.USER_SQL}) WHERE hour(ts) <> 3")
+    return f"""WITH j AS (SELECT id, CASE WHEN y > 0 THEN 'threat' ELSE 'benign' END AS true_class,
+   [x[1] * w[1], x[2] * w[2], x[3] * w[3]] AS c FROM ({rows}) WHERE f >= 0),
+t AS (SELECT *, list_sum(list_transform(c, lambda v: greatest(v, 0.0))) AS pt FROM j),
+e AS (SELECT id, true_class, CASE WHEN pt > 0 THEN pt ELSE 1.0 END AS tot, unnest(range(0, 3)) AS f, unnest(c) AS v FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -v, f) - 1 AS rank FROM e)
+SELECT id, true_class, rank, ['value', 'hour', 'bias'][f + 1] AS name, {O.rnd('v')} AS contribution, {O.rnd('100.0 * v / tot')} AS percent FROM r"""
+
+
+def q_t15_pretrain_then_stream(spark, sf):
+    """The live rule trained on each user's first 80%, then the rest as a stream that starts from those models."""
+    from streamlearn.streaming.online import run_to_completion, stream_learn
+    tr, te = _user_split(spark, sf)
+    out = run_to_completion(stream_learn(_stream_src(spark, sf, te), LIVE_CFG, fold_models(tr, LIVE_CFG)))
+    return M.confusion_counts(out, ["stream", "algo"])
+
+
+def sql_t15_pretrain_then_stream():
+    train = _live_rows_sql(f"SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'train'")
+    after = "[" + ", ".join(f"r.w[{j}] + CASE WHEN r.y * r.f < 1 THEN 0.1 * r.y * r.x[{j}] ELSE 0.0 END" for j in (1, 2, 3)) + "]"
+    last = f"""SELECT stream, w FROM (SELECT r.stream, {after} AS w, row_number() OVER (PARTITION BY r.stream ORDER BY u.ts DESC, u.id DESC) AS rn
+ FROM ({train}) r JOIN ({FX.USER_SQL}) u ON u.id = r.id) WHERE rn = 1"""
+    rows = _live_rows_sql(f"SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'test'", last)
+    return _m2_counts_sql("stream, algo", f"SELECT stream, 'OGC_live' AS algo, y, CASE WHEN f >= 0 THEN 1.0 ELSE -1.0 END AS pred FROM ({rows})")
+
+
+_Q.update({"t15_pretrain_then_stream": (q_t15_pretrain_then_stream, sql_t15_pretrain_then_stream)})
 
 
 _Q.update({
@@ -1597,24 +1643,192 @@ _Q.update({
     "w1_stream_periods": (q_w1_stream_periods, sql_a1_periods_any),
     "w2_stream_learn": (q_w2_stream_learn, sql_w2_stream_learn),
     "w3_w5_stream_score_rates": (q_w3_w5_stream_score_rates, sql_w3_w5_stream_score_rates),
-    "w4_w6_stream_alerts": (q_w4_w6_stream_alerts, None),
+    "w4_w6_stream_alerts": (q_w4_w6_stream_alerts, sql_w4_w6_stream_alerts),
 })
 
 
 # ------------------------------------------------------- F4 sliding window
-SLIDE_CFG = [LearnerConfig.of("PA", "sliding", inner="pa_study", W=250),
-             LearnerConfig.of("Perceptron", "sliding", inner="perceptron", W=250, tie=1.0),
-             LearnerConfig.of("Gradient", "sliding", inner="gradient", W=250)]
+SLIDE_W = 20
+SLIDE_CFG = [LearnerConfig.of("PA", "sliding", inner="pa_study", W=SLIDE_W),
+             LearnerConfig.of("Perceptron", "sliding", inner="perceptron", W=SLIDE_W, tie=1.0),
+             LearnerConfig.of("Gradient", "sliding", inner="gradient", W=SLIDE_W)]
 
 
 def q_f4_sliding_continual(spark, sf):
-    """F4 + F7-style metrics: sliding-window continual runs (W = 250) per task
-    stream; M1 metrics on the predictions j >= W."""
-    p = fold_predictions(FX.task_stream(spark, sf), SLIDE_CFG).filter(~F.isnan("pred"))
+    """sliding-window continual runs (W = 20, fitting the users' 50 to 90 rows) per user; M1 metrics per user
+    and rule on the predictions from row W on."""
+    p = fold_predictions(FX.user_stream(spark, sf), SLIDE_CFG).filter(~F.isnan("pred"))
     return _r(M.class1_metrics(p, ["stream", "algo"]))
 
 
-_Q.update({"f4_sliding_continual": (q_f4_sliding_continual, None)})
+def sql_f4_sliding_continual():
+    f = lambda w, x: "(" + " + ".join(f"{w}[{j}] * {x}[{j}]" for j in (1, 2, 3)) + ")"
+    up = lambda c: "[" + ", ".join(f"p.w[{j}] + ({c}) * q.y * q.x[{j}]" for j in (1, 2, 3)) + "]"
+    s = f("p.w", "q.x")
+    rules = {"PA": f"CASE WHEN q.y * {s} < 1 THEN {up('(1.0 - q.y * ' + s + ') / ' + f('q.x', 'q.x'))} ELSE p.w END",
+             "Perceptron": f"CASE WHEN (CASE WHEN {s} >= 0 THEN 1.0 ELSE -1.0 END) <> q.y THEN {up('1.0')} ELSE p.w END",
+             "Gradient": f"CASE WHEN q.y * {s} < 1 THEN {up('1.0')} ELSE p.w END"}
+    z = "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]"
+    row = lambda w, x, y: f"{{'w': {w}, 'x': {x}, 'y': {y}}}"
+    cell = lambda w, b, o, x, y: f"{{'w': {w}, 'b': {b}, 'o': {o}, 'x': {x}, 'y': {y}}}"
+    nb, no, full = "[]::STRUCT(x DOUBLE[], y DOUBLE)[]", "[]::STRUCT(y DOUBLE, pred DOUBLE)[]", f"len(a.b) >= {SLIDE_W}"
+    parts = []
+    for name, rule in rules.items():
+        train = f"list_reduce(list_transform(a.b, lambda r: {row(z, 'r.x', 'r.y')}), lambda p, q: {row(rule, 'q.x', 'q.y')}, {row('a.w', z, '0.0::DOUBLE')}).w"
+        said = f"{{'y': e.y, 'pred': CASE WHEN {f('v', 'e.x')} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END}}"
+        body = O._let(f"CASE WHEN {full} THEN {train} ELSE a.w END", "v", cell(
+            "v", f"list_append(CASE WHEN {full} THEN a.b[2:] ELSE a.b END, {{'x': e.x, 'y': e.y}})",
+            f"CASE WHEN {full} THEN list_append(a.o, {said}) ELSE a.o END", "e.x", "e.y"))
+        seq = f"SELECT stream, list({cell(z, nb, no, 'x', 'y')} ORDER BY ts, id, x, y) AS seq FROM ({FX.USER_SQL}) GROUP BY stream"
+        parts.append(f"""SELECT stream, '{name}' AS algo, u.y AS y, u.pred AS pred FROM (
+ SELECT stream, unnest(list_reduce(seq, lambda a, e: {body}, {cell(z, nb, no, z, '0.0::DOUBLE')}).o) AS u FROM ({seq}))""")
+    u = " UNION ALL ".join(parts)
+    return sql_m1_class1().replace(f"FROM ({RULE_SQL}) GROUP BY algo", f"FROM ({u}) GROUP BY stream, algo").replace("SELECT algo", "SELECT stream, algo")
+
+
+_Q.update({"f4_sliding_continual": (q_f4_sliding_continual, sql_f4_sliding_continual)})
+
+
+# --------------------------------------- F1 task rounds, then F2, F3 and F7
+ROUND_CFG = [LearnerConfig.of("PA", "pa_study"), LearnerConfig.of("Perceptron", "perceptron", tie=1.0), LearnerConfig.of("Gradient", "gradient")]
+ROUND_C, ROUND_K = 4, 3
+TASKS = FX.EVENT_TYPES
+
+
+def _rounds(spark, sf):
+    from streamlearn.plans.continual import task_rounds
+    d = FX.user_task_stream(spark, sf)
+    return d, *task_rounds(d, ROUND_CFG, TASKS, ROUND_C, ROUND_K, keys=["user"])
+
+
+def _rounds_sql():
+    """(models per user, algo, round; accuracy per algo, task, round) from one fold per round over the rows so far."""
+    pos = "CASE task " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TASKS)) + " END"
+    idx = f"""SELECT *, row_number() OVER (PARTITION BY "user", task ORDER BY ts, id, x, y) - 1 AS idx,
+  count(*) OVER (PARTITION BY "user", task) AS n, {pos} AS round FROM ({FX.USER_TASK_SQL})"""
+    at = f"((idx - round * {ROUND_C}) % n + n) % n"
+    chunk = f"""SELECT "user" AS stream, ts, id, x, y, round, {at} AS p FROM ({idx}) WHERE {at} < {ROUND_C}"""
+    z, one = "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]", "e.x[1] * e.x[1] + e.x[2] * e.x[2] + e.x[3] * e.x[3]"
+    up = lambda c: "[" + ", ".join(f"a.w[{j}] + {c} * e.y * e.x[{j}]" for j in (1, 2, 3)) + "]"
+    rule = {"pa_study": f"CASE WHEN e.y * f < 1 THEN {up(f'(1.0 - e.y * f) / ({one})')} ELSE a.w END",
+            "perceptron": f"CASE WHEN (CASE WHEN f >= 0 THEN 1.0 ELSE -1.0 END) <> e.y THEN {up('1.0')} ELSE a.w END",
+            "gradient": f"CASE WHEN e.y * f < 1 THEN {up('1.0')} ELSE a.w END"}
+    cell = lambda w, x, y: f"{{'w': {w}, 'x': {x}, 'y': {y}}}"
+    ms = []
+    for r in range(len(TASKS)):
+        seq = f"SELECT stream, list({cell(z, 'x', 'y')} ORDER BY round, p, ts, id) AS seq FROM ({chunk}) WHERE round <= {r} GROUP BY stream"
+        for label, name, _ in _cfgs(ROUND_CFG):
+            step = O._let("a.w[1] * e.x[1] + a.w[2] * e.x[2] + a.w[3] * e.x[3]", "f", cell(rule[name], "e.x", "e.y"))
+            ms.append(f"SELECT stream, '{label}' AS algo, {r} AS round, list_reduce(seq, lambda a, e: {step}, {cell(z, z, '0.0::DOUBLE')}).w AS w FROM ({seq})")
+    models = " UNION ALL ".join(ms)
+    slices = f"""SELECT "user" AS stream, task, x, y FROM ({idx}) WHERE idx < {ROUND_K} AND n >= {ROUND_K}"""
+    grid = " UNION ALL ".join(f"SELECT '{c.label}' AS algo, {r} AS round" for c in ROUND_CFG for r in range(-1, len(TASKS)))
+    acc = f"""SELECT g.algo, s.task, g.round, avg(CASE WHEN (CASE WHEN coalesce(m.w[1] * s.x[1] + m.w[2] * s.x[2] + m.w[3] * s.x[3], 0.0) >= 0 THEN 1.0 ELSE -1.0 END) = s.y
+  THEN 1.0 ELSE 0.0 END) AS acc FROM ({slices}) s CROSS JOIN ({grid}) g
+  LEFT JOIN ({models}) m ON m.stream = s.stream AND m.algo = g.algo AND m.round = g.round GROUP BY 1, 2, 3"""
+    return models, acc
+
+
+def q_f1_task_rounds(spark, sf):
+    """per user, models persist over five rounds; round r trains on its chunk of event type r (R10); accuracy of
+    every type's slice (R12) after each round and before the first, pooled over users."""
+    _, _, acc = _rounds(spark, sf)
+    return _r(acc.select("algo", "task", "round", "acc"))
+
+
+def sql_f1_task_rounds():
+    return f"SELECT algo, task, round, {O.rnd('acc')} AS acc FROM ({_rounds_sql()[1]})"
+
+
+def q_f1_f2_f3_round_forgetting(spark, sf):
+    """F2 + F3 on the task rounds: forgetting per round and its mean over the rounds."""
+    from streamlearn.operators.forgetting import overall_forgetting, round_forgetting
+    _, _, acc = _rounds(spark, sf)
+    rf = round_forgetting(acc.select("algo", "task", "round", "trained", "acc"))
+    return _r(rf.join(overall_forgetting(rf), "algo"))
+
+
+def sql_f1_f2_f3_round_forgetting():
+    trained = "CASE round " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TASKS)) + " END"
+    return f"""WITH l AS (SELECT *, lag(acc) OVER (PARTITION BY algo, task ORDER BY round) AS prev, {trained} AS trained FROM ({_rounds_sql()[1]})),
+r AS (SELECT algo, round, avg(greatest(prev - acc, 0.0)) AS f FROM l WHERE prev IS NOT NULL AND task <> trained GROUP BY algo, round)
+SELECT algo, round, {O.rnd('f')} AS forgetting, {O.rnd('avg(f) OVER (PARTITION BY algo)')} AS overall_forgetting FROM r"""
+
+
+def q_f7_final_metrics(spark, sf):
+    """the users' last models on all rows of every event type: M2 metrics per algorithm and type."""
+    from streamlearn.operators.forgetting import final_task_metrics
+    from streamlearn.operators.score import score_linear
+    d, m, _ = _rounds(spark, sf)
+    last = m.filter(F.col("round") == len(TASKS) - 1).select("user", "algo", "w")
+    return _r(final_task_metrics(score_linear(d, last, on=["user"])))
+
+
+def sql_f7_final_metrics():
+    m = f"SELECT * FROM ({_rounds_sql()[0]}) WHERE round = {len(TASKS) - 1}"
+    src = f"""SELECT m.algo, d.task, d.y, CASE WHEN m.w[1] * d.x[1] + m.w[2] * d.x[2] + m.w[3] * d.x[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
+ FROM ({FX.USER_TASK_SQL}) d JOIN ({m}) m ON m.stream = d."user" """
+    return _rates_sql("algo, task", _m2_counts_sql("algo, task", src))
+
+
+# -------------------------------------------------------------- T9 and T12
+def _daily(spark, sf):
+    ev = FX.event_features(spark, sf).withColumn("stream", F.col("user_id").cast("string")).withColumn("positive", F.when(F.col("value_floor") > 50, 1).otherwise(0))
+    a = A.aggregate_periods(ev, FEATS, ts="timestamp", period="1 day", mode="majority", keys=["stream"], label="positive")
+    return a.select("stream", "ts", F.datediff("ts", F.lit("2020-01-01")).cast("long").alias("id"),
+                    F.array(*[F.col(c) / 64.0 for c in FEATS], F.col("user_count")).alias("x"), "y")
+
+
+def q_t9_fit_aggregated(spark, sf):
+    """Daily majority aggregates per user (A2), then the best of 3 shuffles by validation F1 (first 80% of the days train)."""
+    from streamlearn.plans.protocols import best_of_shuffles
+    t = R.temporal_split(_daily(spark, sf), 0.8, keys=["stream"]).drop("idx")
+    b = best_of_shuffles(t.filter("part='train'").drop("part"), t.filter("part='test'").drop("part"), T_CFG, k=3)
+    return _r(b.select("stream", "algo", "shuffle", "val_score"))
+
+
+def sql_t9_fit_aggregated():
+    sums = ", ".join(f"sum({c})::DOUBLE / 64.0" for c in FEATS)
+    daily = f"""SELECT CAST(user_id AS VARCHAR) AS stream, date_trunc('day', timestamp)::TIMESTAMP AS ts,
+  date_diff('day', DATE '2020-01-01', date_trunc('day', timestamp)::DATE) AS id, [{sums}, count(user_id)::DOUBLE] AS x,
+  CASE WHEN sum(CASE WHEN value_floor > 50 THEN 1 ELSE 0 END) > count(*) / 2.0 THEN 1.0 ELSE -1.0 END::DOUBLE AS y
+  FROM ({FX.EVENT_FEATURES_SQL}) GROUP BY 1, 2, 3"""
+    split = f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY stream ORDER BY ts, id) - 1 < floor(0.8 * count(*) OVER (PARTITION BY stream))
+  THEN 'train' ELSE 'test' END AS part FROM ({daily})"""
+    return _best_shuffle_sql(split, len(FEATS) + 1, 3)
+
+
+def q_t12_tune_gamma(spark, sf):
+    """Per user, the first best of 12 gammas by validation F1 (K9 with 200 vectors on a hash split, 20% validation)."""
+    from streamlearn.plans.protocols import tune_gamma
+    s = FX.user_stream(spark, sf).withColumn("_h", hash32("id", 42))
+    n = F.count(F.lit(1)).over(Window.partitionBy("stream"))
+    s = s.withColumn("val", F.row_number().over(Window.partitionBy("stream").orderBy("_h", "id")) <= F.floor(n * 0.2)).drop("_h")
+    return _r(tune_gamma(s.filter("not val").drop("val"), s.filter("val").drop("val")).select("stream", "gamma", "val_score"))
+
+
+def sql_t12_tune_gamma():
+    from streamlearn.plans.protocols import GAMMA_GRID
+    split = f"""SELECT *, 1.0::DOUBLE AS wt, row_number() OVER (PARTITION BY stream ORDER BY {sql_hash32('id', 42)}, id)
+ <= floor(count(*) OVER (PARTITION BY stream) * 0.2) AS val FROM ({FX.USER_SQL})"""
+    k = " + ".join(f"(s.x[{j}] - u.x[{j}]) * (s.x[{j}] - u.x[{j}])" for j in (1, 2, 3))
+    parts = []
+    for i, g in enumerate(GAMMA_GRID):
+        m = O.kernel_fold_sql(f"SELECT * FROM ({split}) WHERE NOT val", [("g", "batch_kpa", {"gamma": g, "C": 1.0})], 3, raw=True)
+        parts.append(f"""SELECT u.stream, {i} AS i, {g!r}::DOUBLE AS gamma, u.y, CASE WHEN coalesce(list_sum(list_transform(m.v, lambda s: s.a * exp({-g!r} * ({k})))), 0.0) >= 0
+ THEN 1.0 ELSE -1.0 END AS pred FROM (SELECT * FROM ({split}) WHERE val) u JOIN ({m}) m USING (stream)""")
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    return f"""SELECT stream, gamma, {O.rnd('f1')} AS val_score FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY f1 DESC, i) AS r FROM (
+ SELECT stream, i, gamma, {_f1s(p, r)} AS f1 FROM ({_m2_counts_sql('stream, i, gamma', " UNION ALL ".join(parts))}))) WHERE r = 1"""
+
+
+_Q.update({
+    "f1_task_rounds": (q_f1_task_rounds, sql_f1_task_rounds),
+    "f1_f2_f3_round_forgetting": (q_f1_f2_f3_round_forgetting, sql_f1_f2_f3_round_forgetting),
+    "f7_final_metrics": (q_f7_final_metrics, sql_f7_final_metrics),
+    "t9_fit_aggregated": (q_t9_fit_aggregated, sql_t9_fit_aggregated),
+    "t12_tune_gamma": (q_t12_tune_gamma, sql_t12_tune_gamma),
+})
 
 
 # ------------------------------------------------- K16 multi-kernel ensemble

@@ -1,4 +1,4 @@
-"""Continual-learning evaluation: forgetting measures.
+"""Continual-learning evaluation: forgetting measures.
 
 Accuracy tables are long: (algo, task, round, acc) or (algo, k, j, acc).
 """
@@ -49,34 +49,6 @@ def peak_drop(acc: DataFrame, algo: str = "algo", k: str = "k", j: str = "j") ->
                          F.coalesce("std_forgetting", F.lit(0.0)).alias("std_forgetting")))
 
 
-def step_forgetting(snaps: DataFrame, rows: DataFrame, W: int, algo: str = "algo") -> DataFrame:
-    """forgetting at step j = sum over past test rows i in [W, j) of
-    max(0, correct(w_{j-1}, i) - correct(w_j, i)) / (j - W); 0 at the first step.
-
-    ``snaps``: (algo, j, w_prev, w) weight snapshots (``w_prev`` = weights
-    before step j's update); ``rows``: (idx, x, y).  The range join is the
-    metric's own O(steps x rows) work; it runs as a distributed join whose
-    snapshot side is bounded by the chosen snapshot steps.
-    """
-    r = rows.filter(F.col("idx") >= W).select("idx", "x", "y")
-    j = snaps.join(r, (r["idx"] >= F.lit(W)) & (r["idx"] < snaps["j"]))
-    def ok(wc):
-        s = F.aggregate(F.zip_with("x", wc, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        p = F.when(s > 0, 1.0).when(s < 0, -1.0).otherwise(1.0)
-        return F.when(p == F.col("y"), 1).otherwise(0)
-    d = j.withColumn("_f", F.greatest(ok(F.col("w_prev")) - ok(F.col("w")), F.lit(0)))
-    per = d.groupBy(algo, "j").agg(F.sum("_f").alias("_s"))
-    out = snaps.select(algo, "j").join(per, [algo, "j"], "left")
-    return out.select(algo, "j", F.when(F.col("j") > W, F.coalesce("_s", F.lit(0)) / (F.col("j") - W))
-                      .otherwise(F.lit(0.0)).alias("forgetting"))
-
-
-def forgetting_summary(sf: DataFrame, algo: str = "algo") -> DataFrame:
-    """F5 summary: mean and population std of per-step forgetting."""
-    return sf.groupBy(algo).agg(F.avg("forgetting").alias("forgetting"),
-                                F.stddev_pop("forgetting").alias("deviation"))
-
-
 def final_task_metrics(preds: DataFrame, g: Sequence[str] = ("algo", "task")) -> DataFrame:
     """M2 metrics per (algorithm, task) on the full task data."""
     return confusion(preds, list(g))

@@ -100,24 +100,22 @@ def score_multi_kernel(df: DataFrame, svs: DataFrame, member: str = "member", ga
     return out.withColumn("pred", F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0))
 
 
+def attribute(df: DataFrame, x: str, w: str, k: int = 3, names: Sequence[str] | None = None) -> DataFrame:
+    """Append ``top``: the k largest contributions x_j w_j with their share (percent) of the positive total (1 if
+    that is not positive).  Row-local array functions only."""
+    total = F.aggregate("_c", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
+    d = df.withColumn("_c", F.zip_with(x, w, lambda a, b: a * b)).withColumn("_t", F.when(total > 0, total).otherwise(F.lit(1.0)))
+    label = (lambda i: F.array(*[F.lit(n) for n in names])[i]) if names else (lambda i: F.concat(F.lit("f"), i.cast("string")))
+    items = F.transform("_c", lambda v, i: F.struct((-v).alias("neg"), i.alias("feature"), label(i).alias("name"),
+                                                    v.alias("contribution"), (F.lit(100.0) * v / F.col("_t")).alias("percent")))
+    top = F.transform(F.slice(F.array_sort(items), 1, k),
+                      lambda s: F.struct(*[s[n].alias(n) for n in ("feature", "name", "contribution", "percent")]))
+    return d.withColumn("top", top).drop("_c", "_t")
+
+
 def explain(df: DataFrame, models: DataFrame, on: Sequence[str] = (), k: int = 3,
             names: Sequence[str] | None = None) -> DataFrame:
-    """Per-row attribution c_j = x_j w_j; percent of the positive total (1
-    if the total <= 0); top-k features by contribution.  Row-local array
-    functions only: no shuffle beyond the model join."""
+    """Top-k attributions of each row under the model of its key (or the one model)."""
     m = models.select(*on, "w")
     j = df.join(m, list(on)) if on else df.crossJoin(F.broadcast(m))
-    contrib = F.zip_with("x", "w", lambda a, b: a * b)
-    j = j.withColumn("_c", contrib)
-    pos_total = F.aggregate("_c", F.lit(0.0), lambda a, v: a + F.greatest(v, F.lit(0.0)))
-    j = j.withColumn("_tot", F.when(pos_total > 0, pos_total).otherwise(F.lit(1.0)))
-    nm = F.array(*[F.lit(n) for n in names]) if names else None
-    items = F.transform("_c", lambda v, i: F.struct(
-        (-v).alias("neg"), i.alias("feature"),
-        (nm[i] if nm is not None else F.concat(F.lit("f"), i.cast("string"))).alias("name"),
-        v.alias("contribution"), (F.lit(100.0) * v / F.col("_tot")).alias("percent")))
-    top = F.slice(F.array_sort(items), 1, k)
-    return j.withColumn("top", F.transform(top, lambda s: F.struct(s["feature"].alias("feature"), s["name"].alias("name"),
-                                                                      s["contribution"].alias("contribution"),
-                                                                      s["percent"].alias("percent")))) \
-            .drop("_c", "_tot", "w")
+    return attribute(j, "x", "w", k, names).drop("w")

@@ -282,3 +282,23 @@ def logistic_baseline(train: DataFrame, l2: float = 0.01, max_iter: int = 1000):
     d = train.select(array_to_vector("x").alias("features"), F.when(F.col("y") > 0, 1.0).otherwise(0.0).alias("label"))
     lr = LogisticRegression(regParam=l2 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
     return lr.fit(d)
+
+
+#: The reference's gamma grid.
+GAMMA_GRID = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0)
+
+
+def tune_gamma(train: DataFrame, val: DataFrame, gammas: Sequence[float] = GAMMA_GRID, max_sv: int = 200,
+               epochs: int = 1, keys=("stream",)) -> DataFrame:
+    """The gamma of the best validation F1 per key (first on a tie).  All gammas are configurations of one
+    fold (K9); the validation rows meet the models of their key in a second fold that does not learn."""
+    from streamlearn.operators.score import score_kernel_keyed
+    keys = list(keys)
+    cfg = [LearnerConfig.of(f"{i:03d}", "batch_kpa", gamma=g, C=1.0, max_sv=max_sv) for i, g in enumerate(gammas)]
+    models = kernel_epochs(train, cfg, epochs, keys)
+    c = confusion_counts(score_kernel_keyed(val, models, cfg, keys), [*keys, "algo"])
+    c = c.withColumn("val_score", selection_metric("f1"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("val_score"), "algo")
+    grid = F.array(*[F.lit(float(g)) for g in gammas])
+    return (c.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+             .select(*keys, F.element_at(grid, F.col("algo").cast("int") + 1).alias("gamma"), "val_score"))

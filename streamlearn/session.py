@@ -1,52 +1,52 @@
-"""Session helpers: a tuned local session for tests/bench and checkpoint handling."""
+"""Session helpers: semantic settings, the shared checkpoint folder, shipping the package."""
 
 from __future__ import annotations
 
 import os
+import site
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What results depend on; everything else (master, memory, partitions) is the cluster's or the caller's.
+SEMANTIC = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "streamlearn") -> SparkSession:
-    """Create (or reuse) a session with the settings the engine relies on.
+              app: str = "streamlearn", **conf: str) -> SparkSession:
+    """Create (or reuse) a session: only the semantic settings are set, and what the caller names.
 
-    On a cluster the master and most settings come from spark-submit; only the
-    semantic settings (UTC session time zone, AQE) are forced here.
+    ``conf`` takes further settings with ``__`` for the dots (``spark__driver__memory="8g"``).
     """
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or cpus
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-          .config("spark.ui.enabled", "false")
-          .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)))
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in SEMANTIC.items():
+        b = b.config(k, v)
+    for k, v in conf.items():
+        b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster is expected to set it to a shared file system.  Only when it is
-    unset (local tests) a fresh temporary folder is created and registered.
+    It must be set to a file system that all executors share.  Only in local mode, where driver and
+    executors are one process, a fresh temporary folder stands in for it.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="streamlearn-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -57,7 +57,27 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
     Used where a result is read by several later jobs (global positions,
     per-epoch model state) so that a lost executor re-reads files instead of
-    recomputing a long lineage.
+    recomputing a long lineage.  ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    removes the files of frames that are no longer referenced.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, unless it is installed or on their PYTHONPATH; once per application."""
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    app = spark.sparkContext.applicationId
+    known = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + site.getsitepackages()
+    if app in _SHIPPED or root in known:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="streamlearn-zip-"), "streamlearn.zip")     # the driver serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

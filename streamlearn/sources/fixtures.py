@@ -36,15 +36,15 @@ USER_SQL = """SELECT CAST(user_id AS VARCHAR) AS stream, ts, event_id AS id,
 FROM events"""
 
 
-def line_stream(spark: SparkSession, sf_dir: str, by_status: bool = True) -> DataFrame:
-    """F-line: lineitem as one large labelled stream (or one per l_linestatus).
+def line_stream(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """F-line: lineitem as one large labelled stream, or one per value of a column (``l_partkey``).
 
     Order is (l_shipdate, id, x, y) with id = 8*l_orderkey + l_linenumber; rows
     that tie on all of these are identical, so any order among them gives the
     same fold.
     """
     li = read_table(spark, sf_dir, "lineitem")
-    stream = F.col("l_linestatus") if by_status else F.lit("all")
+    stream = F.col(by).cast("string") if by else F.lit("all")
     return li.select(
         stream.alias("stream"),
         F.col("l_shipdate").alias("ts"),
@@ -57,8 +57,8 @@ def line_stream(spark: SparkSession, sf_dir: str, by_status: bool = True) -> Dat
     )
 
 
-def line_sql(by_status: bool = True) -> str:
-    stream = "l_linestatus" if by_status else "'all'"
+def line_sql(by: str | None = None) -> str:
+    stream = f"CAST({by} AS VARCHAR)" if by else "'all'"
     return f"""SELECT {stream} AS stream, l_shipdate AS ts,
   CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id,
   [l_quantity / 64.0, l_linenumber::DOUBLE, round(l_discount * 100.0) / 64.0,
@@ -110,7 +110,10 @@ EVENT_FEATURES_SQL = ("SELECT ts AS timestamp, user_id, "
 
 def task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-task: one task per event type; x = [floor(value)/64, k/128, 1]; y = +1 when value > 50."""
-    ev = read_table(spark, sf_dir, "events")
+    return _task_rows(read_table(spark, sf_dir, "events"))
+
+
+def _task_rows(ev: DataFrame, *more) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     return ev.select(
         F.col("event_type").alias("stream"),
@@ -118,6 +121,7 @@ def task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"),
         F.array(F.floor("value").cast("double") / 64.0, k / 128.0, F.lit(1.0)).alias("x"),
         F.when(F.col("value") > 50, 1.0).otherwise(-1.0).alias("y"),
+        *more,
     )
 
 
@@ -145,3 +149,13 @@ RARE_SQL = """SELECT d.lang AS stream, to_timestamp(d.doc_id)::TIMESTAMP AS ts,
   [d.n_chars::DOUBLE / 4096.0, 1.0::DOUBLE] AS x,
   CASE WHEN l.toxic = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS y
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def user_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-task split by user: ``task`` is the event type, one stream per (event type, user)."""
+    t = _task_rows(read_table(spark, sf_dir, "events"), F.col("user_id").cast("string").alias("user"))
+    return t.select(F.concat_ws("/", "stream", "user").alias("stream"), F.col("stream").alias("task"), "user", "ts", "id", "x", "y")
+
+
+USER_TASK_SQL = f"""SELECT t.stream || '/' || CAST(e.user_id AS VARCHAR) AS stream, t.stream AS task, CAST(e.user_id AS VARCHAR) AS "user",
+  t.ts, t.id, t.x, t.y FROM ({TASK_SQL}) t JOIN events e ON e.event_id = t.id"""

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from streamlearn.operators.score import score_linear
+from streamlearn.operators.score import attribute, score_linear
+from streamlearn.plans.fold import STATE_COLS
 from streamlearn.plans.learners import LearnerConfig
 from streamlearn.session import checkpoint_dir
 
@@ -37,12 +38,12 @@ def stream_periods(sdf: DataFrame, features: Sequence[str], ts: str = "timestamp
                       F.when(F.col("_lab") > 0, 1.0).otherwise(-1.0).alias("y"))
 
 
-OUT_SCHEMA = ("stream string, algo string, id long, ts timestamp, y double, pred double, score double, "
+OUT_SCHEMA = ("stream string, algo string, id long, ts timestamp, x array<double>, y double, pred double, score double, "
               "pos long, w_before array<double>")
 STATE_SCHEMA = "models string"
 
 
-def _learn_fn(configs: Sequence[LearnerConfig], init: dict | None):
+def _learn_fn(configs: Sequence[LearnerConfig]):
     cfgs = list(configs)
 
     def fn(key, pdfs, state):
@@ -51,53 +52,50 @@ def _learn_fn(configs: Sequence[LearnerConfig], init: dict | None):
         pdf = pdf.sort_values(["ts", "id"], kind="mergesort")
         if state.exists:
             saved = json.loads(state.get[0])
-        else:
-            saved = {c.label: (init or {}).get((stream, c.label)) for c in cfgs}
-            saved = {k: v for k, v in saved.items() if v is not None}
+        else:                                                   # T15: the start models came with the rows
+            first = pdf["start"].iloc[0] if "start" in pdf.columns and len(pdf) else None
+            saved = {r["algo"]: json.loads(r["state"]) for r in first} if first is not None else {}
             saved["_pos"] = 0
         xs = pdf["x"].tolist()
         ys, ids, tss = pdf["y"].tolist(), pdf["id"].tolist(), pdf["ts"].tolist()
-        if "active" in pdf.columns:
-            act = pdf["active"].tolist()
-        else:
-            act = [True] * len(ys)
-        rows = []
-        pos0 = saved["_pos"]
+        act = pdf["active"].tolist() if "active" in pdf.columns else [True] * len(ys)
+        rows, pos0 = [], saved["_pos"]
         for c in cfgs:
-            L = None
-            pos = pos0
+            learner, pos = None, pos0
             for i in range(len(ys)):
                 if not act[i]:                                  # W6: paused rows are skipped
                     continue
-                x = list(xs[i])
-                if L is None:
-                    L = c.make(len(x))
+                x = [float(v) for v in xs[i]]
+                if learner is None:
+                    learner = c.make(len(x))
                     if c.label in saved:
-                        L.load(saved[c.label])
-                wb = list(L.w)
-                p, s = L.step(x, ys[i])
-                rows.append((stream, c.label, ids[i], tss[i], ys[i], p, s, pos, wb))
+                        learner.load(saved[c.label])
+                before = list(learner.w)
+                p, s = learner.step_row(x, ys[i], ids[i], 1.0) if learner.rowwise else learner.step(x, ys[i])
+                rows.append((stream, c.label, ids[i], tss[i], x, ys[i], p, s, pos, before))
                 pos += 1
-            if L is not None:
-                st = L.state()
-                st["mistakes"] = L.mistakes
-                saved[c.label] = st
+            if learner is not None:
+                saved[c.label] = learner.state() | {"mistakes": learner.mistakes}
         saved["_pos"] = pos0 + sum(1 for a in act if a)
         state.update((json.dumps(saved),))
-        cols = ["stream", "algo", "id", "ts", "y", "pred", "score", "pos", "w_before"]
-        yield pd.DataFrame(rows, columns=cols)
+        yield pd.DataFrame(rows, columns=["stream", "algo", "id", "ts", "x", "y", "pred", "score", "pos", "w_before"])
 
     return fn
 
 
-def stream_learn(sdf: DataFrame, configs: Sequence[LearnerConfig], init: dict | None = None) -> DataFrame:
+def stream_learn(sdf: DataFrame, configs: Sequence[LearnerConfig], init: DataFrame | None = None) -> DataFrame:
     """W2 (+ W6 via an optional boolean ``active`` column): streaming
-    predict-then-learn per stream key with persistent model state; optional
-    pretrained start models ``init`` {(stream, label): state dict} (T15).
-    Emits one row per (row, config) with the pre-update weights."""
+    predict-then-learn per stream key with persistent model state.  T15:
+    ``init`` is a model table (stream, algo, w, ...); a stream-static join lays
+    a stream's models beside its rows, and its first rows start from them.
+    Emits one row per (row, config) with the row's x and the pre-update weights."""
     cols = ["stream", "ts", "id", "x", "y"] + (["active"] if "active" in sdf.columns else [])
-    return sdf.select(*cols).groupBy("stream").applyInPandasWithState(
-        _learn_fn(configs, init), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    d = sdf.select(*cols)
+    if init is not None:
+        state = F.struct("algo", F.to_json(F.struct(*[c for c in STATE_COLS if c in init.columns])).alias("state"))
+        d = d.join(init.groupBy("stream").agg(F.collect_list(state).alias("start")), "stream", "left")   # one entry a configuration
+    return d.groupBy("stream").applyInPandasWithState(
+        _learn_fn(configs), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_score(sdf: DataFrame, models: DataFrame, on: Sequence[str] = ("stream",), tie: float = 1.0) -> DataFrame:
@@ -106,22 +104,10 @@ def stream_score(sdf: DataFrame, models: DataFrame, on: Sequence[str] = ("stream
 
 
 def stream_alerts(preds: DataFrame, k: int = 3, names: Sequence[str] | None = None) -> DataFrame:
-    """Rows predicted +1 with their true class text and top-k attribution
+    """Rows predicted +1 with their true class text and top-k attribution
     computed with the pre-update weights (``w_before``) and the row's ``x``."""
-    a = preds.filter(F.col("pred") == 1.0).withColumn("w", F.col("w_before"))
-    a = a.withColumn("true_class", F.when(F.col("y") > 0, "threat").otherwise("benign"))
-    return _alerts(a, k, names)
-
-
-def _alerts(a: DataFrame, k: int, names):
-    contrib = F.zip_with("x", "w", lambda u, v: u * v)
-    tot = F.aggregate(contrib, F.lit(0.0), lambda s, v: s + F.greatest(v, F.lit(0.0)))
-    a = a.withColumn("_c", contrib).withColumn("_t", F.when(tot > 0, tot).otherwise(F.lit(1.0)))
-    nm = F.array(*[F.lit(n) for n in names]) if names else None
-    items = F.transform("_c", lambda v, i: F.struct((-v).alias("neg"), i.alias("feature"),
-                        (nm[i] if nm is not None else F.concat(F.lit("f"), i.cast("string"))).alias("name"),
-                        v.alias("contribution"), (F.lit(100.0) * v / F.col("_t")).alias("percent")))
-    return a.withColumn("top", F.slice(F.array_sort(items), 1, k)).drop("_c", "_t")
+    a = preds.filter(F.col("pred") == 1.0).withColumn("true_class", F.when(F.col("y") > 0, "threat").otherwise("benign"))
+    return attribute(a, "x", "w_before", k, names)
 
 
 def stream_rates(preds: DataFrame, keys: Sequence[str] = ("stream", "algo")) -> DataFrame:
@@ -134,29 +120,40 @@ def stream_rates(preds: DataFrame, keys: Sequence[str] = ("stream", "algo")) ->
              .withColumn("fpr", F.when(F.col("fp") + F.col("tn") > 0, F.col("fp") / (F.col("fp") + F.col("tn"))).otherwise(0.0)))
 
 
-def run_to_completion(sdf: DataFrame, mode: str = "append", name: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Run a streaming query with ``trigger(availableNow=True)`` into a sink in
-    the shared checkpoint folder and return the sink as a batch DataFrame."""
+def run_to_completion(sdf: DataFrame) -> DataFrame:
+    """Run an append-mode query with ``trigger(availableNow=True)`` into parquet files in the shared
+    checkpoint folder and return them as a batch DataFrame."""
     spark = sdf.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name or uuid.uuid4().hex}"
-    if fmt == "memory":
-        q = (sdf.writeStream.outputMode(mode).format("memory").queryName(name)
-               .option("checkpointLocation", base + "/_chk").trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.table(name)
-    q = (sdf.writeStream.outputMode(mode).format("parquet").option("path", base + "/out")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = (sdf.writeStream.outputMode("append").format("parquet").option("path", base + "/out")
            .option("checkpointLocation", base + "/_chk").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(base + "/out")
+    return spark.read.schema(sdf.schema).parquet(base + "/out")
+
+
+def run_updates(sdf: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Run an update-mode aggregate; every micro-batch's changed rows are written under its batch number (a repeated
+    batch replaces its own files), and the last row of each key is returned."""
+    spark = sdf.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/updates-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+    q = (sdf.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", base + "/_chk")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(base + "/out")
+    rest = [c for c in sdf.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def ordered_file_source(df: DataFrame, part_col: str, name: str | None = None) -> tuple[DataFrame, str]:
-    """Write ``df`` as one parquet folder per ``part_col`` value (e.g. day) in
-    the shared checkpoint folder and open it as a file stream read one file per
-    trigger, so files arrive in order."""
+def ordered_file_source(df: DataFrame, part_col: str, order: Sequence[str] = ("ts",)) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared checkpoint folder as one file per ``part_col`` value (e.g. day), value after value,
+    and open it as a file stream of one file per trigger: files are taken by age, so they arrive in order."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/src-{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").partitionBy(part_col).parquet(base)
-    sdf = (spark.readStream.schema(df.drop(part_col).schema.add(part_col, df.schema[part_col].dataType))
-             .option("maxFilesPerTrigger", 1).parquet(base))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/src-{uuid.uuid4().hex}"
+    for (value,) in sorted(df.select(part_col).distinct().collect()):           # one value a file
+        (df.filter(F.col(part_col) == F.lit(value)).coalesce(1).sortWithinPartitions(*[c for c in order if c in df.columns])
+           .write.mode("append").parquet(base))
+    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
     return sdf, base

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,9 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from streamlearn import get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=4)
+    s = get_spark(master="local[4]", shuffle_partitions=4, spark__ui__enabled="false", spark__driver__memory="8g",
+                  spark__checkpoint__dir=tempfile.mkdtemp(prefix="streamlearn-test-"),
+                  spark__cleaner__referenceTracking__cleanCheckpoints="true")
+    s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -33,7 +33,7 @@ def brute(pdf, cfgs, keys=("stream",)):
 
 @pytest.mark.parametrize("cfgs", [list(MAIN_SEVEN), STUDY], ids=["main", "study"])
 def test_fold_equals_sequential_loop(spark, cfgs):
-    s = FX.line_stream(spark, SF_SMALL, by_status=True)
+    s = FX.line_stream(spark, SF_SMALL, "l_suppkey")
     got = {(r.stream, r.algo): r for r in fold_models(s, cfgs).collect()}
     want = brute(s.toPandas(), cfgs)
     assert set(got) == set(want)

@@ -24,7 +24,7 @@ def test_confusion_sums_and_recall_fnr(spark):
 
 
 def test_splits_exact_and_disjoint(spark):
-    s = FX.line_stream(spark, SF_SMALL, False)
+    s = FX.line_stream(spark, SF_SMALL)
     n = s.count()
     t = R.temporal_split(s, 0.8)
     assert t.filter("part='train'").count() == int(0.8 * n)
@@ -36,7 +36,7 @@ def test_splits_exact_and_disjoint(spark):
 
 
 def test_index_is_a_permutation(spark):
-    s = FX.line_stream(spark, SF_SMALL, False)
+    s = FX.line_stream(spark, SF_SMALL)
     n = s.count()
     i = R.with_index(s)
     r = i.agg(F.min("idx"), F.max("idx"), F.countDistinct("idx")).first()
@@ -44,7 +44,7 @@ def test_index_is_a_permutation(spark):
 
 
 def test_resample_keeps_size(spark):
-    s = FX.line_stream(spark, SF_SMALL, False)
+    s = FX.line_stream(spark, SF_SMALL)
     n = s.count()
     for ratio in (0.1, 0.5, 0.9):
         r = R.resample_ratio(s, ratio)
@@ -59,7 +59,7 @@ def test_scw_eta_half_never_updates(spark):
 
 
 def test_rda_lambda_one_zero_weights_on_scaled_data(spark):
-    s = FX.line_stream(spark, SF_SMALL, False)
+    s = FX.line_stream(spark, SF_SMALL)
     z = apply_scaler(s, fit_scaler(s))
     m = fold_models(z, [LearnerConfig.of("RDA", "rda", lam=1.0, gamma=1.0)]).first()
     assert all(v == 0.0 for v in m.w)
