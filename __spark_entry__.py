@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles as O  # noqa: E402
-from streamlearn.functions.hashing import hash32, sql_hash32  # noqa: E402
+from streamlearn.functions.hashing import hash32, sql_hash32, sql_hash63  # noqa: E402
 from streamlearn.operators import aggregate as A  # noqa: E402
 from streamlearn.operators import metrics as M  # noqa: E402
 from streamlearn.operators import order as R  # noqa: E402
@@ -377,7 +377,7 @@ c AS (SELECT count(*) AS n, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS np, sum(CA
 k AS (SELECT floor(n * 0.5)::BIGINT AS kp, n - floor(n * 0.5)::BIGINT AS kn, np, nn FROM c),
 pos AS (SELECT s.*, row_number() OVER (ORDER BY idx) - 1 AS ci FROM s WHERE y = 1),
 neg AS (SELECT s.*, row_number() OVER (ORDER BY {H42}, id, idx) - 1 AS r FROM s WHERE y = -1),
-draws AS (SELECT range AS draw, ({sql_hash32('range', 43)} % (SELECT np FROM k)) AS ci FROM range((SELECT kp FROM k))),
+draws AS (SELECT range AS draw, ({sql_hash63('range', 43)} % (SELECT np FROM k)) AS ci FROM range((SELECT kp FROM k))),
 pick AS (SELECT pos.y, pos.id, pos.idx FROM draws JOIN pos ON draws.ci = pos.ci
   UNION ALL SELECT y, id, idx FROM neg WHERE r < (SELECT kn FROM k))
 SELECT y, count(*) AS n, sum(id)::BIGINT AS sum_id, sum(idx)::BIGINT AS sum_idx FROM pick GROUP BY y"""
@@ -1867,6 +1867,160 @@ def _study_form(name, params):
 _Q.update({n: _study_form(*v) for n, v in STUDY_FORMS.items()})
 
 
+# ------------------------------- order, labels and selection on their own
+def q_r1_order_stream(spark, sf):
+    """Rows of a user in time order: each row with the id before it, as the partitions hold them."""
+    import pyarrow as pa
+    s = R.order_stream(FX.user_stream(spark, sf).select("stream", "ts", "id", "x", "y"), keys=["stream"]).select("stream", "id")
+
+    def before(batches):
+        last = (None, None)
+        for b in batches:
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            prev = [q[1] if q[0] == r[0] else None for q, r in zip([last, *rows], rows)]
+            last = rows[-1] if rows else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prev, pa.int64())], names=["stream", "id", "prev_id"])
+    return s.mapInArrow(before, "stream string, id long, prev_id long")
+
+
+def sql_r1_order_stream():
+    return f"SELECT stream, id, lag(id) OVER (PARTITION BY stream ORDER BY ts, id, x, y) AS prev_id FROM ({FX.USER_SQL})"
+
+
+def q_r9_epoch_order(spark, sf):
+    """Position of every row of a user in the shuffles of epochs 0 and 3."""
+    s = FX.user_stream(spark, sf)
+    parts = [R.with_index(R.epoch_order(s, e), ["_ord", "id"], ["stream"]).select(F.lit(e).alias("epoch"), "stream", "id", "idx") for e in (0, 3)]
+    return parts[0].unionByName(parts[1]).withColumn("idx", F.col("idx").cast("long"))
+
+
+def sql_r9_epoch_order():
+    return " UNION ALL ".join(f"SELECT {e} AS epoch, stream, id, row_number() OVER (PARTITION BY stream ORDER BY {sql_hash32('id', 42 + e)}, id) - 1 AS idx FROM ({FX.USER_SQL})"
+                              for e in (0, 3))
+
+
+def q_r11_window_rows(spark, sf):
+    """The previous 20 rows themselves, checked by their number and a sum over features and labels."""
+    s = R.window_rows(FX.user_stream(spark, sf), 20)
+    total = F.aggregate("win", F.lit(0.0), lambda a, r: a + r["x"][0] * r["y"] + r["x"][1])
+    return _r(s.select("id", F.size("win").cast("long").alias("n"), total.alias("total")))
+
+
+def sql_r11_window_rows():
+    w = "OVER (PARTITION BY stream ORDER BY ts, id, x, y ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    return f"SELECT id, count(y) {w} AS n, {O.rnd(f'coalesce(sum(x[1] * y + x[2]) {w}, 0.0)')} AS total FROM ({FX.USER_SQL})"
+
+
+def q_p4_drop_entity(spark, sf):
+    """The period table's features without the entity: columns left, rows and a sum."""
+    d = P.drop_entity(FX.event_features(spark, sf))
+    return _r(d.agg(F.lit(len(d.columns)).alias("n_columns"), F.count(F.lit(1)).alias("n"), F.sum("value_floor").alias("total")))
+
+
+def sql_p4_drop_entity():
+    return f"SELECT {len(FEATS) + 2} AS n_columns, count(*) AS n, {O.rnd('sum(value_floor)')} AS total FROM ({FX.EVENT_FEATURES_SQL})"
+
+
+def q_p6_p11_labels(spark, sf):
+    """P6 + P11: three-valued raw signs of (value - 50) as 0/1 and with zero coerced to +1, counted."""
+    from streamlearn.functions.labels import coerce_zero, to_01
+    raw = F.signum(F.floor("value") - 50).cast("double")
+    d = S.read_table(spark, sf, "events").select(raw.alias("raw"))
+    return d.select("raw", to_01("raw").alias("y01"), coerce_zero("raw").alias("coerced")).groupBy("raw", "y01", "coerced").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sql_p6_p11_labels():
+    return """SELECT raw, CASE WHEN raw = 1 THEN 1 ELSE 0 END AS y01, CASE WHEN raw = 0 THEN 1.0 ELSE raw END::DOUBLE AS coerced, count(*) AS n
+ FROM (SELECT sign(floor(value) - 50)::DOUBLE AS raw FROM events) GROUP BY 1, 2, 3"""
+
+
+def q_u2_selection_metrics(spark, sf):
+    """The four selection metrics per user from the perceptron's running counts."""
+    m = fold_models(FX.user_stream(spark, sf), FLAG_CFG)
+    return _r(m.select("stream", *[M.selection_metric(n).alias(n) for n in M.SELECT_METRICS]))
+
+
+def sql_u2_selection_metrics():
+    f = O.fold_sql(FX.USER_SQL, _cfgs(FLAG_CFG), 3, out_w=False)
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    return f"""SELECT stream, {O.rnd(r)} AS recall, {O.rnd(_f1s(p, r))} AS f1, {O.rnd('1.0 - ' + _div('fn', 'fn + tp'))} AS fnr_min,
+ {O.rnd('(tp + tn)::DOUBLE / (tp + fp + tn + fn)')} AS accuracy FROM ({f})"""
+
+
+_Q.update({
+    "r1_order_stream": (q_r1_order_stream, sql_r1_order_stream),
+    "r9_epoch_order": (q_r9_epoch_order, sql_r9_epoch_order),
+    "r11_window_rows": (q_r11_window_rows, sql_r11_window_rows),
+    "p4_drop_entity": (q_p4_drop_entity, sql_p4_drop_entity),
+    "p6_p11_labels": (q_p6_p11_labels, sql_p6_p11_labels),
+    "u2_selection_metrics": (q_u2_selection_metrics, sql_u2_selection_metrics),
+})
+
+
+# ----------------------------------------------------- T14 scenario grid
+GRID_RATIOS = (0.5, 0.7, 0.9)
+GRID_KERNEL = [LearnerConfig.of("PA", "kpa", gamma=1.0), LearnerConfig.of("Perceptron", "kperceptron", gamma=1.0), LearnerConfig.of("OGC", "kogc", gamma=1.0),
+               LearnerConfig.of("AROW", "karow", gamma=1.0, r=0.1), LearnerConfig.of("RDA", "krda", gamma=1.0, lam=0.01),
+               LearnerConfig.of("SCW", "kscw", gamma=1.0, C=1.0, eta=0.9), LearnerConfig.of("AdaRDA", "kadarda", gamma=1.0, lam=0.01)]
+
+
+def _grid(spark, sf):
+    from streamlearn.plans.grid import run_grid
+    return run_grid(FX.user_stream(spark, sf), MAIN_SEVEN, GRID_KERNEL, GRID_RATIOS)
+
+
+def _grid_sql():
+    from streamlearn.functions.hashing import sql_hash_unit
+    ratios = ", ".join(f"({r!r}::DOUBLE)" for r in GRID_RATIOS)
+    src = f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, id, x, y) AS i, count(*) OVER (PARTITION BY stream) AS n,
+   count(*) OVER (PARTITION BY stream, y) AS size, row_number() OVER (PARTITION BY stream, y ORDER BY ts, id, x, y) - 1 AS rk,
+   row_number() OVER (PARTITION BY stream, y ORDER BY {sql_hash32('id', 42)}, id) - 1 AS pick FROM ({FX.USER_SQL})),
+ d AS (SELECT b.*, r.ratio, (CASE WHEN y > 0 THEN floor(n * r.ratio) ELSE n - floor(n * r.ratio) END)::BIGINT AS want FROM b, (VALUES {ratios}) r(ratio)),
+ q AS (SELECT stream, y, ratio, size, unnest(range(0, want)) AS draw FROM d WHERE want > size AND rk = 0),
+ g AS (SELECT *, CASE WHEN y > 0 THEN {sql_hash63('draw', 43)} % size ELSE {sql_hash63('draw', 44)} % size END AS rk FROM q),
+ r AS (SELECT stream, ratio, id, x, y, i, 0 AS draw FROM d WHERE want <= size AND pick < want
+   UNION ALL SELECT d.stream, d.ratio, d.id, d.x, d.y, d.i, g.draw FROM d JOIN g ON g.stream = d.stream AND g.y = d.y AND g.ratio = d.ratio AND g.rk = d.rk),
+ s AS (SELECT *, row_number() OVER (PARTITION BY stream, ratio ORDER BY i, draw) - 1 AS idx, row_number() OVER (PARTITION BY stream, ratio, y ORDER BY i, draw) - 1 AS cr,
+   count(*) OVER (PARTITION BY stream, ratio) AS n, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream, ratio) AS np FROM r),
+ e AS (SELECT *, n - np AS nn, np / n > 0.85 AS ext, floor((CASE WHEN np / n > 0.85 THEN 0.5 ELSE 0.75 END) * np) AS st FROM s),
+ f AS (SELECT *, (CASE WHEN y > 0 THEN pow(10.0, ({sql_hash_unit('id', 42)} * 2.0 - 1.0) * (CASE WHEN ext THEN 2.0 ELSE 1.0 END))
+   WHEN ext THEN 0.05 + 0.45 * (1.0 + sin(CASE WHEN nn > 1 THEN 2.0 * pi() * cr / (nn - 1) ELSE 0.0 END)) ELSE 0.1 END)
+   * (CASE WHEN y > 0 AND np > 4 AND cr >= st THEN (CASE WHEN ext THEN (CASE WHEN np - st > 1 THEN 10.0 + 190.0 * (cr - st) / (np - st - 1) ELSE 10.0 END) ELSE 50.0 END) ELSE 1.0 END)
+   * (CASE WHEN ext AND idx >= floor(0.75 * n) THEN 5.0 ELSE 1.0 END) AS fac FROM e)
+ SELECT stream || '|' || CAST(ratio AS VARCHAR) AS stream, idx, id, [x[1] * fac, x[2] * fac, x[3] * fac] AS x, y, 1.0::DOUBLE AS wt FROM f"""
+    on = O.fold_sql(src, _cfgs(MAIN_SEVEN), 3, order="idx", out_w=False)
+    ke = O.kernel_fold_sql(src, _cfgs(GRID_KERNEL), 3, order="idx")
+    f1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END"
+    return f"""SELECT *, max(CASE WHEN method = 'kernel' THEN f1 END) OVER (PARTITION BY ratio, algo) - max(CASE WHEN method = 'online' THEN f1 END) OVER (PARTITION BY ratio, algo) AS gain
+ FROM (SELECT ratio, algo, method, {f1} AS f1, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy FROM (
+ SELECT split_part(stream, '|', 2)::DOUBLE AS ratio, algo, method, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (
+  SELECT stream, algo, 'online' AS method, tp, fp, tn, fn FROM ({on}) UNION ALL SELECT stream, algo, 'kernel' AS method, tp, fp, tn, fn FROM ({ke})) GROUP BY 1, 2, 3))"""
+
+
+def q_t14_scenario_grid(spark, sf):
+    """Three class ratios (R8) with outliers (D2-D5) x seven rules x online and kernel, all users in one fold."""
+    return _r(_grid(spark, sf))
+
+
+def sql_t14_scenario_grid():
+    return f"SELECT ratio, algo, method, {O.rnd('f1')} AS f1, {O.rnd('accuracy')} AS accuracy, {O.rnd('gain')} AS gain FROM ({_grid_sql()})"
+
+
+def q_t14_q1_mean_gain(spark, sf):
+    """Q1 on the grid: mean F1 per ratio online and kernel, and the gain."""
+    from streamlearn.operators.report import mean_gain
+    return _r(mean_gain(_grid(spark, sf), ["ratio"]))
+
+
+def sql_t14_q1_mean_gain():
+    side = lambda m: f"avg(CASE WHEN method = '{m}' THEN f1 END)"
+    return f"""SELECT ratio, {O.rnd(side('online'))} AS online, {O.rnd(side('kernel'))} AS kernel, {O.rnd(side('kernel') + ' - ' + side('online'))} AS gain
+ FROM ({_grid_sql()}) GROUP BY ratio"""
+
+
+_Q.update({"t14_scenario_grid": (q_t14_scenario_grid, sql_t14_scenario_grid), "t14_q1_mean_gain": (q_t14_q1_mean_gain, sql_t14_q1_mean_gain)})
+
+
 # ------------------------------------------- training-data operators, if there
 def _add_llm() -> dict[str, str]:
     """Add the queries of the ``llm`` subpackage and the pipeline; without them, add nothing."""

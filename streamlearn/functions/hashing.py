@@ -48,3 +48,16 @@ def sql_hash32(key_sql: str, seed: int = 0) -> str:
 
 def sql_hash_unit(key_sql: str, seed: int = 0) -> str:
     return f"(({sql_hash32(key_sql, seed)})::DOUBLE / {float(_M32)})"
+
+
+def hash63(key, seed: int = 0) -> Column:
+    """Hash a BIGINT key column to [0, 2^63): two 32-bit hashes, both halves of the key in each."""
+    k, high = _c(key).cast("long"), F.shiftright(_c(key).cast("long"), 32)
+    half = lambda s: hash32(k, s).bitwiseXOR(hash32(high, s + 1))
+    return F.shiftright(half(seed), 1) * F.lit(_M32) + half(seed + 2)
+
+
+def sql_hash63(key_sql: str, seed: int = 0) -> str:
+    """The same hash as a SQL expression string."""
+    half = lambda s: f"xor({sql_hash32(key_sql, s)}, {sql_hash32(f'(({key_sql})::BIGINT >> 32)', s + 1)})"
+    return f"((({half(seed)}) >> 1) * {_M32} + {half(seed + 2)})"

@@ -48,22 +48,9 @@ def _balance(df: DataFrame, y: str = "y") -> DataFrame:
                   F.sum(F.when(F.col(y) == -1, 1).otherwise(0)).alias("_nn"))
 
 
-def perturb(df: DataFrame, seed: int = 42, order: Sequence[str] = DEFAULT_ORDER,
-            steps: Sequence[str] = ("positives", "negatives", "late", "shift")) -> DataFrame:
-    """D2-D5 composed (the outlier-injection recipe), in this order:
-
-    * D2 positives: x *= 10^U, U uniform in (-1, 1), or (-2, 2) when the positive ratio > 0.85
-    * D3 negatives: x *= 0.1; extreme: x *= 0.05 + 0.45 (1 + sin t), t = 2 pi r/(n_neg - 1)
-    * D4 late positives (only if > 4): rank >= int(.75 n_pos) x *= 50; extreme:
-      rank >= int(.5 n_pos) x *= linspace(10, 200) over those rows
-    * D5 extreme only: rows with idx >= int(.75 n) x *= 5
-
-    The global index and class ranks come from one range-partitioned index over
-    (class, order) plus class offsets; the class counts are one tiny row.
-    """
-    d = with_index(df, order, col="idx")
-    d = with_index(d, order, ["y"], col="cr", method="range")
-    d = d.crossJoin(F.broadcast(_balance(df)))      # one row of counts
+def outlier_factor(seed: int = 42, steps: Sequence[str] = ("positives", "negatives", "late", "shift")) -> Column:
+    """D2-D5 as one factor of x, from the columns y, id, idx (position), cr (rank within the class) and the numbers
+    of rows _n, of positives _np and of negatives _nn."""
     ratio = F.col("_np") / F.col("_n")
     extreme = ratio > 0.85
     pos, neg = F.col("y") == 1, F.col("y") == -1
@@ -84,5 +71,25 @@ def perturb(df: DataFrame, seed: int = 42, order: Sequence[str] = DEFAULT_ORDER,
         f = F.when(pos & (F.col("_np") > 4) & (F.col("cr") >= start), f * boost).otherwise(f)
     if "shift" in steps:
         f = F.when(extreme & (F.col("idx") >= F.floor(F.lit(0.75) * F.col("_n"))), f * 5.0).otherwise(f)
+    return f
+
+
+def perturb(df: DataFrame, seed: int = 42, order: Sequence[str] = DEFAULT_ORDER,
+            steps: Sequence[str] = ("positives", "negatives", "late", "shift")) -> DataFrame:
+    """D2-D5 composed (the outlier-injection recipe), in this order:
+
+    * D2 positives: x *= 10^U, U uniform in (-1, 1), or (-2, 2) when the positive ratio > 0.85
+    * D3 negatives: x *= 0.1; extreme: x *= 0.05 + 0.45 (1 + sin t), t = 2 pi r/(n_neg - 1)
+    * D4 late positives (only if > 4): rank >= int(.75 n_pos) x *= 50; extreme:
+      rank >= int(.5 n_pos) x *= linspace(10, 200) over those rows
+    * D5 extreme only: rows with idx >= int(.75 n) x *= 5
+
+    The global index and class ranks come from one range-partitioned index over
+    (class, order) plus class offsets; the class counts are one tiny row.
+    """
+    d = with_index(df, order, col="idx")
+    d = with_index(d, order, ["y"], col="cr", method="range")
+    d = d.crossJoin(F.broadcast(_balance(df)))      # one row of counts
+    f = outlier_factor(seed, steps)
     out = d.withColumn("factor", f).withColumn("x", F.transform("x", lambda v: v * F.col("factor")))
     return out.drop("_n", "_np", "_nn")

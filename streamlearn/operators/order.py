@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlearn.functions.hashing import hash32
+from streamlearn.functions.hashing import hash32, hash63
 from streamlearn.session import reliable_checkpoint
 
 DEFAULT_ORDER = ("ts", "id", "x", "y")
@@ -49,10 +49,10 @@ def with_index(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER, keys: Sequen
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(col, F.row_number().over(w) - 1)
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [num_partitions] if num_partitions else []      # else the session's number, coalesced by AQE
     # Range bounds use the scalar sort columns; rows tying on them stay together.
     scalar = [c for c in keys + order if dict(df.dtypes).get(c, "").split("<")[0] not in ("array", "struct", "map")]
-    ranged = (df.repartitionByRange(n, *scalar).sortWithinPartitions(*keys, *order)
+    ranged = (df.repartitionByRange(*parts, *scalar).sortWithinPartitions(*keys, *order)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = reliable_checkpoint(ranged)   # positions must not change on recomputation
     pid, local = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit(_LOW33))
@@ -65,13 +65,23 @@ def with_index(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER, keys: Sequen
                  .withColumn(col, F.col("_off") + F.col("_loc")))
     if keys:
         first = out.groupBy(*keys).agg(F.min(col).alias("_first"))
-        out = out.join(first, keys).withColumn(col, F.col(col) - F.col("_first")).drop("_first")
+        out = out.join(_small(first), keys).withColumn(col, F.col(col) - F.col("_first")).drop("_first")
     return out.drop("_mid", "_pid", "_loc", "_off")
 
 
-def _with_counts(df: DataFrame, keys: Sequence[str], col: str = "_n") -> DataFrame:
+#: Groups up to which a table of one row per group is broadcast.
+SMALL_GROUPS = 10_000
+
+
+def _small(groups: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per group if it is small (class labels are), so that a hot group is not shuffled."""
+    return F.broadcast(groups) if groups.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS else groups
+
+
+def _with_counts(df: DataFrame, keys: Sequence[str], col: str = "_n", few: bool = False) -> DataFrame:
     if keys:
-        return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(col)), list(keys))
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(col))
+        return df.join(_small(counts) if few else counts, list(keys))
     return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(col))))  # one row
 
 
@@ -124,7 +134,7 @@ def stratified_split(df: DataFrame, fracs: Sequence[float] = (0.6, 0.2, 0.2),
     range method (never one task per class)."""
     d = df.withColumn("_h", hash32(id_col, seed))
     d = with_index(d, ["_h", id_col], [label], method="range")
-    d = _with_counts(d, [label])
+    d = _with_counts(d, [label], few=True)
     return _cut(d, fracs, names).drop("_n", "_h")
 
 
@@ -132,9 +142,10 @@ def entity_split(df: DataFrame, entity: str = "stream", fracs: Sequence[float] =
                  seed: int = 42) -> DataFrame:
     """Entity-disjoint split.  Distinct entities are shuffled by hash; the
     first round(0.2 m) go to ``test``, the next round(0.2 m) to ``val``, the
-    rest to ``train`` (round half to even).  Entity ids must be integer-like
-    (the hash is integer arithmetic so the oracle can repeat it)."""
-    ents = df.select(entity).distinct().withColumn("_h", hash32(F.col(entity).cast("long"), seed))
+    rest to ``train`` (round half to even).  Integer-like ids are hashed as
+    numbers (so SQL can repeat it), other ids by their text."""
+    number = F.coalesce(F.col(entity).try_cast("long"), F.xxhash64(F.col(entity).cast("string")))
+    ents = df.select(entity).distinct().withColumn("_h", hash32(number, seed))
     ents = with_index(ents, ["_h", entity], method="range", col="_r")
     ents = _with_counts(ents, [])
     a = F.bround(F.lit(fracs[0]) * F.col("_n"), 0)
@@ -145,8 +156,20 @@ def entity_split(df: DataFrame, entity: str = "stream", fracs: Sequence[float] =
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """Exactly n rows without replacement (top-n by hash; a top-k plan)."""
-    return df.withColumn("_h", hash32(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    """Exactly n rows without replacement, those of the n smallest (hash, id).
+
+    Only hash and id are sorted, to find the n-th; the rows are then filtered.  Of rows tying with the n-th, as many
+    as are missing are taken."""
+    if n <= 0:
+        return df.limit(0)
+    h = hash32(id_col, seed)
+    pos = with_index(df.select(h.alias("_h"), F.col(id_col).alias("_id")), ["_h", "_id"])
+    last = pos.filter(F.col("idx") == n - 1).first()
+    if last is None:
+        return df
+    less = (h < last["_h"]) | ((h == last["_h"]) & (F.col(id_col) < last["_id"]))
+    before = pos.filter((F.col("_h") == last["_h"]) & (F.col("_id") == last["_id"])).agg(F.min("idx")).first()[0]
+    return df.filter(less).unionByName(df.filter((h == last["_h"]) & (F.col(id_col) == last["_id"])).limit(n - before))
 
 
 def class_local_index(df: DataFrame, label: str = "y", order: Sequence[str] = DEFAULT_ORDER,
@@ -161,7 +184,7 @@ def resample_ratio(df: DataFrame, ratio: float = 0.5, seed: int = 42, label: str
 
     n_pos = int(n * ratio), n_neg = n - n_pos.  A class with at least k rows
     keeps its k rows of smallest hash (without replacement); a smaller class is
-    drawn with replacement: draw i picks class row ``hash(i) mod size``.
+    drawn with replacement: draw i picks class row ``hash63(i) mod size``.
     Output keeps time order (``idx``, then ``draw``); duplicates are kept.
     """
     spark = df.sparkSession
@@ -182,7 +205,7 @@ def resample_ratio(df: DataFrame, ratio: float = 0.5, seed: int = 42, label: str
         else:
             cl = with_index(sub, ["idx"], col="_ci")
             draws = spark.range(k).select(F.col("id").alias("draw"),
-                                          F.pmod(hash32("id", seed + (1 if cls > 0 else 2)), F.lit(size)).alias("_ci"))
+                                          F.pmod(hash63("id", seed + (1 if cls > 0 else 2)), F.lit(size)).alias("_ci"))
             parts.append(cl.join(draws, "_ci").drop("_ci"))
     out = parts[0]
     for p in parts[1:]:
@@ -212,13 +235,19 @@ def trailing_window(df: DataFrame, W: int = 250, keys: Sequence[str] = ("stream"
               .withColumn("win_sum", F.sum(F.col(value)).over(w)))
 
 
+def window_rows(df: DataFrame, W: int = 250, keys: Sequence[str] = ("stream",),
+                order: Sequence[str] = DEFAULT_ORDER, col: str = "win") -> DataFrame:
+    """R11 with the rows: each row carries the (x, y) of the previous W rows of its stream, at most W of them."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-W, -1)
+    return df.withColumn(col, F.collect_list(F.struct("x", "y")).over(w))
+
+
 def eval_slice(df: DataFrame, K: int = 200, keys: Sequence[str] = ("stream",),
                order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """First K rows per task; tasks with fewer than K rows are skipped."""
+    """First K rows per task; tasks with fewer than K rows are skipped (a grouped count, so that the row limit
+    reaches the window)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    wc = Window.partitionBy(*keys)
-    return (df.withColumn("_rn", F.row_number().over(w)).withColumn("_c", F.count(F.lit(1)).over(wc))
-              .filter((F.col("_rn") <= K) & (F.col("_c") >= K)).drop("_rn", "_c"))
+    return (min_rows(df, K, keys).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= K).drop("_rn"))
 
 
 def min_rows(df: DataFrame, k: int = 10, keys: Sequence[str] = ("stream",)) -> DataFrame:
