@@ -531,19 +531,10 @@ DRIFT_MODES = ("square", "sincos", "exp", "radial")
 
 
 def q_d1_drift(spark, sf):
-    """Each drift mode applied after the middle of the lineitem stream."""
-    from streamlearn.operators.drift import drift_expr
-    d = R.with_index(FX.line_stream(spark, sf))
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
-    d = d.crossJoin(F.broadcast(n))
-    outs = []
-    for m in DRIFT_MODES:
-        x = F.when(F.col("idx") >= F.floor(F.lit(0.5) * F.col("_n")), drift_expr(F.col("x"), m)).otherwise(F.col("x"))
-        outs.append(d.select(F.lit(m).alias("mode"), x.alias("x")))
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    return _r(u.groupBy("mode").agg(*[F.sum(F.col("x")[j]).alias(f"s{j}") for j in range(4)]))
+    """Each drift mode applied after the middle of the lineitem stream; mean of every feature."""
+    from streamlearn.operators.drift import inject_drifts
+    d = inject_drifts(FX.line_stream(spark, sf), DRIFT_MODES)
+    return _r(d.groupBy("mode").agg(*[F.avg(F.col("x")[j]).alias(f"s{j}") for j in range(4)]))
 
 
 def sql_d1_drift():
@@ -559,7 +550,7 @@ def sql_d1_drift():
     }
     parts = []
     for m, ex in modes.items():
-        cols = ", ".join(O.rnd(f"sum(CASE WHEN late THEN {e} ELSE x[{j + 1}] END)") + f" AS s{j}" for j, e in enumerate(ex))
+        cols = ", ".join(O.rnd(f"avg(CASE WHEN late THEN {e} ELSE x[{j + 1}] END)") + f" AS s{j}" for j, e in enumerate(ex))
         parts.append(f"SELECT '{m}' AS mode, {cols} FROM s")
     return base + " " + " UNION ALL ".join(parts)
 

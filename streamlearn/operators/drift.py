@@ -32,14 +32,23 @@ def drift_expr(x: Column, mode: str) -> Column:
     raise ValueError(mode)
 
 
+def inject_drifts(df: DataFrame, modes: Sequence[str], cut_frac: float = 0.5, keys: Sequence[str] = (),
+                  order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+    """D1 for several modes in one pass: each row once per mode (column ``mode``); rows at position >=
+    int(cut_frac * n) get the mode's transform."""
+    d = with_index(df, order, keys)
+    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    d = d.join(n, list(keys)) if keys else d.crossJoin(F.broadcast(n))      # one row of counts
+    late = F.col("idx") >= F.floor(F.lit(cut_frac) * F.col("_n"))
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.when(late, drift_expr(F.col("x"), m)).otherwise(F.col("x")).alias("x")) for m in modes])
+    rest = [c for c in d.columns if c not in ("x", "_n")]
+    return d.select(*rest, F.explode(each).alias("_m")).select(*rest, "_m.mode", "_m.x")
+
+
 def inject_drift(df: DataFrame, mode: str, cut_frac: float = 0.5, keys: Sequence[str] = (),
                  order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """Rows at position >= int(cut_frac * n) get the drift transform."""
-    d = with_index(df, order, keys)
-    n = (d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    d = d.join(n, list(keys)) if keys else d.crossJoin(F.broadcast(n))
-    cut = F.floor(F.lit(cut_frac) * F.col("_n"))
-    return d.withColumn("x", F.when(F.col("idx") >= cut, drift_expr(F.col("x"), mode)).otherwise(F.col("x"))).drop("_n")
+    return inject_drifts(df, [mode], cut_frac, keys, order).drop("mode")
 
 
 def _balance(df: DataFrame, y: str = "y") -> DataFrame:
@@ -84,12 +93,11 @@ def perturb(df: DataFrame, seed: int = 42, order: Sequence[str] = DEFAULT_ORDER,
       rank >= int(.5 n_pos) x *= linspace(10, 200) over those rows
     * D5 extreme only: rows with idx >= int(.75 n) x *= 5
 
-    The global index and class ranks come from one range-partitioned index over
-    (class, order) plus class offsets; the class counts are one tiny row.
+    Position and class rank come from one range-partitioned index; the class
+    counts are one tiny row.
     """
-    d = with_index(df, order, col="idx")
-    d = with_index(d, order, ["y"], col="cr", method="range")
-    d = d.crossJoin(F.broadcast(_balance(df)))      # one row of counts
+    d = with_index(df, order, col="idx", within="y", within_col="cr")
+    d = d.crossJoin(F.broadcast(_balance(d)))      # one row of counts
     f = outlier_factor(seed, steps)
     out = d.withColumn("factor", f).withColumn("x", F.transform("x", lambda v: v * F.col("factor")))
     return out.drop("_n", "_np", "_nn")

@@ -11,11 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamlearn.functions.hashing import hash32, hash63
-from streamlearn.session import reliable_checkpoint
+from streamlearn.session import written
 
 DEFAULT_ORDER = ("ts", "id", "x", "y")
 _LOW33 = (1 << 33) - 1
@@ -29,7 +33,8 @@ def order_stream(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] =
 
 
 def with_index(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER, keys: Sequence[str] = (),
-               col: str = "idx", method: str = "auto", num_partitions: int | None = None) -> DataFrame:
+               col: str = "idx", method: str = "auto", num_partitions: int | None = None,
+               within: str | None = None, within_col: str = "cidx") -> DataFrame:
     """R2: 0-based position in ``order`` (globally, or within each key).
 
     ``method``:
@@ -39,6 +44,9 @@ def with_index(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER, keys: Sequen
       * ``window`` -- ``row_number()`` over ``partitionBy(keys)``; best for many
         small keys (no checkpoint), a single huge key lands in one task.
       * ``auto`` -- ``range`` without keys, ``window`` with keys.
+
+    ``within`` names a column of few values (a class): ``within_col`` then is the row's position among the rows of its
+    class, from the same pass (range method).
     """
     keys, order = list(keys), list(order)
     if method == "auto":
@@ -48,25 +56,50 @@ def with_index(df: DataFrame, order: Sequence[str] = DEFAULT_ORDER, keys: Sequen
             raise ValueError("window method needs keys")
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(col, F.row_number().over(w) - 1)
-    spark = df.sparkSession
     parts = [num_partitions] if num_partitions else []      # else the session's number, coalesced by AQE
     # Range bounds use the scalar sort columns; rows tying on them stay together.
     scalar = [c for c in keys + order if dict(df.dtypes).get(c, "").split("<")[0] not in ("array", "struct", "map")]
-    ranged = (df.repartitionByRange(*parts, *scalar).sortWithinPartitions(*keys, *order)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = reliable_checkpoint(ranged)   # positions must not change on recomputation
-    pid, local = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit(_LOW33))
-    counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranged = df.repartitionByRange(*parts, *scalar).sortWithinPartitions(*keys, *order)
+    ranged = written(_numbered(ranged, within), "index")       # positions must not change on recomputation
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a tiny table, ordered once
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).select("_pid", "_off")
-    out = (ranged.withColumn("_pid", pid).withColumn("_loc", local)
-                 .join(F.broadcast(offsets), "_pid")
-                 .withColumn(col, F.col("_off") + F.col("_loc")))
+    out = ranged.join(F.broadcast(offsets), "_pid").withColumn(col, F.col("_off") + F.col("_loc"))
+    if within:
+        wc = Window.partitionBy(within).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        by = (ranged.groupBy("_pid", within).agg(F.count(F.lit(1)).alias("_cnt"))
+                    .withColumn("_coff", F.coalesce(F.sum("_cnt").over(wc), F.lit(0))).select("_pid", within, "_coff"))
+        # one row per partition and class
+        out = out.join(F.broadcast(by), ["_pid", within]).withColumn(within_col, F.col("_coff") + F.col("_cloc")).drop("_coff", "_cloc")
     if keys:
         first = out.groupBy(*keys).agg(F.min(col).alias("_first"))
         out = out.join(_small(first), keys).withColumn(col, F.col(col) - F.col("_first")).drop("_first")
-    return out.drop("_mid", "_pid", "_loc", "_off")
+    return out.select(*df.columns, col, *([within_col] if within else []))
+
+
+def _numbered(df: DataFrame, within: str | None) -> DataFrame:
+    """Add the partition (``_pid``), the position in it (``_loc``) and, with a class column of few values, the position
+    among the rows of the class in it (``_cloc``)."""
+    if not within:
+        mid = F.monotonically_increasing_id()
+        return df.withColumn("_mid", mid).select(*df.columns, F.shiftright("_mid", 33).cast("int").alias("_pid"),
+                                                 F.col("_mid").bitwiseAND(F.lit(_LOW33)).alias("_loc"))
+    schema = T.StructType(df.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_loc", T.LongType()), T.StructField("_cloc", T.LongType())])
+
+    def number(batches):
+        pid, done, seen = TaskContext.get().partitionId(), 0, {}
+        for b in batches:
+            values, at = np.unique(b.column(b.schema.get_field_index(within)).to_numpy(zero_copy_only=False), return_inverse=True)
+            local = np.zeros(b.num_rows, np.int64)
+            for i, v in enumerate(values.tolist()):
+                here = np.nonzero(at == i)[0]
+                local[here] = seen.get(v, 0) + np.arange(len(here))
+                seen[v] = seen.get(v, 0) + len(here)
+            loc = done + np.arange(b.num_rows)
+            done += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(loc), pa.array(local)], names=schema.names)
+    return df.mapInArrow(number, schema)
 
 
 #: Groups up to which a table of one row per group is broadcast.
@@ -133,7 +166,7 @@ def stratified_split(df: DataFrame, fracs: Sequence[float] = (0.6, 0.2, 0.2),
     Classes are few and may be huge, so the class-local position comes from the
     range method (never one task per class)."""
     d = df.withColumn("_h", hash32(id_col, seed))
-    d = with_index(d, ["_h", id_col], [label], method="range")
+    d = with_index(d, ["_h", id_col], col="_all", within=label, within_col="idx").drop("_all")
     d = _with_counts(d, [label], few=True)
     return _cut(d, fracs, names).drop("_n", "_h")
 
@@ -175,7 +208,7 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataF
 def class_local_index(df: DataFrame, label: str = "y", order: Sequence[str] = DEFAULT_ORDER,
                       col: str = "cidx") -> DataFrame:
     """Position of each row within its class in ``order`` (range method)."""
-    return with_index(df, order, [label], col=col, method="range")
+    return with_index(df, order, col="_all", within=label, within_col=col).drop("_all")
 
 
 def resample_ratio(df: DataFrame, ratio: float = 0.5, seed: int = 42, label: str = "y",
@@ -188,7 +221,7 @@ def resample_ratio(df: DataFrame, ratio: float = 0.5, seed: int = 42, label: str
     Output keeps time order (``idx``, then ``draw``); duplicates are kept.
     """
     spark = df.sparkSession
-    d = with_index(df, order, [], col="idx")
+    d = with_index(df, order, [], col="idx", within=label, within_col="_ci")
     sizes = {r[0]: r[1] for r in d.groupBy(label).count().collect()}   # two scalars
     n = sum(sizes.values())
     n_pos = int(n * ratio)
@@ -200,17 +233,21 @@ def resample_ratio(df: DataFrame, ratio: float = 0.5, seed: int = 42, label: str
         if k <= 0 or size == 0:
             continue
         if k <= size:
-            s = with_index(sub.withColumn("_h", hash32(id_col, seed)), ["_h", id_col, "idx"], col="_r")
-            parts.append(s.filter(F.col("_r") < k).drop("_h", "_r").withColumn("draw", F.lit(0).cast("long")))
+            # the k-th smallest (hash, id, position) from a sort of those columns alone, then a filter
+            key = [hash32(id_col, seed), F.col(id_col), F.col("idx")]
+            names = ["_h", "_id", "_x"]
+            pos = with_index(sub.select(*[c.alias(m) for c, m in zip(key, names)]), names, col="_r")
+            last = pos.filter(F.col("_r") == k - 1).first()
+            upto = F.struct(*[c.alias(m) for c, m in zip(key, names)]) <= F.struct(*[F.lit(last[m]).cast("long").alias(m) for m in names])
+            parts.append(sub.filter(upto).withColumn("draw", F.lit(0).cast("long")))
         else:
-            cl = with_index(sub, ["idx"], col="_ci")
             draws = spark.range(k).select(F.col("id").alias("draw"),
                                           F.pmod(hash63("id", seed + (1 if cls > 0 else 2)), F.lit(size)).alias("_ci"))
-            parts.append(cl.join(draws, "_ci").drop("_ci"))
+            parts.append(sub.join(draws, "_ci").select(*sub.columns, "draw"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.drop("_ci")
 
 
 def epoch_order(df: DataFrame, epoch: int, base_seed: int = 42, id_col: str = "id", col: str = "_ord") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import site
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -64,6 +65,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back: like ``reliable_checkpoint``, but
+    columnar, so later readers fetch only the columns they use."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
