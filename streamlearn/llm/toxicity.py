@@ -9,7 +9,8 @@ The lexicon is learnt from labelled documents: entries are beginnings of words (
 7 letters) and whole words, weighted by the log ratio of their document shares in
 toxic and other documents.  Where a word matches several entries the heaviest counts.
 Exception phrases cancel matches: whole words and pairs of words that hold an entry
-but occur in other documents and not in toxic ones, besides those given.
+but occur in other documents and not in toxic ones, besides those given.  At most
+``ENTRIES`` of each are kept, the best; all counting is done by Spark.
 
 The weights of a text are summed, normalised by its length (divided by the logarithm
 of its number of words) and turned into a score by a logistic curve fitted on the
@@ -56,11 +57,11 @@ _LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "з": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p",
     "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "i", "һ": "h",
     "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
-    "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g",
+    "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "µ": "u", "μ": "u",
 }
 #: Digits and signs that stand for letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
-_INSIDE = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+_INSIDE = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])|(?<!\S)\$(?=[^\W\d_])")
 
 
 def _letter(c: str) -> str:
@@ -96,7 +97,7 @@ def folded(text: str) -> str:
     """Folded words, single blanks between, one blank before and after."""
     text = text.lower()
     if "@" in text or "$" in text or "!" in text or "|" in text:
-        text = _INSIDE.sub(lambda m: _SIGNS[m.group()], text)
+        text = _INSIDE.sub(lambda m: "".join(_SIGNS[c] for c in m.group()), text)
     try:
         plain = text.encode("latin-1").replace(b"\xad", b"").translate(_LATIN1_BYTES)
         return " " + b" ".join(plain.split()).decode("latin-1") + " "
@@ -166,17 +167,17 @@ def _patterns(word: str):
 _COUNTS = "pattern string, docs long"
 
 
-def _count_patterns(limit: int = 300_000):
-    """Document counts of the patterns of each text; partial sums leave the task when there are many."""
+def _counted(make, limit: int = 200_000):
+    """``mapInArrow`` function: document counts of what ``make()`` finds in a text; a task's partial sums leave it when there are many."""
     def send(c):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["pattern", "docs"])
 
     def run(batches):
-        counts = Counter()
+        find, counts = make(), Counter()
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 for t in texts:
-                    counts.update({p for w in set(folded(t.decode()).split()) if len(w) > 2 for p in _patterns(w)})
+                    counts.update(find(folded(t.decode())))
                     if len(counts) > limit:
                         yield send(counts)
                         counts = Counter()
@@ -185,29 +186,50 @@ def _count_patterns(limit: int = 300_000):
     return run
 
 
-def _count_known(entries: dict[str, float]):
-    """Document counts of known patterns, and of whole words and word pairs that hold one."""
-    def run(batches):
-        matcher, counts = Matcher(Lexicon(entries)), Counter()
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                for t in texts:
-                    text = folded(t.decode())
-                    found = {text[end + 1 - n:end + 1] for end, (n, _) in matcher.automaton.iter(text)}
-                    for at in matcher.words(text):
-                        after = text.find(" ", at + 1)
-                        word = text[at:after + 1]
-                        found.add("=" + word)
-                        before, later = text.rfind(" ", 0, at) if at else -1, text.find(" ", after + 1)
-                        if before >= 0:
-                            found.add("=" + text[before:after + 1])
-                        if later >= 0:
-                            found.add("=" + text[at:later + 1])
-                    counts.update(found)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                             names=["pattern", "docs"])
-    return run
+def _all_patterns():
+    return lambda text: {p for w in set(text.split()) if len(w) > 2 for p in _patterns(w)}
+
+
+def _held_phrases(entries: dict[str, float]):
+    """Whole words that hold an entry, and the same with the word before or after."""
+    def make():
+        matcher = Matcher(Lexicon(entries))
+
+        def find(text):
+            found = set()
+            for at in matcher.words(text):
+                after = text.find(" ", at + 1)
+                found.add(text[at:after + 1])
+                before, later = text.rfind(" ", 0, at) if at else -1, text.find(" ", after + 1)
+                if before >= 0:
+                    found.add(text[before:after + 1])
+                if later >= 0:
+                    found.add(text[at:later + 1])
+            return found
+        return find
+    return make
+
+
+def _beyond_longer(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, float]:
+    """Weights of the entries, less ``MARGIN``.
+
+    The beginning of a word must tell something beyond the longer entry it shares most documents with: its weight
+    is that of the documents left, and it is dropped if those are too few or tell too little.  Five letters or more
+    that no other document has are kept as they are: they cover inflected forms.
+    """
+    longest = max(PREFIXES)
+    child: dict[str, tuple[int, int]] = {}
+    for p, c in counts.items():
+        for n in range(min(PREFIXES), min(len(p.rstrip()) - 1, longest + 1)):
+            child[p[:n + 1]] = max(child.get(p[:n + 1], (0, 0)), c)
+    out = {}
+    for p, (bad, fine) in counts.items():
+        b, f = (0, 0) if not fine and len(p) > 5 else child.get(p, (0, 0))
+        bad, fine = bad - b, max(fine - f, 0)
+        w = math.log((bad + 0.5) / (toxic + 1)) - math.log((fine + 0.5) / (other + 1))
+        if bad >= max(LEAST_DOCS, toxic // 500) and w >= LEAST_WEIGHT:
+            out[p] = w - MARGIN
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -234,23 +256,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, mod: int =
         return Lexicon({}, given)
     rows = labelled_documents(docs, sample)
     other = len(sample) - toxic
-    count = lambda df, f: df.select("text").mapInArrow(f, _COUNTS).groupBy("pattern").agg(F.sum("docs").alias("docs"))
-    floor = max(LEAST_DOCS, toxic // 500)
-    seen = {r[0]: r[1] for r in count(rows.filter("y = 1"), _count_patterns())
-            .filter(F.col("docs") >= floor).orderBy(F.desc("docs"), "pattern").limit(20 * ENTRIES).collect()}
-    clean = {r[0]: r[1] for r in count(rows.filter("y = 0"), _count_known(dict.fromkeys(seen, 1.0)))
-             .filter(~F.col("pattern").startswith("=") | (F.col("docs") >= 2)).collect()}
-    weight = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (other + 1))
-    entries = {p: weight(t, clean.get(p, 0)) for p, t in seen.items()}
-    entries = {p: w - MARGIN for p, w in entries.items() if w >= LEAST_WEIGHT}
-    top = sorted(entries, key=lambda p: (-entries[p] * math.sqrt(seen[p]), p))[:ENTRIES]
-    entries = {p: entries[p] for p in top}
-    # phrases of other documents that hold a kept entry
-    held_by = Matcher(Lexicon(entries)) if entries else None
-    phrases = sorted(p[1:] for p in clean if p[0] == "=" and held_by and held_by.words(p[1:]))
-    if phrases:
-        in_toxic = {r[0] for r in count(rows.filter("y = 1"), _count_known(entries)).filter(F.col("pattern").startswith("=")).collect()}
-        phrases = [p for p in phrases if "=" + p not in in_toxic]
+
+    def count(y, make):
+        return rows.filter(F.col("y") == y).select("text").mapInArrow(_counted(make), _COUNTS).groupBy("pattern").agg(F.sum("docs").alias("docs"))
+    bad, fine = count(1, _all_patterns), count(0, _all_patterns).withColumnRenamed("docs", "fine")
+    weight = F.log((F.col("docs") + 0.5) / (toxic + 1)) - F.log((F.coalesce("fine", F.lit(0)) + 0.5) / (other + 1))
+    top = (bad.filter(F.col("docs") >= max(LEAST_DOCS, toxic // 500)).join(fine, "pattern", "left").withColumn("w", weight)
+              .filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc(F.col("w") * F.sqrt("docs")), "pattern").limit(ENTRIES).collect())
+    entries = _beyond_longer({r["pattern"]: (r["docs"], r["fine"] or 0) for r in top}, toxic, other)
+    phrases: list[str] = []
+    if entries:                                        # phrases of other documents, and of no toxic one, that hold an entry
+        held_in = count(0, _held_phrases(entries)).filter(F.col("docs") >= max(3, other // 500)).join(count(1, _held_phrases(entries)), "pattern", "left_anti")
+        phrases = sorted(r["pattern"] for r in held_in.orderBy(F.desc("docs"), "pattern").limit(ENTRIES).collect())
     lexicon = Lexicon(entries, tuple(dict.fromkeys([*given, *phrases])))
 
     def make():

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.1"
 
 
 def test_folding():
-    assert X.folded("An ІDІОT, a c1own; tr4sh! ＬＯＳＥＲ $cum id!ot m0r0n###") == " an idiot a ciown trash ioser cum idiot moron "
+    assert X.folded("An ІDІОT, a c1own; tr4sh! ＬＯＳＥＲ $cum id!ot m0r0n###") == " an idiot a ciown trash ioser scum idiot moron "
     assert X.folded("pa$$word @home a@b") == X.folded("password home aab")
     assert X.folded("") == "  " and X.folded("i d i") == " i d i " and X.folded("Élan ÜBER") == " éian über "
 
