@@ -316,15 +316,14 @@ def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_
     All columns stay.  Rows without id are kept, as they cannot be told apart.
     Repeated rows of the kept id are reduced to one.
     """
-    found = stash(near_duplicates(docs, width, max_bits), "components")
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.filter("doc_id is not null")
-    out = named.join(first, named["doc_id"] == F.col("_first"), "left_semi")
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    found = stash(near_duplicates(docs, width, max_bits), "components").filter("doc_id = component_id")
+    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = docs.join(times.select("doc_id"), "doc_id", "left_semi")
+    again = times.filter("n > 1").select("doc_id")
     if not again.isEmpty():
-        repeated = out.join(again, out["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, out["doc_id"] == F.col("_again"), "left_anti").unionByName(repeated)
-    return out.unionByName(docs.filter("doc_id is null"))
+        repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
 def op3_simhash_golay(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,8 +34,8 @@ def test_base_spans(text):
 
 
 def test_base_spans_by_example():
-    text = "a.b+c@x-y.org, a@b@c.d 1.2.3.4.5.6.7.8 256.1.1.1 4111 1111 1111 1111 +49 (30) 123-456-7 ü 4111-1111-1111-1112"
-    assert P.base_spans(text) == plain_base(text) and len(P.base_spans(text)) >= 6
+    text = "a.b+c@x-y.org, a@b@c.d 1.2.3.4.5.6.7.8 256.1.1.1 und 4111 1111 1111 1111 +49 (30) 123-456-7 ü 4111-1111-1111-1112"
+    assert P.base_spans(text) == plain_base(text) and {k for k, _, _ in P.base_spans(text)} == {0, 1, 2, 3}
 
 
 @pytest.fixture(scope="module")
