@@ -1510,11 +1510,12 @@ def sql_s4_write_results():
 # --------------------------------------------------------------- streaming
 def _stream_src(spark, sf, df):
     from streamlearn.streaming.online import ordered_file_source
-    return ordered_file_source(df.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")[0].drop("day")
+    # one file for every five days
+    return ordered_file_source(df.withColumn("block", F.floor(F.datediff("ts", F.lit("2020-01-01")) / 5)), "block")[0].drop("block")
 
 
 def q_w2_stream_learn(spark, sf):
-    """Structured Streaming predict-then-learn per user over day files in
+    """Structured Streaming predict-then-learn per user over five-day files in
     time order (maxFilesPerTrigger 1); final per-user state equals the batch fold."""
     from streamlearn.streaming.online import run_to_completion, stream_learn
     sdf = _stream_src(spark, sf, FX.user_stream(spark, sf))
