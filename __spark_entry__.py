@@ -1095,10 +1095,21 @@ def sql_t16_mixed_one_shard():
 
 
 def q_t16_mixed_four_shards(spark, sf):
-    """Four shards, three mixing epochs over the single lineitem stream."""
+    """Four shards of every user's stream, three mixing epochs."""
     from streamlearn.plans.protocols import fit_mixed
-    m = fit_mixed(FX.line_stream(spark, sf), T_CFG, shards=4, epochs=3)
-    return _r(m.select("stream", "algo", *[F.col("w")[j].alias(f"w{j}") for j in range(4)]))
+    m = fit_mixed(FX.user_stream(spark, sf), T_CFG, shards=4, epochs=3)
+    return _r(m.select("stream", "algo", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
+
+
+def sql_t16_mixed_four_shards():
+    src = f"SELECT *, {sql_hash32('id', 42)} % 4 AS shard FROM ({FX.USER_SQL})"
+    mean = "[" + ", ".join(f"avg(w[{j}])" for j in (1, 2, 3)) + "] AS w"
+    state = None
+    for _ in range(3):
+        init = f"SELECT a.stream, s.shard, a.algo, a.w FROM ({state}) a, (SELECT unnest(range(0, 4)) AS shard) s" if state else None
+        fold = O.fold_sql(src, _cfgs(T_CFG), 3, keys=("stream", "shard"), out_w="raw", init_sql=init)
+        state = f"SELECT stream, algo, {mean} FROM ({fold}) GROUP BY stream, algo"
+    return "SELECT stream, algo, " + ", ".join(f"{O.rnd(f'w[{j}]')} AS w{j - 1}" for j in (1, 2, 3)) + f" FROM ({state})"
 
 
 def q_t6_prequential(spark, sf):
@@ -1239,7 +1250,7 @@ _Q.update({
     "t11_adapt_per_entity": (q_t11_adapt_per_entity, sql_t11_adapt_per_entity),
     "t13_tune_threshold": (q_t13_tune_threshold, sql_t13_tune_threshold),
     "t16_mixed_one_shard": (q_t16_mixed_one_shard, sql_t16_mixed_one_shard),
-    "t16_mixed_four_shards": (q_t16_mixed_four_shards, None),
+    "t16_mixed_four_shards": (q_t16_mixed_four_shards, sql_t16_mixed_four_shards),
     "t2_fit_epochs": (q_t2_fit_epochs, None),
     "t8_best_of_shuffles": (q_t8_best_of_shuffles, sql_t8_best_of_shuffles),
     "l8_logistic_baseline": (q_l8_logistic, None),

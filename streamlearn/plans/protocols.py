@@ -248,14 +248,22 @@ def tune_threshold(train_scores: DataFrame, beta: float = 1.5, g: Sequence[str]
     return cc.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def fit_mixed(df: DataFrame, configs, shards: int = 4, epochs: int = 1, keys=("stream",),
+#: Rows of one shard where the number of shards is not given.
+ROWS_PER_SHARD = 250_000
+
+
+def fit_mixed(df: DataFrame, configs, shards: int | None = None, epochs: int = 1, keys=("stream",),
               order=DEFAULT_ORDER, seed: int = 42) -> DataFrame:
     """Parameter mixing for a very large stream.  Rows are split into
     ``shards`` by hash(id); every shard folds (in order) from the same start
     model, shard weights are averaged per key, and the average seeds the next
-    epoch.  One shard equals the exact sequential fold.  (Iterative parameter
+    epoch.  One shard equals the exact sequential fold.  Without ``shards`` their
+    number follows from the rows of the largest key.  (Iterative parameter
     mixing, McDonald et al. 2010.)"""
     keys = list(keys)
+    if shards is None:
+        most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        shards = max(1, -(-most // ROWS_PER_SHARD))
     d = df.withColumn("shard", F.pmod(hash32("id", seed), F.lit(shards)).cast("int"))
     state = None
     for _ in range(epochs):
