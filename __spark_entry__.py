@@ -1580,7 +1580,7 @@ def q_w4_w6_stream_alerts(spark, sf):
     s = FX.user_stream(spark, sf).withColumn("active", F.hour("ts") != 3)
     a = stream_alerts(run_to_completion(stream_learn(_stream_src(spark, sf, s), LIVE_CFG)), 3, ["value", "hour", "bias"])
     t = a.select("id", "true_class", F.posexplode("top").alias("rank", "t"))
-    return _r(t.select("id", "true_class", "rank", F.col("t.name").alias("name"), F.col("t.contribution").alias("contribution"),
+    return _r(t.select("id", "true_class", "rank", F.col("t.name").alias("name"), (F.col("t.contribution") * 4096.0).alias("contribution_4096"),
                        F.col("t.percent").alias("percent")))
 
 
@@ -1607,7 +1607,7 @@ def sql_w4_w6_stream_alerts():
 t AS (SELECT *, list_sum(list_transform(c, lambda v: greatest(v, 0.0))) AS pt FROM j),
 e AS (SELECT id, true_class, CASE WHEN pt > 0 THEN pt ELSE 1.0 END AS tot, unnest(range(0, 3)) AS f, unnest(c) AS v FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -v, f) - 1 AS rank FROM e)
-SELECT id, true_class, rank, ['value', 'hour', 'bias'][f + 1] AS name, {O.rnd('v')} AS contribution, {O.rnd('100.0 * v / tot')} AS percent FROM r"""
+SELECT id, true_class, rank, ['value', 'hour', 'bias'][f + 1] AS name, {O.rnd('v * 4096.0')} AS contribution_4096, {O.rnd('100.0 * v / tot')} AS percent FROM r"""
 
 
 def q_t15_pretrain_then_stream(spark, sf):
