@@ -1027,7 +1027,7 @@ def sql_t3_continue_online():
 
 
 def q_t10_average_models(spark, sf):
-    """Per-user perceptron/AROW models averaged into one consensus model per rule."""
+    """T10, averaging step alone: one-pass models of all users averaged per rule (t10_fit_per_entity is the whole protocol)."""
     from streamlearn.plans.protocols import average_models
     m = average_models(fold_models(FX.user_stream(spark, sf), T_CFG))
     return _r(m.select("algo", *[F.col("w")[j].alias(f"w{j}") for j in range(3)], "b", "n_models"))
@@ -1044,7 +1044,7 @@ def sql_t10_average_models():
 
 
 def q_t11_adapt_per_entity(spark, sf):
-    """Every user adapts from the same consensus model."""
+    """T11, adaptation step alone, from t10_average_models (t11_adapt_and_freeze is the whole protocol)."""
     from streamlearn.plans.protocols import adapt_per_entity, average_models
     s = FX.user_stream(spark, sf)
     w0 = average_models(fold_models(s, T_CFG)).select("algo", "w", "b")
@@ -1058,6 +1058,81 @@ def sql_t11_adapt_per_entity():
     return f"SELECT stream, algo, tp, fp, tn, fn FROM ({f})"
 
 
+REFIT = ["AROW"]          # the rule that the reference fits anew, as it has no incremental step there
+
+
+def _consensus(spark, sf):
+    """The users' rows by R6 part, and the best models of the training users by validation F1 pooled over the validation users."""
+    from streamlearn.plans.protocols import fit_per_entity
+    s = R.entity_split(FX.user_stream(spark, sf), "stream", (0.2, 0.2), seed=42)
+    part = lambda p: s.filter(F.col("part") == p).drop("part")
+    return part("test"), fit_per_entity(part("train"), part("val"), T_CFG, refit=REFIT)
+
+
+def q_t10_fit_per_entity(spark, sf):
+    """Users split by R6; models of training users with 10 or more rows, best of 3 shuffled epochs by F1 pooled
+    over the validation users (first best), averaged into one consensus model per rule."""
+    from streamlearn.plans.protocols import average_models
+    m = average_models(_consensus(spark, sf)[1])
+    return _r(m.select("algo", *[F.col("w")[j].alias(f"w{j}") for j in range(3)], "b", "n_models"))
+
+
+def _consensus_sql(users=FX.USER_SQL):
+    """T10 as (algo, a1, a2, a3, n_models), one fold per epoch and rule, and the users' rows with their part."""
+    h = sql_hash32("CAST(stream AS BIGINT)", 42)
+    part = f"""SELECT stream, CASE WHEN r < round_even(0.2 * m, 0) THEN 'test' WHEN r < round_even(0.2 * m, 0) + round_even(0.2 * m, 0)
+  THEN 'val' ELSE 'train' END AS part FROM (SELECT stream, row_number() OVER (ORDER BY {h}, stream) - 1 AS r, count(*) OVER () AS m
+  FROM (SELECT DISTINCT stream FROM ({users})))"""
+    rows = f"SELECT u.*, p.part FROM ({users}) u JOIN ({part}) p USING (stream)"
+    train = f"SELECT * FROM ({rows}) WHERE part = 'train' QUALIFY count(*) OVER (PARTITION BY stream) >= 10"
+    epochs = []
+    for c in T_CFG:
+        state = None
+        for e in range(3):
+            fold = O.fold_sql(train, _cfgs([c]), 3, order=f"{sql_hash32('id', 42 + e)}, id, x, y", out_w="raw",
+                              init_sql=f"SELECT stream, algo, w FROM ({state})" if state and c.label not in REFIT else None)
+            state = fold
+            epochs.append(f"SELECT {e} AS epoch, stream, algo, w FROM ({fold})")
+    sc = f"""SELECT m.epoch, m.stream, m.algo, v.y, CASE WHEN v.x[1] * m.w[1] + v.x[2] * m.w[2] + v.x[3] * m.w[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
+  FROM m, (SELECT x, y FROM ({rows}) WHERE part = 'val') v"""
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    return f"""WITH m AS MATERIALIZED ({" UNION ALL ".join(epochs)}),
+f AS (SELECT epoch, stream, algo, {_f1s(p, r)} AS f1 FROM ({_m2_counts_sql("epoch, stream, algo", sc)})),
+b AS (SELECT m.* FROM m JOIN f USING (epoch, stream, algo) QUALIFY row_number() OVER (PARTITION BY stream, algo ORDER BY f.f1 DESC, epoch) = 1)
+SELECT algo, avg(w[1]) AS a1, avg(w[2]) AS a2, avg(w[3]) AS a3, count(*) AS n_models FROM b GROUP BY algo""", rows
+
+
+def sql_t10_fit_per_entity():
+    return (f"SELECT algo, {O.rnd('a1')} AS w0, {O.rnd('a2')} AS w1, {O.rnd('a3')} AS w2, 0.0::DOUBLE AS b, n_models "
+            f"FROM ({_consensus_sql()[0]})")
+
+
+def q_t11_adapt_and_freeze(spark, sf):
+    """Every test user adapts from the T10 consensus (the perceptron by its step, AROW fitted anew on rows i-100..i),
+    beside the frozen consensus on the same rows."""
+    from streamlearn.plans.protocols import adapt_and_freeze, average_models
+    test, models = _consensus(spark, sf)
+    return _counts(adapt_and_freeze(test, average_models(models), T_CFG, refit=REFIT))
+
+
+def sql_t11_adapt_and_freeze():
+    cons, rows = _consensus_sql()
+    step, again = [[c for c in T_CFG if (c.label in REFIT) == k] for k in (False, True)]
+    init = "SELECT t.stream, c.algo, [c.a1, c.a2, c.a3] AS w FROM (SELECT DISTINCT stream FROM t) t, c"
+    adapted = O.fold_sql("SELECT * FROM t", _cfgs(step), 3, out_w=False, init_sql=init)
+    window = """SELECT a.stream || '/' || a.pos AS stream, b.ts, b.id, b.x, b.y FROM t a JOIN t b
+ ON a.stream = b.stream AND b.pos BETWEEN a.pos - 101 AND a.pos - 1"""
+    before = O.fold_sql(window, _cfgs(again), 3, out_w="raw")
+    pred = lambda w: f"CASE WHEN t.x[1] * {w}[1] + t.x[2] * {w}[2] + t.x[3] * {w}[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred"
+    names = ", ".join(f"'{c.label}'" for c in again)
+    refit = f"""SELECT t.stream, m.algo, t.y, {pred('m.w')} FROM t JOIN ({before}) m ON m.stream = t.stream || '/' || t.pos
+ UNION ALL SELECT t.stream, c.algo, t.y, {pred('[c.a1, c.a2, c.a3]')} FROM t, c WHERE t.pos = 1 AND c.algo IN ({names})"""
+    frozen = f"SELECT t.stream, c.algo || '/frozen' AS algo, t.y, {pred('[c.a1, c.a2, c.a3]')} FROM t, c"
+    return f"""WITH c AS MATERIALIZED ({cons}),
+t AS MATERIALIZED (SELECT stream, ts, id, x, y, row_number() OVER (PARTITION BY stream ORDER BY ts, id, x, y) AS pos FROM ({rows}) WHERE part = 'test')
+SELECT stream, algo, tp, fp, tn, fn FROM ({adapted}) UNION ALL {_m2_counts_sql("stream, algo", refit + " UNION ALL " + frozen)}"""
+
+
 def q_t13_tune_threshold(spark, sf):
     """F-beta (beta 1.5) threshold over exact percentiles 1..99 of linear scores."""
     from streamlearn.plans.protocols import tune_threshold
@@ -1248,6 +1323,8 @@ _Q.update({
     "t6_prequential": (q_t6_prequential, sql_t6_prequential),
     "t10_average_models": (q_t10_average_models, sql_t10_average_models),
     "t11_adapt_per_entity": (q_t11_adapt_per_entity, sql_t11_adapt_per_entity),
+    "t10_fit_per_entity": (q_t10_fit_per_entity, sql_t10_fit_per_entity),
+    "t11_adapt_and_freeze": (q_t11_adapt_and_freeze, sql_t11_adapt_and_freeze),
     "t13_tune_threshold": (q_t13_tune_threshold, sql_t13_tune_threshold),
     "t16_mixed_one_shard": (q_t16_mixed_one_shard, sql_t16_mixed_one_shard),
     "t16_mixed_four_shards": (q_t16_mixed_four_shards, sql_t16_mixed_four_shards),

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlearn.functions.hashing import hash32
 from streamlearn.operators.metrics import confusion_counts, rates, selection_metric
-from streamlearn.operators.order import DEFAULT_ORDER
+from streamlearn.operators.order import DEFAULT_ORDER, min_rows
 from streamlearn.operators.score import score_linear
 from streamlearn.plans.fold import STATE_COLS, fold_models, fold_predictions
 from streamlearn.plans.learners import LearnerConfig
@@ -159,6 +161,77 @@ def best_of_shuffles(train: DataFrame, val: DataFrame, configs, k: int = 10, key
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _pack(number: str):
+    """One row per Arrow batch: the matrix of its vectors and a column of numbers, as bytes."""
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_matrix(rb.column("x")).tobytes()], pa.binary()),
+                                                  pa.array([rb.column(number).to_numpy().tobytes()], pa.binary())], names=["x", number])
+    return run
+
+
+def _count_blocks(batches, models: int = 128):
+    """M2 counts of every model of a packed row on the row's packed validation rows; dot products run left to right."""
+    for rb in batches:
+        for w, number, x, y in zip(*(rb.column(c).to_pylist() for c in ("w", "_m", "x", "y"))):
+            m, positive = np.frombuffer(number, np.int64), np.frombuffer(y) != -1.0
+            x, w = np.frombuffer(x).reshape(len(positive), -1), np.frombuffer(w).reshape(len(m), -1)
+            hit = np.zeros((len(m), 2), np.int64)
+            for a in range(0, len(m), models):
+                part = w[a:a + models]                       # the bias is the last coordinate
+                s = np.zeros((len(part), len(x)))
+                for j in range(x.shape[1]):
+                    s += part[:, j, None] * x[None, :, j]
+                s += part[:, -1, None]
+                said = ~np.isfinite(s) | (s >= 0)            # a score that is not finite counts as 0, a tie as +1
+                hit[a:a + models] = np.stack([(said & positive).sum(1), (said & ~positive).sum(1)], 1)
+            tp, fp = hit.T
+            n = int(positive.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (m, tp, fp, len(positive) - n - fp, n - tp)], names=["_m", "tp", "fp", "tn", "fn"])
+
+
+def pooled_scores(val: DataFrame, models: DataFrame, metric: str = "f1") -> DataFrame:
+    """``models`` (a written table) with ``val_score``: every model on all rows of ``val``, whatever their key.
+
+    Rows and models travel as packed blocks, a pair of blocks is one matrix product; no pair of row and model
+    becomes a row, and nothing passes through the driver.  Without validation rows the result is empty."""
+    tasks = val.sparkSession.sparkContext.defaultParallelism
+    numbered = models.withColumn("_m", F.monotonically_increasing_id())
+    left = (numbered.select(F.concat("w", F.array(F.coalesce("b", F.lit(0.0)))).alias("x"), "_m").repartition(tasks)
+                    .mapInArrow(_pack("_m"), "x binary, _m binary").withColumnRenamed("x", "w"))
+    right = val.select("x", F.col("y").cast("double").alias("y")).mapInArrow(_pack("y"), "x binary, y binary").repartition(4)
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
+    counts = (pairs.mapInArrow(_count_blocks, "_m long, tp long, fp long, tn long, fn long")
+                   .groupBy("_m").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+    return numbered.join(counts.select("_m", selection_metric(metric).alias("val_score")), "_m").drop("_m")
+
+
+def fit_per_entity(train: DataFrame, val: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), epochs: int = 3,
+                   min_train: int = 10, refit: Sequence[str] = (), metric: str = "f1", seed: int = 42) -> DataFrame:
+    """One model per entity with at least ``min_train`` training rows: the first best of ``epochs`` shuffled epochs
+    by validation score pooled over all rows of ``val`` (other entities' rows).
+
+    Epoch e folds in hash(seed + e, id) order, from the state of the epoch before; configurations labelled in
+    ``refit`` have no incremental step and start every epoch from zero.  Returns the models with ``epoch`` and
+    ``val_score``; ``average_models`` makes the consensus of them."""
+    keys, state, tables = list(keys), None, []
+    data = reliable_checkpoint(min_rows(train, min_train, keys))
+    for e in range(epochs):
+        m = reliable_checkpoint(fold_models(data.withColumn("_o", hash32("id", seed + e)), configs, keys, ["_o", "id", "x", "y"], init=state))
+        tables.append(m.withColumn("epoch", F.lit(e)))
+        state = m.filter(~F.col("algo").isin(list(refit))).select(*keys, "algo", *STATE_COLS)
+    models = tables[0]
+    for t in tables[1:]:
+        models = models.unionByName(t)
+    w = Window.partitionBy(*keys, "algo").orderBy(F.desc("val_score"), "epoch")
+    return pooled_scores(val, models, metric).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def average_models(models: DataFrame, by: Sequence[str] = ("algo",)) -> DataFrame:
     """Consensus model = coordinate-wise mean of weights (and bias) over
     keys.  Exploded coordinates are aggregated with partial aggregation; the
@@ -182,6 +255,19 @@ def adapt_per_entity(df: DataFrame, w0: DataFrame, configs, keys=("stream",), or
     return fold_predictions(df, configs, keys, order, init=init)
 
 
+def adapt_and_freeze(df: DataFrame, w0: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), refit: Sequence[str] = (),
+                     window: int = 100, order=DEFAULT_ORDER) -> DataFrame:
+    """T11 whole: ``adapt_per_entity`` beside the frozen baseline (``algo`` + "/frozen": ``w0`` on every row, not adapted).
+
+    Configurations labelled in ``refit`` have no incremental step: after row i they are fitted anew on rows
+    i - ``window`` .. i.  Returns keys, algo, id, ts, y, pred, score."""
+    cfg = [LearnerConfig.of(c.label, "refit", inner=c.name, W=window, **dict(c.params)) if c.label in refit else c for c in configs]
+    w0 = reliable_checkpoint(w0.select("algo", "w", "b"))
+    cols = [*keys, "algo", "id", "ts", "y", "pred", "score"]
+    frozen = score_linear(df, w0).withColumn("algo", F.concat("algo", F.lit("/frozen")))
+    return adapt_per_entity(df, w0, cfg, keys, order).select(*cols).unionByName(frozen.select(*cols))
+
+
 def exact_percentiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float]:
     """Linearly interpolated percentiles of a whole column without gathering it: distinct values are counted,
     range-sorted and numbered, and only the (at most two per share) values around each position are fetched."""
