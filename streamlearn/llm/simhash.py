@@ -81,11 +81,13 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def _fingerprint_column(width: int):
+    return lambda: lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)``: the 64 bits as a signed long."""
-    def make():
-        return lambda texts: {"fp": np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)}
-    return with_computed(docs, make, [("fp", "long")], keep=["doc_id"])
+    return with_computed(docs, _fingerprint_column(width), [("fp", "long")], keep=["doc_id"])
 
 
 # --------------------------------------------------------------- Golay code
@@ -299,31 +301,43 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -> DataFrame
     return found.filter("key is null").select("u", "v").union(dense)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``."""
+def _placed(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` for every row of ``docs``; ``root`` is the component's least fingerprint."""
     rows = stash(fingerprints(docs, width), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = components(links(fps, max_bits))
     placed = (fps.join(root, fps["fp"] == root["u"], "left")
                  .select(fps["fp"], "least", F.coalesce("root", fps["fp"]).alias("root")))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs``."""
+    return _placed(docs, width, max_bits).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each near-duplicate component: that of its smallest ``doc_id``.
 
     All columns stay.  Rows without id are kept, as they cannot be told apart.
-    Repeated rows of the kept id are reduced to one.
+    Of rows that share the kept id, only those of the component it leads count:
+    they are reduced to the one of least text, and each component that the id
+    leads keeps its own.
     """
-    found = stash(near_duplicates(docs, width, max_bits), "components").filter("doc_id = component_id")
-    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = docs.join(times.select("doc_id"), "doc_id", "left_semi")
-    again = times.filter("n > 1").select("doc_id")
-    if not again.isEmpty():
-        repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, "doc_id", "left_anti").unionByName(repeated)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    found = stash(_placed(docs, width, max_bits).filter("doc_id is not null"), "components")
+    leads = F.col("doc_id") == F.col("component_id")
+    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(leads).alias("leads")).filter("leads")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(times.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*names)
+    again = stash(times.filter("n > 1").select("doc_id"), "repeated")
+    if not again.isEmpty():                                                # these rows are told apart by their fingerprint
+        rows = docs.join(again, "doc_id", "left_semi").select("doc_id", "text", F.struct(*names).alias("row"))
+        rows = with_computed(rows, _fingerprint_column(width), [("fp", "long")])
+        first = found.filter(leads).join(again, "doc_id", "left_semi").select("doc_id", "fp", "root").distinct()
+        one = rows.join(first, ["doc_id", "fp"]).groupBy("doc_id", "root").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+        out = out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return out.unionByName(docs.filter("doc_id is null"))
 
 
 def op3_simhash_golay(spark: SparkSession, sf: str) -> DataFrame:

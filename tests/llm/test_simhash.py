@@ -117,6 +117,15 @@ def test_awkward_rows(spark):
     assert S.near_duplicates(empty(spark)).count() == 0 and S.keep_first(empty(spark)).count() == 0
 
 
+def test_repeated_ids_are_told_apart_by_row(spark):
+    """Different texts under one id that lead their own components all stay; a near copy of another document does not."""
+    a, b, c = (" ".join(f"{w}{i * i % 89}" for i in range(60)) for w in ("north", "red", "lake"))
+    d = docs(spark, [a, a, b, c, b, c, c], [1, 5, 5, 5, 7, 8, 5], extra=True)
+    kept = S.keep_first(d)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (5, b), (5, c)])
+
+
 def test_only_null_ids(spark):
     got = S.near_duplicates(docs(spark, ["same text here now", "same text here now"], [None, None])).collect()
     assert [r["component_id"] for r in got] == [None, None]
