@@ -324,10 +324,15 @@ class Crf:
         u[np.ix_(~t.glued, _UNBROKEN)] = _NO
         return u
 
-    def may_start(self, u: np.ndarray) -> np.ndarray:
-        """Tokens at which a label, with the best transitions around it, may gain on "outside"."""
+    def may_start(self, u: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """Tokens at which a label, with the best transitions around it, may gain on "outside".
+
+        ``first`` marks the tokens that begin a sentence (without it, only the first row does): no transition leads
+        into them, and they cannot carry an I tag."""
         step = np.where(_ALLOWED, self.trans - self.trans[0, 0], _NO)
         into, out = step.max(0)[1:], max(float(step[1:, 0].max()), 0.0)
+        first = np.arange(len(u)) == 0 if first is None else first
+        into = np.where(first[:, None], np.where(_FIRST, 0.0, _NO)[1:], into)
         return (u[:, 1:] + into > u[:, :1] - out).any(1)
 
 
@@ -429,7 +434,8 @@ def crf_spans(crf: Crf, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         return out
     u = crf.unary(t)
     loud = np.zeros(int(t.sentence[-1]) + 1, bool)
-    loud[t.sentence[crf.may_start(u)]] = True
+    begins = np.concatenate([[True], np.diff(t.sentence) > 0])
+    loud[t.sentence[crf.may_start(u, begins)]] = True
     keep = loud[t.sentence]
     if not keep.any():
         return out

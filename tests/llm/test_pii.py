@@ -76,6 +76,30 @@ def test_quiet_sentences_need_no_decoding(crf):
         assert all(s in loud for s, k in zip(t.sentence.tolist(), tags) if k)
 
 
+def test_values_that_begin_a_sentence(crf):
+    """One-token lines, under the trained weights and under a strong pull to stay outside: as if every sentence were decoded."""
+    values = [b"4929123412341235", b"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", b"tok3nA9x7Q2LmZ8", b"AKIA9X7Q2LMZ8P4T", b"4111111111111112",
+              b"ab12", b"word", b"2024", b"secret", b"DE89370400440532013000", b"123456789", b"A1b2C3d4E5f6G7h8I9"]
+    pull = crf.trans.copy()
+    pull[0, 0] += 20
+    found = 0
+    for model in (crf, P.Crf(crf.own, crf.left, crf.right, pull)):
+        # a card's or secret's shape alone is now enough to beat "outside"
+        own = model.own.copy()
+        for v in values[:5]:
+            own[P.tokenize(v).shape[0], [1 + 2 * P.KINDS.index(k) for k in ("card", "secret")]] += 4
+        for m in (model, P.Crf(own, model.left, model.right, model.trans)):
+            for v in values:
+                t = P.tokenize(v)
+                first = np.nonzero(np.concatenate([[True], np.diff(t.sentence) > 0]))[0]
+                tags = P.viterbi(m, m.unary(t), first, np.diff(np.append(first, len(t.start))))
+                for text, a in ((v, 0), (b"the of a\n" + v, 9)):
+                    got = P.crf_spans(m, [text])[0]
+                    assert [(k, x) for k, x, _ in got if x >= a] == [(int(tag - 1) // 2, a + int(t.start[i])) for i, tag in enumerate(tags) if tag % 2]
+                found += bool(tags.any())
+    assert found
+
+
 def test_learns_its_table_and_finds_new_values(crf):
     wrong = 0
     for text, spans in P.labelled_sentences(2):
