@@ -135,8 +135,7 @@ def pair_part(vocab: DataFrame, totals: DataFrame) -> DataFrame:
     """``(lang, source, item, value)`` for every ordered pair of sources of a language."""
     runs = vocab.groupBy("lang", "counts").agg(F.count(F.lit(1)).alias("run"))
     columns = totals.filter("terms > 0").groupBy("lang", "terms").agg(F.sort_array(F.collect_list(F.struct("source", "size"))).alias("sources"))
-    rows = (runs.join(columns, "lang").repartitionByRange("lang", "counts").sortWithinPartitions("lang", "counts")
-                .select("lang", "terms", "sources", "counts", "run"))
+    rows = runs.join(columns, "lang").repartition("lang", "counts").sortWithinPartitions("lang").select("lang", "terms", "sources", "counts", "run")
 
     def run(batches):
         state = None                                       # of the language at hand: names, sums and rows not yet laid out
