@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import sys
+import warnings
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -573,8 +574,8 @@ def _perturb_sql(src: str, d: int) -> str:
    row_number() OVER (PARTITION BY y ORDER BY ts, id, x, y) - 1 AS cr FROM ({src})),
 c AS (SELECT count(*) AS n, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS np, sum(CASE WHEN y = -1 THEN 1 ELSE 0 END) AS nn FROM s),
 f AS (SELECT s.*, c.*, np / n > 0.85 AS ext FROM s, c),
-g AS (SELECT *, CASE WHEN y = 1 THEN pow(10.0, ({u} * 2.0 - 1.0) * (CASE WHEN ext THEN 2.0 ELSE 1.0 END)) ELSE 1.0 END AS f1 FROM f),
-h AS (SELECT *, CASE WHEN y = -1 THEN f1 * (CASE WHEN ext THEN 0.05 + 0.45 * (1.0 + sin(CASE WHEN nn > 1 THEN 2.0 * pi() * cr / (nn - 1) ELSE 0.0 END)) ELSE 0.1 END) ELSE f1 END AS f2,
+g AS (SELECT *, CASE WHEN y = 1 THEN {O.on_grid(f'pow(10.0, ({u} * 2.0 - 1.0) * (CASE WHEN ext THEN 2.0 ELSE 1.0 END))')} ELSE 1.0 END AS f1 FROM f),
+h AS (SELECT *, CASE WHEN y = -1 THEN f1 * (CASE WHEN ext THEN 0.05 + 0.45 * (1.0 + {O.on_grid('sin(CASE WHEN nn > 1 THEN 2.0 * pi() * cr / (nn - 1) ELSE 0.0 END)')}) ELSE 0.1 END) ELSE f1 END AS f2,
    floor((CASE WHEN ext THEN 0.5 ELSE 0.75 END) * np) AS st FROM g),
 i AS (SELECT *, CASE WHEN y = 1 AND np > 4 AND cr >= st THEN f2 * (CASE WHEN ext THEN (CASE WHEN np - st > 1 THEN 10.0 + 190.0 * (cr - st) / (np - st - 1) ELSE 10.0 END) ELSE 50.0 END) ELSE f2 END AS f3 FROM h),
 j AS (SELECT *, CASE WHEN ext AND idx >= floor(0.75 * n) THEN f3 * 5.0 ELSE f3 END AS fac FROM i)
@@ -2051,12 +2052,20 @@ def _grid(spark, sf):
     return run_grid(FX.user_stream(spark, sf), MAIN_SEVEN, GRID_KERNEL, GRID_RATIOS)
 
 
-def _grid_sql():
+def _dataset_grid(spark, sf):
+    """The grid over five datasets: the event types, each with one stream per user."""
+    from streamlearn.plans.grid import run_grid
+    s = FX.user_task_stream(spark, sf).withColumnRenamed("task", "dataset").select("dataset", "stream", "ts", "id", "x", "y")
+    return run_grid(s, MAIN_SEVEN, GRID_KERNEL, GRID_RATIOS, keys=["dataset", "stream"], by=["dataset"])
+
+
+def _grid_sql(rows=FX.USER_SQL, by=None):
+    """``by`` is an expression over the stream's name that gives the dataset."""
     from streamlearn.functions.hashing import sql_hash_unit
     ratios = ", ".join(f"({r!r}::DOUBLE)" for r in GRID_RATIOS)
     src = f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, id, x, y) AS i, count(*) OVER (PARTITION BY stream) AS n,
    count(*) OVER (PARTITION BY stream, y) AS size, row_number() OVER (PARTITION BY stream, y ORDER BY ts, id, x, y) - 1 AS rk,
-   row_number() OVER (PARTITION BY stream, y ORDER BY {sql_hash32('id', 42)}, id) - 1 AS pick FROM ({FX.USER_SQL})),
+   row_number() OVER (PARTITION BY stream, y ORDER BY {sql_hash32('id', 42)}, id) - 1 AS pick FROM ({rows})),
  d AS (SELECT b.*, r.ratio, (CASE WHEN y > 0 THEN floor(n * r.ratio) ELSE n - floor(n * r.ratio) END)::BIGINT AS want FROM b, (VALUES {ratios}) r(ratio)),
  q AS (SELECT stream, y, ratio, size, unnest(range(0, want)) AS draw FROM d WHERE want > size AND rk = 0),
  g AS (SELECT *, CASE WHEN y > 0 THEN {sql_hash63('draw', 43)} % size ELSE {sql_hash63('draw', 44)} % size END AS rk FROM q),
@@ -2065,18 +2074,19 @@ def _grid_sql():
  s AS (SELECT *, row_number() OVER (PARTITION BY stream, ratio ORDER BY i, draw) - 1 AS idx, row_number() OVER (PARTITION BY stream, ratio, y ORDER BY i, draw) - 1 AS cr,
    count(*) OVER (PARTITION BY stream, ratio) AS n, sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream, ratio) AS np FROM r),
  e AS (SELECT *, n - np AS nn, np / n > 0.85 AS ext, floor((CASE WHEN np / n > 0.85 THEN 0.5 ELSE 0.75 END) * np) AS st FROM s),
- f AS (SELECT *, (CASE WHEN y > 0 THEN pow(10.0, ({sql_hash_unit('id', 42)} * 2.0 - 1.0) * (CASE WHEN ext THEN 2.0 ELSE 1.0 END))
-   WHEN ext THEN 0.05 + 0.45 * (1.0 + sin(CASE WHEN nn > 1 THEN 2.0 * pi() * cr / (nn - 1) ELSE 0.0 END)) ELSE 0.1 END)
+ f AS (SELECT *, (CASE WHEN y > 0 THEN {O.on_grid(f"pow(10.0, ({sql_hash_unit('id', 42)} * 2.0 - 1.0) * (CASE WHEN ext THEN 2.0 ELSE 1.0 END))")}
+   WHEN ext THEN 0.05 + 0.45 * (1.0 + {O.on_grid('sin(CASE WHEN nn > 1 THEN 2.0 * pi() * cr / (nn - 1) ELSE 0.0 END)')}) ELSE 0.1 END)
    * (CASE WHEN y > 0 AND np > 4 AND cr >= st THEN (CASE WHEN ext THEN (CASE WHEN np - st > 1 THEN 10.0 + 190.0 * (cr - st) / (np - st - 1) ELSE 10.0 END) ELSE 50.0 END) ELSE 1.0 END)
    * (CASE WHEN ext AND idx >= floor(0.75 * n) THEN 5.0 ELSE 1.0 END) AS fac FROM e)
  SELECT stream || '|' || CAST(ratio AS VARCHAR) AS stream, idx, id, [x[1] * fac, x[2] * fac, x[3] * fac] AS x, y, 1.0::DOUBLE AS wt FROM f"""
     on = O.fold_sql(src, _cfgs(MAIN_SEVEN), 3, order="idx", out_w=False)
     ke = O.kernel_fold_sql(src, _cfgs(GRID_KERNEL), 3, order="idx")
     f1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END"
-    return f"""SELECT *, max(CASE WHEN method = 'kernel' THEN f1 END) OVER (PARTITION BY ratio, algo) - max(CASE WHEN method = 'online' THEN f1 END) OVER (PARTITION BY ratio, algo) AS gain
- FROM (SELECT ratio, algo, method, {f1} AS f1, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy FROM (
- SELECT split_part(stream, '|', 2)::DOUBLE AS ratio, algo, method, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (
-  SELECT stream, algo, 'online' AS method, tp, fp, tn, fn FROM ({on}) UNION ALL SELECT stream, algo, 'kernel' AS method, tp, fp, tn, fn FROM ({ke})) GROUP BY 1, 2, 3))"""
+    data, part = (f"{by} AS dataset, ", "dataset, ") if by else ("", "")
+    return f"""SELECT *, max(CASE WHEN method = 'kernel' THEN f1 END) OVER (PARTITION BY {part}ratio, algo) - max(CASE WHEN method = 'online' THEN f1 END) OVER (PARTITION BY {part}ratio, algo) AS gain
+ FROM (SELECT {part}ratio, algo, method, {f1} AS f1, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS accuracy FROM (
+ SELECT {data}split_part(stream, '|', 2)::DOUBLE AS ratio, algo, method, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM (
+  SELECT stream, algo, 'online' AS method, tp, fp, tn, fn FROM ({on}) UNION ALL SELECT stream, algo, 'kernel' AS method, tp, fp, tn, fn FROM ({ke})) GROUP BY ALL))"""
 
 
 def q_t14_scenario_grid(spark, sf):
@@ -2100,7 +2110,44 @@ def sql_t14_q1_mean_gain():
  FROM ({_grid_sql()}) GROUP BY ratio"""
 
 
-_Q.update({"t14_scenario_grid": (q_t14_scenario_grid, sql_t14_scenario_grid), "t14_q1_mean_gain": (q_t14_q1_mean_gain, sql_t14_q1_mean_gain)})
+def _dataset_grid_sql():
+    return _grid_sql(FX.USER_TASK_SQL, "split_part(stream, '/', 1)")
+
+
+def q_t14_dataset_grid(spark, sf):
+    """T14 over datasets: five event types x three ratios x seven rules x online and kernel in one fold."""
+    return _r(_dataset_grid(spark, sf))
+
+
+def sql_t14_dataset_grid():
+    return f"SELECT dataset, ratio, algo, method, {O.rnd('f1')} AS f1, {O.rnd('accuracy')} AS accuracy, {O.rnd('gain')} AS gain FROM ({_dataset_grid_sql()})"
+
+
+def q_t14_q2_median(spark, sf):
+    """Q2 on the grid: median F1 over the datasets per rule, method and ratio."""
+    from streamlearn.operators.report import median_metric
+    return _r(median_metric(_dataset_grid(spark, sf), ["algo", "method", "ratio"]))
+
+
+def sql_t14_q2_median():
+    return f"SELECT algo, method, ratio, {O.rnd('median(f1)')} AS median_f1 FROM ({_dataset_grid_sql()}) GROUP BY algo, method, ratio"
+
+
+def q_t14_q3_top(spark, sf):
+    """Q3 on the grid: the three rules of highest median F1 per method at the hardest ratio."""
+    from streamlearn.operators.report import median_metric, top_k
+    m = median_metric(_dataset_grid(spark, sf).filter(F.col("ratio") == max(GRID_RATIOS)), ["algo", "method"])
+    return _r(top_k(_r(m), 3, ["method"]))
+
+
+def sql_t14_q3_top():
+    return f"""SELECT * FROM (SELECT algo, method, median_f1, row_number() OVER (PARTITION BY method ORDER BY median_f1 DESC, algo) AS rank
+ FROM (SELECT algo, method, median_f1 FROM ({sql_t14_q2_median()}) WHERE ratio = {max(GRID_RATIOS)!r})) WHERE rank <= 3"""
+
+
+_Q.update({"t14_scenario_grid": (q_t14_scenario_grid, sql_t14_scenario_grid), "t14_q1_mean_gain": (q_t14_q1_mean_gain, sql_t14_q1_mean_gain),
+           "t14_dataset_grid": (q_t14_dataset_grid, sql_t14_dataset_grid), "t14_q2_median": (q_t14_q2_median, sql_t14_q2_median),
+           "t14_q3_top": (q_t14_q3_top, sql_t14_q3_top)})
 
 
 # ------------------------------------------- training-data operators, if there
@@ -2109,9 +2156,9 @@ def _add_llm() -> dict[str, str]:
     try:
         from streamlearn.llm.registry import ORACLES, QUERIES
         import corpus_pipeline
-    except ModuleNotFoundError as e:
-        if e.name not in ("streamlearn.llm", "streamlearn.llm.registry", "corpus_pipeline"):
-            raise
+    except ImportError as e:
+        if getattr(e, "name", None) not in ("streamlearn.llm", "streamlearn.llm.registry", "corpus_pipeline"):
+            warnings.warn(f"the training-data queries are left out: {e}", stacklevel=2)     # a module that they need is missing
         return {}
     _Q.update({k: (f, None) for k, f in QUERIES.items()})
     _Q["pipeline"] = (corpus_pipeline.run, None)

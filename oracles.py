@@ -20,6 +20,11 @@ def rnd(e: str) -> str:
     return f"(round(({e})::DOUBLE, {R}) + 0.0)"
 
 
+def on_grid(e: str) -> str:
+    """Round to a multiple of 2^-20, as the outlier factors are (powers and sines differ in the last bit between engines)."""
+    return f"(floor(({e}) / {2.0 ** -20!r} + 0.5) * {2.0 ** -20!r})"
+
+
 def _dot(a: str, b: str, d: int) -> str:
     return "(" + " + ".join(f"{b}[{j}] * {a}[{j}]" for j in range(1, d + 1)) + ")"
 

@@ -57,6 +57,14 @@ def _balance(df: DataFrame, y: str = "y") -> DataFrame:
                   F.sum(F.when(F.col(y) == -1, 1).otherwise(0)).alias("_nn"))
 
 
+#: Powers and sines are rounded to multiples of this: math libraries differ in their last bit, and a sign may hang on it.
+FACTOR_GRID = 2.0 ** -20
+
+
+def _on_grid(v: Column) -> Column:
+    return F.floor(v / FACTOR_GRID + 0.5) * F.lit(FACTOR_GRID)
+
+
 def outlier_factor(seed: int = 42, steps: Sequence[str] = ("positives", "negatives", "late", "shift")) -> Column:
     """D2-D5 as one factor of x, from the columns y, id, idx (position), cr (rank within the class) and the numbers
     of rows _n, of positives _np and of negatives _nn."""
@@ -67,10 +75,10 @@ def outlier_factor(seed: int = 42, steps: Sequence[str] = ("positives", "negativ
     if "positives" in steps:
         u = hash_unit("id", seed)
         lo_hi = F.when(extreme, F.lit(2.0)).otherwise(F.lit(1.0))
-        f = F.when(pos, f * F.pow(F.lit(10.0), (u * 2.0 - 1.0) * lo_hi)).otherwise(f)
+        f = F.when(pos, f * _on_grid(F.pow(F.lit(10.0), (u * 2.0 - 1.0) * lo_hi))).otherwise(f)
     if "negatives" in steps:
         t = F.when(F.col("_nn") > 1, F.lit(2.0 * math.pi) * F.col("cr") / (F.col("_nn") - 1)).otherwise(F.lit(0.0))
-        sc = F.when(extreme, F.lit(0.05) + F.lit(0.45) * (F.lit(1.0) + F.sin(t))).otherwise(F.lit(0.1))
+        sc = F.when(extreme, F.lit(0.05) + F.lit(0.45) * (F.lit(1.0) + _on_grid(F.sin(t)))).otherwise(F.lit(0.1))
         f = F.when(neg, f * sc).otherwise(f)
     if "late" in steps:
         start = F.floor(F.when(extreme, F.lit(0.5)).otherwise(F.lit(0.75)) * F.col("_np"))
