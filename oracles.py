@@ -62,6 +62,12 @@ def step_sql(name: str, d: int, params: dict) -> str:
         upd = _lst(f"a.w[{j}] + ({L} / (e.q * e.q) * e.y) * e.x[{j}]" for j in J)
         return (f"CASE WHEN {L} > 0 AND e.q > 0 THEN {_acc(d, upd, m='a.m + 1', p=P)} "
                 f"WHEN {L} > 0 THEN {_acc(d, 'a.w', m='a.m + 1', p=P)} ELSE {_acc(d, 'a.w', p=P)} END")
+    if name == "pa2":                                   # a rule of the caller's (U1): passive-aggressive with a soft margin
+        P = _sgn(S, "1.0::DOUBLE")
+        L = f"(1.0 - e.y * {S})"
+        upd = _lst(f"a.w[{j}] + {L} / (e.q + {1 / (2 * float(params['C']))!r}) * e.y * e.x[{j}]" for j in J)
+        miss = f"a.m + (CASE WHEN {P} <> e.y THEN 1 ELSE 0 END)"
+        return f"CASE WHEN {L} > 0 THEN {_acc(d, upd, m=miss, p=P)} ELSE {_acc(d, 'a.w', p=P)} END"
     if name == "ogc":
         P = _sgn(S, "0.0::DOUBLE")
         c = f"((e.y - {P}) / (sqrt(e.q) + 1e-8))"

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamlearn.operators.scan import prefix_scan
+
 
 def _div(a: Column, b: Column) -> Column:
     """a / b, or 0.0 when b is 0."""
@@ -150,16 +152,14 @@ def per_entity_metrics(df: DataFrame, entity: str, algo: str = "algo", algos: Se
 
 
 def running_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], y="y", pred="pred") -> DataFrame:
-    """M7: cumulative FNR, FPR, predicted threats and progress per stream."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """M7: cumulative FNR, FPR, predicted threats and progress per stream, by one keyed prefix scan (a stream of any
+    length spans tasks)."""
     yp, pp = F.col(y) > 0, F.col(pred) > 0
     one = lambda c: F.when(c, 1).otherwise(0)
-    out = (df.withColumn("cum_fn", F.sum(one(yp & ~pp)).over(w))
-             .withColumn("cum_tp", F.sum(one(yp & pp)).over(w))
-             .withColumn("cum_fp", F.sum(one(~yp & pp)).over(w))
-             .withColumn("cum_tn", F.sum(one(~yp & ~pp)).over(w))
-             .withColumn("threats", F.sum(one(pp)).over(w))
-             .withColumn("seen", F.count(F.lit(1)).over(w)))
+    flags = {"cum_fn": yp & ~pp, "cum_tp": yp & pp, "cum_fp": ~yp & pp, "cum_tn": ~yp & ~pp}
+    d = df.select("*", *[one(c).alias(f"_{n}") for n, c in flags.items()])
+    out = prefix_scan(d, keys, order, {n: f"_{n}" for n in flags}, "seen").drop(*[f"_{n}" for n in flags])
+    out = out.withColumn("threats", F.col("cum_tp") + F.col("cum_fp")).withColumn("seen", F.col("seen") + 1)
     return (out.withColumn("fnr", _div(F.col("cum_fn"), F.col("cum_fn") + F.col("cum_tp")))
                .withColumn("fpr", _div(F.col("cum_fp"), F.col("cum_fp") + F.col("cum_tn"))))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamlearn.functions.hashing import hash32, hash63
+from streamlearn.operators.scan import prefix_scan
 from streamlearn.session import written
 
 DEFAULT_ORDER = ("ts", "id", "x", "y")
@@ -257,32 +258,46 @@ def epoch_order(df: DataFrame, epoch: int, base_seed: int = 42, id_col: str = "i
 
 def round_chunk(df: DataFrame, r: int, C: int = 500, keys: Sequence[str] = ("stream",),
                 order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """Rows [r*C, r*C + C) mod n of each stream, with their chunk position."""
-    d = with_index(df, order, keys)
-    d = _with_counts(d, keys)
+    """Rows [r*C, r*C + C) mod n of each stream, with their chunk position (places by a keyed prefix scan)."""
+    d = _with_counts(prefix_scan(df, keys, order, position="idx"), keys)
     p = F.pmod(F.col("idx") - F.lit(r * C), F.col("_n"))
     return d.withColumn("chunk_pos", p).filter(F.col("chunk_pos") < C).drop("_n")
 
 
 def trailing_window(df: DataFrame, W: int = 250, keys: Sequence[str] = ("stream",),
                     order: Sequence[str] = DEFAULT_ORDER, value: str = "y") -> DataFrame:
-    """Statistics of the previous W rows (rows j-W .. j-1) of each stream."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-W, -1)
-    return (df.withColumn("win_n", F.count(F.col(value)).over(w))
-              .withColumn("win_sum", F.sum(F.col(value)).over(w)))
+    """Statistics of the previous W rows (rows j-W .. j-1) of each stream.
+
+    The window runs inside blocks of a stream, so a task holds a block and not a stream."""
+    w = Window.partitionBy(*keys, "_blk").orderBy("_i").rowsBetween(-W, -1)
+    d = (_blocks(df, W, keys, order).withColumn("win_n", F.count(F.col(value)).over(w))
+         .withColumn("win_sum", F.sum(F.col(value)).over(w)))
+    return d.filter("_own").drop("_i", "_blk", "_own")
 
 
 def window_rows(df: DataFrame, W: int = 250, keys: Sequence[str] = ("stream",),
                 order: Sequence[str] = DEFAULT_ORDER, col: str = "win") -> DataFrame:
-    """R11 with the rows: each row carries the (x, y) of the previous W rows of its stream, at most W of them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-W, -1)
-    return df.withColumn(col, F.collect_list(F.struct("x", "y")).over(w))
+    """R11 with the rows: each row carries the (x, y) of the previous W rows of its stream, at most W of them; by definition W
+    rows a row, held for one block of a stream at a time."""
+    w = Window.partitionBy(*keys, "_blk").orderBy("_i").rowsBetween(-W, -1)
+    d = _blocks(df, W, keys, order).withColumn(col, F.collect_list(F.struct("x", "y")).over(w))
+    return d.filter("_own").drop("_i", "_blk", "_own")
+
+
+def _blocks(df: DataFrame, W: int, keys: Sequence[str], order: Sequence[str], least: int = 10_000) -> DataFrame:
+    """Each row in its block of a stream, and the last W rows of a block once more in front of the next (``_own`` false)."""
+    size = max(least, 4 * W)                                # at most a quarter more rows
+    d = prefix_scan(df, keys, order, position="_i").withColumn("_blk", F.floor(F.col("_i") / size))
+    late = F.col("_i") % size >= size - W
+    both = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (d.withColumn("_ahead", F.explode(both)).withColumn("_blk", F.col("_blk") + F.col("_ahead"))
+             .withColumn("_own", F.col("_ahead") == 0).drop("_ahead"))
 
 
 def eval_slice(df: DataFrame, K: int = 200, keys: Sequence[str] = ("stream",),
                order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """First K rows per task; tasks with fewer than K rows are skipped (a grouped count, so that the row limit
-    reaches the window)."""
+    """First K rows per task; tasks with fewer than K rows are skipped.  The row limit reaches the window, so a map
+    task hands on at most K rows of a task (``row_number() <= K`` is pushed below the shuffle)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return (min_rows(df, K, keys).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= K).drop("_rn"))
 

@@ -31,8 +31,9 @@ def score_linear(df: DataFrame, models: DataFrame, on: Sequence[str] = (), tie:
         broadcast_models = not on
     m = F.broadcast(m) if broadcast_models else m
     j = df.join(m, list(on)) if on else df.crossJoin(m)
-    s = dot("x", "w") + F.coalesce(F.col("b"), F.lit(0.0))
-    j = j.withColumn("score", F.when(F.isnan(s) | (F.abs(s) == float("inf")), 0.0).otherwise(s))
+    # one evaluation of the dot product: the guard looks at the one value of an array
+    s = F.array(dot("x", "w") + F.coalesce(F.col("b"), F.lit(0.0)))
+    j = j.withColumn("score", F.transform(s, lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))[0])
     if threshold is None:
         return j.withColumn("pred", sign_pred("score", tie))
     return j.withColumn("pred", F.when(F.col("score") > threshold, 1.0).otherwise(-1.0))

@@ -165,7 +165,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
 def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), order=DEFAULT_ORDER,
           init: DataFrame | None = None, emit_preds=True, emit_models=False,
           split_configs=False, passthrough: Sequence[str] = (), init_only=False) -> DataFrame:
-    configs = list(configs)
+    configs = [c.shipped() for c in configs]
     keys, order, passthrough = list(keys), list(order), list(passthrough)
     spark = df.sparkSession
     base_cols = list(dict.fromkeys(keys + ["ts", "id", "x", "y"] + [c for c in order if c not in ("ts", "id", "x", "y")] + passthrough

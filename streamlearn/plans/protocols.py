@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from streamlearn.functions.hashing import hash32
 from streamlearn.operators.metrics import confusion_counts, rates, selection_metric
 from streamlearn.operators.order import DEFAULT_ORDER, min_rows
+from streamlearn.operators.scan import prefix_scan
 from streamlearn.operators.score import score_linear
 from streamlearn.plans.fold import STATE_COLS, fold_models, fold_predictions
 from streamlearn.plans.learners import LearnerConfig
-from streamlearn.session import reliable_checkpoint
+from streamlearn.session import reliable_checkpoint, written
 
 
 def predict_then_learn(df, configs, keys=("stream",), order=DEFAULT_ORDER, **kw) -> DataFrame:
@@ -139,10 +140,10 @@ def fit_freeze_score(train: DataFrame, test: DataFrame, configs, keys=("stream",
 
 
 def prequential(preds: DataFrame, keys=("stream", "algo"), pos: str = "pos") -> DataFrame:
-    """Compare the prediction at t with the truth at t+1; the last row drops."""
-    w = Window.partitionBy(*keys).orderBy(pos)
-    return preds.withColumn("y_next", F.lead("y", 1).over(w)).filter(F.col("y_next").isNotNull()) \
-                .withColumn("y", F.col("y_next")).drop("y_next")
+    """Compare the prediction at t with the truth at t+1; the last row drops.  A prefix scan from the end, so a
+    long stream spans tasks."""
+    d = prefix_scan(preds, keys, [f"-{pos}"], previous={"_next": "y"})
+    return d.filter(F.col("_next").isNotNull()).withColumn("y", F.col("_next")).drop("_next")
 
 
 def best_of_shuffles(train: DataFrame, val: DataFrame, configs, k: int = 10, keys=("stream",),
@@ -269,52 +270,95 @@ def adapt_and_freeze(df: DataFrame, w0: DataFrame, configs: Sequence[LearnerConf
 
 
 def exact_percentiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float]:
-    """Linearly interpolated percentiles of a whole column without gathering it: distinct values are counted,
-    range-sorted and numbered, and only the (at most two per share) values around each position are fetched."""
-    counts = reliable_checkpoint(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                                 .repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()))
+    """Linearly interpolated percentiles of a whole column without gathering it: distinct values are counted and
+    range-sorted, partitions are numbered through, and a pass over the sorted values fetches those (at most two per
+    share) at the wanted positions, found by binary search in the running counts."""
+    counts = written(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                       .repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()), "values")
     sizes = sorted((r["p"], r["s"]) for r in counts.groupBy("p").agg(F.sum("n").alias("s")).collect())     # one number a partition
     total = sum(n for _, n in sizes)
     if not total:
         return []
     at = [q * (total - 1) for q in shares]
-    need = sorted({int(a) for a in at} | {min(int(a) + 1, total - 1) for a in at})
-    starts, done = [], 0
-    for p, n in sizes:
-        starts.append((p, done))
-        done += n
-    local = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = df.sparkSession.createDataFrame(starts, "p int, o long")
-    upto = (counts.join(F.broadcast(table), "p").withColumn("last", F.col("o") + F.sum("n").over(local) - 1)
-                  .withColumn("first", F.col("last") - F.col("n") + 1))
-    wanted = F.array(*[F.lit(i).cast("long") for i in need])
-    hits = upto.withColumn("i", F.explode(F.filter(wanted, lambda i: (i >= F.col("first")) & (i <= F.col("last")))))
-    value = {r["i"]: r["v"] for r in hits.select("i", "v").collect()}
+    need = np.array(sorted({int(a) for a in at} | {min(int(a) + 1, total - 1) for a in at}), np.int64)
+    starts = dict(zip((p for p, _ in sizes), np.cumsum([0] + [n for _, n in sizes]).tolist()))
+    held = [p for p, n in sizes if ((need >= starts[p]) & (need < starts[p] + n)).any()]                   # only these are read
+
+    def hits(batches):
+        done = {}
+        for rb in batches:
+            ps, vs, ns = (rb.column(c).to_numpy() for c in ("p", "v", "n"))
+            for p in np.unique(ps).tolist():
+                here = ps == p
+                upto = done.get(p, starts[p]) + np.cumsum(ns[here])
+                lo = upto[0] - ns[here][0]
+                mine = need[(need >= lo) & (need < upto[-1])]
+                done[p] = int(upto[-1])
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(vs[here][np.searchsorted(upto, mine, "right")])], names=["i", "v"])
+    rows = counts.filter(F.col("p").isin(held)).repartition("p").sortWithinPartitions("p", "v").mapInArrow(hits, "i long, v double").collect()
+    value = {r["i"]: r["v"] for r in rows}                                                                 # at most two a share
     return [value[int(a)] + (a - int(a)) * (value[min(int(a) + 1, total - 1)] - value[int(a)]) for a in at]
 
 
+def grouped_percentiles(df: DataFrame, g: Sequence[str], col: str, shares: Sequence[float], name: str = "_thr") -> DataFrame:
+    """``exact_percentiles`` of every group at once: (g, ``name`` array).
+
+    Distinct values of a group are counted (map-side) and numbered by one keyed prefix scan, so a group with a third
+    of all rows is spread over tasks.  A value that covers the positions [a, b) of its group answers the shares whose
+    position, or the one after it, lies there; only those rows meet their group again."""
+    g = list(g)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*g, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = written(prefix_scan(counts, g, ["_v"], {"_b": "_c"}), "values")
+    sizes = upto.groupBy(*g).agg(F.max("_b").alias("_N"))
+    d = upto.join(sizes, g).withColumn("_a", F.col("_b") - F.col("_c"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(shares)])
+    pos = lambda s: s["q"] * (F.col("_N") - 1)
+    low = lambda s: F.floor(pos(s))
+    high = lambda s: F.least(F.floor(pos(s)) + 1, F.col("_N") - 1)
+    inside = lambda i: (i >= F.col("_a")) & (i < F.col("_b"))
+    hit = d.select(*g, "_v", "_a", "_b", "_N", F.explode(F.filter(wanted, lambda s: inside(low(s)) | inside(high(s)))).alias("s"))
+    s = F.col("s")
+    ends = hit.groupBy(*g, F.col("s.k").alias("_k")).agg(
+        F.max(F.when(inside(low(s)), F.col("_v"))).alias("lo"), F.max(F.when(inside(high(s)), F.col("_v"))).alias("hi"), F.max(pos(s) - low(s)).alias("f"))
+    one = ends.select(*g, F.struct("_k", (F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))).alias("t")).alias("e"))
+    return one.groupBy(*g).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]).alias(name))
+
+
 def tune_threshold(train_scores: DataFrame, beta: float = 1.5, g: Sequence[str] = (), score: str = "score",
                    y: str = "y") -> DataFrame:
     """candidates = exact percentiles 1..99 of the training scores; rows at or above a candidate are
     predicted +1; the one maximising F-beta wins (1e-9 in denominators, strict >, so the first best).
 
-    Each row finds how many of the 99 sorted candidates it reaches (an array filter), rows are counted per
-    (group, bucket), and each of the <= 100 bucket rows adds its counts to the candidates it reaches.
-    Without groups the candidates come from ``exact_percentiles``; with groups from one aggregate per group,
-    joined on the group.
+    Scores are written once.  A task finds by binary search how many of the 99 sorted candidates a row reaches and
+    counts rows per (group, bucket); each of the <= 100 bucket rows adds its counts to the candidates it reaches.
     """
     g = list(g)
     pcts = [i / 100.0 for i in range(1, 100)]
+    one = F.when(F.col(y) > 0, 1).otherwise(0)
+    d = written(train_scores.select(*g, F.col(score).cast("double").alias("_s"), one.alias("_y")), "scores")
     if g:
-        cand = train_scores.groupBy(*g).agg(F.percentile(score, pcts).alias("_thr"))
-        j = train_scores.join(cand, g)
+        cand = grouped_percentiles(d, g, "_s", pcts)
+        d = d.groupBy(*g, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")).join(cand, g)
+        d = d.withColumn("_b", F.size(F.filter("_thr", lambda t: t <= F.col("_s"))))
+        c = d.groupBy(*g, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     else:
-        thr = exact_percentiles(train_scores, score, pcts)
-        cand = train_scores.sparkSession.createDataFrame([(thr,)] if thr else [], "_thr array<double>")
-        j = train_scores.withColumn("_thr", F.array(*[F.lit(t) for t in thr]).cast("array<double>"))
-    j = j.withColumn("_b", F.size(F.filter("_thr", lambda t: t <= F.col(score))))
-    c = j.groupBy(*g, "_b").agg(F.sum(F.when(F.col(y) > 0, 1).otherwise(0)).alias("_pos"),
-                                F.sum(F.when(F.col(y) > 0, 0).otherwise(1)).alias("_neg"))
+        thr = exact_percentiles(d, "_s", pcts)
+        cand = d.sparkSession.createDataFrame([(thr,)] if thr else [], "_thr array<double>")
+        edges = np.array(thr, np.float64)
+
+        def counted(batches):
+            total = np.zeros((len(edges) + 1, 2), np.int64)
+            for rb in batches:
+                known = rb.column(0).is_valid().to_numpy(zero_copy_only=False)
+                b = np.searchsorted(edges, rb.column(0).to_numpy(zero_copy_only=False)[known], "right")
+                pos = rb.column(1).to_numpy()[known]
+                total[:, 0] += np.bincount(b[pos == 1], minlength=len(total))
+                total[:, 1] += np.bincount(b[pos == 0], minlength=len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])],
+                                             names=["_b", "_pos", "_neg"])
+        c = (d.select("_s", "_y").mapInArrow(counted, "_b int, _pos long, _neg long")
+              .groupBy("_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")).filter("_pos + _neg > 0"))
     tot = c.groupBy(*g).agg(F.sum("_pos").alias("_P"))
     above = (c.filter(F.col("_b") >= 1)
               .select(*g, F.explode(F.sequence(F.lit(1), F.col("_b"))).alias("k"), "_pos", "_neg")
