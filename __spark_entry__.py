@@ -25,7 +25,7 @@ from streamlearn.operators import metrics as M  # noqa: E402
 from streamlearn.operators import order as R  # noqa: E402
 from streamlearn.operators import prep as P  # noqa: E402
 from streamlearn.plans.fold import fold_both, fold_models, fold_predictions  # noqa: E402
-from streamlearn.plans.learners import MAIN_SEVEN, LearnerConfig  # noqa: E402
+from streamlearn.plans.learners import MAIN_SEVEN, LearnerConfig, LearnerSpec, register  # noqa: E402
 from streamlearn.sources import fixtures as FX  # noqa: E402
 from streamlearn.session import ship_package  # noqa: E402
 from streamlearn.sources import tables as S  # noqa: E402
@@ -1158,6 +1158,31 @@ g AS (SELECT *, (1 + 2.25) * p * r / (2.25 * p + r + 1e-9) AS fbeta FROM f)
 SELECT k, {O.rnd('threshold')} AS threshold, tp, fp, fn, {O.rnd('fbeta')} AS fbeta FROM g ORDER BY fbeta DESC, k LIMIT 1"""
 
 
+def q_t13_grouped(spark, sf):
+    """T13 per user: the best of the user's own 99 percentiles of linear scores, all users at once."""
+    from streamlearn.operators.score import score_linear
+    from streamlearn.plans.protocols import tune_threshold
+    s = FX.user_stream(spark, sf)
+    m = _mean_models(s.withColumn("k", F.lit(1)), keys=["k"]).drop("k")
+    return _r(tune_threshold(score_linear(s, m), 1.5, ["stream"]).select("stream", "k", "threshold", "tp", "fp", "fn", "fbeta"))
+
+
+def sql_t13_grouped():
+    pc = "[" + ", ".join(f"{i / 100.0!r}" for i in range(1, 100)) + "]"
+    m = _mean_models_sql(f"SELECT 1 AS k, * FROM ({FX.USER_SQL})", keys="k")
+    return f"""WITH sc AS (SELECT u.stream, u.y, (u.x[1] * m.w[1] + u.x[2] * m.w[2] + u.x[3] * m.w[3]) AS s FROM ({FX.USER_SQL}) u, ({m}) m),
+c AS (SELECT stream, unnest(range(1, 100)) AS k, unnest(thr) AS threshold FROM (SELECT stream, quantile_cont(s, {pc}) AS thr FROM sc GROUP BY stream)),
+t AS (SELECT c.stream, c.k, c.threshold, count(*) FILTER (sc.y > 0 AND sc.s >= c.threshold) AS tp, count(*) FILTER (sc.y <= 0 AND sc.s >= c.threshold) AS fp,
+   count(*) FILTER (sc.y > 0 AND sc.s < c.threshold) AS fn FROM c JOIN sc USING (stream) GROUP BY ALL),
+f AS (SELECT *, tp / (tp + fp + 1e-9) AS p, tp / (tp + fn + 1e-9) AS r FROM t),
+g AS (SELECT *, (1 + 2.25) * p * r / (2.25 * p + r + 1e-9) AS fbeta FROM f)
+SELECT stream, k, {O.rnd('threshold')} AS threshold, tp, fp, fn, {O.rnd('fbeta')} AS fbeta
+FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY fbeta DESC, k) AS rn FROM g) WHERE rn = 1"""
+
+
+_Q.update({"t13_grouped": (q_t13_grouped, sql_t13_grouped)})
+
+
 def q_t16_mixed_one_shard(spark, sf):
     """Parameter mixing with one shard and one epoch equals the exact fold."""
     from streamlearn.plans.protocols import fit_mixed
@@ -1177,17 +1202,21 @@ def q_t16_mixed_four_shards(spark, sf):
     return _r(m.select("stream", "algo", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
 
 
-def sql_t16_mixed_four_shards():
-    src = f"SELECT *, {sql_hash32('id', 42)} % 4 AS shard FROM ({FX.USER_SQL})"
+def _mixed_sql(cfg, shards, rounds):
+    src = f"SELECT *, {sql_hash32('id', 42)} % {shards} AS shard FROM ({FX.USER_SQL})"
     mean = "[" + ", ".join(f"avg(w[{j}])" for j in (1, 2, 3)) + "] AS w"
     state = None
-    for _ in range(3):
-        init = f"SELECT a.stream, s.shard, a.algo, a.w FROM ({state}) a, (SELECT unnest(range(0, 4)) AS shard) s" if state else None
-        fold = O.fold_sql(src, _cfgs(T_CFG), 3, keys=("stream", "shard"), out_w="raw", init_sql=init)
+    for _ in range(rounds):
+        init = f"SELECT a.stream, s.shard, a.algo, a.w FROM ({state}) a, (SELECT unnest(range(0, {shards})) AS shard) s" if state else None
+        fold = O.fold_sql(src, _cfgs(cfg), 3, keys=("stream", "shard"), out_w="raw", init_sql=init)
         state = f"SELECT stream, algo, {mean} FROM ({fold}) GROUP BY stream, algo"
     return "SELECT stream, algo, " + ", ".join(f"{O.rnd(f'w[{j}]')} AS w{j - 1}" for j in (1, 2, 3)) + f" FROM ({state})"
 
 
+def sql_t16_mixed_four_shards():
+    return _mixed_sql(T_CFG, 4, 3)
+
+
 def q_t6_prequential(spark, sf):
     """Prediction at t compared with the truth at t+1, M1 per detector."""
     from streamlearn.plans.protocols import prequential
@@ -1599,19 +1628,25 @@ def sql_s4_write_results():
 
 
 # --------------------------------------------------------------- streaming
-def _stream_src(spark, sf, df):
-    from streamlearn.streaming.online import ordered_file_source
-    # one file for every five days
-    return ordered_file_source(df.withColumn("block", F.floor(F.datediff("ts", F.lit("2020-01-01")) / 5)), "block")[0].drop("block")
+STREAM_BLOCK, STREAM_DELAY = 5, "5 days"
 
 
-def q_w2_stream_learn(spark, sf):
-    """Structured Streaming predict-then-learn per user over five-day files in
-    time order (maxFilesPerTrigger 1); final per-user state equals the batch fold."""
+def _stream_src(spark, sf, df, close=None):
+    """The table as a stream of five-day blocks, each in files that hold its rows in random order."""
+    from streamlearn.streaming.online import replay_source
+    return replay_source(df.withColumn("block", F.floor(F.datediff("ts", F.lit("2020-01-01")) / STREAM_BLOCK)), "block", close=close)
+
+
+def _learnt(spark, sf, df, cfg, init=None):
+    """All predictions of a streaming run over the out-of-order source; the closing row lets the last rows out."""
     from streamlearn.streaming.online import run_to_completion, stream_learn
-    sdf = _stream_src(spark, sf, FX.user_stream(spark, sf))
-    out = run_to_completion(stream_learn(sdf, FLAG_CFG))
-    return M.confusion_counts(out, ["stream", "algo"])
+    return run_to_completion(stream_learn(_stream_src(spark, sf, df, "11 days"), cfg, init, STREAM_DELAY))
+
+
+def q_w2_stream_learn(spark, sf):
+    """Structured Streaming predict-then-learn per user; rows arrive out of order by up to five days and are folded
+    in event-time order, so the counts equal the batch fold's."""
+    return M.confusion_counts(_learnt(spark, sf, FX.user_stream(spark, sf), FLAG_CFG), ["stream", "algo"])
 
 
 def sql_w2_stream_learn():
@@ -1620,14 +1655,12 @@ def sql_w2_stream_learn():
 
 
 def q_w1_stream_periods(spark, sf):
-    """Streaming 10-minute period aggregates, append mode with a watermark; a closing row two days after the
-    last event moves the watermark past every real period (its own period stays open)."""
+    """Streaming 10-minute period aggregates, append mode with a watermark; rows come out of order by
+    up to five days; a closing row moves the watermark past every real period (its own period stays open)."""
     from streamlearn.streaming.online import run_to_completion, stream_periods
     ev = FX.event_features(spark, sf).withColumnRenamed("timestamp", "ts")
-    close = ev.agg(F.max("ts").alias("m")).select(*[(F.col("m") + F.expr("interval 2 days")).alias("ts") if c == "ts"
-                                                    else F.lit(None).cast(t).alias(c) for c, t in ev.dtypes])
-    sdf = _stream_src(spark, sf, ev.unionByName(close)).withColumnRenamed("ts", "timestamp")
-    out = run_to_completion(stream_periods(sdf, FEATS, width="10 minutes", delay="1 day"))
+    sdf = _stream_src(spark, sf, ev, "11 days").withColumnRenamed("ts", "timestamp")
+    out = run_to_completion(stream_periods(sdf, FEATS, width="10 minutes", delay=STREAM_DELAY))
     return _r(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
@@ -1654,9 +1687,9 @@ LIVE_CFG = [LearnerConfig.of("OGC_live", "ogc_live", eta=0.1)]
 def q_w4_w6_stream_alerts(spark, sf):
     """W4 + W6: alerts (pred +1) with their top-3 attributions from the pre-update weights, one row each; rows
     with ``active = false`` (hour 3) are seen but neither predicted nor learned."""
-    from streamlearn.streaming.online import run_to_completion, stream_alerts, stream_learn
+    from streamlearn.streaming.online import stream_alerts
     s = FX.user_stream(spark, sf).withColumn("active", F.hour("ts") != 3)
-    a = stream_alerts(run_to_completion(stream_learn(_stream_src(spark, sf, s), LIVE_CFG)), 3, ["value", "hour", "bias"])
+    a = stream_alerts(_learnt(spark, sf, s, LIVE_CFG), 3, ["value", "hour", "bias"])
     t = a.select("id", "true_class", F.posexplode("top").alias("rank", "t"))
     return _r(t.select("id", "true_class", "rank", F.col("t.name").alias("name"), (F.col("t.contribution") * 4096.0).alias("contribution_4096"),
                        F.col("t.percent").alias("percent")))
@@ -1690,10 +1723,8 @@ SELECT id, true_class, rank, ['value', 'hour', 'bias'][f + 1] AS name, {O.rnd('v
 
 def q_t15_pretrain_then_stream(spark, sf):
     """The live rule trained on each user's first 80%, then the rest as a stream that starts from those models."""
-    from streamlearn.streaming.online import run_to_completion, stream_learn
     tr, te = _user_split(spark, sf)
-    out = run_to_completion(stream_learn(_stream_src(spark, sf, te), LIVE_CFG, fold_models(tr, LIVE_CFG)))
-    return M.confusion_counts(out, ["stream", "algo"])
+    return M.confusion_counts(_learnt(spark, sf, te, LIVE_CFG, fold_models(tr, LIVE_CFG)), ["stream", "algo"])
 
 
 def sql_t15_pretrain_then_stream():
@@ -2150,6 +2181,60 @@ _Q.update({"t14_scenario_grid": (q_t14_scenario_grid, sql_t14_scenario_grid), "t
            "t14_q3_top": (q_t14_q3_top, sql_t14_q3_top)})
 
 
+# ------------------------------------------------- U1 a rule of the caller's
+def _pa2_init(d, C):
+    return {"w": [0.0] * d}
+
+
+def _pa2_step(state, x, y, score, C):
+    loss = 1.0 - y * score
+    if loss > 0:
+        q = 0.0
+        for v in x:
+            q += v * v
+        tau = loss / (q + 1 / (2 * C)) * y
+        state["w"] = [w + tau * v for w, v in zip(state["w"], x)]
+    return state
+
+
+register("pa2", LearnerSpec(_pa2_init, _pa2_step))
+U1_CFG = [LearnerConfig.of("PA-II", "pa2", C=0.5), LearnerConfig.of("Perceptron", "perceptron")]
+
+
+def q_u1_user_learner(spark, sf):
+    """A rule defined here (not in the package), folded per user beside a built-in one."""
+    m = fold_models(FX.user_stream(spark, sf), U1_CFG)
+    return _r(m.select("stream", "algo", "n", "mistakes", *[F.col("w")[j].alias(f"w{j}") for j in range(3)], "tp", "fp", "tn", "fn"))
+
+
+def sql_u1_user_learner():
+    return O.fold_sql(FX.USER_SQL, _cfgs(U1_CFG), 3)
+
+
+def q_u1_user_learner_mixed(spark, sf):
+    """U1 in parameter mixing: four shards of every user's stream, two rounds."""
+    from streamlearn.plans.protocols import fit_mixed
+    m = fit_mixed(FX.user_stream(spark, sf), U1_CFG, shards=4, epochs=2)
+    return _r(m.select("stream", "algo", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
+
+
+def sql_u1_user_learner_mixed():
+    return _mixed_sql(U1_CFG, 4, 2)
+
+
+def q_u1_user_learner_stream(spark, sf):
+    """U1 in streaming: the same rule learns from a file stream; counts equal the batch fold's."""
+    return M.confusion_counts(_learnt(spark, sf, FX.user_stream(spark, sf), U1_CFG), ["stream", "algo"])
+
+
+def sql_u1_user_learner_stream():
+    return f"SELECT stream, algo, tp, fp, tn, fn FROM ({O.fold_sql(FX.USER_SQL, _cfgs(U1_CFG), 3, out_w=False)})"
+
+
+_Q.update({"u1_user_learner": (q_u1_user_learner, sql_u1_user_learner), "u1_user_learner_mixed": (q_u1_user_learner_mixed, sql_u1_user_learner_mixed),
+           "u1_user_learner_stream": (q_u1_user_learner_stream, sql_u1_user_learner_stream)})
+
+
 # ------------------------------------------- training-data operators, if there
 def _add_llm() -> dict[str, str]:
     """Add the queries of the ``llm`` subpackage and the pipeline; without them, add nothing."""

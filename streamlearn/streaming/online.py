@@ -1,18 +1,22 @@
 """Streaming predict-then-learn with keyed model state.
 
 ``stream_learn`` keeps one model per (stream, config) in Spark's state store
-(``applyInPandasWithState``): each micro-batch brings a key's new rows, which
-are sorted by (ts, id) and folded from the stored state; the state is written
-back and survives restarts through the query checkpoint.  With files arriving
-in time order the result equals the batch fold (T1).
+(``applyInPandasWithState``).  Rows may arrive in any order: a key's rows wait in
+its state until the watermark has passed them, then they are folded in (ts, id)
+order; an event-time timeout wakes keys that get no new rows.  No row at or below
+the watermark can still arrive (Spark drops it as late), so without late rows the
+result equals the batch fold (T1) row for row.  State holds the models and the
+rows of the last ``delay``; it survives restarts through the query checkpoint.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,62 +44,80 @@ def stream_periods(sdf: DataFrame, features: Sequence[str], ts: str = "timestamp
 
 OUT_SCHEMA = ("stream string, algo string, id long, ts timestamp, x array<double>, y double, pred double, score double, "
               "pos long, w_before array<double>")
-STATE_SCHEMA = "models string"
+STATE_SCHEMA = "models string, rows binary"
+_HELD = ("ts", "id", "x", "y", "active")
 
 
-def _learn_fn(configs: Sequence[LearnerConfig]):
-    cfgs = list(configs)
+def _waiting(state) -> dict[str, list]:
+    return pickle.loads(state.get[1]) if state.exists and state.get[1] else {c: [] for c in _HELD}
+
+
+def _learn_fn(configs: Sequence[LearnerConfig], wait: bool):
+    cfgs = [c.shipped() for c in configs]
 
     def fn(key, pdfs, state):
-        stream = key[0]
-        pdf = pd.concat(list(pdfs), ignore_index=True)          # this key's rows of one micro-batch
-        pdf = pdf.sort_values(["ts", "id"], kind="mergesort")
-        if state.exists:
-            saved = json.loads(state.get[0])
-        else:                                                   # T15: the start models came with the rows
-            first = pdf["start"].iloc[0] if "start" in pdf.columns and len(pdf) else None
-            saved = {r["algo"]: json.loads(r["state"]) for r in first} if first is not None else {}
-            saved["_pos"] = 0
-        xs = pdf["x"].tolist()
-        ys, ids, tss = pdf["y"].tolist(), pdf["id"].tolist(), pdf["ts"].tolist()
-        act = pdf["active"].tolist() if "active" in pdf.columns else [True] * len(ys)
-        rows, pos0 = [], saved["_pos"]
+        rows, saved = _waiting(state), json.loads(state.get[0]) if state.exists else None
+        for pdf in (() if state.hasTimedOut else pdfs):          # this key's new rows, one Arrow batch at a time
+            if saved is None and len(pdf):                      # T15: the start models came with the rows
+                start = pdf["start"].iloc[0] if "start" in pdf.columns else None
+                saved = {r["algo"]: json.loads(r["state"]) for r in start} if start is not None else {}
+            rows["ts"] += pdf["ts"].astype("datetime64[us]").astype(np.int64).tolist()
+            for c in ("id", "x", "y"):
+                rows[c] += pdf[c].tolist()
+            rows["active"] += pdf["active"].tolist() if "active" in pdf.columns else [True] * len(pdf)
+        saved = saved or {}
+        watermark = state.getCurrentWatermarkMs() if wait else 0
+        order = sorted(range(len(rows["ts"])), key=lambda i: (rows["ts"][i], rows["id"][i] is not None, rows["id"][i]))
+        ready = [i for i in order if rows["ts"][i] <= watermark * 1000] if wait else order
+        out, pos0 = [], saved.get("_pos", 0)
         for c in cfgs:
             learner, pos = None, pos0
-            for i in range(len(ys)):
-                if not act[i]:                                  # W6: paused rows are skipped
+            for i in ready:
+                if not rows["active"][i]:                       # W6: paused rows are skipped
                     continue
-                x = [float(v) for v in xs[i]]
+                x, y = [float(v) for v in rows["x"][i]], rows["y"][i]
                 if learner is None:
                     learner = c.make(len(x))
                     if c.label in saved:
                         learner.load(saved[c.label])
                 before = list(learner.w)
-                p, s = learner.step_row(x, ys[i], ids[i], 1.0) if learner.rowwise else learner.step(x, ys[i])
-                rows.append((stream, c.label, ids[i], tss[i], x, ys[i], p, s, pos, before))
+                p, s = learner.step_row(x, y, rows["id"][i], 1.0) if learner.rowwise else learner.step(x, y)
+                out.append((key[0], c.label, rows["id"][i], rows["ts"][i], x, y, p, s, pos, before))
                 pos += 1
             if learner is not None:
                 saved[c.label] = learner.state() | {"mistakes": learner.mistakes}
-        saved["_pos"] = pos0 + sum(1 for a in act if a)
-        state.update((json.dumps(saved),))
-        yield pd.DataFrame(rows, columns=["stream", "algo", "id", "ts", "x", "y", "pred", "score", "pos", "w_before"])
+        saved["_pos"] = pos0 + sum(1 for i in ready if rows["active"][i])
+        rest = order[len(ready):]
+        kept = {c: [rows[c][i] for i in rest] for c in _HELD}
+        state.update((json.dumps(saved), pickle.dumps(kept) if rest else None))
+        if rest:                                                # wake up once the watermark is beyond the first waiting row
+            state.setTimeoutTimestamp(max(watermark + 1, kept["ts"][0] // 1000))
+        table = pd.DataFrame(out, columns=["stream", "algo", "id", "ts", "x", "y", "pred", "score", "pos", "w_before"])
+        table["ts"] = pd.to_datetime(table["ts"], unit="us")
+        yield table
 
     return fn
 
 
-def stream_learn(sdf: DataFrame, configs: Sequence[LearnerConfig], init: DataFrame | None = None) -> DataFrame:
-    """W2 (+ W6 via an optional boolean ``active`` column): streaming
-    predict-then-learn per stream key with persistent model state.  T15:
-    ``init`` is a model table (stream, algo, w, ...); a stream-static join lays
-    a stream's models beside its rows, and its first rows start from them.
-    Emits one row per (row, config) with the row's x and the pre-update weights."""
-    cols = ["stream", "ts", "id", "x", "y"] + (["active"] if "active" in sdf.columns else [])
-    d = sdf.select(*cols)
+def stream_learn(sdf: DataFrame, configs: Sequence[LearnerConfig], init: DataFrame | None = None, delay: str | None = None) -> DataFrame:
+    """W2 (+ W6 via an optional boolean ``active`` column): streaming predict-then-learn per stream key with persistent
+    model state, in event-time order.
+
+    ``delay`` is how far rows may be out of order: rows wait until the watermark (largest ``ts`` less ``delay``) has
+    passed them; rows that come later still are dropped.  Without ``delay`` nothing waits: the rows of a micro-batch are
+    sorted and folded at once, for sources whose files arrive in order.  T15: ``init`` is a model table (stream, algo, w, ...); a
+    stream-static join lays a stream's models beside its rows, and its first rows start from them.  Emits one row per
+    (row, config) with the row's x and the pre-update weights."""
+    cols = ["stream", "id", "x", "y"] + (["active"] if "active" in sdf.columns else [])
+    d = sdf.select(F.col("ts").cast("timestamp").alias("ts"), *cols)
+    if delay is not None:
+        d = d.withWatermark("ts", delay)
     if init is not None:
         state = F.struct("algo", F.to_json(F.struct(*[c for c in STATE_COLS if c in init.columns])).alias("state"))
         d = d.join(init.groupBy("stream").agg(F.collect_list(state).alias("start")), "stream", "left")   # one entry a configuration
     return d.groupBy("stream").applyInPandasWithState(
-        _learn_fn(configs), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _learn_fn(configs, delay is not None), OUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_score(sdf: DataFrame, models: DataFrame, on: Sequence[str] = ("stream",), tie: float = 1.0) -> DataFrame:
@@ -147,9 +169,31 @@ def run_updates(sdf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
+def replay_source(df: DataFrame, block: str, ts: str = "ts", close: str | None = None, files: int = 3, rows_per_file: int = 100_000,
+                  shuffle: bool = True) -> DataFrame:
+    """Replay a table as a file stream: its blocks (column ``block``, e.g. days) arrive one after another, each written by
+    all tasks at once into files of bounded rows; ``files`` are read per trigger.
+
+    With ``shuffle`` rows are dealt at random inside a block, so they are out of order by up to a block's length.
+    ``close`` is an interval: a last row so long after the last real one, null in all other columns, moves the watermark."""
+    spark = df.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/src-{uuid.uuid4().hex}"
+    rows = df.drop(block)
+    for (value,) in sorted(df.select(block).distinct().collect()):              # one value a block
+        part = df.filter(F.col(block) == F.lit(value)).drop(block)
+        part = part.repartition(2 * files, F.rand(7)) if shuffle else part
+        part.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(base)
+    if close:
+        last = rows.agg(F.max(ts).alias("m"))
+        last.select(*[(F.col("m") + F.expr(f"interval {close}")).cast(t).alias(c) if c == ts else F.lit(None).cast(t).alias(c)
+                      for c, t in rows.dtypes]).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(base)
+
+
 def ordered_file_source(df: DataFrame, part_col: str, order: Sequence[str] = ("ts",)) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared checkpoint folder as one file per ``part_col`` value (e.g. day), value after value,
-    and open it as a file stream of one file per trigger: files are taken by age, so they arrive in order."""
+    and open it as a file stream of one file per trigger: files are taken by age, so they arrive in order.
+    Each block is one task's work: for small tables; ``replay_source`` has no such limit."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/src-{uuid.uuid4().hex}"
     for (value,) in sorted(df.select(part_col).distinct().collect()):           # one value a file
