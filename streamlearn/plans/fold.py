@@ -218,16 +218,19 @@ def fold_predictions(df: DataFrame, configs: Sequence[LearnerConfig], keys=("str
 
 
 def fold_models(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
-                order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False, init_only=False, lockstep: bool | None = None) -> DataFrame:
+                order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False, init_only=False, lockstep: bool | None = None,
+                streams: tuple[DataFrame, int] | None = None) -> DataFrame:
     """The final model per (key, config): keys, algo, n, mistakes, w, sigma, g, g1t, b, t,
     plus the prequential M2 counts tp, fp, tn, fn of the pass.
 
     Where there are many streams and no start models, and all rules have a lock-step form (``plans.lockstep``), the
-    streams of a cohort step together; the models are the same.  ``lockstep`` forces or forbids that."""
+    streams of a cohort step together; the models are the same.  ``lockstep`` forces or forbids that; ``streams`` is a
+    smaller table to count the streams on, and how many streams here each of its keys stands for."""
     from streamlearn.plans.lockstep import cohort_count, has_lockstep, lockstep_models
     configs = [c.shipped() for c in configs]
     if lockstep is not False and init is None and not split_configs and has_lockstep(configs):
-        cohorts = cohort_count(df, list(keys), configs) or (1 if lockstep else 0)
+        rows, times = streams or (df, 1)
+        cohorts = cohort_count(rows, [k for k in keys if k in rows.columns], configs, times) or (1 if lockstep else 0)
         if cohorts:
             return lockstep_models(df, configs, keys, order, cohorts, MODEL_FIELDS)
     out = _fold(df, configs, keys, order, init, False, True, split_configs, init_only=init_only)

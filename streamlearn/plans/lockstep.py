@@ -235,7 +235,7 @@ class _Kernel(Rule):
 
     def setup(self, gamma=1.0, max_sv=1000, **more):
         self.gamma, self.max_sv = float(gamma), max_sv
-        self.n, self.width = np.zeros(0, np.int64), 0
+        self.a, self.n, self.width = {}, np.zeros(0, np.int64), 0
         self.rules(**more)
 
     def rules(self):
@@ -249,27 +249,36 @@ class _Kernel(Rule):
             self.resize(self.width)
 
     def resize(self, width):
-        """Room for all streams and ``width`` vectors each."""
-        for name, shape, fill in (("x", (self.d,), 0.0), ("alpha", (), 0.0), ("id", (), np.nan)):
-            new = np.full((self.room, width, *shape), fill)
+        """Room for all streams and ``width`` vectors each; one (streams x vectors) array per coordinate."""
+        for name, fill in (*((f"x{j}", 0.0) for j in range(self.d)), ("alpha", 0.0), ("id", np.nan)):
+            new = np.full((self.room, width), fill)
             old = self.a.get(name)
             if old is not None:
                 new[:len(old), :old.shape[1]] = old
             self.a[name] = new
         self.width = width
 
+    def set(self, i, place, x, alpha, ids):
+        for j in range(self.d):
+            self.a[f"x{j}"][i, place] = x[:, j]
+        self.a["alpha"][i, place], self.a["id"][i, place] = alpha, ids
+
     def score(self, i, x):
-        """f and the own vector's place (-1: none), summed over vectors in order of insertion."""
+        """f, summed over vectors in order of insertion."""
         m = int(self.n[i].max(initial=0))
         if not m:
             return np.zeros(len(i))
-        v = self.a["x"][i, :m] - x[:, None, :]
+        whole = len(i) > 1 and i[0] == 0 and i[-1] == len(i) - 1 and (np.diff(i) == 1).all()     # then no copy is needed
+        part = (lambda v: v[:len(i), :m]) if whole else (lambda v: v[i, :m])
         d = np.zeros((len(i), m))
         for j in range(self.d):
-            d += v[:, :, j] * v[:, :, j]
-        k = np.exp(-self.gamma * d)
-        f = np.cumsum(k * self.a["alpha"][i, :m], axis=1)[:, -1]
-        return f
+            v = part(self.a[f"x{j}"]) - x[:, j, None]
+            v *= v
+            d += v
+        d *= -self.gamma
+        np.exp(d, out=d)
+        d *= part(self.a["alpha"])
+        return np.cumsum(d, axis=1, out=d)[:, -1]
 
     def own(self, i, ids):
         m = int(self.n[i].max(initial=0))
@@ -290,21 +299,21 @@ class _Kernel(Rule):
             if self.FULL == "smallest":
                 place = np.abs(self.a["alpha"][j, :self.max_sv]).argmin(1)
             else:                                            # the oldest leaves
-                for name in ("x", "alpha", "id"):
-                    self.a[name][j, :self.max_sv - 1] = self.a[name][j, 1:self.max_sv]
+                for v in self.a.values():
+                    v[j, :self.max_sv - 1] = v[j, 1:self.max_sv]
                 place = np.full(len(j), self.max_sv - 1)
-            self.a["x"][j, place], self.a["alpha"][j, place], self.a["id"][j, place] = x[full], alpha[full], ids[full]
+            self.set(j, place, x[full], alpha[full], ids[full])
         j = i[~full]
         if len(j):
             if int(self.n[j].max()) >= self.width:
                 self.resize(max(8, 2 * self.width) if self.max_sv is None else min(max(8, 2 * self.width), max(self.max_sv, 8)))
-            place = self.n[j]
-            self.a["x"][j, place], self.a["alpha"][j, place], self.a["id"][j, place] = x[~full], alpha[~full], ids[~full]
+            self.set(j, self.n[j], x[~full], alpha[~full], ids[~full])
             self.n[j] += 1
 
     def state(self, i):
         m = int(self.n[i])
-        return {"w": self.a["alpha"][i, :m].tolist(), "sigma": self.a["x"][i, :m].ravel().tolist(), "g": self.a["id"][i, :m].tolist(),
+        x = np.stack([self.a[f"x{j}"][i, :m] for j in range(self.d)], axis=1)
+        return {"w": self.a["alpha"][i, :m].tolist(), "sigma": x.ravel().tolist(), "g": self.a["id"][i, :m].tolist(),
                 "g1t": [0.0, 0.0], "b": 0.0, "t": int(self.t[i])}
 
 
@@ -344,14 +353,31 @@ def has_lockstep(configs: Sequence[LearnerConfig]) -> bool:
     return all(c.code is None and c.name in RULES and not dict(c.params).get("frozen") for c in configs)
 
 
-def cohort_count(df: DataFrame, keys: Sequence[str], configs: Sequence[LearnerConfig]) -> int:
-    """How many cohorts the streams fill; 0 where there are too few streams."""
-    n = df.select(F.xxhash64(*keys).alias("h")).agg(F.approx_count_distinct("h")).first()[0] or 0
+def cohort_count(df: DataFrame, keys: Sequence[str], configs: Sequence[LearnerConfig], times: int = 1) -> int:
+    """How many cohorts the streams fill (at least one per task); 0 where there are too few streams."""
+    n = times * (df.select(F.xxhash64(*keys).alias("h")).agg(F.approx_count_distinct("h")).first()[0] or 0)
     size = KERNEL_STREAMS if any(issubclass(RULES[c.name], _Kernel) for c in configs) else LINEAR_STREAMS
     tasks = df.sparkSession.sparkContext.defaultParallelism
     return 0 if n < LEAST_STREAMS else max(-(-n // size), min(tasks, n // 32))
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], cohorts: int) -> tuple[DataFrame, int]:
+    """Add ``_co``, the cohort, and ``_pt``, a number whose hash deals equally many cohorts to each of the partitions.
+
+    Spark deals rows by a hash of the column modulo the partitions, which leaves some of few values in one partition; a
+    number that hashes there is looked up for each partition instead (for many partitions chance evens out)."""
+    spark = df.sparkSession
+    parts = min(cohorts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    cohorts = -(-cohorts // parts) * parts
+    d = df.withColumn("_co", F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(cohorts)).cast("int"))
+    p = F.pmod("_co", F.lit(parts))
+    if parts <= 256:
+        tried = spark.range(40 * parts).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("v"))
+        value = {r["p"]: r["v"] for r in tried.groupBy("p").agg(F.min("v").alias("v")).collect()}       # one row a partition
+        p = F.element_at(F.array(*[F.lit(value.get(k, k)) for k in range(parts)]), p + 1)
+    return d.withColumn("_pt", p), parts
+
+
 class _Cohort:
     """The streams of a cohort in one task: slots, rules, counts, and scalar learners for the last long streams."""
 
@@ -409,8 +435,9 @@ def lockstep_models(df: DataFrame, configs: Sequence[LearnerConfig], keys: Seque
     keys, configs = list(keys), list(configs)
     cols = list(dict.fromkeys([*keys, *[c for c in order if c in df.columns], "id", "x", "y", *(["wt"] if "wt" in df.columns else [])]))
     weight = F.col("wt").cast("double") if "wt" in df.columns else F.lit(1.0)
-    d = df.select(*cols).withColumn("_co", F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(cohorts)).cast("int")).repartition("_co")
-    place = F.row_number().over(Window.partitionBy("_co", *keys).orderBy(*order))
+    d, parts = _dealt(df.select(*cols), keys, cohorts)
+    d = d.repartition(parts, "_pt")
+    place = F.row_number().over(Window.partitionBy("_pt", "_co", *keys).orderBy(*order))
     d = (d.withColumn("_pos", place).withColumn("_d", F.size("x"))
           .select("_co", "_d", "_pos", *keys, F.col("id").cast("double").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), weight.alias("_wt"))
           .sortWithinPartitions("_co", "_d", "_pos"))

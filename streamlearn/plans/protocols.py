@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamlearn.functions.hashing import hash32
 from streamlearn.operators.metrics import confusion_counts, rates, selection_metric
@@ -99,7 +100,7 @@ def kernel_epochs(df: DataFrame, configs: Sequence[LearnerConfig], epochs: int =
         # hash32 takes a fixed seed, so each epoch's key is its own expression
         key = F.coalesce(*[F.when(F.col("epoch") == e, hash32("id", seed + e)) for e in range(epochs)])
         d, order = d.withColumn("_o", key), ["_o", "id", "x", "y"]
-    return fold_models(d, configs, keys, ["epoch", *order])
+    return fold_models(d, configs, keys, ["epoch", *order], streams=(df, 1))
 
 
 def multi_kernel(df: DataFrame, gamma: float = 0.1, members: int = 5, spread: float = 2.0, epochs: int = 30,
@@ -111,7 +112,8 @@ def multi_kernel(df: DataFrame, gamma: float = 0.1, members: int = 5, spread: fl
     from streamlearn.operators.score import ensemble_mean, score_kernel_keyed
     steps = [0.0] if members == 1 else [2.0 * i / (members - 1) - 1.0 for i in range(members)]
     cfg = [LearnerConfig.of(f"member{i}", "batch_kogc", gamma=gamma * spread ** e, max_sv=max_sv) for i, e in enumerate(steps)]
-    models = reliable_checkpoint(kernel_epochs(with_class_weights(df, keys), cfg, epochs, keys, shuffle=True))
+    weighted = written(with_class_weights(df, keys), "weighted")
+    models = reliable_checkpoint(kernel_epochs(weighted, cfg, epochs, keys, shuffle=True))
     scores = reliable_checkpoint(ensemble_mean(score_kernel_keyed(df, models, cfg, keys), keys))
     return models, scores, tune_threshold(scores, beta, list(keys))
 
@@ -155,7 +157,7 @@ def best_of_shuffles(train: DataFrame, val: DataFrame, configs, k: int = 10, key
     sh = spark.range(k).select(F.col("id").cast("int").alias("shuffle"))
     # the shuffle's own mix enters before the rounds of the hash, so the orders are unrelated
     d = train.crossJoin(F.broadcast(sh)).withColumn("_o", hash32(F.col("id").bitwiseXOR(hash32("shuffle", seed + 7)), seed))
-    m = reliable_checkpoint(fold_models(d, configs, [*keys, "shuffle"], ["_o", "id", "x", "y"]))
+    m = reliable_checkpoint(fold_models(d, configs, [*keys, "shuffle"], ["_o", "id", "x", "y"], streams=(train, k)))
     sc = _val_scores(val.crossJoin(F.broadcast(sh)), m, [*keys, "shuffle"], metric)
     j = m.join(sc, [*keys, "shuffle", "algo"])
     w = Window.partitionBy(*keys, "algo").orderBy(F.desc("val_score"), F.col("shuffle"))
@@ -311,16 +313,24 @@ def grouped_percentiles(df: DataFrame, g: Sequence[str], col: str, shares: Seque
     counts = df.filter(F.col(col).isNotNull()).groupBy(*g, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     upto = written(prefix_scan(counts, g, ["_v"], {"_b": "_c"}), "values")
     sizes = upto.groupBy(*g).agg(F.max("_b").alias("_N"))
-    d = upto.join(sizes, g).withColumn("_a", F.col("_b") - F.col("_c"))
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(shares)])
-    pos = lambda s: s["q"] * (F.col("_N") - 1)
-    low = lambda s: F.floor(pos(s))
-    high = lambda s: F.least(F.floor(pos(s)) + 1, F.col("_N") - 1)
-    inside = lambda i: (i >= F.col("_a")) & (i < F.col("_b"))
-    hit = d.select(*g, "_v", "_a", "_b", "_N", F.explode(F.filter(wanted, lambda s: inside(low(s)) | inside(high(s)))).alias("s"))
-    s = F.col("s")
-    ends = hit.groupBy(*g, F.col("s.k").alias("_k")).agg(
-        F.max(F.when(inside(low(s)), F.col("_v"))).alias("lo"), F.max(F.when(inside(high(s)), F.col("_v"))).alias("hi"), F.max(pos(s) - low(s)).alias("f"))
+    share = np.array(list(shares), np.float64)
+    d = upto.join(sizes, g).select(*g, "_v", (F.col("_b") - F.col("_c")).alias("_a"), "_b", "_N")
+    schema = T.StructType([d.schema[c] for c in g] + [T.StructField("_k", T.IntegerType()), T.StructField("lo", T.DoubleType()),
+                                                      T.StructField("hi", T.DoubleType()), T.StructField("f", T.DoubleType())])
+
+    def hits(batches):
+        for rb in batches:
+            v, a, b, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("_v", "_a", "_b", "_N"))
+            for k, q in enumerate(share):
+                at = q * (n - 1)
+                low = np.floor(at).astype(np.int64)
+                is_low, is_high = (low >= a) & (low < b), (np.minimum(low + 1, n - 1) >= a) & (np.minimum(low + 1, n - 1) < b)
+                here = np.flatnonzero(is_low | is_high)
+                if len(here):
+                    lo, hi = pa.array(v[here], mask=~is_low[here]), pa.array(v[here], mask=~is_high[here])
+                    yield pa.RecordBatch.from_arrays([*[rb.column(c).take(pa.array(here)) for c in g], pa.array(np.full(len(here), k, np.int32)), lo, hi,
+                                                      pa.array((at - low)[here])], names=schema.names)
+    ends = d.mapInArrow(hits, schema).groupBy(*g, "_k").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("f").alias("f"))
     one = ends.select(*g, F.struct("_k", (F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))).alias("t")).alias("e"))
     return one.groupBy(*g).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]).alias(name))
 
@@ -338,10 +348,16 @@ def tune_threshold(train_scores: DataFrame, beta: float = 1.5, g: Sequence[str]
     one = F.when(F.col(y) > 0, 1).otherwise(0)
     d = written(train_scores.select(*g, F.col(score).cast("double").alias("_s"), one.alias("_y")), "scores")
     if g:
-        cand = grouped_percentiles(d, g, "_s", pcts)
-        d = d.groupBy(*g, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")).join(cand, g)
-        d = d.withColumn("_b", F.size(F.filter("_thr", lambda t: t <= F.col("_s"))))
-        c = d.groupBy(*g, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+        cand = written(grouped_percentiles(d, g, "_s", pcts), "candidates")
+        d = d.filter("_s is not null").groupBy(*g, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")).join(cand, g)
+
+        def reached(batches):
+            for rb in batches:
+                t = np.asarray(rb.column("_thr").flatten(), np.float64).reshape(rb.num_rows, -1)
+                b = (t <= rb.column("_s").to_numpy()[:, None]).sum(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[rb.column(x) for x in g], pa.array(b), rb.column("_pos"), rb.column("_neg")], names=[*g, "_b", "_pos", "_neg"])
+        kept = T.StructType([d.schema[x] for x in g] + [T.StructField("_b", T.IntegerType()), T.StructField("_pos", T.LongType()), T.StructField("_neg", T.LongType())])
+        c = d.mapInArrow(reached, kept).groupBy(*g, "_b").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     else:
         thr = exact_percentiles(d, "_s", pcts)
         cand = d.sparkSession.createDataFrame([(thr,)] if thr else [], "_thr array<double>")

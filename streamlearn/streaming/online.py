@@ -92,6 +92,8 @@ def _learn_fn(configs: Sequence[LearnerConfig], wait: bool):
         state.update((json.dumps(saved), pickle.dumps(kept) if rest else None))
         if rest:                                                # wake up once the watermark is beyond the first waiting row
             state.setTimeoutTimestamp(max(watermark + 1, kept["ts"][0] // 1000))
+        if not out:
+            return
         table = pd.DataFrame(out, columns=["stream", "algo", "id", "ts", "x", "y", "pred", "score", "pos", "w_before"])
         table["ts"] = pd.to_datetime(table["ts"], unit="us")
         yield table
@@ -169,7 +171,7 @@ def run_updates(sdf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def replay_source(df: DataFrame, block: str, ts: str = "ts", close: str | None = None, files: int = 3, rows_per_file: int = 100_000,
+def replay_source(df: DataFrame, block: str, ts: str = "ts", close: str | None = None, files: int = 8, rows_per_file: int = 100_000,
                   shuffle: bool = True) -> DataFrame:
     """Replay a table as a file stream: its blocks (column ``block``, e.g. days) arrive one after another, each written by
     all tasks at once into files of bounded rows; ``files`` are read per trigger.
@@ -181,7 +183,7 @@ def replay_source(df: DataFrame, block: str, ts: str = "ts", close: str | None =
     rows = df.drop(block)
     for (value,) in sorted(df.select(block).distinct().collect()):              # one value a block
         part = df.filter(F.col(block) == F.lit(value)).drop(block)
-        part = part.repartition(2 * files, F.rand(7)) if shuffle else part
+        part = part.repartition(files, F.rand(7)) if shuffle else part
         part.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(base)
     if close:
         last = rows.agg(F.max(ts).alias("m"))
