@@ -69,12 +69,64 @@ def test_exact_when_all_partitions_are_visited(spark, monkeypatch):
     assert router.parts > 1 and got == brute(dict(rows), got)
 
 
+def exact(rows, k=20):
+    """{query row: [(vec_id, score)]} over every usable row but the query's own, lengths apart."""
+    rows = [r for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i is not None and i % 20 == 0:
+            s = [(-float((np.float64(np.float32(q)) * np.float64(np.float32(v))).sum()), j is None, j or 0) for m, (j, v) in enumerate(rows) if m != n and len(v) == len(q)]
+            out.append((i, [(None if no else j, -x) for x, no, j in sorted(s)[:k]]))
+    return sorted(out, key=repr)
+
+
+def asked(spark, rows, k=20, **kw):
+    """The query's answers in the form of ``exact``; rows with equal ids answer one after another."""
+    table = A.stash(A.usable(spark.createDataFrame(rows, SCHEMA)), "t")
+    router = A.fit(table)
+    if kw.get("all_parts"):
+        router = dataclasses.replace(router, probes=router.parts)
+    got = A.search(A.index(table, router), table.filter("vec_id % 20 = 0"), router, k).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    return by, router
+
+
 def test_awkward_rows(spark):
+    """Every valid row is a candidate: repeated and null ids, and vectors of a rarer length among their own kind."""
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
-            (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (9, []), (20, [-1.0, 0.0]), (11, [1.0, 0.0])]
-    got = run(spark, rows)
-    assert got == {0: [1, 11, 2, 20], 20: [2, 0, 1, 11]}
+            (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (9, []), (20, [-1.0, 0.0]), (11, [1.0, 0.0]), (40, [1.0, 0.0, 0.0]), (40, [0.0, 2.0, 0.0])]
+    by, _ = asked(spark, rows)
+    want = {}
+    for i, hits in exact(rows):
+        for rank, h in enumerate(hits, 1):
+            want.setdefault((i, rank), []).append(h)
+    assert {k: sorted(v, key=repr) for k, v in by.items()} == {k: sorted(v, key=repr) for k, v in want.items()}
+    assert want[0, 1] == [(0, 1.0)] * 2 and (0, 4) in want and len(want[40, 1]) == 2
     assert run(spark, []) == {} and run(spark, [(3, [1.0])]) == {}
     extra = spark.createDataFrame([(0, [1.0], 5, 6), (1, [2.0], 5, 6)], SCHEMA + ", part int, v int")
     assert sorted(A.usable(extra).columns) == ["v", "vec_id"] and A.usable(extra).count() == 2
+
+
+def test_repeated_ids_and_two_lengths_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(A, "PER_PARTITION", 40)
+    monkeypatch.setattr(A, "BLOCK", 60)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 90)), [float(x) for x in np.float32(rng.normal(size=6 if rng.random() < 0.8 else 3))]) for _ in range(400)]
+    rows += rows[:60]                                                     # whole rows repeated
+    by, router = asked(spark, rows, all_parts=True)
+    want = {}
+    for i, hits in exact(rows):
+        for rank, h in enumerate(hits, 1):
+            want.setdefault((i, rank), []).append(h)
+    assert router.parts > 4
+    assert {k: sorted(v, key=repr) for k, v in by.items()} == {k: sorted(v, key=repr) for k, v in want.items()}
+
+
+def test_partitions_grow_with_the_table():
+    x = np.random.default_rng(0).normal(size=(640, 4))
+    assert [A.fit_router(x[:n], rows=m).parts for n, m in ((640, 640), (640, 1280), (640, 10**6), (100, 10**6), (640, 100))] == [5, 10, 20, 3, 1]
+    assert A._groups([(0, 5000), (1, 3000), (2, 3000), (3, 20_000), (-3, 9)]) == {-3: (0, 1), 0: (1, 1), 1: (1, 1), 2: (2, 1), 3: (3, 3)}
