@@ -12,8 +12,9 @@ and no task holds all bigrams of one word.  The grid grows with the bytes of tex
 Each bucket is merged by one task, which writes its bigram arrays (key: a 64-bit mix
 of v and w; count) and passes on, by word, what it adds to the word's statistics:
 how often it is a context, how many successors it has once, twice, more often, and
-how many different words it follows.  A second shuffle adds those up into the word
-arrays.  Files are written under a temporary name and renamed, so a repeated task
+how many different words it follows.  A second shuffle adds those up into the word arrays, in
+as many parts as there are buckets (twice the leading bits), so a part's share of the
+words does not grow with the corpus.  Files are written under a temporary name and renamed, so a repeated task
 does no harm and a lost executor loses nothing that is finished.
 
 Probabilities.  With D(c) the modified Kneser-Ney discounts from the counts of counts,
@@ -156,10 +157,22 @@ def _count(bits: int):
                     yield [i << bits | j, _pack(x[start]), np.diff(np.append(start, len(x))).astype("<u4").tobytes(),
                            _pack(w[at]), count[at].astype("<u4").tobytes()]
 
-    def out(rows):
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                          names=["bucket", "v", "n", "w", "c"])
+    def sent(rows, most: int = 4_000_000):
+        """Record batches of about ``most`` bytes."""
+        held, size = [], 0
+
+        def out():
+            cols = list(zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                                              names=["bucket", "v", "n", "w", "c"])
+        for row in rows:
+            held.append(row)
+            size += sum(map(len, row[1:]))
+            if size > most:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     def run(batches):
         names, vs, ws, held = Numbering(), [], [], 0
@@ -170,12 +183,10 @@ def _count(bits: int):
                 ws.append(w)
                 held += len(v)
                 if held >= CHUNK_TOKENS:
-                    for row in chunk(names, vs, ws):
-                        yield out([row])
+                    yield from sent(chunk(names, vs, ws))
                     names, vs, ws, held = Numbering(), [], [], 0
         if held:
-            for row in chunk(names, vs, ws):
-                yield out([row])
+            yield from sent(chunk(names, vs, ws))
     return run
 
 
@@ -211,16 +222,26 @@ def _merge_bigrams(folder: str, bits: int):
             _save(folder, f"bigram-{bucket}-count", c)
             hv, total, n1, n2, n3, _ = _add_up(v, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
             hw, before, _ = _add_up(w, np.ones(len(w), np.int64))
-            row, column = divmod(bucket, 1 << bits)
             coc = np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype("<i8").tobytes()
             z = np.zeros(0, "<i8")
-            for part, h, stats, more in ((row, hv, (total, n1, n2, n3, z), coc), (column, hw, (z, z, z, z, before), b"")):
-                stats = np.stack([s if len(s) else np.zeros(len(h), np.int64) for s in stats]).astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([_pack(h)], pa.binary()),
-                                                  pa.array([stats], pa.binary()), pa.array([more], pa.binary())], names=["part", "h", "stats", "coc"])
+            rows = []
+            for h, stats in ((hv, (total, n1, n2, n3, z)), (hw, (z, z, z, z, before))):
+                stats = np.stack([s if len(s) else np.zeros(len(h), np.int64) for s in stats]).astype("<i8")
+                part = (h >> np.uint64(BITS - 2 * bits)).astype(np.int64)              # sorted, as h is
+                for a, e in zip(*_pieces(part)):
+                    rows.append((int(part[a]), _pack(h[a:e]), stats[:, a:e].tobytes(), coc if not rows else b""))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[1:]]],
+                                             names=["part", "h", "stats", "coc"])
     return run
 
 
+def _pieces(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of equal values."""
+    starts = np.nonzero(np.concatenate([[True], values[1:] != values[:-1]]))[0].tolist() if len(values) else []
+    return starts, [*starts[1:], len(values)][:len(starts)]
+
+
 _TOTALS = ["tokens", "words", "pairs", "b1", "b2", "b3", "b4", "u1", "u2", "u3", "u4"]
 
 
@@ -232,8 +253,7 @@ def _merge_words(folder: str):
             h = np.concatenate([_unpack(r[1]) for r in rows])
             stats = np.concatenate([np.frombuffer(r[2], "<i8").reshape(5, -1) for r in rows], axis=1)
             h, total, n1, n2, n3, before, _ = _add_up(h, *stats)
-            for name, x in (("hash", h), ("total", total), ("n1", n1), ("n2", n2), ("n3", n3), ("before", before)):
-                _save(folder, f"word-{part}-{name}", x)
+            _save(folder, f"word-{part}", np.stack([h, *[x.astype(np.uint64) for x in (total, n1, n2, n3, before)]]))
             coc = sum((np.frombuffer(r[3], "<i8") for r in rows if r[3]), np.zeros(4, np.int64))
             u = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
             values = [total.sum(), (before > 0).sum(), before.sum(), *coc, *u]
@@ -263,7 +283,7 @@ class Model:
 
     def _opened(self):
         if not hasattr(self, "_load"):
-            @functools.lru_cache(maxsize=1024)
+            @functools.lru_cache(maxsize=4096)
             def load(name):
                 path = f"{self.folder}/{name}.npy"
                 return np.load(path, mmap_mode="r") if os.path.exists(path) else None
@@ -291,12 +311,11 @@ class Model:
     def word_stats(self, h: np.ndarray) -> np.ndarray:
         """``5 x n``: context total, successors seen once, twice, more often, and different words before."""
         load, out = self._opened(), np.zeros((5, len(h)))
-        for part, x in self._by((h >> np.uint64(BITS - self.bits)).astype(np.int64)):
-            keys = load(f"word-{part}-hash")
-            if keys is not None and len(keys):
-                at, there = self._find(keys, h[x])
-                for i, name in enumerate(("total", "n1", "n2", "n3", "before")):
-                    out[i, x[there]] = load(f"word-{part}-{name}")[at[there]]
+        for part, x in self._by((h >> np.uint64(BITS - 2 * self.bits)).astype(np.int64)):
+            table = load(f"word-{part}")                     # hashes, then the statistics
+            if table is not None and table.shape[1]:
+                at, there = self._find(table[0], h[x])
+                out[:, x[there]] = table[1:, at[there]]
         return out
 
     def bigram_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -344,7 +363,7 @@ def train(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Model:
     folder = local_folder(shared_path(spark, "ngram"))
     bigrams = (docs.select("text").mapInArrow(_count(bits), _SENT)
                    .repartition(4 ** bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(folder, bits), _PASSED))
-    totals = (bigrams.repartition(2 ** bits, "part").sortWithinPartitions("part")
+    totals = (bigrams.repartition(4 ** bits, "part").sortWithinPartitions("part")
                      .mapInArrow(_merge_words(folder), ", ".join(f"{c} long" for c in _TOTALS)))
     got = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _TOTALS]).first()
     return Model(folder, bits, got.asDict())
