@@ -1217,6 +1217,58 @@ def sql_t16_mixed_four_shards():
     return _mixed_sql(T_CFG, 4, 3)
 
 
+def q_t16_stopping(spark, sf):
+    """T16 with T2's stopping: four shards of every user's first 80%, up to six rounds, patience 2, scored on the rest."""
+    from streamlearn.plans.protocols import fit_mixed
+    tr, te = _user_split(spark, sf)
+    m = fit_mixed(tr, T_CFG, shards=4, epochs=6, val=te, patience=2)
+    return _r(m.select("stream", "algo", "epoch", "val_score", "misses", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
+
+
+def sql_t16_stopping():
+    rounds, patience, shards = 6, 2, 4
+    src = f"SELECT *, {sql_hash32('id', 42)} % {shards} AS shard FROM ({USER_SPLIT_SQL}) WHERE part = 'train'"
+    mean = "[" + ", ".join(f"avg(w[{j}])" for j in (1, 2, 3)) + "] AS w"
+    ctes, p, r = [], _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    for e in range(rounds):
+        init = f"SELECT a.stream, s.shard, a.algo, a.w FROM s{e - 1} a, (SELECT unnest(range(0, {shards})) AS shard) s" if e else None
+        fold = O.fold_sql(src, _cfgs(T_CFG), 3, keys=("stream", "shard"), out_w="raw", init_sql=init)
+        ctes.append(f"s{e} AS MATERIALIZED (SELECT stream, algo, {mean} FROM ({fold}) GROUP BY stream, algo)")
+        said = f"""SELECT m.stream, m.algo, v.y, CASE WHEN v.x[1] * m.w[1] + v.x[2] * m.w[2] + v.x[3] * m.w[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
+ FROM s{e} m JOIN (SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'test') v USING (stream)"""
+        ctes.append(f"v{e} AS (SELECT stream, algo, {e} AS epoch, {_f1s(p, r)} AS f1 FROM ({_m2_counts_sql('stream, algo', said)}))")
+    every = " UNION ALL ".join(f"SELECT s.stream, s.algo, {e} AS epoch, s.w, coalesce(v.f1, 0.0) AS f1 FROM s{e} s LEFT JOIN v{e} v USING (stream, algo)" for e in range(rounds))
+    return f"""WITH {", ".join(ctes)}, a AS ({every}),
+b AS (SELECT *, f1 > coalesce(max(f1) OVER (PARTITION BY stream, algo ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS up FROM a),
+c AS (SELECT *, max(CASE WHEN up THEN epoch END) OVER (PARTITION BY stream, algo ORDER BY epoch) AS last FROM b),
+d AS (SELECT stream, algo, coalesce(min(CASE WHEN epoch - last >= {patience} THEN epoch END), {rounds - 1}) AS stop FROM c GROUP BY stream, algo),
+k AS (SELECT c.stream, c.algo, c.last AS epoch, d.stop - c.last AS misses FROM c JOIN d USING (stream, algo) WHERE c.epoch = d.stop)
+SELECT k.stream, k.algo, k.epoch, {O.rnd('a.f1')} AS val_score, k.misses, {", ".join(f"{O.rnd(f'a.w[{j}]')} AS w{j - 1}" for j in (1, 2, 3))}
+ FROM k JOIN a USING (stream, algo, epoch)"""
+
+
+MIX_KERNEL_CFG = [LearnerConfig.of("KPerceptron", "kperceptron", gamma=0.5), LearnerConfig.of("KPA", "batch_kpa", gamma=0.5, C=1.0)]
+
+
+def q_t16_mixed_kernels(spark, sf):
+    """T16 for kernel rules: two shards, one round; the shards' vectors are united with alphas divided by two."""
+    from streamlearn.plans.protocols import fit_mixed
+    m = fit_mixed(FX.user_stream(spark, sf), MIX_KERNEL_CFG, shards=2)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return _r(m.select("stream", "algo", F.size("w").cast("long").alias("n_sv"), total(F.col("w")).alias("sum_alpha"),
+                       total(F.transform("w", F.abs)).alias("abs_alpha"), total(F.col("g")).alias("sum_id")))
+
+
+def sql_t16_mixed_kernels():
+    src = f"SELECT * REPLACE (stream || '|' || CAST({sql_hash32('id', 42)} % 2 AS VARCHAR) AS stream), 1.0::DOUBLE AS wt FROM ({FX.USER_SQL})"
+    m = O.kernel_fold_sql(src, _cfgs(MIX_KERNEL_CFG), 3, raw=True)
+    return f"""SELECT stream, algo, count(s) AS n_sv, {O.rnd('coalesce(sum(s.a), 0.0) / 2')} AS sum_alpha, {O.rnd('coalesce(sum(abs(s.a)), 0.0) / 2')} AS abs_alpha,
+ {O.rnd('coalesce(sum(s.id), 0)')} AS sum_id FROM (SELECT split_part(stream, '|', 1) AS stream, algo, unnest(CASE WHEN len(v) = 0 THEN [NULL] ELSE v END) AS s FROM ({m})) GROUP BY stream, algo"""
+
+
+_Q.update({"t16_stopping": (q_t16_stopping, sql_t16_stopping), "t16_mixed_kernels": (q_t16_mixed_kernels, sql_t16_mixed_kernels)})
+
+
 def q_t6_prequential(spark, sf):
     """Prediction at t compared with the truth at t+1, M1 per detector."""
     from streamlearn.plans.protocols import prequential
@@ -1775,7 +1827,8 @@ def q_f4_sliding_continual(spark, sf):
     return _r(M.class1_metrics(p, ["stream", "algo"]))
 
 
-def sql_f4_sliding_continual():
+def _sliding_sql():
+    """Every step of the sliding runs: stream, algo, y, pred and the share of past rows lost by the step."""
     f = lambda w, x: "(" + " + ".join(f"{w}[{j}] * {x}[{j}]" for j in (1, 2, 3)) + ")"
     up = lambda c: "[" + ", ".join(f"p.w[{j}] + ({c}) * q.y * q.x[{j}]" for j in (1, 2, 3)) + "]"
     s = f("p.w", "q.x")
@@ -1785,19 +1838,42 @@ def sql_f4_sliding_continual():
     z = "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]"
     row = lambda w, x, y: f"{{'w': {w}, 'x': {x}, 'y': {y}}}"
     cell = lambda w, b, o, x, y: f"{{'w': {w}, 'b': {b}, 'o': {o}, 'x': {x}, 'y': {y}}}"
-    nb, no, full = "[]::STRUCT(x DOUBLE[], y DOUBLE)[]", "[]::STRUCT(y DOUBLE, pred DOUBLE)[]", f"len(a.b) >= {SLIDE_W}"
+    nb, no, full = "[]::STRUCT(x DOUBLE[], y DOUBLE)[]", "[]::STRUCT(y DOUBLE, pred DOUBLE, x DOUBLE[], hit BOOLEAN, lost DOUBLE)[]", f"len(a.b) >= {SLIDE_W}"
     parts = []
     for name, rule in rules.items():
         train = f"list_reduce(list_transform(a.b, lambda r: {row(z, 'r.x', 'r.y')}), lambda p, q: {row(rule, 'q.x', 'q.y')}, {row('a.w', z, '0.0::DOUBLE')}).w"
-        said = f"{{'y': e.y, 'pred': CASE WHEN {f('v', 'e.x')} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END}}"
+        right = lambda x, y: f"((CASE WHEN {f('v', x)} >= 0 THEN 1.0 ELSE -1.0 END) = {y})"
+        lost = f"(CASE WHEN len(a.o) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(a.o, lambda r: r.hit AND NOT {right('r.x', 'r.y')}))::DOUBLE / len(a.o) END)"
+        said = f"{{'y': e.y, 'pred': CASE WHEN {f('v', 'e.x')} >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END, 'x': e.x, 'hit': {right('e.x', 'e.y')}, 'lost': {lost}}}"
+        past = f"list_transform(a.o, lambda r: {{'y': r.y, 'pred': r.pred, 'x': r.x, 'hit': {right('r.x', 'r.y')}, 'lost': r.lost}})"
         body = O._let(f"CASE WHEN {full} THEN {train} ELSE a.w END", "v", cell(
             "v", f"list_append(CASE WHEN {full} THEN a.b[2:] ELSE a.b END, {{'x': e.x, 'y': e.y}})",
-            f"CASE WHEN {full} THEN list_append(a.o, {said}) ELSE a.o END", "e.x", "e.y"))
+            f"CASE WHEN {full} THEN list_append({past}, {said}) ELSE a.o END", "e.x", "e.y"))
         seq = f"SELECT stream, list({cell(z, nb, no, 'x', 'y')} ORDER BY ts, id, x, y) AS seq FROM ({FX.USER_SQL}) GROUP BY stream"
-        parts.append(f"""SELECT stream, '{name}' AS algo, u.y AS y, u.pred AS pred FROM (
+        parts.append(f"""SELECT stream, '{name}' AS algo, u.y AS y, u.pred AS pred, u.lost AS lost FROM (
  SELECT stream, unnest(list_reduce(seq, lambda a, e: {body}, {cell(z, nb, no, z, '0.0::DOUBLE')}).o) AS u FROM ({seq}))""")
-    u = " UNION ALL ".join(parts)
-    return sql_m1_class1().replace(f"FROM ({RULE_SQL}) GROUP BY algo", f"FROM ({u}) GROUP BY stream, algo").replace("SELECT algo", "SELECT stream, algo")
+    return " UNION ALL ".join(parts)
+
+
+def sql_f4_sliding_continual():
+    return sql_m1_class1().replace(f"FROM ({RULE_SQL}) GROUP BY algo", f"FROM ({_sliding_sql()}) GROUP BY stream, algo").replace("SELECT algo", "SELECT stream, algo")
+
+
+FORGET_CFG = [LearnerConfig.of("PA", "pa_study"), LearnerConfig.of("Perceptron", "perceptron", tie=1.0), LearnerConfig.of("Gradient", "gradient")]
+
+
+def q_f5_step_forgetting(spark, sf):
+    """step forgetting of the sliding runs per user and rule: mean and population deviation over the steps."""
+    from streamlearn.plans.continual import forgetting_summary, step_forgetting
+    return _r(forgetting_summary(step_forgetting(FX.user_stream(spark, sf), FORGET_CFG, SLIDE_W)))
+
+
+def sql_f5_step_forgetting():
+    return f"""SELECT stream, algo, count(*) AS steps, {O.rnd('avg(lost)')} AS forgetting, {O.rnd('stddev_pop(lost)')} AS deviation
+ FROM ({_sliding_sql()}) GROUP BY stream, algo"""
+
+
+_Q.update({"f5_step_forgetting": (q_f5_step_forgetting, sql_f5_step_forgetting)})
 
 
 _Q.update({"f4_sliding_continual": (q_f4_sliding_continual, sql_f4_sliding_continual)})

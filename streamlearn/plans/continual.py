@@ -1,4 +1,4 @@
-"""Continual learning over task rounds (F1)."""
+"""Continual learning over task rounds (F1) and over sliding windows (F4 with F5)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamlearn.functions.vectors import dot
 from streamlearn.operators.order import DEFAULT_ORDER
-from streamlearn.plans.fold import fold_models
+from streamlearn.plans.fold import fold_models, fold_predictions
 from streamlearn.plans.learners import LearnerConfig
 
 
@@ -41,3 +41,21 @@ def task_rounds(df: DataFrame, configs: Sequence[LearnerConfig], tasks: Sequence
     ok = F.when(F.when(score >= 0, 1.0).otherwise(-1.0) == F.col("y"), 1.0).otherwise(0.0)
     acc = j.groupBy("algo", "task", "round").agg(F.avg(ok).alias("acc"))
     return models, acc.withColumn("trained", F.when(F.col("round") >= 0, F.element_at(names, F.col("round") + 1)))
+
+
+def step_forgetting(df: DataFrame, configs: Sequence[LearnerConfig], W: int = 250, keys: Sequence[str] = ("stream",),
+                    order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+    """per step j >= W of a sliding-window run (F4) of every key and rule: keys, algo, id, y, pred and ``forgetting``,
+    the share of past rows W .. j-1 right before the step's training and wrong after it (first step 0).
+
+    The re-evaluation is rows x steps of a key by definition; it runs inside the key's fold as one product a step, so no
+    pair becomes a row."""
+    run = [LearnerConfig.of(c.label, "step_forgetting", inner=c.name, W=W, **dict(c.params)) for c in configs]
+    steps = fold_predictions(df, run, keys, order).filter(~F.isnan("pred"))
+    return steps.select(*keys, "algo", "id", "y", "pred", F.col("score").alias("forgetting"))
+
+
+def forgetting_summary(steps: DataFrame, g: Sequence[str] = ("stream", "algo")) -> DataFrame:
+    """mean and population standard deviation of step forgetting per group, with the number of steps."""
+    return steps.groupBy(*g).agg(F.count(F.lit(1)).alias("steps"), F.avg("forgetting").alias("forgetting"),
+                                 F.stddev_pop("forgetting").alias("deviation"))

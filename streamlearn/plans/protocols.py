@@ -70,13 +70,7 @@ def fit_epochs(train: DataFrame, val: DataFrame, configs: Sequence[LearnerConfig
         if best is None:
             best = reliable_checkpoint(cur.withColumn("misses", F.lit(0)))
         else:
-            b = best.alias("b").join(cur.alias("c"), [*keys, "algo"], "left")
-            ran = F.col("c.epoch").isNotNull()
-            better = ran & (F.col("c.val_score") > F.col("b.val_score"))
-            cols = [c for c in cur.columns if c not in keys and c != "algo"]
-            best = reliable_checkpoint(b.select(
-                *keys, "algo", *[F.when(better, F.col(f"c.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cols],
-                F.when(better, F.lit(0)).when(ran, F.col("b.misses") + 1).otherwise(F.col("b.misses")).alias("misses")))
+            best = reliable_checkpoint(_keep_better(best, cur, keys))
         if max_epochs == 1 or best.filter(F.col("misses") < patience).isEmpty():
             break
     return best
@@ -398,31 +392,105 @@ def tune_threshold(train_scores: DataFrame, beta: float = 1.5, g: Sequence[str]
 ROWS_PER_SHARD = 250_000
 
 
+def _kernel_class(c: LearnerConfig):
+    """The kernel rule of a configuration, None for linear rules."""
+    from streamlearn.plans.kernels import KERNEL_LEARNERS
+    return KERNEL_LEARNERS.get(c.name)
+
+
+def merge_kernels(models: DataFrame, configs: Sequence[LearnerConfig], shards: int, by: Sequence[str]) -> DataFrame:
+    """The mean of shards' kernel models: the union of their vectors, told apart by row id, with alphas summed and divided
+    by the number of shards, in the order of (shard, insertion); beyond a rule's budget the vectors of largest |alpha| stay."""
+    by = list(by)
+    budget = {c.label: dict(c.params).get("max_sv", 1000 if c.name.startswith("batch_") else None) for c in configs}
+    limit = F.coalesce(*[F.when(F.col("algo") == k, F.lit(v)) for k, v in budget.items() if v is not None], F.lit(2**31 - 1))
+    d = F.floor(F.size("sigma") / F.size("w")).cast("int")
+    e = (models.filter(F.size("w") > 0).withColumn("_d", d)
+               .select(*by, "shard", "sigma", "g", "_d", F.posexplode("w").alias("_i", "_w"))
+               .select(*by, F.struct("shard", "_i").alias("_at"), F.element_at("g", F.col("_i") + 1).alias("_id"), "_w",
+                       F.slice("sigma", F.col("_i") * F.col("_d") + 1, F.col("_d")).alias("_x")))
+    # a vector without an id is one of its own
+    own = F.when(F.isnan("_id"), F.col("_at"))
+    v = (e.groupBy(*by, "_id", own.alias("_own")).agg((F.sum("_w") / F.lit(float(shards))).alias("_w"), F.min_by("_x", "_at").alias("_x"), F.min("_at").alias("_at")))
+    w = Window.partitionBy(*by).orderBy(F.desc(F.abs("_w")), "_at")
+    v = v.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit)
+    m = v.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_w", "_x", "_id"))).alias("_v"))          # at most a budget of vectors
+    m = m.select(*by, F.transform("_v", lambda s: s["_w"]).alias("w"), F.flatten(F.transform("_v", lambda s: s["_x"])).alias("sigma"),
+                 F.transform("_v", lambda s: s["_id"]).alias("g"))
+    none = F.array().cast("array<double>")
+    t = models.groupBy(*by).agg(F.max("t").alias("t"))
+    return (t.join(m, by, "left").select(*by, *[F.coalesce(c, none).alias(c) for c in ("w", "sigma", "g")],
+                                         F.array(F.lit(0.0), F.lit(0.0)).alias("g1t"), F.lit(0.0).alias("b"), "t"))
+
+
 def fit_mixed(df: DataFrame, configs, shards: int | None = None, epochs: int = 1, keys=("stream",),
-              order=DEFAULT_ORDER, seed: int = 42) -> DataFrame:
+              order=DEFAULT_ORDER, seed: int = 42, val: DataFrame | None = None, patience: int = 3, metric: str = "f1") -> DataFrame:
     """Parameter mixing for a very large stream.  Rows are split into
     ``shards`` by hash(id); every shard folds (in order) from the same start
-    model, shard weights are averaged per key, and the average seeds the next
+    model, shard models are averaged per key, and the average seeds the next
     epoch.  One shard equals the exact sequential fold.  Without ``shards`` their
     number follows from the rows of the largest key.  (Iterative parameter
-    mixing, McDonald et al. 2010.)"""
-    keys = list(keys)
+    mixing, McDonald et al. 2010.)
+
+    Linear models are averaged by coordinate; kernel models are merged as a union of vectors (``merge_kernels``; rules
+    whose vectors carry more than an alpha, or that keep running gradients, are refused).  Linear and kernel rules do not mix in one call.
+
+    With ``val`` the average of every round is scored on it (``metric``) as in T2: a strict improvement keeps it, and a
+    (key, configuration) stops after ``patience`` misses.  The result then has ``epoch``, ``val_score`` and ``misses``."""
+    from streamlearn.operators.score import score_kernel_keyed
+    from streamlearn.plans.kernels import KRDA, KAdaRDA
+    keys, configs = list(keys), list(configs)
+    kernels = [_kernel_class(c) for c in configs]
+    kernel = all(kernels)
+    if not kernel and any(kernels):
+        raise ValueError("mix linear and kernel rules in separate calls")
+    if any(k.MORE or issubclass(k, (KRDA, KAdaRDA)) for k in kernels if k):
+        raise ValueError("only kernel rules whose vectors carry nothing but an alpha can be merged")
     if shards is None:
         most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         shards = max(1, -(-most // ROWS_PER_SHARD))
     d = df.withColumn("shard", F.pmod(hash32("id", seed), F.lit(shards)).cast("int"))
-    state = None
-    for _ in range(epochs):
-        init = None
+    by, state, best = [*keys, "algo"], None, None
+    none = F.lit(None).cast("array<double>")
+    for e in range(epochs):
+        init, live = None, None
+        if best is not None:
+            live = best.filter(F.col("misses") < patience).select(*by)
+            state = state.join(live, by, "left_semi")
+            d = d.join(live.select(*keys).distinct(), keys, "left_semi")
         if state is not None:
             sh = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
             init = state.crossJoin(F.broadcast(sh))
-        avg = average_models(fold_models(d, configs, [*keys, "shard"], order, init=init), by=[*keys, "algo"])
-        state = reliable_checkpoint(avg.select(*keys, "algo", "w", F.lit(None).cast("array<double>").alias("sigma"),
-                                               F.lit(None).cast("array<double>").alias("g"),
-                                               F.lit(None).cast("array<double>").alias("g1t"), "b",
-                                               F.lit(None).cast("long").alias("t")))
-    return state.select(*keys, "algo", "w", "b")
+        folded = fold_models(d, configs, [*keys, "shard"], order, init=init, init_only=live is not None)
+        if kernel:
+            mean = merge_kernels(folded, configs, shards, by).select(*by, *STATE_COLS)
+        else:
+            mean = average_models(folded, by=by).select(*by, "w", none.alias("sigma"), none.alias("g"), none.alias("g1t"), "b", F.lit(None).cast("long").alias("t"))
+        state = reliable_checkpoint(mean)
+        if val is None:
+            continue
+        if kernel:
+            c = confusion_counts(score_kernel_keyed(val, state, configs, keys), by)
+            scores = c.select(*by, selection_metric(metric).alias("val_score"))
+        else:
+            scores = _val_scores(val, state, keys, metric)
+        cur = (state.join(scores, by, "left").withColumn("val_score", F.coalesce("val_score", F.lit(0.0))).withColumn("epoch", F.lit(e)))
+        best = reliable_checkpoint(cur.withColumn("misses", F.lit(0)) if best is None else _keep_better(best, cur, keys))
+        if best.filter(F.col("misses") < patience).isEmpty():
+            break
+    if val is not None:
+        return best
+    return state.select(*by, *(STATE_COLS if kernel else ["w", "b"]))
+
+
+def _keep_better(best: DataFrame, cur: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The better of two rounds' models per (key, configuration), counting misses; one that did not run stays as it is."""
+    by = [*keys, "algo"]
+    b = best.alias("b").join(cur.alias("c"), by, "left")
+    ran = F.col("c.epoch").isNotNull()
+    better = ran & (F.col("c.val_score") > F.col("b.val_score"))
+    return b.select(*by, *[F.when(better, F.col(f"c.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cur.columns if c not in by],
+                    F.when(better, F.lit(0)).when(ran, F.col("b.misses") + 1).otherwise(F.col("b.misses")).alias("misses"))
 
 
 def logistic_baseline(train: DataFrame, l2: float = 0.01, max_iter: int = 1000):
