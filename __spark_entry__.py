@@ -1293,6 +1293,50 @@ def q_t2_fit_epochs(spark, sf):
     return _r(b.select("stream", "algo", "epoch", "val_score", "misses"))
 
 
+def _epoch_ctes(cfg, epochs):
+    """Chained epoch folds of the users' training parts: tables s0, s1, ... (whole states) and v0, v1, ... (M2 counts on the rest)."""
+    ctes = [f"tr AS MATERIALIZED (SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'train')", f"va AS MATERIALIZED (SELECT * FROM ({USER_SPLIT_SQL}) WHERE part = 'test')"]
+    for e in range(epochs):
+        fold = O.fold_sql("SELECT * FROM tr", _cfgs(cfg), 3, order=f"{sql_hash32('id', 42 + e)}, id, x, y", init_sql=f"SELECT * FROM s{e - 1}" if e else None, carry=True)
+        ctes.append(f"s{e} AS MATERIALIZED (SELECT stream, algo, w, s, g, h, t FROM ({fold}))")
+        said = f"""SELECT m.stream, m.algo, v.y, CASE WHEN v.x[1] * m.w[1] + v.x[2] * m.w[2] + v.x[3] * m.w[3] >= 0 THEN 1.0 ELSE -1.0 END AS pred
+ FROM s{e} m JOIN va v USING (stream)"""
+        ctes.append(f"v{e} AS (SELECT {e} AS epoch, * FROM ({_m2_counts_sql('stream, algo', said)}))")
+    return ", ".join(ctes)
+
+
+def sql_t2_fit_epochs():
+    epochs, patience = 10, 3
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    every = " UNION ALL ".join(f"SELECT stream, algo, epoch, {_f1s(p, r)} AS f1 FROM v{e}" for e in range(epochs))
+    return f"""WITH {_epoch_ctes(T_CFG, epochs)}, a AS ({every}),
+b AS (SELECT *, f1 > coalesce(max(f1) OVER (PARTITION BY stream, algo ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS up FROM a),
+c AS (SELECT *, max(CASE WHEN up THEN epoch END) OVER (PARTITION BY stream, algo ORDER BY epoch) AS last FROM b),
+d AS (SELECT stream, algo, coalesce(min(CASE WHEN epoch - last >= {patience} THEN epoch END), {epochs - 1}) AS stop FROM c GROUP BY stream, algo)
+SELECT c.stream, c.algo, c.last AS epoch, {O.rnd('a.f1')} AS val_score, d.stop - c.last AS misses
+ FROM c JOIN d USING (stream, algo) JOIN a ON a.stream = c.stream AND a.algo = c.algo AND a.epoch = c.last WHERE c.epoch = d.stop"""
+
+
+def q_t7_online_to_batch(spark, sf):
+    """Ten shuffled epochs with whole-state carry-over; per user and rule the first best epoch by recall, F1, 1 - FNR and accuracy."""
+    from streamlearn.plans.protocols import online_to_batch
+    tr, te = _user_split(spark, sf)
+    return _r(online_to_batch(tr, te, T_CFG, 10).select("stream", "algo", "metric", "epoch", "val_score", *[F.col("w")[j].alias(f"w{j}") for j in range(3)]))
+
+
+def sql_t7_online_to_batch():
+    epochs = 10
+    p, r = _div("tp", "tp + fp"), _div("tp", "tp + fn")
+    score = {"recall": r, "f1": _f1s(p, r), "fnr_min": "1.0 - " + _div("fn", "fn + tp"), "accuracy": "(tp + tn)::DOUBLE / (tp + tn + fp + fn)"}
+    every = " UNION ALL ".join(f"SELECT v.stream, v.algo, '{m}' AS metric, v.epoch, {x} AS val, s.w FROM v{e} v JOIN s{e} s USING (stream, algo)" for e in range(epochs) for m, x in score.items())
+    return f"""WITH {_epoch_ctes(T_CFG, epochs)}, a AS ({every})
+SELECT stream, algo, metric, epoch, {O.rnd('val')} AS val_score, {", ".join(f"{O.rnd(f'w[{j}]')} AS w{j - 1}" for j in (1, 2, 3))}
+ FROM (SELECT *, row_number() OVER (PARTITION BY stream, algo, metric ORDER BY val DESC, epoch) AS rn FROM a) WHERE rn = 1"""
+
+
+_Q.update({"t7_online_to_batch": (q_t7_online_to_batch, sql_t7_online_to_batch)})
+
+
 def q_t8_best_of_shuffles(spark, sf):
     """Best of 10 independent shuffles per user by validation F1."""
     from streamlearn.plans.protocols import best_of_shuffles
@@ -1410,7 +1454,7 @@ _Q.update({
     "t13_tune_threshold": (q_t13_tune_threshold, sql_t13_tune_threshold),
     "t16_mixed_one_shard": (q_t16_mixed_one_shard, sql_t16_mixed_one_shard),
     "t16_mixed_four_shards": (q_t16_mixed_four_shards, sql_t16_mixed_four_shards),
-    "t2_fit_epochs": (q_t2_fit_epochs, None),
+    "t2_fit_epochs": (q_t2_fit_epochs, sql_t2_fit_epochs),
     "t8_best_of_shuffles": (q_t8_best_of_shuffles, sql_t8_best_of_shuffles),
     "l8_logistic_baseline": (q_l8_logistic, None),
     "k_sv_table_score": (q_k_sv_table, sql_k_sv_table),

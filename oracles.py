@@ -123,12 +123,13 @@ def step_sql(name: str, d: int, params: dict) -> str:
 
 
 def fold_sql(src_sql: str, learners, d: int, keys=("stream",), order="ts, id, x, y",
-             out_w: bool = True, count_expr: str = "true", init_sql: str | None = None) -> str:
+             out_w: bool = True, count_expr: str = "true", init_sql: str | None = None, carry: bool = False) -> str:
     """Final state per (keys, algo): n, mistakes, w0..w{d-1}, tp, fp, tn, fn.
 
     ``count_expr`` (a boolean over the source row) selects the rows that enter
     the confusion counts; ``init_sql`` returns (keys, algo, w) start weights
-    (other state starts fresh), as in a warm start.
+    (other state starts fresh), as in a warm start; with ``carry`` it returns the whole state (w, s, g, h, t),
+    which the result then has too.
     """
     ks = ", ".join(keys)
     z = _lst(["0.0::DOUBLE"] * d)
@@ -138,20 +139,24 @@ def fold_sql(src_sql: str, learners, d: int, keys=("stream",), order="ts, id, x,
             f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': x, 'y': y, 'q': {q}, 'c': ({count_expr})}}")
 
     def init(w):
-        return (f"{{'w': {w}, 's': {one}, 'g': {z}, 'h': {z}, 't': 0::BIGINT, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
+        rest = "'s': _s0, 'g': _g0, 'h': _h0, 't': _t0" if carry and init_sql else f"'s': {one}, 'g': {z}, 'h': {z}, 't': 0::BIGINT"
+        return (f"{{'w': {w}, {rest}, 'm': 0::BIGINT, 'tp': 0::BIGINT, "
                 f"'fp': 0::BIGINT, 'tn': 0::BIGINT, 'fn': 0::BIGINT, 'x': {z}, 'y': 0.0::DOUBLE, 'q': 0.0::DOUBLE, "
                 f"'c': false}}")
     parts = []
     for label, name, params in learners:
         body = step_sql(name, d, dict(params))
-        if out_w == "raw":
+        if carry:
+            wcols = ", r.w AS w, r.s AS s, r.g AS g, r.h AS h, r.t AS t"
+        elif out_w == "raw":
             wcols = ", r.w AS w"
         elif out_w:
             wcols = "".join(f", {rnd(f'r.w[{j}]')} AS w{j - 1}" for j in range(1, d + 1))
         else:
             wcols = ""
         if init_sql:
-            src = (f"(SELECT _seq.*, _i.w AS _w0 FROM _seq JOIN (SELECT * FROM _init WHERE algo = '{label}') _i "
+            more = ", _i.s AS _s0, _i.g AS _g0, _i.h AS _h0, _i.t AS _t0" if carry else ""
+            src = (f"(SELECT _seq.*, _i.w AS _w0{more} FROM _seq JOIN (SELECT * FROM _init WHERE algo = '{label}') _i "
                    f"USING ({ks}))")
             ini = init("_w0")
         else:

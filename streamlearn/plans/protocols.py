@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamlearn.functions.hashing import hash32
-from streamlearn.operators.metrics import confusion_counts, rates, selection_metric
+from streamlearn.operators.metrics import SELECT_METRICS, confusion_counts, rates, selection_metric
 from streamlearn.operators.order import DEFAULT_ORDER, min_rows
 from streamlearn.operators.scan import prefix_scan
 from streamlearn.operators.score import score_linear
@@ -76,6 +76,30 @@ def fit_epochs(train: DataFrame, val: DataFrame, configs: Sequence[LearnerConfig
     return best
 
 
+def online_to_batch(train: DataFrame, val: DataFrame, configs: Sequence[LearnerConfig], epochs: int = 10, metrics: Sequence[str] = SELECT_METRICS,
+                    keys=("stream",), seed: int = 42) -> DataFrame:
+    """``epochs`` shuffled epochs, each from the whole state of the one before, without stopping; for every metric the first
+    epoch of the best validation score.  One fold per epoch serves all metrics.
+
+    Returns one row per (key, algo, metric) with ``epoch``, ``val_score`` and the model's state."""
+    keys, state, tables = list(keys), None, []
+    by = [*keys, "algo"]
+    train = written(train, "train")
+    for e in range(epochs):
+        m = fold_models(train.withColumn("_o", hash32("id", seed + e)), configs, keys, ["_o", "id", "x", "y"], init=state)
+        state = written(m.select(*by, *STATE_COLS), "epoch")
+        tables.append(state.withColumn("epoch", F.lit(e)))
+    models = tables[0]
+    for t in tables[1:]:
+        models = models.unionByName(t)
+    c = confusion_counts(score_linear(val, models.select(*by, "epoch", "w", "b"), on=keys), [*by, "epoch"])
+    scored = models.join(c.select(*by, "epoch", F.map_from_arrays(F.array(*[F.lit(m) for m in metrics]), F.array(*[selection_metric(m) for m in metrics])).alias("_s")),
+                         [*by, "epoch"], "left")
+    each = scored.select(*models.columns, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col("_s")[m], F.lit(0.0)).alias("val_score")) for m in metrics])).alias("_m"))
+    w = Window.partitionBy(*by, "metric").orderBy(F.desc("val_score"), "epoch")
+    return each.select(*models.columns, "_m.metric", "_m.val_score").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def with_class_weights(df: DataFrame, keys=("stream",)) -> DataFrame:
     """A6 on rows: ``wt`` = n / (2 n_class) within the key (1 where the other class is empty does not arise: the row's own class has a row)."""
     c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("_p"))
