@@ -1570,6 +1570,22 @@ def sql_q6_approach_summary():
  WHERE regexp_matches(dataset, '^(click|error|purchase)') GROUP BY method"""
 
 
+def q_q6_selected_approaches(spark, sf):
+    """Q6, the table: algorithm and capitalised approach per matching dataset, best F1 first."""
+    from streamlearn.operators.report import selected_approaches
+    r = _r(_results(spark, sf)).withColumn("name", F.concat_ws("_", "algo", "method"))
+    return selected_approaches(r, pattern="^(click|error|purchase)", suffix="")
+
+
+def sql_q6_selected_approaches():
+    return f"""SELECT *, row_number() OVER (ORDER BY f1 DESC, algorithm, selected_approach, dataset) AS rank FROM (
+ SELECT dataset, algo AS algorithm, upper(method[1]) || lower(method[2:]) AS selected_approach, {O.rnd('f1')} AS f1, {O.rnd('precision')} AS precision, {O.rnd('recall')} AS recall
+ FROM ({_results_sql()}) WHERE regexp_matches(dataset, '^(click|error|purchase)'))"""
+
+
+_Q.update({"q6_selected_approaches": (q_q6_selected_approaches, sql_q6_selected_approaches)})
+
+
 def q_q7_f1_matrix(spark, sf):
     """Q7: dataset x algorithm F1 matrix (prequential), missing cells 0."""
     from streamlearn.operators.report import f1_matrix
@@ -1989,6 +2005,19 @@ r AS (SELECT algo, round, avg(greatest(prev - acc, 0.0)) AS f FROM l WHERE prev
 SELECT algo, round, {O.rnd('f')} AS forgetting, {O.rnd('avg(f) OVER (PARTITION BY algo)')} AS overall_forgetting FROM r"""
 
 
+def q_f3_timeline(spark, sf):
+    """the timeline, the best task accuracy after every round."""
+    from streamlearn.operators.forgetting import forgetting_timeline
+    return _r(forgetting_timeline(_rounds(spark, sf)[2]))
+
+
+def sql_f3_timeline():
+    return f"SELECT algo, round, {O.rnd('max(acc)')} AS max_acc FROM ({_rounds_sql()[1]}) GROUP BY algo, round"
+
+
+_Q.update({"f3_timeline": (q_f3_timeline, sql_f3_timeline)})
+
+
 def q_f7_final_metrics(spark, sf):
     """the users' last models on all rows of every event type: M2 metrics per algorithm and type."""
     from streamlearn.operators.forgetting import final_task_metrics

@@ -19,11 +19,10 @@ def feature_label(df: DataFrame, col: str, dictionary: DataFrame,
                   key: str = "name", desc: str = "description") -> DataFrame:
     """Readable feature name: dictionary lookup, else title-cased fallback.
 
-    The dictionary is a small lookup table (bounded by the number of distinct
-    feature names) and is broadcast; the fact side is never shuffled.
+    Spark broadcasts the dictionary if it is small enough, and joins by shuffle beyond that.
     """
     d = dictionary.select(F.col(key).alias("_fl_key"), F.col(desc).alias("_fl_desc"))
-    out = df.join(F.broadcast(d), df[col] == d["_fl_key"], "left")
+    out = df.join(d, df[col] == d["_fl_key"], "left")
     return out.withColumn(col + "_label", F.coalesce(F.col("_fl_desc"), title_words(col))) \
               .drop("_fl_key", "_fl_desc")
 

@@ -23,8 +23,8 @@ def vote_weights(val_preds: DataFrame, metric: str = "recall", model: str = "alg
 def weighted_vote(preds: DataFrame, weights: DataFrame, row: Sequence[str] = ("id",),
                   model: str = "algo", g: Sequence[str] = ()) -> DataFrame:
     """sum(weight * pred) > 0 -> +1 else -1, per row.  The weight table has
-    one row per model and is broadcast."""
-    j = preds.join(F.broadcast(weights), [*g, model])
+    one row per group and model; Spark broadcasts it if it is small."""
+    j = preds.join(weights, [*g, model])
     out = j.groupBy(*g, *row).agg(F.sum(F.col("weight") * F.col("pred")).alias("vote"),
                                   F.first("y").alias("y"))
     return out.withColumn("pred", F.when(F.col("vote") > 0, 1.0).otherwise(-1.0))

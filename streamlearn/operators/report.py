@@ -51,6 +51,18 @@ def approach_summary(res: DataFrame, pattern: str = "KAGGLE|CreditFraud", suffix
     return d.groupBy("approach").agg(F.count(F.lit(1)).alias("n"), F.avg(metric).alias("mean_" + metric))
 
 
+def selected_approaches(res: DataFrame, pattern: str = "KAGGLE|CreditFraud", suffix: str = "_test", name: str = "name",
+                        metrics: Sequence[str] = ("f1", "precision", "recall")) -> DataFrame:
+    """Q6, the table: test rows of the matching datasets whose name is ``algorithm_approach``, with the approach capitalised,
+    best F1 first (``rank``; ties by algorithm, approach, dataset)."""
+    d = res.filter(F.col("dataset").rlike(pattern) & F.col("dataset").contains(suffix) & F.col(name).contains("_"))
+    parts = F.split(F.col(name), "_", 2)
+    cap = F.concat(F.upper(F.substring(parts[1], 1, 1)), F.lower(F.expr(f"substring(split({name}, '_', 2)[1], 2)")))
+    d = d.select("dataset", parts[0].alias("algorithm"), cap.alias("selected_approach"), *metrics)
+    w = Window.orderBy(F.desc(metrics[0]), "algorithm", "selected_approach", "dataset")          # a report: one row per dataset and algorithm
+    return d.withColumn("rank", F.row_number().over(w)).orderBy("rank")
+
+
 def f1_matrix(res: DataFrame, algos: Sequence[str], row: str = "dataset", col: str = "algo",
               metric: str = "f1") -> DataFrame:
     """Q7: dataset x algorithm matrix, missing cells 0."""
