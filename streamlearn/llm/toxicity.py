@@ -9,8 +9,8 @@ The lexicon is learnt from labelled documents: entries are beginnings of words (
 7 letters) and whole words, weighted by the log ratio of their document shares in
 toxic and other documents.  Where a word matches several entries the heaviest counts.
 Exception phrases cancel matches: whole words and pairs of words that hold an entry
-but occur in other documents and not in toxic ones, besides those given.  At most
-``ENTRIES`` of each are kept, the best; all counting is done by Spark.
+but occur in other documents and not in toxic ones, besides those given.  Which are
+kept is decided by their document counts and weights alone; Spark does all counting.
 
 The weights of a text are summed, normalised by its length (divided by the logarithm
 of its number of words) and turned into a score by a logistic curve fitted on the
@@ -36,13 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlearn.llm.common import bounded_labels, id_bucket, labelled_documents, read, slices, with_computed
+from streamlearn.llm.common import bounded_labels, id_bucket, labelled_documents, read, slices, stash, with_computed
 
 THRESHOLD = 0.7
 #: Labelled rows that lexicon and curve are fitted on, at most.
 MAX_ROWS = 20_000
-#: Lexicon entries kept, the ones that separate best.
-ENTRIES = 5_000
 #: Toxic documents an entry must occur in, and its least weight (log ratio).
 LEAST_DOCS, LEAST_WEIGHT = 4, 2.5
 #: Taken off every weight, so that several weak entries do not outweigh a strong one.
@@ -254,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, mod: int =
     toxic = sum(y for _, y in sample)
     if not toxic:
         return Lexicon({}, given)
-    rows = labelled_documents(docs, sample)
+    # the sampled texts are written once; of rows that repeat an id the smallest text counts, so their number is bounded too
+    rows = stash(labelled_documents(docs, sample).groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled")
     other = len(sample) - toxic
 
     def count(y, make):
@@ -262,12 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, mod: int =
     bad, fine = count(1, _all_patterns), count(0, _all_patterns).withColumnRenamed("docs", "fine")
     weight = F.log((F.col("docs") + 0.5) / (toxic + 1)) - F.log((F.coalesce("fine", F.lit(0)) + 0.5) / (other + 1))
     top = (bad.filter(F.col("docs") >= max(LEAST_DOCS, toxic // 500)).join(fine, "pattern", "left").withColumn("w", weight)
-              .filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc(F.col("w") * F.sqrt("docs")), "pattern").limit(ENTRIES).collect())
+              .filter(F.col("w") >= LEAST_WEIGHT).collect())                            # patterns of a bounded number of texts
     entries = _beyond_longer({r["pattern"]: (r["docs"], r["fine"] or 0) for r in top}, toxic, other)
     phrases: list[str] = []
     if entries:                                        # phrases of other documents, and of no toxic one, that hold an entry
         held_in = count(0, _held_phrases(entries)).filter(F.col("docs") >= max(3, other // 500)).join(count(1, _held_phrases(entries)), "pattern", "left_anti")
-        phrases = sorted(r["pattern"] for r in held_in.orderBy(F.desc("docs"), "pattern").limit(ENTRIES).collect())
+        phrases = sorted(r["pattern"] for r in held_in.collect())
     lexicon = Lexicon(entries, tuple(dict.fromkeys([*given, *phrases])))
 
     def make():

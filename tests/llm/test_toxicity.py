@@ -70,3 +70,13 @@ def test_awkward_rows(spark):
     assert got.count() == d.count() and got.filter("score is null or score < 0 or score > 1").count() == 0
     none = X.fit(d, no_labels(spark))
     assert len({r["score"] for r in X.score(d, none).collect()}) == 1 and X.score(empty(spark), none).count() == 0
+
+
+def test_repeated_ids_train_once(spark):
+    """Rows that repeat an id count as its smallest text, so copies of a labelled row do not change the lexicon."""
+    texts = [f"you utter zorgblat number {i} again" for i in range(30)] + [f"a calm note number {i} again" for i in range(90)]
+    ids = list(range(len(texts)))
+    labels = spark.createDataFrame([(i, 1, int(i < 30)) for i in ids], "doc_id long, quality int, toxic int")
+    once, copied = docs(spark, texts, ids), docs(spark, texts + texts[:5] * 20 + ["zz other words"] * 3, ids + ids[:5] * 20 + [0, 1, 40])
+    a, b = X.fit(once, labels, mod=1, held=5), X.fit(copied, labels, mod=1, held=5)
+    assert a.entries == b.entries and a.exceptions == b.exceptions and (a.slope, a.bias) == (b.slope, b.bias) and a.entries
