@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 import __spark_entry__ as E
 
@@ -26,17 +26,31 @@ def _norm(v):
     return v
 
 
-@pytest.fixture(scope="module")
-def con():
+def _connect(sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return c
 
 
+@pytest.fixture(scope="module")
+def con():
+    return _connect(SF_SMALL)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    _agree(spark, con, name, SF_SMALL)
+
+
+@pytest.mark.parametrize("name", ["t14_scenario_grid", "t2_fit_epochs", "l_main7_line"])
+def test_folds_on_more_rows(spark, name):
+    """Folds turn a last bit into another prediction now and then: features that are computed, long runs, lock step."""
+    _agree(spark, _connect(SF_MID), name, SF_MID)
+
+
+def _agree(spark, con, name, sf):
+    sdf = E.queries()[name](spark, sf)
     cols = sorted(sdf.columns)
     s = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)
     odf = con.sql(SQL[name]).df()
