@@ -1634,14 +1634,29 @@ SELECT 'class_mean' AS algo, m.chunk AS k, s.chunk AS j, avg(CASE WHEN (CASE WHE
  FROM s, m GROUP BY m.chunk, s.chunk"""
 
 
+F6_CFG = [LearnerConfig.of("PA", "pa", C=1.0), LearnerConfig.of("Perceptron", "perceptron", tie=1.0), LearnerConfig.of("AROW", "arow", r=0.5)]
+
+
 def q_f6_peak_drop(spark, sf):
-    """mean and population std of positive accuracy drops A[j][j] - A[k][j], k > j."""
+    """mean and population std of positive accuracy drops A[j][j] - A[k][j], k > j, where the models of every user persist
+    over ten chunks of their stream; accuracies are pooled over users."""
     from streamlearn.operators.forgetting import peak_drop
-    return _r(peak_drop(_acc_matrix(spark, sf)))
+    from streamlearn.plans.continual import chunk_accuracies
+    return _r(peak_drop(chunk_accuracies(FX.user_stream(spark, sf), F6_CFG, 10)))
+
+
+def _chunk_acc_sql(chunks=10):
+    src = f"""SELECT *, floor((row_number() OVER w - 1) * {chunks} / count(*) OVER (PARTITION BY stream))::INT AS chunk
+ FROM ({FX.USER_SQL}) WINDOW w AS (PARTITION BY stream ORDER BY ts, id, x, y)"""
+    taught = f"SELECT s.*, unnest(range(chunk, {chunks})) AS k FROM ({src}) s"
+    models = O.fold_sql(taught, _cfgs(F6_CFG), 3, keys=("stream", "k"), out_w="raw")
+    return f"""SELECT m.algo, m.k, s.chunk AS j,
+ avg(CASE WHEN (CASE WHEN (s.x[1] * m.w[1] + s.x[2] * m.w[2] + s.x[3] * m.w[3]) >= 0 THEN 1.0 ELSE -1.0 END) = s.y THEN 1.0 ELSE 0.0 END) AS acc
+ FROM ({src}) s JOIN ({models}) m ON m.stream = s.stream AND m.k >= s.chunk GROUP BY 1, 2, 3"""
 
 
 def sql_f6_peak_drop():
-    return f"""WITH a AS ({_acc_sql()}), d AS (SELECT a.algo, p.acc - a.acc AS drop FROM a JOIN a p ON p.algo = a.algo AND p.k = a.j AND p.j = a.j
+    return f"""WITH a AS MATERIALIZED ({_chunk_acc_sql()}), d AS (SELECT a.algo, p.acc - a.acc AS drop FROM a JOIN a p ON p.algo = a.algo AND p.k = a.j AND p.j = a.j
  WHERE a.k > a.j)
 SELECT algo, {O.rnd('coalesce(avg(drop) FILTER (WHERE drop > 0), 0.0)')} AS avg_forgetting,
  {O.rnd('coalesce(stddev_pop(drop) FILTER (WHERE drop > 0), 0.0)')} AS std_forgetting FROM d GROUP BY algo"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,26 +39,32 @@ def aggregate_periods(df: DataFrame, features: Sequence[str], ts: str = "timesta
     raise ValueError(mode)
 
 
-def fit_scaler(df: DataFrame, col: str = "x", by: Sequence[str] = ()) -> DataFrame:
-    """A3 / A4: per-feature mean and population std (0 std -> 1), fitted on ``df``.
+def vector_moments(df: DataFrame, col: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """Per ``by`` group (one row in all without ``by``, none for no vectors): ``n``, and per position the ``mean`` and the
+    population standard deviation ``sd`` of the vectors in ``col``.
 
-    Features are exploded with their position and aggregated per (by, pos):
-    map-side partial aggregation keeps the shuffle at d rows per task.  The
-    result has one row per ``by`` group with ``mu``/``sd`` arrays of length d.
+    One aggregation whose buffers are whole vectors, merged on the map side first: a task shuffles one row per group,
+    whatever the width, and no coordinate becomes a row.  Null vectors take no part; all vectors of a group have one length.
     """
-    e = df.select(*by, F.posexplode(col).alias("_p", "_v"))
-    s = e.groupBy(*by, "_p").agg(F.avg("_v").alias("_mu"), F.stddev_pop("_v").alias("_sd"))
-    s = s.withColumn("_sd", F.when((F.col("_sd") == 0) | F.col("_sd").isNull(), 1.0).otherwise(F.col("_sd")))
-    arr = F.array_sort(F.collect_list(F.struct("_p", "_mu", "_sd")))   # d entries per group
-    out = s.groupBy(*by).agg(arr.alias("_a"))
-    return out.select(*by, F.transform("_a", lambda r: r["_mu"]).alias("mu"),
-                      F.transform("_a", lambda r: r["_sd"]).alias("sd"))
+    g = list(by) or [F.lit(0).alias("_all")]
+    s = (df.filter(F.col(col).isNotNull()).select(*g, array_to_vector(F.col(col).cast("array<double>")).alias("_v"))
+           .groupBy(*(by or ["_all"])).agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v")).alias("_s")))
+    n = F.col("_s.count").cast("double")
+    return s.select(*by, F.col("_s.count").alias("n"), vector_to_array("_s.mean").alias("mean"),
+                    F.transform(vector_to_array("_s.variance"), lambda v: F.sqrt(v * (n - 1.0) / n)).alias("sd"))
+
+
+def fit_scaler(df: DataFrame, col: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """A3 / A4: per-feature mean and population std (0 std -> 1), fitted on ``df``: one row per ``by`` group with ``mu``/``sd``
+    arrays of length d."""
+    return vector_moments(df, col, by).select(
+        *by, F.col("mean").alias("mu"), F.transform("sd", lambda v: F.when(v == 0, 1.0).otherwise(v)).alias("sd"))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, col: str = "x", by: Sequence[str] = ()) -> DataFrame:
-    """(x - mu) / sd element-wise.  Without ``by`` the scaler is one row and is
-    broadcast; with ``by`` it is joined on the group keys."""
-    j = df.join(scaler, list(by)) if by else df.crossJoin(F.broadcast(scaler))
+    """(x - mu) / sd element-wise.  Without ``by`` the scaler is one row and is broadcast (fitted on nothing: null vectors);
+    with ``by`` it is joined on the group keys."""
+    j = df.join(scaler, list(by)) if by else df.join(F.broadcast(scaler), F.lit(True), "left")
     z = F.zip_with(F.zip_with(col, "mu", lambda v, m: v - m), "sd", lambda v, s: v / s)
     return j.withColumn(col, z).drop("mu", "sd")
 

@@ -1,4 +1,4 @@
-"""Continual learning over task rounds (F1) and over sliding windows (F4 with F5)."""
+"""Continual learning over task rounds (F1), over sliding windows (F4 with F5) and over chunks of a stream."""
 
 from __future__ import annotations
 
@@ -59,3 +59,33 @@ def forgetting_summary(steps: DataFrame, g: Sequence[str] = ("stream", "algo"))
     """mean and population standard deviation of step forgetting per group, with the number of steps."""
     return steps.groupBy(*g).agg(F.count(F.lit(1)).alias("steps"), F.avg("forgetting").alias("forgetting"),
                                  F.stddev_pop("forgetting").alias("deviation"))
+
+
+def chunk_accuracies(df: DataFrame, configs: Sequence[LearnerConfig], chunks: int = 10, keys: Sequence[str] = ("stream",),
+                     order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+    """The accuracy table of F6 (algo, k, j, acc): each key's rows are cut into ``chunks`` runs of equal size, its models
+    persist over them, and the models after run k are scored on run j <= k.  Accuracies are pooled over keys; a key with
+    fewer rows than chunks has its last model stand for the empty runs.
+
+    All snapshots come from one fold.  A row meets the models of its key as one array and stays one row; the sums
+    per run are as many columns as there are rules and chunks.
+    """
+    keys = list(keys)
+    of = Window.partitionBy(*keys)
+    run = F.floor((F.row_number().over(of.orderBy(*order)) - 1) * chunks / F.count(F.lit(1)).over(of)).cast("int")
+    d = df.withColumn("chunk", run)
+    models = fold_models(d, configs, keys, order, snapshots="chunk")
+    each = F.array_sort(F.collect_list(F.struct("chunk", "w", F.coalesce("b", F.lit(0.0)).alias("b"))))       # one per chunk
+    m = models.groupBy(*keys, "algo").agg(each.alias("_m"))
+    m = m.withColumn("_m", F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)),
+                                       lambda k: F.try_element_at(F.filter("_m", lambda s: s["chunk"] <= k), F.lit(-1))))
+    labels = [c.label for c in configs]
+    wide = m.groupBy(*keys).agg(*[F.max(F.when(F.col("algo") == lab, F.col("_m"))).alias(f"_a{i}") for i, lab in enumerate(labels)])
+    said = lambda s: F.when(dot("x", s["w"]) + s["b"] >= 0, 1.0).otherwise(-1.0)
+    ok = F.transform(F.flatten(F.array(*[f"_a{i}" for i in range(len(labels))])), lambda s: F.when(said(s) == F.col("y"), 1).otherwise(0))
+    cells = [(lab, k) for lab in labels for k in range(chunks)]
+    sums = (d.join(wide, keys).select(F.col("chunk").alias("j"), ok.alias("_ok")).groupBy("j")
+             .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_ok")[i]).alias(f"_c{i}") for i in range(len(cells))]))
+    rows = F.array(*[F.struct(F.lit(lab).alias("algo"), F.lit(k).alias("k"), (F.col(f"_c{i}") / F.col("_n")).alias("acc"))
+                     for i, (lab, k) in enumerate(cells)])
+    return sums.select("j", F.inline(rows)).filter("k >= j").select("algo", "k", "j", "acc")

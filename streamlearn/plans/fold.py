@@ -60,7 +60,8 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
     return to_arrow_type(dt)
 
 
-def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out_fields, has_init, init_only, has_weight):
+def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out_fields, has_init, init_only, has_weight,
+             phase_name=None):
     # in split mode the fold key ends with "algo", which is emitted once, as algo
     out_keys = key_names[:-1] if split else key_names
     cfg_by_label = {c.label: c for c in configs}
@@ -69,6 +70,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
 
     def fn(batches):
         cur = None          # current key tuple
+        phase = None        # value of the snapshot column in the current key
         models = None       # list of (label, learner)
         inits = {}          # label -> state dict for the current key
         pos = 0
@@ -81,6 +83,9 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                     out[k].append(key[i])
                 for n in pass_names:
                     out[n].append(None)
+                if phase_name:
+                    out[phase_name].append(phase)
+                    st = {n: list(v) if isinstance(v, list) else v for n, v in st.items()}     # the learner goes on
                 out["algo"].append(label)
                 if emit_preds:
                     for n in ("id", "ts", "y", "pred", "score", "pos"):
@@ -116,6 +121,7 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
             kinds = cols["_k"] if has_init else None
             weights = cols["wt"] if has_weight else None
             passes = [cols[n] for n in pass_names]
+            phases = cols[phase_name] if phase_name else None
             for i in range(rb.num_rows):
                 key = tuple(kc[i] for kc in keys)
                 if key != cur:
@@ -130,6 +136,10 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
                 x, y = xs[i], ys[i]
                 if models is None:
                     models = start(key, len(x))
+                elif phase_name and phases[i] != phase:
+                    flush_models(cur)
+                if phase_name:
+                    phase = phases[i]
                 for label, L in models:
                     p, s = L.step_row(x, y, ids[i], weights[i] if has_weight else 1.0) if L.rowwise else L.step(x, y)
                     # running M2 counts (-1 negative, anything else positive)
@@ -164,9 +174,11 @@ def _fold_fn(configs, key_names, pass_names, emit_preds, emit_models, split, out
 
 def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), order=DEFAULT_ORDER,
           init: DataFrame | None = None, emit_preds=True, emit_models=False,
-          split_configs=False, passthrough: Sequence[str] = (), init_only=False) -> DataFrame:
+          split_configs=False, passthrough: Sequence[str] = (), init_only=False, snapshots: str | None = None) -> DataFrame:
     configs = [c.shipped() for c in configs]
     keys, order, passthrough = list(keys), list(order), list(passthrough)
+    if snapshots:
+        order = [snapshots, *[c for c in order if c != snapshots]]
     spark = df.sparkSession
     base_cols = list(dict.fromkeys(keys + ["ts", "id", "x", "y"] + [c for c in order if c not in ("ts", "id", "x", "y")] + passthrough
                                   + (["wt"] if "wt" in df.columns else [])))
@@ -193,6 +205,8 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
     sch = {f.name: f for f in data.schema.fields}
     out_fields = [T.StructField(k, sch[k].dataType) for k in keys]
     out_fields += [T.StructField(n, sch[n].dataType) for n in passthrough]
+    if snapshots:
+        out_fields.append(sch[snapshots])
     out_fields.append(T.StructField("algo", T.StringType()))
     if emit_preds:
         out_fields += [T.StructField("id", sch["id"].dataType), T.StructField("ts", sch["ts"].dataType),
@@ -202,7 +216,7 @@ def _fold(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",), ord
     if emit_models:
         out_fields += MODEL_FIELDS
     fn = _fold_fn(configs, fold_keys, passthrough, emit_preds, emit_models, split_configs,
-                  out_fields, has_init, init_only and has_init, "wt" in df.columns)
+                  out_fields, has_init, init_only and has_init, "wt" in df.columns, snapshots)
     out = data.mapInArrow(fn, T.StructType(out_fields))
     if emit_preds:
         out = out.withColumn("ts", F.timestamp_micros("ts").cast(ts_type))
@@ -219,21 +233,24 @@ def fold_predictions(df: DataFrame, configs: Sequence[LearnerConfig], keys=("str
 
 def fold_models(df: DataFrame, configs: Sequence[LearnerConfig], keys=("stream",),
                 order=DEFAULT_ORDER, init: DataFrame | None = None, split_configs=False, init_only=False, lockstep: bool | None = None,
-                streams: tuple[DataFrame, int] | None = None) -> DataFrame:
+                streams: tuple[DataFrame, int] | None = None, snapshots: str | None = None) -> DataFrame:
     """The final model per (key, config): keys, algo, n, mistakes, w, sigma, g, g1t, b, t,
     plus the prequential M2 counts tp, fp, tn, fn of the pass.
 
     Where there are many streams and no start models, and all rules have a lock-step form (``plans.lockstep``), the
     streams of a cohort step together; the models are the same.  ``lockstep`` forces or forbids that; ``streams`` is a
-    smaller table to count the streams on, and how many streams here each of its keys stands for."""
+    smaller table to count the streams on, and how many streams here each of its keys stands for.
+
+    ``snapshots`` names a column that leads the row order; a persistent model is then returned after each of its values
+    (keys, that column, algo, ...), from the same single pass."""
     from streamlearn.plans.lockstep import cohort_count, has_lockstep, lockstep_models
     configs = [c.shipped() for c in configs]
-    if lockstep is not False and init is None and not split_configs and has_lockstep(configs):
+    if lockstep is not False and init is None and not split_configs and not snapshots and has_lockstep(configs):
         rows, times = streams or (df, 1)
         cohorts = cohort_count(rows, [k for k in keys if k in rows.columns], configs, times) or (1 if lockstep else 0)
         if cohorts:
             return lockstep_models(df, configs, keys, order, cohorts, MODEL_FIELDS)
-    out = _fold(df, configs, keys, order, init, False, True, split_configs, init_only=init_only)
+    out = _fold(df, configs, keys, order, init, False, True, split_configs, init_only=init_only, snapshots=snapshots)
     return out.drop("_kind")
 
 

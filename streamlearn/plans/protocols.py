@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamlearn.functions.hashing import hash32
+from streamlearn.operators.aggregate import vector_moments
 from streamlearn.operators.metrics import SELECT_METRICS, confusion_counts, rates, selection_metric
 from streamlearn.operators.order import DEFAULT_ORDER, min_rows
 from streamlearn.operators.scan import prefix_scan
@@ -254,15 +255,13 @@ def fit_per_entity(train: DataFrame, val: DataFrame, configs: Sequence[LearnerCo
 
 
 def average_models(models: DataFrame, by: Sequence[str] = ("algo",)) -> DataFrame:
-    """Consensus model = coordinate-wise mean of weights (and bias) over
-    keys.  Exploded coordinates are aggregated with partial aggregation; the
-    result has one row per ``by`` group with a d-length array."""
+    """Consensus model = coordinate-wise mean of weights (and bias) over keys, one row per ``by`` group with a
+    d-length array.  Whole vectors are aggregated, on the map side first."""
     # the bias travels as a last coordinate, so the models are read once
-    e = models.select(*by, F.posexplode(F.concat("w", F.array(F.coalesce("b", F.lit(0.0))))).alias("_p", "_w"))
-    a = e.groupBy(*by, "_p").agg(F.avg("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
-    arr = a.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", "_w"))).alias("_a"), F.max("_n").alias("n_models"))
-    all_ = F.transform("_a", lambda s: s["_w"])
-    return arr.select(*by, F.slice(all_, F.lit(1), F.size("_a") - 1).alias("w"), F.element_at(all_, -1).alias("b"), "n_models")
+    e = models.select(*by, F.concat("w", F.array(F.coalesce("b", F.lit(0.0)))).alias("_w"))
+    m = vector_moments(e, "_w", by)
+    return m.select(*by, F.slice("mean", F.lit(1), F.size("mean") - 1).alias("w"), F.element_at("mean", -1).alias("b"),
+                    F.col("n").alias("n_models"))
 
 
 def adapt_per_entity(df: DataFrame, w0: DataFrame, configs, keys=("stream",), order=DEFAULT_ORDER) -> DataFrame:
