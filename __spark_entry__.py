@@ -911,6 +911,24 @@ def sql_c3_kernel_score():
  FROM ({_kernel_scores_sql((0.5,))})"""
 
 
+def q_c3_prototype_kernel(spark, sf):
+    """C2 + C3 without keys: every event against the class means of all users (+1 and -1 weighted), in tiles of 128 vectors."""
+    from streamlearn.operators.score import score_kernel
+    s = FX.user_stream(spark, sf)
+    means = A.vector_moments(s, "x", ["stream", "y"]).select(F.col("mean").alias("x"), F.col("y").alias("alpha"))
+    return _r(score_kernel(s, means, 0.5, block=128).select("id", "score", "pred"))
+
+
+def sql_c3_prototype_kernel():
+    k = " + ".join(f"(u.x[{j}] - m.x{j}) * (u.x[{j}] - m.x{j})" for j in (1, 2, 3))
+    means = ", ".join(f"avg(x[{j}]) AS x{j}" for j in (1, 2, 3))
+    return f"""WITH u AS MATERIALIZED ({FX.USER_SQL}), m AS MATERIALIZED (SELECT y AS alpha, {means} FROM u GROUP BY stream, y),
+ f AS (SELECT u.id, sum(m.alpha * exp(-0.5 * ({k}))) AS score FROM u, m GROUP BY u.id)
+SELECT id, {O.rnd('score')} AS score, CASE WHEN score >= 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS pred FROM f"""
+
+
+_Q.update({"c3_prototype_kernel": (q_c3_prototype_kernel, sql_c3_prototype_kernel)})
+
 GAMMAS = (0.25, 0.5, 1.0)
 
 

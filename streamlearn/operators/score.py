@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from streamlearn.functions.labels import sign_pred
 from streamlearn.functions.vectors import dot
+from streamlearn.session import written
 
 
 def score_linear(df: DataFrame, models: DataFrame, on: Sequence[str] = (), tie: float = 1.0,
@@ -43,38 +44,73 @@ def score_kernel(df: DataFrame, svs: DataFrame, gamma: float | str = 1.0, block:
     """f(x) = sum_j alpha_j exp(-gamma ||x - sv_j||^2) on every row; pred = +1 if f >= 0 (no vector: 0).
 
     ``svs`` has ``x`` and ``alpha``; ``gamma`` is a number or a column of ``svs``.  Rows keep their columns.
-    The vectors are taken in blocks of at most about ``block`` rows; a block is one pass over the rows, a
-    matrix product per Arrow batch that adds to the score.  No pair of row and vector becomes a row.
+    Up to ``block`` vectors (counted first) travel with the task, in one pass over the rows.  More vectors are cut into
+    tiles of about ``block``, rows into blocks of as many, and every block meets every tile in one group of a cogroup;
+    the partial sums of a row are added up.  Neither the vectors nor the rows pass through the driver, and no pair of a row
+    and a vector becomes a row: the shuffle holds each row once per tile and each vector once per block of rows.
     """
     g = F.col(gamma) if isinstance(gamma, str) else F.lit(float(gamma))
     sv = svs.select(F.col("x").alias("v"), F.col("alpha").cast("double").alias("a"), g.cast("double").alias("g"))
-    blocks = max(1, -(-sv.count() // block))
-    part = F.pmod(F.xxhash64("v"), F.lit(blocks))
-    out = df.withColumn("score", F.lit(0.0))
-    for b in range(blocks):
-        rows = sorted((list(r["v"]), r["a"], r["g"]) for r in sv.filter(part == b).collect())    # at most about `block` vectors
-        if rows:
-            out = _add_kernel_block(out, rows)
+    n = sv.count()
+    if n > block:
+        out = _score_tiles(df, sv, -(-n // block), block)
+    else:
+        rows = sorted((list(r["v"]), r["a"], r["g"]) for r in sv.collect()) if n else []         # at most `block` vectors
+        out = df.withColumn("score", F.lit(0.0))
+        out = _add_kernel_block(out, rows) if rows else out
     return out.withColumn("pred", F.when(F.col("score") >= 0, 1.0).otherwise(-1.0))
 
 
+def _matrix(col) -> np.ndarray:
+    """An Arrow column of vectors of one length as a matrix."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(col), len(flat) // max(len(col), 1))
+
+
+def _kernel_sums(m: np.ndarray, v: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """sum_j a_j exp(-g_j ||row - v_j||^2) of every row of ``m``, at most 4 million kernel values at a time."""
+    norms, out = (v * v).sum(1), np.zeros(len(m))
+    step = max(1, 4_000_000 // max(len(v), 1))
+    for i in range(0, len(m), step):
+        p = m[i:i + step]
+        d = np.maximum((p * p).sum(1)[:, None] + norms - 2.0 * (p @ v.T), 0.0)
+        out[i:i + step] = np.exp(-g * d) @ a
+    return out
+
+
 def _add_kernel_block(df: DataFrame, rows) -> DataFrame:
     v, a, g = (np.array(c, dtype=np.float64) for c in zip(*rows))
-    norms = (v * v).sum(1)
 
     def run(batches):
         for b in batches:
             x, k = b.column(b.schema.get_field_index("x")), b.schema.get_field_index("score")
-            score = b.column(k).to_numpy(zero_copy_only=False).copy()
-            m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-            for i in range(0, len(m), 1024):
-                p = m[i:i + 1024]
-                d = np.maximum((p * p).sum(1)[:, None] + norms - 2.0 * (p @ v.T), 0.0)
-                score[i:i + 1024] += np.exp(-g * d) @ a
-            yield b.set_column(k, "score", pa.array(score))
+            if len(x):
+                yield b.set_column(k, "score", pa.array(_kernel_sums(_matrix(x), v, a, g)))
     return df.mapInArrow(run, df.schema)
 
 
+def _score_tiles(df: DataFrame, sv: DataFrame, tiles: int, block: int) -> DataFrame:
+    """Scores by tiles: both sides are written with a number of their own, which deals them evenly whatever their values."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "kernel-rows")
+    vectors = written(sv.withColumn("_row", F.monotonically_increasing_id()), "kernel-vectors")
+    blocks = max(1, -(-rows.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("_row", "x", deal(blocks).alias("_b")).withColumn("_t", every(tiles))
+    right = vectors.select("v", "a", "g", deal(tiles).alias("_t")).withColumn("_b", every(blocks))
+
+    def meet(r: pa.Table, t: pa.Table) -> pa.Table:
+        if not len(r) or not len(t):
+            return pa.table({"_row": pa.array([], pa.int64()), "_part": pa.array([], pa.float64())})
+        part = _kernel_sums(_matrix(r["x"]), _matrix(t["v"]), t["a"].to_numpy(), t["g"].to_numpy())
+        return pa.table({"_row": r["_row"], "_part": pa.array(part)})
+
+    parts = left.groupBy("_b", "_t").cogroup(right.groupBy("_b", "_t")).applyInArrow(meet, "_row long, _part double")
+    total = parts.groupBy("_row").agg(F.sum("_part").alias("score"))
+    return rows.join(total, "_row", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_row")
+
+
 def score_kernel_keyed(df: DataFrame, models: DataFrame, configs, keys: Sequence[str] = ("stream",)) -> DataFrame:
     """C3 with a model per key and configuration: rows meet the model of their key in a fold that does not learn.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlearn.functions.vectors import dot
+from streamlearn.operators.aggregate import vector_moments
 from streamlearn.operators.order import DEFAULT_ORDER
 from streamlearn.plans.fold import fold_models, fold_predictions
 from streamlearn.plans.learners import LearnerConfig
@@ -67,8 +68,8 @@ def chunk_accuracies(df: DataFrame, configs: Sequence[LearnerConfig], chunks: in
     persist over them, and the models after run k are scored on run j <= k.  Accuracies are pooled over keys; a key with
     fewer rows than chunks has its last model stand for the empty runs.
 
-    All snapshots come from one fold.  A row meets the models of its key as one array and stays one row; the sums
-    per run are as many columns as there are rules and chunks.
+    All snapshots come from one fold.  A row meets the models of its key as one array and stays one row; its hits under
+    every rule and snapshot are one vector, summed per run.
     """
     keys = list(keys)
     of = Window.partitionBy(*keys)
@@ -82,10 +83,9 @@ def chunk_accuracies(df: DataFrame, configs: Sequence[LearnerConfig], chunks: in
     labels = [c.label for c in configs]
     wide = m.groupBy(*keys).agg(*[F.max(F.when(F.col("algo") == lab, F.col("_m"))).alias(f"_a{i}") for i, lab in enumerate(labels)])
     said = lambda s: F.when(dot("x", s["w"]) + s["b"] >= 0, 1.0).otherwise(-1.0)
-    ok = F.transform(F.flatten(F.array(*[f"_a{i}" for i in range(len(labels))])), lambda s: F.when(said(s) == F.col("y"), 1).otherwise(0))
-    cells = [(lab, k) for lab in labels for k in range(chunks)]
-    sums = (d.join(wide, keys).select(F.col("chunk").alias("j"), ok.alias("_ok")).groupBy("j")
-             .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col("_ok")[i]).alias(f"_c{i}") for i in range(len(cells))]))
-    rows = F.array(*[F.struct(F.lit(lab).alias("algo"), F.lit(k).alias("k"), (F.col(f"_c{i}") / F.col("_n")).alias("acc"))
-                     for i, (lab, k) in enumerate(cells)])
-    return sums.select("j", F.inline(rows)).filter("k >= j").select("algo", "k", "j", "acc")
+    ok = F.transform(F.flatten(F.array(*[f"_a{i}" for i in range(len(labels))])), lambda s: F.when(said(s) == F.col("y"), 1.0).otherwise(0.0))
+    hits = vector_moments(d.join(wide, keys).select(F.col("chunk").alias("j"), ok.alias("_ok")), "_ok", ["j"])
+    cells = F.array(*[F.struct(F.lit(lab).alias("algo"), F.lit(k).alias("k")) for lab in labels for k in range(chunks)])
+    # a count of hits is whole: equal accuracies stay equal
+    acc = F.zip_with(cells, "mean", lambda c, v: F.struct(c["algo"].alias("algo"), c["k"].alias("k"), (F.round(v * F.col("n")) / F.col("n")).alias("acc")))
+    return hits.select("j", F.inline(acc)).filter("k >= j").select("algo", "k", "j", "acc")

@@ -126,7 +126,7 @@ def test_kernel_scoring_in_blocks(spark):
                                "x array<double>, alpha double, gamma double, member int")
     df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id long, x array<double>")
     want = [sum(b * np.exp(-c * ((r - s) ** 2).sum()) for s, b, c in zip(v, a, g)) for r in x]
-    for block in (1000, 5):
+    for block in (1000, 5, 1):
         got = {r.id: (r.score, r.pred) for r in score_kernel(df, sv, "gamma", block).collect()}
         assert [got[i][0] for i in range(40)] == pytest.approx(want) and all(p == (1.0 if s >= 0 else -1.0) for s, p in got.values())
     assert [r.score for r in score_multi_kernel(df, sv).orderBy("id").collect()] == pytest.approx([w / 2 for w in want])
