@@ -126,6 +126,19 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def densest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of matched pairs with the largest number of pairs less unmatched words of the text between them (the first
+    and shortest such run): a few last words that were matched only in a next copy, far behind, fall off."""
+    best, score, start, top = (0, 1), 1, 0, 1
+    for k in range(1, len(pairs)):
+        score += 1 - (pairs[k][0] - pairs[k - 1][0] - 1)
+        if score < 1:
+            score, start = 1, k
+        if score > top:
+            best, top = (start, k + 1), score
+    return pairs[best[0]:best[1]]
+
+
 @dataclasses.dataclass(frozen=True)
 class Match:
     license: str
@@ -162,6 +175,9 @@ class Scanner:
                     continue
                 a, b = max(done, s - slack), min(len(words), s + len(template) + slack)
                 pairs = patience(words[a:b], template)
+                dense = densest(pairs)
+                if len(dense) >= self.coverage * len(template):
+                    pairs = dense
                 if len(pairs) >= self.coverage * len(template):
                     first, last = a + pairs[0][0], a + pairs[-1][0] + 1
                     if len(pairs) >= self.density * (last - first):

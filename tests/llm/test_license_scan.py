@@ -49,6 +49,28 @@ def test_every_template_is_found_in_noise():
     assert s.scan(noise(500)) == []
 
 
+def test_densest_run():
+    assert L.densest([(0, 0), (1, 1), (2, 3), (30, 4), (31, 5)]) == [(0, 0), (1, 1), (2, 3)]
+    assert L.densest([(0, 0), (9, 1), (10, 2)]) == [(9, 1), (10, 2)] and L.densest([(4, 4)]) == [(4, 4)] and L.densest([]) == []
+    assert L.densest([(0, 0), (1, 1), (3, 2), (4, 3)]) == [(0, 0), (1, 1), (3, 2), (4, 3)]
+
+
+def test_adjacent_edited_notices():
+    """Two copies of a notice next to each other, each with 6 % of its words deleted, are two matches wherever each alone is one."""
+    rng, s, tried = random.Random(1), L.Scanner(), 0
+    for name, words in s.templates:
+        if len(words) < 10:
+            continue
+        for _ in range(60):
+            one, two = ([w for w in words if rng.random() > 0.06] for _ in range(2))
+            if [[m.license for m in s.scan(c)] for c in (one, two)] == [[name], [name]]:
+                tried += 1
+                got = s.scan(one + two)
+                assert [m.license for m in got] == [name, name], (name, one, two)
+                assert got[0].last <= got[1].first
+    assert tried > 500
+
+
 def test_query_against_plain_lines(spark):
     got = sorted((r["doc_id"], r["license"], r["span_start"]) for r in L.op5_patience_licenses(spark, SF).collect())
     want = []
