@@ -4,7 +4,9 @@ A record is a JSON text in one of many layouts.  Its fingerprint is a hash of it
 sorted nested field paths (``messages[].content``), names that only describe the
 record left out.  A registry of declarative mappings, each stated as paths, is keyed
 by the fingerprints of those paths; the mapping found turns the record into canonical
-turns (role, text).  ``layouts`` counts the fingerprints of a table, so layouts
+turns (role, text).  Paths that a mapping declares optional (tool definitions, a rendered
+text beside the turns, the name of a turn's author, the type of a content part) are taken
+out before its fingerprint is compared; they are no part of the turns.  ``layouts`` counts the fingerprints of a table, so layouts
 without a mapping can be seen and added.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Control strings
@@ -14,7 +16,8 @@ can be recovered exactly.  The loss mask lists the spans of the assistants' text
 
 Defined results: a null role or text counts as empty; a record without a mapping, or
 that is no JSON object, gives null turns and a null formatted text, and its fingerprint
-(null if it is no object); turns of equal number come in the order of role, then text;
+(null if it is no object); a list of turns that is empty gives no turns and an empty
+formatted text; content parts that hold anything but text select no mapping; turns of equal number come in the order of role, then text;
 repeated turn rows stay; a null ``conv_id`` is a conversation of its own; an empty
 table gives no rows.
 """
@@ -79,15 +82,37 @@ class Mapping:
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     before: tuple[tuple[str, tuple[str, ...]], ...] = ()
     aliases: bool = True
+    optional: tuple[str, ...] = ("tools", "text")
 
     def paths(self) -> set[str]:
         out = {p for _, ps in (*self.fields, *self.before) for p in ps}
         return out | {f"{self.items}[].{p}" for p in (self.role, self.text, self.order) if p}
 
+    def without_items(self) -> set[str]:
+        """The paths of a record whose list of items is empty."""
+        return {p for _, ps in self.before for p in ps} | {f"{self.items}[]"}
+
+    def spare(self) -> frozenset[str]:
+        """Paths that a record of this layout may have or not."""
+        inner = [f"{self.items}[].name"] if self.items else []
+        if "[]." in self.text:
+            inner.append(f"{self.items}[].{self.text.rpartition('.')[0]}.type")
+        return frozenset([*self.optional, *inner]) - self.paths()
+
+
+def _under(path: str, tops) -> bool:
+    return any(path == t or path.startswith((f"{t}.", f"{t}[")) for t in tops)
+
 
 def _get(value, path: str):
-    for key in path.replace("[]", "").split("."):
-        value = value.get(key) if isinstance(value, dict) else None
+    key, _, rest = path.partition(".")
+    value = value.get(key.removesuffix("[]")) if isinstance(value, dict) else None
+    if key.endswith("[]") and rest:                                   # parts: their texts; a plain text in their place is itself
+        if isinstance(value, list):
+            return "".join(t for t in (x if isinstance(x, str) else _get(x, rest) for x in value) if isinstance(t, str))
+        return value if isinstance(value, str) else _get(value, rest)
+    if rest:
+        return _get(value, rest)
     if isinstance(value, list):
         return "".join(x for x in value if isinstance(x, str))
     return value
@@ -120,6 +145,8 @@ MAPPINGS = [
     Mapping("turn rows", "turns", "role", "text", "turn", aliases=False),
     Mapping("messages", "messages", "role", "content"),
     Mapping("system and messages", "messages", "role", "content", before=(("system", ("system",)),)),
+    Mapping("messages of parts", "messages", "role", "content[].text"),
+    Mapping("system and messages of parts", "messages", "role", "content[].text", before=(("system", ("system",)),)),
     Mapping("conversations", "conversations", "from", "value"),
     Mapping("system and conversations", "conversations", "from", "value", before=(("system", ("system",)),)),
     Mapping("author and parts", "mapping.messages", "author.role", "content.parts[]"),
@@ -138,6 +165,24 @@ def registry(mappings=MAPPINGS) -> dict[str, Mapping]:
     return {fingerprint(m.paths()): m for m in mappings}
 
 
+def selector(mappings=MAPPINGS):
+    """The function that gives the mapping of a set of field paths (None: none): by the fingerprint of all paths, else by
+    that of the paths left without a mapping's optional ones."""
+    known = registry(mappings)
+    bare = {fingerprint(m.without_items()): m for m in reversed(mappings) if m.items}
+    spares = list(dict.fromkeys(m.spare() for m in mappings))
+
+    def select(paths: set[str]) -> Mapping | None:
+        found = known.get(fingerprint(paths))
+        for spare in spares:
+            if found:
+                break
+            key = fingerprint(p for p in paths if not _under(p, spare))
+            found = next((m for m in (known.get(key), bare.get(key)) if m and m.spare() == spare), None)
+        return found
+    return select
+
+
 # ----------------------------------------------------------------- template
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates and tokenizers give a meaning to.
@@ -181,7 +226,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def format_records(records: DataFrame, record_col: str = "record", mappings=MAPPINGS, keep=None) -> DataFrame:
     """Append ``fingerprint``, ``layout``, ``formatted`` and ``loss_mask`` to records given as JSON text."""
-    known = registry(mappings)
+    select = selector(mappings)
 
     def make():
         def one(raw: bytes):
@@ -191,8 +236,8 @@ def format_records(records: DataFrame, record_col: str = "record", mappings=MAPP
                 record = None
             if not isinstance(record, dict):
                 return None, None, None, None
-            print_ = fingerprint(field_paths(record))
-            m = known.get(print_)
+            paths = field_paths(record)
+            print_, m = fingerprint(paths), select(paths)
             if m is None:
                 return print_, None, None, None
             text, spans = format_turns(turns_of(record, m))

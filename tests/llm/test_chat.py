@@ -39,6 +39,36 @@ def test_layouts(record, turns):
     assert C.turns_of(record, m) == turns
 
 
+QA = [("user", "q"), ("assistant", "a")]
+OPTIONAL = [
+    ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "tools": [{"name": "f", "args": {"x": 1}}]}, QA),
+    ({"messages": [{"role": "user", "content": "q", "name": "bo"}, {"role": "assistant", "content": "a"}], "text": "q a"}, QA),
+    ({"system": "s", "tools": None, "messages": []}, [("system", "s")]),
+    ({"messages": []}, []), ({"conversations": [], "text": ""}, []),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"text": "b"}]}]},
+     [("user", "q"), ("assistant", "ab")]),
+    ({"instruction": "i", "input": "x", "output": "a", "text": "whole"}, [("user", "i\n\nx"), ("assistant", "a")]),
+    ({"prompt": "q", "response": "a", "tools": []}, QA),
+]
+UNKNOWN = [{"text": "alone"}, {"tools": []}, {}, {"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}]}]},
+           {"messages": [{"role": "user", "content": "q", "tool_calls": [{"f": 1}]}]}, {"toolset": 1, "prompt": "q", "response": "a"}]
+
+
+@pytest.mark.parametrize("record,turns", OPTIONAL)
+def test_optional_paths(record, turns):
+    m = C.selector()(C.field_paths(record))
+    assert C.turns_of(record, m) == turns
+
+
+def test_optional_paths_choose_no_other_layout(spark):
+    select = C.selector()
+    assert [select(C.field_paths(r)) for r in UNKNOWN] == [None] * len(UNKNOWN)
+    assert all(select(m.paths()) is m for m in C.MAPPINGS)
+    rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(OPTIONAL)]
+    got = {r["id"]: r["formatted"] for r in C.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
+    assert [C.parse_turns(got[i]) for i in range(len(OPTIONAL))] == [t for _, t in OPTIONAL]
+
+
 def test_fingerprints_ignore_order_and_counts_but_not_names():
     f = lambda r: C.fingerprint(C.field_paths(r))
     a = {"x": [{"p": 1, "q": 2}], "y": 0}
