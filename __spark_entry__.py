@@ -1920,7 +1920,7 @@ def q_f4_sliding_continual(spark, sf):
     return _r(M.class1_metrics(p, ["stream", "algo"]))
 
 
-def _sliding_sql():
+def _sliding_sql(src=FX.USER_SQL, W=SLIDE_W):
     """Every step of the sliding runs: stream, algo, y, pred and the share of past rows lost by the step."""
     f = lambda w, x: "(" + " + ".join(f"{w}[{j}] * {x}[{j}]" for j in (1, 2, 3)) + ")"
     up = lambda c: "[" + ", ".join(f"p.w[{j}] + ({c}) * q.y * q.x[{j}]" for j in (1, 2, 3)) + "]"
@@ -1931,7 +1931,7 @@ def _sliding_sql():
     z = "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]"
     row = lambda w, x, y: f"{{'w': {w}, 'x': {x}, 'y': {y}}}"
     cell = lambda w, b, o, x, y: f"{{'w': {w}, 'b': {b}, 'o': {o}, 'x': {x}, 'y': {y}}}"
-    nb, no, full = "[]::STRUCT(x DOUBLE[], y DOUBLE)[]", "[]::STRUCT(y DOUBLE, pred DOUBLE, x DOUBLE[], hit BOOLEAN, lost DOUBLE)[]", f"len(a.b) >= {SLIDE_W}"
+    nb, no, full = "[]::STRUCT(x DOUBLE[], y DOUBLE)[]", "[]::STRUCT(y DOUBLE, pred DOUBLE, x DOUBLE[], hit BOOLEAN, lost DOUBLE)[]", f"len(a.b) >= {W}"
     parts = []
     for name, rule in rules.items():
         train = f"list_reduce(list_transform(a.b, lambda r: {row(z, 'r.x', 'r.y')}), lambda p, q: {row(rule, 'q.x', 'q.y')}, {row('a.w', z, '0.0::DOUBLE')}).w"
@@ -1942,7 +1942,7 @@ def _sliding_sql():
         body = O._let(f"CASE WHEN {full} THEN {train} ELSE a.w END", "v", cell(
             "v", f"list_append(CASE WHEN {full} THEN a.b[2:] ELSE a.b END, {{'x': e.x, 'y': e.y}})",
             f"CASE WHEN {full} THEN list_append({past}, {said}) ELSE a.o END", "e.x", "e.y"))
-        seq = f"SELECT stream, list({cell(z, nb, no, 'x', 'y')} ORDER BY ts, id, x, y) AS seq FROM ({FX.USER_SQL}) GROUP BY stream"
+        seq = f"SELECT stream, list({cell(z, nb, no, 'x', 'y')} ORDER BY ts, id, x, y) AS seq FROM ({src}) GROUP BY stream"
         parts.append(f"""SELECT stream, '{name}' AS algo, u.y AS y, u.pred AS pred, u.lost AS lost FROM (
  SELECT stream, unnest(list_reduce(seq, lambda a, e: {body}, {cell(z, nb, no, z, '0.0::DOUBLE')}).o) AS u FROM ({seq}))""")
     return " UNION ALL ".join(parts)
@@ -1984,29 +1984,31 @@ def _rounds(spark, sf):
     return d, *task_rounds(d, ROUND_CFG, TASKS, ROUND_C, ROUND_K, keys=["user"])
 
 
-def _rounds_sql():
-    """(models per user, algo, round; accuracy per algo, task, round) from one fold per round over the rows so far."""
-    pos = "CASE task " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TASKS)) + " END"
-    idx = f"""SELECT *, row_number() OVER (PARTITION BY "user", task ORDER BY ts, id, x, y) - 1 AS idx,
-  count(*) OVER (PARTITION BY "user", task) AS n, {pos} AS round FROM ({FX.USER_TASK_SQL})"""
-    at = f"((idx - round * {ROUND_C}) % n + n) % n"
-    chunk = f"""SELECT "user" AS stream, ts, id, x, y, round, {at} AS p FROM ({idx}) WHERE {at} < {ROUND_C}"""
-    z, one = "[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]", "e.x[1] * e.x[1] + e.x[2] * e.x[2] + e.x[3] * e.x[3]"
-    up = lambda c: "[" + ", ".join(f"a.w[{j}] + {c} * e.y * e.x[{j}]" for j in (1, 2, 3)) + "]"
+def _rounds_sql(src=FX.USER_TASK_SQL, key="user", tasks=TASKS, C=ROUND_C, K=ROUND_K, dim=3):
+    """(models per key, algo, round; accuracy per algo, task, round) from one fold per round over the rows so far."""
+    J = range(1, dim + 1)
+    pos = "CASE task " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(tasks)) + " END"
+    idx = f"""SELECT *, row_number() OVER (PARTITION BY "{key}", task ORDER BY ts, id, x, y) - 1 AS idx,
+  count(*) OVER (PARTITION BY "{key}", task) AS n, {pos} AS round FROM ({src})"""
+    at = f"((idx - round * {C}) % n + n) % n"
+    chunk = f"""SELECT "{key}" AS stream, ts, id, x, y, round, {at} AS p FROM ({idx}) WHERE {at} < {C}"""
+    z, one = "[" + ", ".join("0.0::DOUBLE" for _ in J) + "]", " + ".join(f"e.x[{j}] * e.x[{j}]" for j in J)
+    up = lambda c: "[" + ", ".join(f"a.w[{j}] + {c} * e.y * e.x[{j}]" for j in J) + "]"
     rule = {"pa_study": f"CASE WHEN e.y * f < 1 THEN {up(f'(1.0 - e.y * f) / ({one})')} ELSE a.w END",
             "perceptron": f"CASE WHEN (CASE WHEN f >= 0 THEN 1.0 ELSE -1.0 END) <> e.y THEN {up('1.0')} ELSE a.w END",
             "gradient": f"CASE WHEN e.y * f < 1 THEN {up('1.0')} ELSE a.w END"}
     cell = lambda w, x, y: f"{{'w': {w}, 'x': {x}, 'y': {y}}}"
     ms = []
-    for r in range(len(TASKS)):
+    for r in range(len(tasks)):
         seq = f"SELECT stream, list({cell(z, 'x', 'y')} ORDER BY round, p, ts, id) AS seq FROM ({chunk}) WHERE round <= {r} GROUP BY stream"
         for label, name, _ in _cfgs(ROUND_CFG):
-            step = O._let("a.w[1] * e.x[1] + a.w[2] * e.x[2] + a.w[3] * e.x[3]", "f", cell(rule[name], "e.x", "e.y"))
+            step = O._let(" + ".join(f"a.w[{j}] * e.x[{j}]" for j in J), "f", cell(rule[name], "e.x", "e.y"))
             ms.append(f"SELECT stream, '{label}' AS algo, {r} AS round, list_reduce(seq, lambda a, e: {step}, {cell(z, z, '0.0::DOUBLE')}).w AS w FROM ({seq})")
     models = " UNION ALL ".join(ms)
-    slices = f"""SELECT "user" AS stream, task, x, y FROM ({idx}) WHERE idx < {ROUND_K} AND n >= {ROUND_K}"""
-    grid = " UNION ALL ".join(f"SELECT '{c.label}' AS algo, {r} AS round" for c in ROUND_CFG for r in range(-1, len(TASKS)))
-    acc = f"""SELECT g.algo, s.task, g.round, avg(CASE WHEN (CASE WHEN coalesce(m.w[1] * s.x[1] + m.w[2] * s.x[2] + m.w[3] * s.x[3], 0.0) >= 0 THEN 1.0 ELSE -1.0 END) = s.y
+    slices = f"""SELECT "{key}" AS stream, task, x, y FROM ({idx}) WHERE idx < {K} AND n >= {K}"""
+    grid = " UNION ALL ".join(f"SELECT '{c.label}' AS algo, {r} AS round" for c in ROUND_CFG for r in range(-1, len(tasks)))
+    score = " + ".join(f"m.w[{j}] * s.x[{j}]" for j in J)
+    acc = f"""SELECT g.algo, s.task, g.round, avg(CASE WHEN (CASE WHEN coalesce({score}, 0.0) >= 0 THEN 1.0 ELSE -1.0 END) = s.y
   THEN 1.0 ELSE 0.0 END) AS acc FROM ({slices}) s CROSS JOIN ({grid}) g
   LEFT JOIN ({models}) m ON m.stream = s.stream AND m.algo = g.algo AND m.round = g.round GROUP BY 1, 2, 3"""
     return models, acc
@@ -2031,9 +2033,9 @@ def q_f1_f2_f3_round_forgetting(spark, sf):
     return _r(rf.join(overall_forgetting(rf), "algo"))
 
 
-def sql_f1_f2_f3_round_forgetting():
-    trained = "CASE round " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TASKS)) + " END"
-    return f"""WITH l AS (SELECT *, lag(acc) OVER (PARTITION BY algo, task ORDER BY round) AS prev, {trained} AS trained FROM ({_rounds_sql()[1]})),
+def sql_f1_f2_f3_round_forgetting(acc=None, tasks=TASKS):
+    trained = "CASE round " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(tasks)) + " END"
+    return f"""WITH l AS (SELECT *, lag(acc) OVER (PARTITION BY algo, task ORDER BY round) AS prev, {trained} AS trained FROM ({acc or _rounds_sql()[1]})),
 r AS (SELECT algo, round, avg(greatest(prev - acc, 0.0)) AS f FROM l WHERE prev IS NOT NULL AND task <> trained GROUP BY algo, round)
 SELECT algo, round, {O.rnd('f')} AS forgetting, {O.rnd('avg(f) OVER (PARTITION BY algo)')} AS overall_forgetting FROM r"""
 
@@ -2067,6 +2069,70 @@ def sql_f7_final_metrics():
     return _rates_sql("algo, task", _m2_counts_sql("algo, task", src))
 
 
+# ---------------- F1-F3 and F7 on long streams at the published 500 / 200, F4 at the published 250
+def _long_rounds(spark, sf):
+    """Lineitems of eight suppliers are a stream (about 4,800 rows), line numbers are its tasks (about 690 rows each)."""
+    from streamlearn.plans.continual import task_rounds
+    d = FX.line_task_stream(spark, sf)
+    return d, *task_rounds(d, ROUND_CFG, FX.LINE_TASKS, keys=["stream"])
+
+
+def _long_rounds_sql():
+    return _rounds_sql(FX.LINE_TASK_SQL, "stream", FX.LINE_TASKS, 500, 200, 4)
+
+
+def q_f1_long_rounds(spark, sf):
+    """F1 at its defaults: chunks of 500 rows, slices of 200; accuracy of every task after each of seven rounds."""
+    return _r(_long_rounds(spark, sf)[2].select("algo", "task", "round", "acc"))
+
+
+def sql_f1_long_rounds():
+    return f"SELECT algo, task, round, {O.rnd('acc')} AS acc FROM ({_long_rounds_sql()[1]})"
+
+
+def q_f2_f3_long_forgetting(spark, sf):
+    """F2 + F3 on the long rounds."""
+    from streamlearn.operators.forgetting import overall_forgetting, round_forgetting
+    rf = round_forgetting(_long_rounds(spark, sf)[2].select("algo", "task", "round", "trained", "acc"))
+    return _r(rf.join(overall_forgetting(rf), "algo"))
+
+
+def q_f7_long_metrics(spark, sf):
+    """F7 on the long rounds: the streams' last models on all rows of every task, M2 metrics per algorithm and task."""
+    from streamlearn.operators.forgetting import final_task_metrics
+    from streamlearn.operators.score import score_linear
+    d, m, _ = _long_rounds(spark, sf)
+    last = m.filter(F.col("round") == len(FX.LINE_TASKS) - 1).select("stream", "algo", "w")
+    return _r(final_task_metrics(score_linear(d, last, on=["stream"])))
+
+
+def sql_f7_long_metrics():
+    score = " + ".join(f"m.w[{j}] * d.x[{j}]" for j in range(1, 5))
+    src = f"""SELECT m.algo, d.task, d.y, CASE WHEN {score} >= 0 THEN 1.0 ELSE -1.0 END AS pred
+ FROM ({FX.LINE_TASK_SQL}) d JOIN (SELECT * FROM ({_long_rounds_sql()[0]}) WHERE round = {len(FX.LINE_TASKS) - 1}) m USING (stream)"""
+    return _rates_sql("algo, task", _m2_counts_sql("algo, task", src))
+
+
+def q_f4_long_sliding(spark, sf):
+    """F4 at its default window of 250 rows on teams of 16 users (about 1,070 events a stream); M1 metrics per team and rule."""
+    cfg = [LearnerConfig.of(c.label, "sliding", inner=c.name, **dict(c.params)) for c in ROUND_CFG]
+    p = fold_predictions(FX.team_stream(spark, sf), cfg).filter(~F.isnan("pred"))
+    return _r(M.class1_metrics(p, ["stream", "algo"]))
+
+
+def sql_f4_long_sliding():
+    return (sql_m1_class1().replace(f"FROM ({RULE_SQL}) GROUP BY algo", f"FROM ({_sliding_sql(FX.TEAM_SQL, 250)}) GROUP BY stream, algo")
+            .replace("SELECT algo", "SELECT stream, algo"))
+
+
+_Q.update({
+    "f1_long_rounds": (q_f1_long_rounds, sql_f1_long_rounds),
+    "f2_f3_long_forgetting": (q_f2_f3_long_forgetting, lambda: sql_f1_f2_f3_round_forgetting(_long_rounds_sql()[1], FX.LINE_TASKS)),
+    "f7_long_metrics": (q_f7_long_metrics, sql_f7_long_metrics),
+    "f4_long_sliding": (q_f4_long_sliding, sql_f4_long_sliding),
+})
+
+
 # -------------------------------------------------------------- T9 and T12
 def _daily(spark, sf):
     ev = FX.event_features(spark, sf).withColumn("stream", F.col("user_id").cast("string")).withColumn("positive", F.when(F.col("value_floor") > 50, 1).otherwise(0))

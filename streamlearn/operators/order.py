@@ -112,7 +112,7 @@ def _small(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS else groups
 
 
-def _with_counts(df: DataFrame, keys: Sequence[str], col: str = "_n", few: bool = False) -> DataFrame:
+def with_counts(df: DataFrame, keys: Sequence[str], col: str = "_n", few: bool = False) -> DataFrame:
     if keys:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(col))
         return df.join(_small(counts) if few else counts, list(keys))
@@ -135,7 +135,7 @@ def temporal_split(df: DataFrame, frac: float = 0.8, keys: Sequence[str] = (),
                    order: Sequence[str] = DEFAULT_ORDER, method: str = "auto") -> DataFrame:
     """First int(frac * n) rows in time order are ``train``, the rest ``test``."""
     d = with_index(df, order, keys, method=method)
-    d = _with_counts(d, keys)
+    d = with_counts(d, keys)
     return _cut(d, [frac, 1.0 - frac], ["train", "test"]).drop("_n")
 
 
@@ -144,7 +144,7 @@ def hash_split(df: DataFrame, fracs: Sequence[float] = (0.8, 0.2), names: Sequen
     """Seeded shuffle (order by hash(seed, id)) then exact cuts."""
     d = df.withColumn("_h", hash32(id_col, seed))
     d = with_index(d, ["_h", id_col, "x", "y"] if "x" in df.columns else ["_h", id_col], keys, method=method)
-    d = _with_counts(d, keys)
+    d = with_counts(d, keys)
     return _cut(d, fracs, names).drop("_n", "_h")
 
 
@@ -168,7 +168,7 @@ def stratified_split(df: DataFrame, fracs: Sequence[float] = (0.6, 0.2, 0.2),
     range method (never one task per class)."""
     d = df.withColumn("_h", hash32(id_col, seed))
     d = with_index(d, ["_h", id_col], col="_all", within=label, within_col="idx").drop("_all")
-    d = _with_counts(d, [label], few=True)
+    d = with_counts(d, [label], few=True)
     return _cut(d, fracs, names).drop("_n", "_h")
 
 
@@ -181,7 +181,7 @@ def entity_split(df: DataFrame, entity: str = "stream", fracs: Sequence[float] =
     number = F.coalesce(F.col(entity).try_cast("long"), F.xxhash64(F.col(entity).cast("string")))
     ents = df.select(entity).distinct().withColumn("_h", hash32(number, seed))
     ents = with_index(ents, ["_h", entity], method="range", col="_r")
-    ents = _with_counts(ents, [])
+    ents = with_counts(ents, [])
     a = F.bround(F.lit(fracs[0]) * F.col("_n"), 0)
     b = a + F.bround(F.lit(fracs[1]) * F.col("_n"), 0)
     ents = ents.select(entity, F.when(F.col("_r") < a, "test").when(F.col("_r") < b, "val")
@@ -259,7 +259,7 @@ def epoch_order(df: DataFrame, epoch: int, base_seed: int = 42, id_col: str = "i
 def round_chunk(df: DataFrame, r: int, C: int = 500, keys: Sequence[str] = ("stream",),
                 order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """Rows [r*C, r*C + C) mod n of each stream, with their chunk position (places by a keyed prefix scan)."""
-    d = _with_counts(prefix_scan(df, keys, order, position="idx"), keys)
+    d = with_counts(prefix_scan(df, keys, order, position="idx"), keys)
     p = F.pmod(F.col("idx") - F.lit(r * C), F.col("_n"))
     return d.withColumn("chunk_pos", p).filter(F.col("chunk_pos") < C).drop("_n")
 

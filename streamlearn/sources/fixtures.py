@@ -45,8 +45,11 @@ def line_stream(spark: SparkSession, sf_dir: str, by: str | None = None) -> Data
     """
     li = read_table(spark, sf_dir, "lineitem")
     stream = F.col(by).cast("string") if by else F.lit("all")
-    return li.select(
-        stream.alias("stream"),
+    return li.select(stream.alias("stream"), *_line_columns())
+
+
+def _line_columns():
+    return [
         F.col("l_shipdate").alias("ts"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"),
         F.array(F.col("l_quantity") / 64.0,
@@ -54,7 +57,7 @@ def line_stream(spark: SparkSession, sf_dir: str, by: str | None = None) -> Data
                 F.round(F.col("l_discount") * 100.0) / 64.0,
                 F.round(F.col("l_tax") * 100.0) / 64.0).alias("x"),
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("y"),
-    )
+    ]
 
 
 def line_sql(by: str | None = None) -> str:
@@ -159,3 +162,26 @@ def user_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USER_TASK_SQL = f"""SELECT t.stream || '/' || CAST(e.user_id AS VARCHAR) AS stream, t.stream AS task, CAST(e.user_id AS VARCHAR) AS "user",
   t.ts, t.id, t.x, t.y FROM ({TASK_SQL}) t JOIN events e ON e.event_id = t.id"""
+
+
+# Line numbers, the tasks of a line-task stream in round order.
+LINE_TASKS = ["1", "2", "3", "4", "5", "6", "7"]
+
+
+def line_task_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-line-task: the lineitems of eight suppliers are one stream, the line number is its ``task``; x and y as in F-line."""
+    group = F.floor(F.col("l_suppkey") / 8).cast("long").cast("string")
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(group.alias("stream"), F.col("l_linenumber").cast("string").alias("task"), *_line_columns())
+
+
+LINE_TASK_SQL = line_sql().replace("SELECT 'all' AS stream", "SELECT CAST(l_suppkey // 8 AS VARCHAR) AS stream, CAST(l_linenumber AS VARCHAR) AS task")
+
+
+def team_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-team: sixteen users are one stream; x and y as in F-user."""
+    team = F.floor(F.col("stream").cast("long") / 16).cast("long").cast("string")
+    return user_stream(spark, sf_dir).withColumn("stream", team)
+
+
+TEAM_SQL = USER_SQL.replace("CAST(user_id AS VARCHAR)", "CAST(user_id // 16 AS VARCHAR)")
