@@ -8,9 +8,14 @@ piece of every occurrence.  Each hit names a window of the text.  A window that
 holds too few of the item's 3-grams for k edits (one edit destroys three) is
 dropped, the rest is verified with Myers' bit-parallel distance.
 
-Documents are scanned whole, in one pass without a shuffle.  The items are a
-stated query set: they are taken in blocks of ``BLOCK_ITEMS`` items, each block
-one automaton, so what a task holds is bounded however long the item list is.
+Documents are scanned whole, without a shuffle.  The items are a stated query
+set.  Up to ``BLOCK_ITEMS`` items of ``BLOCK_CHARS`` characters in all are one
+automaton that travels with the tasks, and one pass over the documents finds
+everything.  More items are written as a table partitioned by block; the blocks
+are taken one after another, a pass over the documents each, and what a pass
+finds is written before the next block is read.  So the driver and a task hold
+one block, however long the item list is.  (Blocks are dealt by hash: sizes
+spread around the bound; an item longer than it makes a larger block.)
 
 Defined results: null texts count as empty and match nothing; an empty item or
 one without letters and digits matches nothing; an item shorter than 1/rate
@@ -22,6 +27,8 @@ repeated items (same id and text) give one; null ids are kept as null.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import ahocorasick
 import numpy as np
@@ -30,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamlearn.llm.common import filter_rows, read, slices
+from streamlearn.llm.common import filter_rows, read, shared_path, slices, stash
 
 #: Edits allowed per character of the item.
 RATE = 0.08
-#: Items in one automaton.
+#: Items in one automaton, and characters of their texts.
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 10_000_000
 
 _KEPT = re.compile("[0-9a-z\u0080-\U0010ffff]+")
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -174,12 +182,32 @@ class Matcher:
         return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
 
 
-def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``size``; a block is what one pass over the documents holds."""
-    items = benchmark.select("item_id", "text").distinct()
-    blocks = max(1, -(-items.count() // size))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [[(r[0], r[1]) for r in items.filter(part == b).collect()] for b in range(blocks)]
+class ItemBlocks:
+    """The distinct items in blocks; iteration brings one block at a time to the driver."""
+
+    def __init__(self, benchmark: DataFrame, size: int, chars: int):
+        items = benchmark.select("item_id", "text").distinct()
+        n, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        self.blocks, self.items = max(1, -(-n // size), -(-total // chars)), items
+        if self.blocks > 1:
+            path = shared_path(benchmark.sparkSession, "items")
+            part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)).cast("int")
+            items.withColumn("_block", part).repartition("_block").write.partitionBy("_block").parquet(path)
+            schema = T.StructType([*items.schema.fields, T.StructField("_block", T.IntegerType())])
+            self.items = benchmark.sparkSession.read.schema(schema).parquet(path)
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __iter__(self) -> Iterator[list[tuple[int | None, str | None]]]:
+        for b in range(self.blocks):
+            rows = self.items if self.blocks == 1 else self.items.filter(F.col("_block") == b).drop("_block")
+            yield [(r[0], r[1]) for r in rows.collect()]
+
+
+def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> ItemBlocks:
+    """The items in blocks of about ``size`` items and ``BLOCK_CHARS`` characters; a block is what one pass over the documents holds."""
+    return ItemBlocks(benchmark, size, BLOCK_CHARS)
 
 
 _MATCH = [("item_id", "long"), ("distance", "int"), ("span_start", "long"), ("span_end", "long")]
@@ -187,10 +215,10 @@ _MATCH = [("item_id", "long"), ("distance", "int"), ("span_start", "long"), ("sp
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``(doc_id, item_id, distance, span_start, span_end)`` of every contaminated document; spans in code points of the text."""
-    out = None
+    found, blocks = [], item_blocks(benchmark)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]
                           + [T.StructField(n, T._parse_datatype_string(t)) for n, t in _MATCH])
-    for block in item_blocks(benchmark):
+    for block in blocks:
         def run(batches, block=block):
             matcher = Matcher(block, rate)
             for batch in batches:
@@ -206,18 +234,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
                             [ids.take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
                              pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=[f.name for f in schema])
         got = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = got if out is None else out.union(got)
-    return out
+        found.append(got if len(blocks) == 1 else stash(got, "matches"))
+    return reduce(DataFrame.union, found)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents in which no item occurs, with all their columns."""
-    for block in item_blocks(benchmark):
-        def make(block=block):
-            matcher = Matcher(block, rate)
-            return lambda texts: np.array([not matcher.matches(normalised(t.decode()), True) for t in texts], dtype=bool)
-        docs = filter_rows(docs, make)
-    return docs
+    """The documents in which no item occurs, with all their columns.
+
+    One block of items filters the rows as they pass.  For several, the documents are written once with a number of their
+    own, each block finds the numbers of its documents, and those leave in one anti-join.
+    """
+    def make(block, wanted):
+        matcher = Matcher(block, rate)
+        return lambda texts: np.array([bool(matcher.matches(normalised(t.decode()), True)) == wanted for t in texts], dtype=bool)
+
+    blocks = item_blocks(benchmark)
+    if len(blocks) == 1:
+        block, = blocks
+        return filter_rows(docs, partial(make, block, False))
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hit = [stash(filter_rows(numbered.select(row, "text"), partial(make, block, True)).select(row), "hits") for block in blocks]
+    return numbered.join(reduce(DataFrame.union, hit), row, "left_anti").drop(row)
 
 
 def op8_edit_matches(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,3 +89,58 @@ def test_awkward_rows_and_item_blocks(spark, monkeypatch):
     none = spark.createDataFrame([], ITEMS)
     assert D.matches(d, none).count() == 0 and D.keep_clean(d, none).count() == d.count()
     assert D.matches(empty(spark), items).count() == 0 and D.keep_clean(empty(spark), items).count() == 0
+
+
+def least_distances(items: list[str], text: str) -> list[int]:
+    """Least edit distance of each item to a part of the text: the full tables of all items, a column a character."""
+    n = max(map(len, items))
+    grid = np.array([list(s.ljust(n, "\0")) for s in items])
+    differs = {c: (grid != c).astype(np.int16) for c in set(text)}
+    steps = np.arange(n + 1, dtype=np.int16)
+    row = np.tile(steps, (len(items), 1))
+    ends = (np.arange(len(items)), [len(s) for s in items])
+    best = row[ends]
+    for c in text:
+        new = np.zeros_like(row)
+        np.minimum(row[:, :-1] + differs[c], row[:, 1:] + np.int16(1), out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        best = np.minimum(best, row[ends])
+    return best.tolist()
+
+
+def test_least_distances():
+    items = ["abc abd", "xyz", "b"]
+    for text in ("", "abc abd", "zzabcabdxz", "bca bxyy"):
+        assert least_distances(items, text) == [edit_search(s, text)[0] for s in items]
+
+
+def test_whole_result_against_full_tables(spark):
+    """Every document against every item of the small tables: the same pairs with the same distances, edited ones included."""
+    items = [(r["item_id"], D.normalised(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert min(len(s) for _, s in items) * D.RATE >= 1                  # none of the short items, which follow another rule
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for (i, s), dist in zip(items, least_distances([s for _, s in items], D.normalised(r["text"] or ""))):
+            if dist <= int(D.RATE * len(s)):
+                want[r["doc_id"], i] = dist
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.op8_edit_matches(spark, SF).collect()}
+    assert got == want and want
+
+
+def test_blocks_come_one_at_a_time(spark, monkeypatch):
+    """Blocks hold all items once, by count and by length; results do not depend on them; copies and null ids stay rows of their own."""
+    rows = [(1, "first item of the list"), (1, "first item of the list"), (2, "second item of the list"), (None, "third item, without an id"),
+            (4, None), (5, "a long item " * 50)]
+    items = spark.createDataFrame(rows, ITEMS)
+    text = "here comes the second item of the list, and more"
+    d = spark.createDataFrame([(1, text, 7), (1, text, 7), (None, "a third item without an id", 8), (None, "clean", 9), (3, None, 1),
+                               (4, "a long item " * 60, 2), (4, "clean", 3)], "doc_id long, text string, _row int")
+    one, kept = sorted(map(str, D.matches(d, items).collect())), sorted(map(str, D.keep_clean(d, items).collect()))
+    assert len(D.item_blocks(items)) == 1 and len(one) == 4 and len(kept) == 3
+    monkeypatch.setattr(D, "BLOCK_CHARS", 200)
+    blocks = D.item_blocks(items)
+    assert len(blocks) == 4 and sorted(map(str, (r for b in blocks for r in b))) == sorted(map(str, set(rows)))
+    assert next(iter(blocks)) is not None                               # an iterator, not a list of all blocks
+    assert sorted(map(str, D.matches(d, items).collect())) == one
+    many = D.keep_clean(d, items)
+    assert many.columns == d.columns and sorted(map(str, many.collect())) == kept
