@@ -158,7 +158,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bin
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, mod: int = 5, held: int = 0) -> Trees:
     """Fit on at most ``max_rows`` labelled documents outside the held-out bucket.
 
-    Only the statistics of the sampled rows reach the driver (22 numbers a row).
+    Only the statistics of the sampled rows reach the driver (22 numbers a row).  Rows that repeat an id train once, with
+    the least of their statistics, so their number is bounded too.
     """
     sample = bounded_labels(labels, "quality", max_rows, mod, held)
     if not sample:
@@ -166,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, mod: int =
 
     def make():
         return lambda texts: {"x": list(document_statistics(texts))}
-    got = with_computed(labelled_documents(docs, sample), make, [("x", "array<double>")], keep=["doc_id", "y"]).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = with_computed(labelled_documents(docs, sample), make, [("x", "array<double>")], keep=["doc_id", "y"])
+    got = rows.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     return fit_trees(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float))
 
 

@@ -67,3 +67,37 @@ def test_awkward_rows(spark):
     assert Q.score(empty(spark), plain).count() == 0 and Q.fit(empty(spark), no_labels(spark)).predict(np.zeros((1, len(Q.FEATURES)))) == 0.5
     same = Q.score(docs(spark, [None, "", ""]), model).toPandas().score
     assert same.nunique() == 1
+
+
+def same_trees(a, b):
+    return a.base == b.base and all(np.array_equal(getattr(a, n), getattr(b, n)) for n in ("feature", "cut", "leaf"))
+
+
+def test_repeated_ids_train_once(spark):
+    """Copies of an id, with the same text or another, leave the fit as it is: only its least statistics count."""
+    from pyspark.sql import functions as F
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    d = spark.read.parquet(f"{SF}/documents.parquet").join(lab.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    model = Q.fit(d, lab)
+    copies = d.withColumn("_c", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 7 == 0, 60).otherwise(1)))).drop("_c")
+    assert copies.count() > 5 * d.count() and same_trees(Q.fit(copies, lab), model)
+    longer = d.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" some more words that follow")))
+    short, long = Q.document_statistics([b"x", b"x some more words that follow"]).tolist()
+    assert short < long and same_trees(Q.fit(d.union(longer), lab), model)
+
+
+def test_whole_result_against_plain_walk(spark):
+    """Every document of the table: statistics one by one, trees walked node by node."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = Q.fit(d, lab)
+    got = {r.doc_id: r for r in Q.op10_quality_trees(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == d.count()
+    for r in d.collect():
+        row, z = Q.document_statistics([(r.text or "").encode()])[0], m.base
+        for f, c, leaf in zip(m.feature, m.cut, m.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            z += leaf[node - len(f)]
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-12 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
