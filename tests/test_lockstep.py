@@ -77,3 +77,28 @@ def test_empty_and_choice(spark):
     assert lockstep.cohort_count(df, ["id"], LINEAR) >= 1
     assert not lockstep.has_lockstep([*LINEAR, LearnerConfig.of("full", "arow_full")])
     assert not lockstep.has_lockstep([LearnerConfig.of("still", "batch_kogc", frozen=True)])
+
+
+@pytest.mark.parametrize("batch", ["10000", "13"])
+def test_start_models(spark, batch):
+    """Whole and partial states, a model without rows, streams and configurations without a model; refused before."""
+    from pyspark.sql import functions as F
+    from streamlearn.plans.fold import STATE_COLS
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = uneven(spark)
+        m = fold_models(df, LINEAR, lockstep=False).select("stream", "algo", *STATE_COLS).filter("not (stream = 's3' or (stream = 's5' and algo = 'tie'))")
+        m = m.withColumn("sigma", F.when(F.col("stream") != "s8", F.col("sigma"))).withColumn("b", F.when(F.col("stream") == "s9", 0.25).otherwise(F.col("b")))
+        m = m.localCheckpoint()
+        rest = df.filter("stream is null or stream <> 's4'")
+        for only in (False, True):
+            assert any(n.startswith("_pos") for n in _names(fold_models(rest, LINEAR, init=m, init_only=only, lockstep=True)))
+            check(rest, LINEAR, init=m, init_only=only)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def _names(df):
+    import re
+    return re.findall(r"_pos#\d+", df._jdf.queryExecution().optimizedPlan().toString())
