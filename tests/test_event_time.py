@@ -56,3 +56,12 @@ def test_equal_times_and_paused_rows(spark):
                                "stream string, ts timestamp, id long, x array<double>, y double, active boolean, block int")
     out = run_to_completion(stream_learn(replay_source(df, "block", close="2 days"), CFG[:1], delay="1 day")).collect()
     assert [r.id for r in sorted(out, key=lambda r: r.pos)] == [1, 1, 2, 4]
+
+
+def test_streams_of_one_bucket_stay_apart(spark):
+    """Few buckets of many streams: a state entry holds all streams of its bucket (before, one a stream); long ids stay whole."""
+    s = FX.user_stream(spark, SF_SMALL).withColumn("id", F.col("id") + F.lit(2**60))
+    cfg = CFG[:1]
+    src = replay_source(s.withColumn("block", F.floor(F.datediff("ts", F.lit("2020-01-01")) / 10)), "block", close="30 days", files=2)
+    out = run_to_completion(stream_learn(src, cfg, delay="10 days", buckets=2))
+    assert _rows(out) == _rows(fold_predictions(s, cfg))
