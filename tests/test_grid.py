@@ -96,3 +96,10 @@ def test_draws_and_factors(spark):
           .withColumn("cr", F.expr("row_number() over (partition by y order by idx) - 1")))
     both = d.withColumn("f", outlier_factor(42)).withColumn("g", outlier_factor(42, unit=hash_unit("id", 42))).collect()
     assert all(r["f"] == r["g"] and r["x"] == [r["id"] * r["f"]] for r in both) and len({r["f"] for r in both}) > 5
+
+
+@pytest.mark.parametrize("cohorts", [0, 2])
+def test_null_features_fail(spark, cohorts):
+    df = uneven(spark).withColumn("x", F.when(F.col("id") == 7, F.expr("transform(x, v -> cast(null as double))")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="TypeError"):
+        fold_counts(df, [*MAIN, *SINGLE], cohorts=cohorts).collect()

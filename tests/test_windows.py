@@ -60,3 +60,10 @@ def test_choice(spark):
     assert not windows.has_windows([LearnerConfig.of("a", "sliding", inner="arow")]) and not windows.has_windows([LearnerConfig.of("pa")])
     assert windows.window_cohorts(df.filter("stream in ('s1', 's2')"), ["stream"], rules(5)) == 0
     assert fold_predictions(df.limit(0), rules(5), lockstep=True).count() == 0
+
+
+@pytest.mark.parametrize("lockstep", [True, False])
+def test_null_features_fail(spark, lockstep):
+    df = uneven(spark).withColumn("x", F.when(F.col("id") == 7, F.expr("transform(x, v -> cast(null as double))")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="TypeError"):
+        fold_predictions(df, rules(3), lockstep=lockstep).collect()
