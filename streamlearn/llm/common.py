@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +38,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
-    texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
+    """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least).
+
+    Only the texts of one run are Python objects at a time."""
+    column = batch.column(batch.schema.get_field_index(text_col))
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > limit:
+            yield batch.slice(start, i - start), as_bytes(column.slice(start, i - start))
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+        size += n
+    if start < len(column):
+        yield batch.slice(start), as_bytes(column.slice(start))
 
 
 def with_computed(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict[str, object]]],

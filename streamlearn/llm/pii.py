@@ -6,8 +6,8 @@ span: it labels tokens (runs of letters and digits, single other characters) wit
 B/I/O tags of six kinds, from the shape of the token, of both neighbours, and
 whether blanks stand between them.  It is trained by gradient ascent with
 forward-backward sums on a small labelled table (``training_table``, at most
-``MAX_ROWS`` rows), and decodes by Viterbi in numpy, all sentences of a slice of
-texts at once.
+``MAX_ROWS`` rows), and decodes by Viterbi in numpy, all sentences of a block at
+once; a text longer than a block is cut at sentence ends, which changes no span.
 
 Sentences end at a line end or at ``.!?`` before a blank.  A sentence in which no
 label can beat "outside" is not decoded: count for each token the gain of a label
@@ -25,6 +25,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ KINDS = ["email", "ip", "card", "phone", "secret", "national_id"]
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 #: Labelled sentences used for training, at most.
 MAX_ROWS = 5_000
+#: Bytes of text that are tokenized and decoded at once: its arrays take some 80 times as many.
+BLOCK_BYTES = 500_000
+_SENTENCE_END = re.compile(rb"\n|[.!?][\x00-\x20\x7f]")
 
 # ------------------------------------------------------------ base patterns
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -426,8 +430,27 @@ def viterbi(crf: Crf, u: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.
     return tags
 
 
-def crf_spans(crf: Crf, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-    """``(kind index, start byte, end byte)`` per text."""
+def blocks(texts: list[bytes], limit: int | None = None) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Pieces ``(text number, start byte, bytes)`` in runs of about ``limit`` bytes; texts over it are cut, at sentence ends only."""
+    limit = limit or BLOCK_BYTES
+    block, size = [], 0
+    for i, text in enumerate(texts):
+        a = 0
+        while a < len(text):
+            m = _SENTENCE_END.search(text, a + limit)
+            b = m.end() if m else len(text)
+            if size and size + b - a > limit:
+                yield block
+                block, size = [], 0
+            block.append((i, a, text[a:b]))
+            size += b - a
+            a = b
+    if block:
+        yield block
+
+
+def block_spans(crf: Crf, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    """``(kind index, start byte, end byte)`` per text, all texts decoded at once."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     t = tokenize(b"\n".join(texts))
     if not len(t.start):
@@ -453,6 +476,15 @@ def crf_spans(crf: Crf, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def crf_spans(crf: Crf, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    """``(kind index, start byte, end byte)`` per text; memory goes with a block, not with the texts."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for block in blocks(texts):
+        for (i, at, _), found in zip(block, block_spans(crf, [x for _, _, x in block])):
+            out[i] += [(k, at + a, at + b) for k, a, b in found]
+    return out
+
+
 def find_spans(crf: Crf, raw: list[bytes]) -> list[tuple[list, list]]:
     """Per text the base spans and all spans, each by kind, then start, in code points."""
     out = []

@@ -147,3 +147,28 @@ def test_awkward_rows(spark, crf):
     assert P.fit(wide).own.shape == (P.SHAPES, P.K)
     long = ("1" * 30_000) + " " + "a.b" * 10_000 + "@"
     assert P.base_spans(long) == []
+
+
+def test_memory_goes_with_a_block(crf):
+    """Many texts, and one long text, are decoded in pieces cut at sentence ends: same spans, a fraction of the memory."""
+    import tracemalloc
+
+    rows = [text.encode() for text, _ in P.labelled_sentences(2)]
+    whole = b"\n".join(rows) + b"  " + b" ".join(r.rstrip(b".!?") + b"." for r in rows)
+    want = P.block_spans(crf, [*rows, whole])
+    assert sum(map(len, want)) > 100
+    for limit in (1, 50, 1000):
+        pieces = [x for block in P.blocks([*rows, b"", whole], limit) for x in block]
+        assert b"".join(x for i, _, x in pieces if i == len(rows) + 1) == whole
+        texts = [*rows, whole]
+        found = [[] for _ in texts]
+        for block in P.blocks(texts, limit):
+            for (i, at, _), spans in zip(block, P.block_spans(crf, [x for _, _, x in block])):
+                found[i] += [(k, at + a, at + b) for k, a, b in spans]
+        assert found == want
+    for texts in (rows * (1_500_000 // sum(map(len, rows))), [whole * (1_500_000 // len(whole))]):
+        tracemalloc.start()
+        P.crf_spans(crf, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 75_000_000                        # all at once: some 80 bytes for each byte of text
