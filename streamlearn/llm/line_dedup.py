@@ -1,12 +1,13 @@
 """Line dedup: lines that many documents share stay only in the last of them.
 
 A line's key is the line with ASCII blanks stripped at both ends and A-Z lower-cased.
-Long keys are exploded as 128-bit hashes, once per row of the table.  A key's documents
-are counted with map-side partial sums; keys over the threshold meet the lines again in
-an equi-join (a key held by a third of all documents makes a skewed partition, which
-adaptive execution splits), and each document gets the list of keys it loses.  A task
-then walks the lines of a text by position and joins those that stay.  Texts travel once,
-in the join with those lists; lines themselves never do.
+Long keys are exploded as 128-bit hashes, once for the counts and once for the join, so
+nothing is written between.  A key's documents are counted with map-side partial sums;
+keys over the threshold meet the lines again in an equi-join, the hits meet the last
+document of their key (a key held by a third of all documents makes a skewed partition
+here, which adaptive execution splits), and each document gets the list of keys it loses.
+A task then walks the lines of a text by position and joins those that stay.  Texts
+travel once, in the join with those lists; lines themselves never do.
 
 Defined results: a null or empty text is one empty line; a document is an id, so rows with
 the same ``doc_id`` count once for a key and lose the same keys; null ids count as one id,
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamlearn.llm.common import as_bytes, read, stash
+from streamlearn.llm.common import read, slices
 
 #: Code points that a key has at least, and documents that hold it at least, before lines go.
 LEAST_CHARS, MIN_DOCS = 40, 5
@@ -47,22 +48,23 @@ def long_lines(docs: DataFrame, least: int = LEAST_CHARS, text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            at, a, b = [], [], []
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                keys = {line_key(x, least) for x in text.split(b"\n")} - {None}
-                at += [i] * len(keys)
-                a += [k[0] for k in keys]
-                b += [k[1] for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["doc", "a", "b"])
+            for part, texts in slices(batch, "text"):
+                at, a, b = [], [], []
+                for i, text in enumerate(texts):
+                    keys = {line_key(x, least) for x in text.split(b"\n")} - {None}
+                    at += [i] * len(keys)
+                    a += [k[0] for k in keys]
+                    b += [k[1] for k in keys]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                                 names=["doc", "a", "b"])
     return docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
 def lost_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(doc, lost array<struct<a,b>>)``: the keys each document loses, for documents that lose any."""
-    lines = stash(lines, "line-keys")
     often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
-    hits = stash(lines.join(often, ["a", "b"]).select("doc", "a", "b").distinct(), "line-hits")     # rows of one id count once
+    # rows of one id count once; both readers of the hits share this shuffle
+    hits = lines.join(often, ["a", "b"]).select("doc", "a", "b").repartition("doc", "a", "b").distinct()
     last = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= min_docs).drop("n")
     return (hits.join(last, ["a", "b"]).filter(F.col("doc").isNull() | (F.col("doc") < F.col("last")))
                 .groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("lost")))
@@ -81,17 +83,18 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, min_docs: int = MIN_D
 
     def run(batches):
         for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            lost = batch.column(batch.schema.get_field_index("_line_lost"))
-            for i, text in enumerate(as_bytes(batch.column(batch.schema.get_field_index("_line_text")))):
-                lines = text.split(b"\n")
-                keys = {(k["a"], k["b"]) for k in lost[i].as_py()} if lost[i].is_valid else ()
-                stay = [x for x in lines if line_key(x, least) not in keys] if keys else lines
-                texts.append(b"\n".join(stay).decode())
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(stay))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(texts, pa.string()),
-                                              pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+            for part, raw in slices(batch, "_line_text"):
+                texts, n_lines, n_dropped = [], [], []
+                lost = part.column(part.schema.get_field_index("_line_lost"))
+                for i, text in enumerate(raw):
+                    lines = text.split(b"\n")
+                    keys = {(k["a"], k["b"]) for k in lost[i].as_py()} if lost[i].is_valid else ()
+                    stay = [x for x in lines if line_key(x, least) not in keys] if keys else lines
+                    texts.append(b"\n".join(stay).decode())
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(stay))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], pa.array(texts, pa.string()),
+                                                  pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
     return joined.mapInArrow(run, schema)
 
 

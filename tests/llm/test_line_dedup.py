@@ -63,3 +63,16 @@ def test_awkward_and_empty(spark):
     df = awkward(spark, extra=True)
     assert got(L.dedup_lines(df)) == plain([(r["doc_id"], r["text"]) for r in df.collect()])
     assert got(L.dedup_lines(empty(spark))) == []
+
+
+def test_writes_no_files_and_parses_twice(spark, tmp_path, monkeypatch):
+    """The keys go through shuffles alone, and the two readers of the hits share one of them."""
+    made = []
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda self, path, *a, **k: made.append(path))
+    texts = [f"{LONG}\n{LONG} {i % 3}\nown {i}" for i in range(30)]
+    out = L.dedup_lines(docs(spark, texts))
+    assert got(out) == plain(list(enumerate(texts))) and not made
+    lost = L.lost_lines(L.long_lines(docs(spark, texts)))
+    lost.collect()
+    plan = lost._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("MapInArrow") == 2
